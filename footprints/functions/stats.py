@@ -118,3 +118,16 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 def t_statistic(r: Column, n: Column) -> Column:
     """t of a correlation with n - 2 degrees of freedom; null where it is perfect."""
     return r * F.sqrt(F.try_divide((n - 2).cast("double"), 1 - r * r))
+
+
+def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], flag: str, salts: int = 16) -> DataFrame:
+    """Adds ``flag``: true on exactly one row per key, the first by ``order``.
+
+    Ranked within salted parts of a key first, so that only one row per part meets in the last window.
+    """
+    plain = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "int", "bigint", "double", "boolean")]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
+    local = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)))
+    firsts = local.where("_r = 1").withColumn(flag, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+    rest = local.where("_r > 1").withColumn(flag, F.lit(False))
+    return firsts.unionByName(rest).drop("_salt", "_r")

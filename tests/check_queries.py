@@ -16,6 +16,8 @@ from footprints.session import local_session
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
+    con.execute("SET memory_limit = '8GB'")
+    con.execute("SET max_temp_directory_size = '4GB'")
     for path in glob.glob(f"{folder}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     return con
