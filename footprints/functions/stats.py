@@ -131,3 +131,20 @@ def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     firsts = local.where("_r = 1").withColumn(flag, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
     rest = local.where("_r > 1").withColumn(flag, F.lit(False))
     return firsts.unionByName(rest).drop("_salt", "_r")
+
+
+def window_join(
+    sites: DataFrame, values: DataFrame, keys: Sequence[str], site_pos: str, value_pos: str, before: int, after: int
+) -> DataFrame:
+    """Pairs of a site and a value of the same keys with ``value_pos - site_pos`` in ``-before .. after``, as ``offset``.
+
+    An equi-join on keys and position chunk: values are copied into the one or two chunks whose sites can reach them, so
+    a long gene is spread over its chunks and no pair outside the window leaves the join.
+    """
+    width = before + after + 1
+    left = sites.withColumn("_chunk", F.floor(F.col(site_pos) / width))
+    lowest = F.floor((F.col(value_pos) - after) / width)
+    highest = F.floor((F.col(value_pos) + before) / width)
+    right = values.withColumn("_chunk", F.explode(F.sequence(lowest, highest)))
+    offset = F.col(value_pos) - F.col(site_pos)
+    return left.join(right, [*keys, "_chunk"]).withColumn("offset", offset.cast("int")).where(F.col("offset").between(-before, after)).drop("_chunk")

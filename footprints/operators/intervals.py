@@ -106,30 +106,36 @@ def nearest(
     )
 
 
-def depth_runs(
-    blocks: DataFrame, keys: Sequence[str], start: str, end: str, weight: str, width: int = 1 << 14
+def stacked_runs(
+    spans: DataFrame, keys: Sequence[str], start: str, end: str, weights: dict[str, str], width: int = 1 << 14
 ) -> DataFrame:
-    """Half-open runs of constant depth > 0 of half-open blocks: keys, start, end, depth.
+    """Half-open runs on which the same half-open spans lie: keys, start, end, layers and the sum of each weight.
 
-    Blocks are cut at chunk borders and reduced to two weighted edge events each before the shuffle.
+    Spans are cut at chunk borders and reduced to two weighted edge events each before the shuffle; a chunk's window
+    holds at most its distinct positions. Sums over a run of no span are not given.
     """
     first, last = F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)
-    cut = blocks.where(F.col(end) > F.col(start)).withColumn("_c", F.explode(F.sequence(first, last)))
+    cut = spans.where(F.col(end) > F.col(start)).withColumn("_c", F.explode(F.sequence(first, last)))
     s = F.greatest(F.col(start), F.col("_c") * width)
     e = F.least(F.col(end), (F.col("_c") + 1) * width)
-    edges = cut.select(
-        *keys,
-        "_c",
-        F.explode(F.array(F.struct(s.alias("at"), F.col(weight).alias("d")), F.struct(e.alias("at"), (-F.col(weight)).alias("d")))).alias("x"),
-    ).groupBy(*keys, "_c", F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d"))
+    edge = lambda at, sign: F.struct(at.alias("at"), F.lit(sign).alias("layers"), *[(F.col(v) * sign).alias(k) for k, v in weights.items()])
+    names = ["layers", *weights]
+    edges = (
+        cut.select(*keys, "_c", F.explode(F.array(edge(s, 1), edge(e, -1))).alias("x"))
+        .groupBy(*keys, "_c", F.col("x.at").alias("at"))
+        .agg(*[F.sum(f"x.{n}").alias(n) for n in names])
+    )
     w = Window.partitionBy(*keys, "_c").orderBy("at")
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
     runs = edges.select(
-        *keys,
-        F.col("at").alias("start"),
-        F.lead("at").over(w).alias("end"),
-        F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"),
+        *keys, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), *[F.sum(n).over(running).alias(n) for n in names]
     )
-    return runs.where("depth > 0 and end is not null")
+    return runs.where("layers > 0 and end is not null")
+
+
+def depth_runs(blocks: DataFrame, keys: Sequence[str], start: str, end: str, weight: str, width: int = 1 << 14) -> DataFrame:
+    """Half-open runs of constant depth > 0 of half-open weighted blocks: keys, start, end, depth."""
+    return stacked_runs(blocks, keys, start, end, {"depth": weight}, width).drop("layers")
 
 
 def per_base(runs: DataFrame, keys: Sequence[str], value: str = "depth") -> DataFrame:

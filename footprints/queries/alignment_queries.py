@@ -250,13 +250,15 @@ def _(t):
 @query(
     "F22_position_ambiguity",
     """
-SELECT gene, length, s AS "start", CASE WHEN substr(sequence, s + length, 1) = 'A' THEN 0 WHEN substr(sequence, s + length + 1, 1) = 'A' THEN 1 ELSE 2 END AS code
-FROM (SELECT gene, sequence, length, unnest(range(0, length(sequence) - length)) AS s FROM transcript_text, (VALUES (28), (29), (30)) v(length))""",
+SELECT gene, length, CASE WHEN substr(sequence, s + length, 1) = 'A' THEN 0 WHEN substr(sequence, s + length + 1, 1) = 'A' THEN 1 ELSE 2 END AS code,
+       count(*) AS n, CAST(sum(s) AS BIGINT) AS start_sum
+FROM (SELECT gene, sequence, length, unnest(range(0, length(sequence) - length)) AS s FROM transcript_text, (VALUES (28), (29), (30)) v(length)) GROUP BY ALL""",
 )
 def _(t):
     from footprints.queries.counting import sequences
 
-    return A.position_ambiguity(sequences(t), [28, 29, 30])
+    codes = A.position_ambiguity(sequences(t), [28, 29, 30])
+    return codes.groupBy("gene", "length", "code").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("start_sum"))
 
 
 @query(
@@ -553,14 +555,14 @@ def _(t):
 @query(
     "A46_collisions",
     """
-WITH f AS (SELECT sample, seqname, pos % 60 AS pos, strand, split, qlen, barcode, count(*) AS fragment_count FROM mapped WHERE mapq = 50 GROUP BY ALL),
+WITH f AS (SELECT sample, seqname, pos % 2 AS pos, strand, split, qlen, barcode, count(*) AS fragment_count FROM mapped WHERE mapq = 50 GROUP BY ALL),
 p AS (SELECT *, CAST(sum(fragment_count) OVER (PARTITION BY sample, seqname, pos, strand, split, qlen) AS BIGINT) AS position_count FROM f)
 SELECT sample, seqname, pos, CASE WHEN split THEN '10M30N' || (qlen - 10) || 'M' ELSE qlen || 'M' END AS cigar, strand, position_count, fragment_count, count(*) AS n
-FROM p WHERE position_count > 3 GROUP BY ALL""",
+FROM p WHERE position_count > 5 GROUP BY ALL""",
 )
 def _(t):
-    folded = t.mapped.withColumn("pos", F.col("pos") % 60).withColumn("cigar", G.unparse(F.col("cigar")))
-    return qc.collisions(qc.collapse_duplicates(folded), 3)
+    folded = t.mapped.withColumn("pos", F.col("pos") % 2).withColumn("cigar", G.unparse(F.col("cigar")))
+    return qc.collisions(qc.collapse_duplicates(folded), 5)
 
 
 @query(

@@ -154,12 +154,17 @@ def _(t):
 
 @query(
     "J2_coordinate_map",
-    "SELECT gene, p, t, p AS back FROM coordinate_map",
+    """
+SELECT gene, t // 10 AS tens, count(*) AS n, CAST(sum(p) AS BIGINT) AS p_sum, CAST(sum(p * (t + 1)) AS BIGINT) AS weighted, CAST(sum(p) AS BIGINT) AS back_sum
+FROM (SELECT gene, p, t + 330 AS t FROM coordinate_map) GROUP BY ALL""",
 )
 def _(t):
     m = models(t).withColumn("p", F.explode(F.sequence(F.col("start") - C.BUFFER, F.col("end") + C.BUFFER)))
     mapped = m.withColumn("t", coords.to_transcript(F.col("p"), C.BUFFER, C.BUFFER)).where("t is not null")
-    return mapped.select("gene", "p", "t", coords.to_genomic(F.col("t")).alias("back"))
+    back = mapped.withColumn("back", coords.to_genomic(F.col("t"))).withColumn("t", F.col("t") + C.BUFFER)
+    return back.groupBy("gene", F.floor(F.col("t") / 10).alias("tens")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("p").alias("p_sum"), F.sum(F.col("p") * (F.col("t") + 1)).alias("weighted"), F.sum("back").alias("back_sum")
+    )
 
 
 @query(
@@ -276,17 +281,23 @@ def _(t):
 @query(
     "A13_codon_table",
     """
+SELECT sample, gene, codon, count(*) AS sites, CAST(sum(relaxed) AS BIGINT) AS relaxed, CAST(sum(stringent) AS BIGINT) AS stringent,
+       CAST(sum(anisomycin) AS BIGINT) AS anisomycin, CAST(sum(relaxed * (codon_idx + 101)) AS BIGINT) AS weighted FROM (
 SELECT s.sample, i.gene, i.codon_idx, i.num_codons, i.codon,
        CAST(COALESCE(sum(n) FILTER (offset_type = 'yeast'), 0) AS BIGINT) AS relaxed,
        CAST(COALESCE(sum(n) FILTER (offset_type = 'yeast_stringent'), 0) AS BIGINT) AS stringent,
        CAST(COALESCE(sum(n) FILTER (offset_type = 'yeast_anisomycin'), 0) AS BIGINT) AS anisomycin
 FROM identities i CROSS JOIN (SELECT DISTINCT sample FROM mapped) s
 LEFT JOIN a_site_counts a ON a.sample = s.sample AND a.gene = i.gene AND a.codon_idx = i.codon_idx
-GROUP BY ALL""",
+GROUP BY ALL) GROUP BY sample, gene, codon""",
 )
 def _(t):
     sites = counts.codon_counts(position_counts(t), t.genes, counts.offsets_table(t.spark))
-    return counts.codon_table(sites, identities(t), t.samples.select("sample"), "yeast", "yeast_stringent", "yeast_anisomycin")
+    table = counts.codon_table(sites, identities(t), t.samples.select("sample"), "yeast", "yeast_stringent", "yeast_anisomycin")
+    return table.groupBy("sample", "gene", "codon").agg(
+        F.count(F.lit(1)).alias("sites"), *[F.sum(c).alias(c) for c in ("relaxed", "stringent", "anisomycin")],
+        F.sum(F.col("relaxed") * (F.col("codon_idx") + 101)).alias("weighted"),
+    )
 
 
 @query(
@@ -297,9 +308,16 @@ def _(t):
     return counts.all_codon_counts(t.codon_counts).orderBy("sample", "gene", "codon_idx")
 
 
-@query("A8_coverage", "SELECT sample, seqname, qlen, p AS pos, count(*) AS n FROM block_bases GROUP BY ALL")
+@query(
+    "A8_coverage",
+    """
+SELECT sample, seqname, qlen, p // 100 AS stretch, count(*) AS positions, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * p) AS BIGINT) AS weighted
+FROM (SELECT sample, seqname, qlen, p, count(*) AS n FROM block_bases GROUP BY ALL) GROUP BY ALL""",
+)
 def _(t):
-    return counts.coverage(t.mapped)
+    return counts.coverage(t.mapped).groupBy("sample", "seqname", "qlen", F.floor(F.col("pos") / 100).alias("stretch")).agg(
+        F.count(F.lit(1)).alias("positions"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("pos")).alias("weighted")
+    )
 
 
 @query("A8_rrna_coverage", "SELECT sample, seqname, qlen, p AS pos, count(*) AS n FROM rrna_bases GROUP BY ALL")
