@@ -12,14 +12,13 @@ from footprints.queries.registry import VIEWS, query
 
 W = inputs.GENOME_CHUNK
 
-_BASE = "substr('TCAG', CAST(1 + ({idx} + {shift}) % 4 AS BIGINT), 1)"
 VIEWS.update(
     {
         "numbered_reads": "SELECT row_number() OVER () AS rid, * FROM alignments",
         "read_bases": """
 SELECT b.*, COALESCE(g.base, '-') AS g, CASE
     WHEN strand = '+' AND k >= qlen - nongenomic_length % 4 THEN 'A' WHEN strand = '-' AND k < nongenomic_length % 4 THEN 'T'
-    ELSE substr('TCAG', CAST(1 + (((q * 2654435 + b.seqname * 97) % 1009) % 4 + CASE WHEN (pos + 3 * k + barcode) % 7 = 0 THEN 1 ELSE 0 END) % 4 AS BIGINT), 1) END AS r,
+    ELSE substr('TCAG', CAST(1 + (((q * q * 31 + q * 2654435 + b.seqname * 97) % 1009) % 4 + CASE WHEN (pos + 3 * k + barcode) % 7 = 0 THEN 1 ELSE 0 END) % 4 AS BIGINT), 1) END AS r,
     25 + (pos + k) % 15 AS quality
 FROM (SELECT *, pos + k + CASE WHEN split AND k >= 10 THEN 30 ELSE 0 END AS q
       FROM (SELECT *, unnest(range(0, qlen)) AS k FROM numbered_reads)) b
@@ -67,7 +66,7 @@ def genome_lengths(t):
 def aligned_reads(t):
     """Alignments with sequences: the genome's bases with some changed, the 3' end partly A."""
     q = lambda k: F.col("pos") + k + F.when((F.size("cigar") > 1) & (k >= 10), 30).otherwise(0)
-    index = lambda k: ((q(k) * 2654435 + F.col("seqname") * 97) % 1009) % 4
+    index = lambda k: ((q(k) * q(k) * 31 + q(k) * 2654435 + F.col("seqname") * 97) % 1009) % 4
     shift = lambda k: F.when((F.col("pos") + 3 * k + F.col("barcode")) % 7 == 0, 1).otherwise(0)
     plus, tail = F.col("strand") == "+", F.col("nongenomic_length") % 4
 

@@ -165,7 +165,8 @@ class Inputs(Tables):
     def genome(self) -> DataFrame:
         """One chunk of the sequence per part; the base at a position follows from the position."""
         chunk = F.expr("p_partkey div 5")
-        at = lambda i: (chunk * GENOME_CHUNK + i) * 2654435 + (F.col("p_partkey") % SEQUENCES) * 97
+        p = lambda i: chunk * GENOME_CHUNK + i
+        at = lambda i: p(i) * p(i) * 31 + p(i) * 2654435 + (F.col("p_partkey") % SEQUENCES) * 97
         seq = F.array_join(
             F.transform(
                 F.sequence(F.lit(0), F.lit(GENOME_CHUNK - 1)),
@@ -280,7 +281,7 @@ FROM (SELECT p_partkey % 5 AS seqname, {_B} AS b, {_B} + 329 + 3 * p_size AS las
              {_B} + (p_partkey * 97) % 500 AS sh, {_B} + (p_partkey * 97) % 500 + 40 + p_size AS she
       FROM part))""",
         "genome_bases": """
-SELECT seqname, p, substr('TCAG', CAST(1 + ((p * 2654435 + seqname * 97) % 1009) % 4 AS BIGINT), 1) AS base
+SELECT seqname, p, substr('TCAG', CAST(1 + ((p * p * 31 + p * 2654435 + seqname * 97) % 1009) % 4 AS BIGINT), 1) AS base
 FROM (SELECT p_partkey % 5 AS seqname, (p_partkey // 5) * 600 + unnest(range(0, 600)) AS p FROM part)""",
         "numbered_events": """
 SELECT user_id AS gene, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rn,

@@ -24,10 +24,10 @@ SELECT gene, start_codon_t, m.* FROM (SELECT gene, start_codon_t, unnest([
 SELECT p.sample, p.key, p.n, p.pos - m.origin AS rel, m.* FROM position_counts p JOIN marked m ON m.gene = p.gene
 WHERE p.read_end = 'five' AND p.key IN ('all', '28', '30')""",
         "gene_densities": """
-SELECT sample, key, landmark, gene, ulo, uhi, sum(n) / (uhi - ulo) AS density FROM landmark_counts WHERE rel >= ulo AND rel < uhi GROUP BY ALL""",
-        "metagene_table": """
-SELECT sample, key, landmark, rel, CAST(sum(actual) AS BIGINT) AS actual, round(sum(uniform), 6) AS uniform,
-       round(sum(enr), 6) AS sum_of_enrichments, CAST(sum(elig) AS BIGINT) AS num_eligible FROM (
+SELECT sample, key, landmark, gene, ulo, uhi, sum(n) / (uhi - ulo) AS density FROM landmark_counts WHERE rel >= ulo AND rel < uhi GROUP BY sample, key, landmark, gene, ulo, uhi""",
+        "metagene_raw": """
+SELECT sample, key, landmark, rel, CAST(sum(actual) AS BIGINT) AS actual, sum(uniform) AS uniform,
+       sum(enr) AS sum_of_enrichments, CAST(sum(elig) AS BIGINT) AS num_eligible FROM (
   SELECT l.sample, l.key, l.landmark, rel, CASE WHEN rel >= lo AND rel < hi THEN n ELSE 0 END AS actual, 0.0::DOUBLE AS uniform,
          CASE WHEN rel >= l.ulo AND rel < l.uhi THEN n / density ELSE 0 END AS enr, 0 AS elig
   FROM landmark_counts l LEFT JOIN gene_densities d ON d.sample = l.sample AND d.key = l.key AND d.landmark = l.landmark AND d.gene = l.gene
@@ -57,7 +57,7 @@ def metagene(t):
     return M.metagene(five_prime_counts(t), isolated(t))
 
 
-@query("A15_metagene", "SELECT * FROM metagene_table")
+@query("A15_metagene", "SELECT sample, key, landmark, rel, actual, round(uniform, 6) AS uniform, round(sum_of_enrichments, 6) AS sum_of_enrichments, num_eligible FROM metagene_raw")
 def _(t):
     return metagene(t).withColumn("uniform", F.round("uniform", 6)).withColumn("sum_of_enrichments", F.round("sum_of_enrichments", 6))
 
@@ -79,21 +79,21 @@ def _(t):
 
 @query(
     "A63_nucleotide_densities",
-    "SELECT sample, key, landmark, rel, round(sum_of_enrichments / greatest(1, num_eligible), 4) AS density FROM metagene_table",
+    "SELECT sample, key, landmark, rel, round(sum_of_enrichments / greatest(1, num_eligible), 6) AS density FROM metagene_raw",
 )
 def _(t):
-    return M.nucleotide_densities(metagene(t)).withColumn("density", F.round("density", 4))
+    return M.nucleotide_densities(metagene(t)).withColumn("density", F.round("density", 6))
 
 
 VIEWS["density_table"] = """
 WITH g AS (SELECT sample, gene, sum(relaxed) AS total, min(codon_idx) AS lo, max(codon_idx) + 1 AS hi, any_value(num_codons) AS len
            FROM codon_counts GROUP BY ALL HAVING sum(relaxed) >= 1500),
 v AS (SELECT c.sample, codon_idx, len, relaxed / (total / len) AS value FROM codon_counts c JOIN g ON g.sample = c.sample AND g.gene = c.gene)
-SELECT sample, side, rel, round(sum(value) / count(*), 6) AS density FROM (
+SELECT sample, side, rel, sum(value) / count(*) AS density FROM (
   SELECT sample, 'from_start' AS side, codon_idx AS rel, value FROM v UNION ALL SELECT sample, 'from_end', codon_idx - len, value FROM v) GROUP BY ALL"""
 
 
-@query("A16_averaged_codon_densities", "SELECT * FROM density_table")
+@query("A16_averaged_codon_densities", "SELECT sample, side, rel, round(density, 6) AS density FROM density_table")
 def _(t):
     return M.averaged_codon_densities(t.codon_counts, min_counts=1500).withColumn("density", F.round("density", 6))
 
@@ -101,11 +101,11 @@ def _(t):
 @query(
     "A64_asymptotic_scaling",
     """
-SELECT d.sample, d.side, rel, round(density / m, 4) AS density FROM density_table d
+SELECT d.sample, d.side, rel, round(density / m, 6) AS density FROM density_table d
 JOIN (SELECT sample, side, avg(density) AS m FROM density_table WHERE rel >= 30 AND rel < 40 GROUP BY ALL) a ON a.sample = d.sample AND a.side = d.side""",
 )
 def _(t):
-    return M.asymptotic_scaled(M.averaged_codon_densities(t.codon_counts, min_counts=1500), 30, 40).withColumn("density", F.round("density", 4))
+    return M.asymptotic_scaled(M.averaged_codon_densities(t.codon_counts, min_counts=1500), 30, 40).withColumn("density", F.round("density", 6))
 
 
 @query(
@@ -248,10 +248,10 @@ def offsets(t):
 @query(
     "A61_frame_track",
     """
-WITH m AS (SELECT sample, gene, key, pos + 15 + CASE WHEN key IN ('30', '31') THEN 1 ELSE 0 END AS at, n, sz FROM (
+WITH m AS (SELECT sample, gene, key, pos + 15 + CASE WHEN key IN ('30', '31') THEN 1 ELSE 0 END AS place, n, sz FROM (
     SELECT sample, gene, CASE WHEN rn < 20 THEN '28' WHEN rn < 40 THEN '30' ELSE '33' END AS key, rn AS pos, n, n_rows + 5 AS sz
     FROM (SELECT 'x' AS sample, gene, rn, v AS n, n_rows FROM numbered_events)) WHERE key <> '33'),
-c AS (SELECT sample, gene, key, CAST(floor(at / 3) AS BIGINT) AS codon_idx, at % 3 AS frame, n FROM m WHERE at // 3 < sz // 3),
+c AS (SELECT sample, gene, key, place // 3 AS codon_idx, place % 3 AS frame, n FROM m WHERE place // 3 < sz // 3),
 grid AS (SELECT DISTINCT sample, gene, key, codon_idx, f AS frame FROM c, range(0, 3) r(f)),
 d AS (SELECT g.*, CAST(COALESCE(sum(c.n), 0) AS BIGINT) AS n FROM grid g LEFT JOIN c USING (sample, gene, key, codon_idx, frame) GROUP BY ALL),
 e AS (SELECT *, sum(n) OVER (PARTITION BY sample, gene, key, frame ORDER BY codon_idx) AS a,
