@@ -111,7 +111,10 @@ def average_rank(value: str, *keys: str) -> Column:
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    ranked = df.withColumn("_rx", average_rank(x, *keys)).withColumn("_ry", average_rank(y, *keys))
+    """Rank correlation of small label groups. Values are compared to nine digits, so that the order in which a sum was
+    formed cannot break a tie."""
+    exact = df.withColumn("_x", F.round(x, 9)).withColumn("_y", F.round(y, 9))
+    ranked = exact.withColumn("_rx", average_rank("_x", *keys)).withColumn("_ry", average_rank("_y", *keys))
     return ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 

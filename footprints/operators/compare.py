@@ -208,10 +208,11 @@ def pairwise(values: DataFrame, sample: str, key: str, value: str) -> DataFrame:
 
     Average ranks come from distinct values and their cumulative numbers, not from one sorted task per sample.
     """
-    counted = stats.value_counts(values, [sample], value).select(sample, value, (F.col("cum") - (F.col("n") - 1) / 2.0).alias("_rank"))
-    ranked = values.join(counted, [sample, value])
-    a = ranked.select(key, F.col(sample).alias("first"), F.col(value).alias("x"), F.col("_rank").alias("rx"))
-    b = ranked.select(key, F.col(sample).alias("second"), F.col(value).alias("y"), F.col("_rank").alias("ry"))
+    plain = values.select(key, F.col(sample).alias("_s"), F.col(value).alias("_v"))
+    counted = stats.value_counts(plain, ["_s"], "_v").select("_s", "_v", (F.col("cum") - (F.col("n") - 1) / 2.0).alias("_rank"))
+    ranked = plain.join(counted, ["_s", "_v"])
+    a = ranked.select(key, F.col("_s").alias("first"), F.col("_v").alias("x"), F.col("_rank").alias("rx"))
+    b = ranked.select(key, F.col("_s").alias("second"), F.col("_v").alias("y"), F.col("_rank").alias("ry"))
     return a.join(b, key).where("first <= second").groupBy("first", "second").agg(
         F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.count(F.lit(1)).alias("n")
     )

@@ -15,7 +15,7 @@ from footprints.queries.registry import VIEWS, query
 
 def _spearman(source: str, keys: str, x: str, y: str) -> str:
     """Spearman by average ranks."""
-    rank = lambda c: f"rank() OVER (PARTITION BY {keys} ORDER BY {c}) + (count(*) OVER (PARTITION BY {keys}, {c}) - 1) / 2.0"
+    rank = lambda c: f"rank() OVER (PARTITION BY {keys} ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY {keys}, round({c}, 9)) - 1) / 2.0"
     return f"SELECT {keys}, corr(rx, ry) AS rho, count(*) AS n FROM (SELECT {keys}, {rank(x)} AS rx, {rank(y)} AS ry FROM {source}) GROUP BY {keys}"
 
 
@@ -118,22 +118,12 @@ def _(t):
     return rounded(rounded(c, "rho"), "t", digits=5)
 
 
-_BY_OFFSET = _spearman("(SELECT w.*, t.weight FROM wave_smooth w JOIN trna t ON t.codon = w.label)", 'sample, "offset"', "round(smoothed, 9)", "weight")
+_BY_OFFSET = _spearman("(SELECT w.*, t.weight FROM wave_smooth w JOIN trna t ON t.codon = w.label)", 'sample, "offset"', "smoothed", "weight")
 
 
 @query("A39_rank_correlations_by_offset", f'SELECT sample, "offset", round(rho, 6) AS rho, n FROM ({_BY_OFFSET})')
 def _(t):
-    e = enr(t)
-    near = W.smooth(e.where(F.col("offset").between(-15, 15)), ["sample", "label"], "offset", "enrichment", 2)
-    exact = rounded(near, "smoothed", digits=9).join(t.trna.withColumnRenamed("codon", "label"), "label")
-    from footprints.functions import stats
-
-    return rounded(stats.spearman(exact, ["sample", "offset"], "smoothed", "weight"), "rho")
-
-
-@query("A39_rank_correlations_library")
-def _(t):
-    return K.rank_correlations_by_offset(enr(t), t.trna, 2, -15, 15)
+    return rounded(K.rank_correlations_by_offset(enr(t), t.trna, 2, -15, 15), "rho")
 
 
 _CHANGE_R = """
@@ -228,7 +218,7 @@ def _(t):
     return rounded(K.translational_efficiency(g.where("sample = 'S0'"), g.where("sample = 'S1'")), "te")
 
 
-VIEWS["log_te"] = """
+VIEWS["te_values"] = """
 WITH f AS (SELECT sample, gene, greatest(n, 0.1) AS v FROM gene_counts), s AS (SELECT sample, gene, v, log2(v / sum(v) OVER (PARTITION BY sample)) AS l FROM f),
 g AS (SELECT gene FROM s GROUP BY gene HAVING min(v) > 1500)
 SELECT p.name, a.gene, a.l - b.l AS log_te FROM (VALUES ('one', 'S0', 'S1'), ('two', 'S2', 'S1')) p(name, f, m) JOIN s a ON a.sample = p.f JOIN s b ON b.sample = p.m AND b.gene = a.gene
@@ -242,7 +232,7 @@ def log_te(t):
 
 @query(
     "A59_log_te",
-    "SELECT name, gene, round(log_te, 6) AS log_te, round(log_te - avg(log_te) OVER (PARTITION BY name), 6) AS centred FROM log_te",
+    "SELECT name, gene, round(log_te, 6) AS log_te, round(log_te - avg(log_te) OVER (PARTITION BY name), 6) AS centred FROM te_values",
 )
 def _(t):
     te = log_te(t)
@@ -253,7 +243,7 @@ def _(t):
 @query(
     "A59_te_histogram",
     """
-SELECT name, CAST(least(99, floor((c + 0.5) * 100)) AS INTEGER) AS bin, count(*) AS n FROM (SELECT name, round(log_te - avg(log_te) OVER (PARTITION BY name), 6) AS c FROM log_te)
+SELECT name, CAST(least(99, floor((c + 0.5) * 100)) AS INTEGER) AS bin, count(*) AS n FROM (SELECT name, round(log_te - avg(log_te) OVER (PARTITION BY name), 6) AS c FROM te_values)
 WHERE c BETWEEN -0.5 AND 0.5 GROUP BY ALL""",
 )
 def _(t):
@@ -263,7 +253,7 @@ def _(t):
 @query(
     "A59_te_against_length",
     """
-SELECT name, round(corr(log_te, log10(cds_length)), 5) AS r, count(*) AS n FROM log_te JOIN (SELECT DISTINCT gene, cds_length FROM gene_counts) USING (gene) GROUP BY name""",
+SELECT name, round(corr(log_te, log10(cds_length)), 5) AS r, count(*) AS n FROM te_values JOIN (SELECT DISTINCT gene, cds_length FROM gene_counts) USING (gene) GROUP BY name""",
 )
 def _(t):
     lengths = gene_counts(t).select("gene", "cds_length").distinct()

@@ -28,10 +28,10 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def _needed(sql: str, seen: list[str]) -> list[str]:
+def _needed(sql: str, seen: list[str], inside: tuple[str, ...] = ()) -> list[str]:
     for name in VIEWS:
-        if name not in seen and re.search(rf"\b{name}\b", sql):
-            _needed(VIEWS[name], seen)
+        if name not in seen and name not in inside and re.search(rf"\b{name}\b", sql):
+            _needed(VIEWS[name], seen, (*inside, name))
             if name not in seen:
                 seen.append(name)
     return seen
