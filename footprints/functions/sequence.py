@@ -27,12 +27,21 @@ def rna_to_dna(seq: Column) -> Column:
 
 def poly_a_start(seq: Column) -> Column:
     """Index of the first base of the closing run of A or N; the length where there is none."""
-    return F.length(F.regexp_replace(seq, "[AN]+$", ""))
+    return F.length(F.rtrim(seq, F.lit("AN")))
 
 
 def poly_t_end(seq: Column) -> Column:
     """Index of the last base of the opening run of T or N; -1 where there is none."""
-    return F.length(F.regexp_extract(seq, "^[TN]*", 0)) - 1
+    return F.length(seq) - F.length(F.ltrim(seq, F.lit("TN"))) - 1
+
+
+def opening_run(seq: Column, base: str) -> Column:
+    """Length of the run of a base at the start."""
+    return F.length(seq) - F.length(F.ltrim(seq, F.lit(base)))
+
+
+def closing_run(seq: Column, base: str) -> Column:
+    return F.length(seq) - F.length(F.rtrim(seq, F.lit(base)))
 
 
 def anchor_start(seq: Column) -> Column:
@@ -65,10 +74,16 @@ def predominantly_a(seq: Column) -> Column:
 
 
 def adapter_pattern(adapter: str) -> str:
-    """Regular expression for the adapter with at most one mismatch, or a whole prefix of it at the read's end."""
-    one_off = [adapter[:i] + "." + adapter[i + 1 :] for i in range(len(adapter))]
-    at_end = [adapter[:k] + "$" for k in range(len(adapter) - 1, 0, -1)]
-    return "|".join(one_off + at_end)
+    """Regular expression for the adapter with at most one mismatch, or a whole prefix of it at the read's end.
+
+    Nested so that a place is given up at its second mismatch: ``aE`` goes on without one, ``[^a]rest`` has used it up.
+    """
+    nested = ""
+    for i in range(len(adapter) - 1, -1, -1):
+        base, rest = adapter[i], adapter[i + 1 :]
+        at_end = r"\z|" if i > 0 else ""
+        nested = f"(?:{at_end}{base}{nested}|[^{base}]{rest})"
+    return nested
 
 
 def find_adapter(seq: Column, adapter: str, prefix_length: int = C.ADAPTER_PREFIX_LENGTH) -> Column:
@@ -119,10 +134,14 @@ def find_adapter_within(seq: Column, adapter: str, max_distance: int) -> Column:
 
 
 def codons_of(seq: Column) -> Column:
-    """The sequence cut into codons; a last incomplete one is kept."""
-    n = F.length(seq)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 3).cast("int")), lambda i: F.substr(seq, i * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    """The sequence cut into codons in one pass; a last incomplete one is kept."""
+    return F.regexp_extract_all(seq, F.lit("(.{1,3})"), F.lit(1))
+
+
+def windows_of(seq: Column, size: int) -> Column:
+    """All substrings of a size, by start, in one pass."""
+    return F.regexp_extract_all(seq, F.lit("(?=(.{%d}))" % size), F.lit(1))
 
 
 def bases_of(seq: Column) -> Column:
-    return F.split(seq, "(?!$)")
+    return F.split(seq, "")

@@ -283,10 +283,10 @@ def clip_nongenomic_tail(referenced: DataFrame) -> DataFrame:
     plus = F.col("strand") == "+"
     n = F.length("seq")
     tail_start = S.poly_a_start(F.col("seq"))
-    matching = F.length(F.regexp_extract(F.substr(F.col("ref"), tail_start + 1, n), "^A*", 0))
+    matching = S.opening_run(F.substr(F.col("ref"), tail_start + 1, n), "A")
     from_end = n - tail_start - matching
     head = F.substr(F.col("ref"), F.lit(1), S.poly_t_end(F.col("seq")) + 1)
-    from_start = F.length(F.regexp_replace(head, "T+$", ""))
+    from_start = F.length(F.rtrim(head, F.lit("T")))
     skip = has_indel(F.col("cigar")) | F.col("is_unmapped")
     cut = referenced.withColumn("clipped", F.when(skip, 0).when(plus, from_end).otherwise(from_start).cast("int"))
     k = F.col("clipped")
@@ -316,7 +316,7 @@ def extend_tails(alignments: DataFrame, genome: DataFrame, chunk_width: int) ->
     joined = spans.join(texts.withColumnRenamed("seq", "_after"), ["seqname", "a", "b"], "left")
     # Off the sequence there are no bases to match.
     after = F.when(plus, F.col("_after")).otherwise(S.reverse_complement(F.col("_after")))
-    extra = F.coalesce(F.length(F.regexp_extract(after, "^A*", 0)), F.lit(0))
+    extra = F.coalesce(S.opening_run(after, "A"), F.lit(0))
     e = joined.withColumn("extended", extra.cast("int"))
     k, rest, mapped = F.col("extended"), (size - F.col("extended")).cast("int"), ~F.col("is_unmapped")
     clip = F.array(F.struct(F.lit(G.SOFT_CLIP).alias("op"), rest.alias("len")))
@@ -356,10 +356,9 @@ def unambiguous_ends(alignments: DataFrame, genome: DataFrame, lengths: DataFram
 
 def position_ambiguity(sequences: DataFrame, lengths: list[int]) -> DataFrame:
     """(gene, length, start, code) for fragments on a gene's buffered sequence: 0 ends in A, 1 is followed by A, 2 neither."""
-    rows = sequences.select("gene", F.upper("sequence").alias("s"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("length"))
-    starts = rows.where(F.length("s") > F.col("length")).select(
-        "gene", "length", "s", F.explode(F.sequence(F.lit(0), F.length("s") - F.col("length") - 1)).alias("start")
-    )
-    base = lambda at: F.substr(F.col("s"), at + 1, F.lit(1))
-    end = F.col("start") + F.col("length")
-    return starts.select("gene", "length", "start", F.when(base(end - 1) == "A", 0).when(base(end) == "A", 1).otherwise(2).alias("code"))
+    longest = F.length("sequence")
+    pairs = sequences.select("gene", longest.alias("size"), F.posexplode(S.windows_of(F.upper("sequence"), 2)).alias("last", "two"))
+    code = F.when(F.col("two").startswith("A"), 0).when(F.col("two").endswith("A"), 1).otherwise(2)
+    rows = pairs.select("gene", "size", "last", code.alias("code"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("length"))
+    start = F.col("last") - F.col("length") + 1
+    return rows.select("gene", "length", start.alias("start"), "code").where("start >= 0")

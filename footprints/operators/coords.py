@@ -94,8 +94,8 @@ def _segments(models: DataFrame, left: int, right: int) -> DataFrame:
     ).where("b >= a")
 
 
-def fetch_regions(regions: DataFrame, genome: DataFrame, chunk_width: int) -> DataFrame:
-    """Bases ``a..b`` of every region (all columns kept) as ``seq``; bases off the sequence become ``-``."""
+def _chunk_pieces(regions: DataFrame, genome: DataFrame, chunk_width: int) -> DataFrame:
+    """Regions (a, b inclusive) by genome chunk: all columns, ``lo`` and the bases of the chunk; ``-`` off the sequence."""
     pieces = regions.withColumn(
         "chunk", F.explode(F.sequence(F.floor(F.col("a") / chunk_width), F.floor(F.col("b") / chunk_width)))
     )
@@ -104,26 +104,26 @@ def fetch_regions(regions: DataFrame, genome: DataFrame, chunk_width: int) -> Da
     size = (hi - lo + 1).cast("int")
     joined = pieces.join(genome.withColumnRenamed("seq", "_text"), ["seqname", "chunk"], "left")
     found = F.substr(F.coalesce(F.col("_text"), F.lit("")), (lo - F.col("chunk") * chunk_width + 1).cast("int"), size)
-    got = joined.select(*regions.columns, "chunk", F.rpad(found, size, F.lit("-")).alias("piece"))
-    parts = got.groupBy(*regions.columns).agg(F.array_sort(F.collect_list(F.struct("chunk", "piece"))).alias("p"))
-    return parts.select(*regions.columns, F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("seq"))
+    return joined.select(*regions.columns, lo.alias("lo"), F.rpad(found, size, F.lit("-")).alias("piece"))
+
+
+def _joined_text(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    parts = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lo", "piece"))).alias("p"))
+    return parts.select(*keys, F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("seq"))
+
+
+def fetch_regions(regions: DataFrame, genome: DataFrame, chunk_width: int) -> DataFrame:
+    """Bases ``a..b`` of every distinct region (all columns kept) as ``seq``; bases off the sequence become ``-``."""
+    return _joined_text(_chunk_pieces(regions, genome, chunk_width), regions.columns)
 
 
 def transcript_sequences(
     models: DataFrame, genome: DataFrame, chunk_width: int, left: int = 0, right: int = 0
 ) -> DataFrame:
     """(gene, sequence) in reading direction from ``-left`` to ``transcript_length + right``."""
-    pieces = _segments(models, left, right).withColumn(
-        "chunk", F.explode(F.sequence(F.floor(F.col("a") / chunk_width), F.floor(F.col("b") / chunk_width)))
-    )
-    lo = F.greatest(F.col("a"), F.col("chunk") * chunk_width)
-    hi = F.least(F.col("b"), (F.col("chunk") + 1) * chunk_width - 1)
-    size = (hi - lo + 1).cast("int")
-    joined = pieces.join(genome.withColumnRenamed("seq", "_text"), ["seqname", "chunk"], "left")
-    found = F.substr(F.coalesce(F.col("_text"), F.lit("")), (lo - F.col("chunk") * chunk_width + 1).cast("int"), size)
-    got = joined.select("gene", "strand", lo.alias("at"), F.rpad(found, size, F.lit("-")).alias("piece"))
-    parts = got.groupBy("gene", "strand").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
-    text = F.upper(F.array_join(F.transform("p", lambda x: x["piece"]), ""))
+    pieces = _chunk_pieces(_segments(models, left, right), genome, chunk_width)
+    parts = _joined_text(pieces.select("gene", "strand", "lo", "piece"), ["gene", "strand"])
+    text = F.upper("seq")
     return parts.select(
         "gene", F.when(F.col("strand") == "-", S.reverse_complement(text)).otherwise(text).alias("sequence")
     )
@@ -149,9 +149,7 @@ def coding_sequences(models: DataFrame, sequences: DataFrame, left: int = 0) ->
 def codon_identities(models: DataFrame, sequences: DataFrame, left: int, codon_buffer: int = C.CODON_BUFFER) -> DataFrame:
     """(gene, num_codons, codon_idx, codon) from ``-codon_buffer`` to ``num_codons + codon_buffer``."""
     n = ((F.col("stop_codon_t") - F.col("start_codon_t")) / 3).cast("int")
-    rows = models.join(sequences, "gene").select(
-        "gene", "sequence", "start_codon_t", n.alias("num_codons"),
-        F.explode(F.sequence(F.lit(-codon_buffer), n + codon_buffer - 1)).alias("codon_idx"),
-    )
-    at = F.col("start_codon_t") + 3 * F.col("codon_idx") + left + 1
-    return rows.select("gene", "num_codons", "codon_idx", F.substr(F.col("sequence"), at.cast("int"), F.lit(3)).alias("codon"))
+    first = F.col("start_codon_t") - 3 * codon_buffer + left + 1
+    text = F.substr(F.col("sequence"), first.cast("int"), (3 * (n + 2 * codon_buffer)).cast("int"))
+    rows = models.join(sequences, "gene").select("gene", n.alias("num_codons"), F.posexplode(S.codons_of(text)).alias("k", "codon"))
+    return rows.select("gene", "num_codons", (F.col("k") - codon_buffer).alias("codon_idx"), "codon")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from footprints import constants as C
+from footprints.functions import sequence as S
 from footprints.operators import coords, intervals
 
 
@@ -13,11 +14,10 @@ def tile_fragments(models: DataFrame, sequences: DataFrame, left: int, fragment:
     stop codon, and the read it would give. Sequences start ``left`` bases before the transcript; fragments running off the
     reference are left out."""
     cds = F.col("stop_codon_t") - F.col("start_codon_t")
-    rows = models.join(sequences, "gene").select(
-        "gene", "sequence", "start_codon_t", F.explode(F.sequence(F.lit(-buffer).cast("bigint"), (cds + buffer - 1).cast("bigint"))).alias("pos")
-    )
-    at = F.substr(F.col("sequence"), (F.col("pos") + F.col("start_codon_t") + left + 1).cast("int"), F.lit(fragment))
-    tiles = rows.select("gene", "pos", at.alias("fragment")).where(~F.col("fragment").contains("-"))
+    first = F.col("start_codon_t") - buffer + left + 1
+    text = F.substr(F.col("sequence"), first.cast("int"), (cds + 2 * buffer + fragment - 1).cast("int"))
+    rows = models.join(sequences, "gene").select("gene", F.posexplode(S.windows_of(text, fragment)).alias("k", "fragment"))
+    tiles = rows.where(~F.col("fragment").contains("-")).select("gene", (F.col("k") - buffer).cast("bigint").alias("pos"), "fragment")
     return tiles.withColumn("seq", F.substring(F.concat("fragment", F.lit(adapter)), 1, read_length))
 
 

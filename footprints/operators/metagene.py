@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footprints import constants as C
-from footprints.functions import stats
+from footprints.functions import sequence as S, stats
 from footprints.operators import coords, intervals
 
 
@@ -75,15 +75,13 @@ def metagene_by_base(counts: DataFrame, genes: DataFrame, sequences: DataFrame,
     """
     placed = _placed(counts, genes, left, right)
     keys = ["sample", "key", "landmark"]
-    base_at = lambda rel: F.substr(
-        F.col("sequence"), (rel + F.col("origin") + F.col("start_codon_t") + left + 1).cast("int"), F.lit(1)
-    )
-    texts = sequences.join(genes.select("gene", "start_codon_t"), "gene").select("gene", "sequence", "start_codon_t")
+    base_at = lambda rel: F.get(F.col("bases"), (rel + F.col("origin") + F.col("start_codon_t") + left).cast("int"))
+    texts = sequences.join(genes.select("gene", "start_codon_t"), "gene").select("gene", S.bases_of(F.col("sequence")).alias("bases"), "start_codon_t")
     inside = (F.col("rel") >= F.col("lo")) & (F.col("rel") < F.col("hi"))
     actual = placed.where(inside).join(texts, "gene").groupBy(*keys, base_at(F.col("rel")).alias("base"), "rel").agg(F.sum("n").alias("actual"))
     origin = genes.select("gene", F.explode(_landmarks(left, right)).alias("m")).select("gene", "m.landmark", "m.origin")
     dense = _gene_densities(placed).join(origin, ["gene", "landmark"]).join(texts, "gene").select(
-        *keys, "density", "sequence", "origin", "start_codon_t", F.explode(F.sequence(F.col("ulo"), F.col("uhi") - 1)).alias("rel")
+        *keys, "density", "bases", "origin", "start_codon_t", F.explode(F.sequence(F.col("ulo"), F.col("uhi") - 1)).alias("rel")
     )
     uniform = dense.groupBy(*keys, base_at(F.col("rel")).alias("base"), "rel").agg(F.sum("density").alias("uniform"))
     both = actual.join(uniform, [*keys, "base", "rel"], "full_outer").where(F.col("base").isin(list(C.BASES)))
@@ -274,9 +272,8 @@ def frame_track(counts: DataFrame, extents: DataFrame, offsets: DataFrame, codon
 
 def frame_codons(sequences: DataFrame, wanted: list[str]) -> DataFrame:
     """(gene, frame, codon_idx, codon): where the wanted codons (start, stop) stand in each frame of an extent."""
-    at = sequences.select("gene", "sequence", F.explode(F.sequence(F.lit(0), F.length("sequence") - 3)).alias("i"))
-    codon = F.substr(F.col("sequence"), F.col("i") + 1, F.lit(3))
-    return at.where(codon.isin(wanted)).select("gene", (F.col("i") % 3).alias("frame"), F.floor(F.col("i") / 3).alias("codon_idx"), codon.alias("codon"))
+    at = sequences.select("gene", F.posexplode(S.windows_of(F.col("sequence"), 3)).alias("i", "codon"))
+    return at.where(F.col("codon").isin(wanted)).select("gene", (F.col("i") % 3).alias("frame"), F.floor(F.col("i") / 3).alias("codon_idx"), "codon")
 
 
 def shift_to_three_prime(counts: DataFrame, length: Column, hi: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from footprints.functions import sequence as S
 from footprints.operators import coords, windows
 
 
@@ -83,10 +84,14 @@ def around_landmark(counts: DataFrame, models: DataFrame, landmark: Column, reac
 def a_rich_windows(models: DataFrame, sequences: DataFrame, sizes: list[int], left: int, right: int) -> DataFrame:
     """(gene, window, pos, n): A's in the bases from each transcript position on. Sequences start ``left`` before it."""
     cds = F.col("stop_codon_t") - F.col("start_codon_t")
-    rows = models.join(sequences, "gene").select("gene", "sequence", cds.alias("_cds"), F.explode(F.array(*[F.lit(s) for s in sizes])).alias("window"))
-    at = rows.select("gene", "window", "sequence", F.explode(F.sequence(F.lit(-left).cast("bigint"), F.col("_cds") + right - F.col("window") - 1)).alias("pos"))
-    piece = F.substr(F.col("sequence"), (F.col("pos") + left + 1).cast("int"), F.col("window"))
-    return at.select("gene", "window", "pos", (F.length(piece) - F.length(F.replace(piece, F.lit("A"), F.lit("")))).alias("n"))
+    joined = models.join(sequences, "gene").select("gene", "sequence", cds.alias("_cds"))
+    out = None
+    for size in sizes:
+        at = joined.select("gene", "_cds", F.posexplode(S.windows_of(F.col("sequence"), size)).alias("k", "piece")).where(F.col("k") < F.col("_cds") + left + right - size)
+        n = F.lit(size) - F.length(F.replace("piece", F.lit("A"), F.lit("")))
+        part = at.select("gene", F.lit(size).alias("window"), (F.col("k") - left).cast("bigint").alias("pos"), n.alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def a_rich_profile(a_windows: DataFrame, models: DataFrame, counts: DataFrame, size: int = 10, more_than: int = 9, behind: int = 200) -> DataFrame:

@@ -241,13 +241,13 @@ def _(t):
 @query(
     "J4_extent_sequences",
     """
+WITH e AS MATERIALIZED (SELECT gene, strand, seqname, unnest(range(least(first, stop + 1), greatest(first, stop - 1) + 1)) AS p
+  FROM (SELECT g.gene, g.seqname, g.strand, a.p AS first, b.p AS stop FROM genes g
+        JOIN coordinate_map a ON a.gene = g.gene AND a.t = g.start_codon_t
+        JOIN coordinate_map b ON b.gene = g.gene AND b.t = g.stop_codon_t))
 SELECT gene, string_agg(CASE WHEN strand = '-' THEN translate(base, 'ACGT', 'TGCA') ELSE base END, ''
-                        ORDER BY CASE WHEN strand = '+' THEN b.p ELSE -b.p END) AS sequence
-FROM (SELECT g.gene, g.seqname, g.strand, a.p AS first, b.p AS stop FROM genes g
-      JOIN coordinate_map a ON a.gene = g.gene AND a.t = g.start_codon_t
-      JOIN coordinate_map b ON b.gene = g.gene AND b.t = g.stop_codon_t) e
-JOIN genome_bases b ON b.seqname = e.seqname AND b.p BETWEEN least(first, stop + 1) AND greatest(first, stop - 1)
-GROUP BY gene""",
+                        ORDER BY CASE WHEN strand = '+' THEN e.p ELSE -e.p END) AS sequence
+FROM e JOIN genome_bases b ON b.seqname = e.seqname AND b.p = e.p GROUP BY gene""",
 )
 def _(t):
     extents = coords.extent_models(t.genes, t.exons)

@@ -14,6 +14,8 @@ from footprints.queries.registry import VIEWS, Tables
 
 GENOME_CHUNK = 600
 SEQUENCES = 5
+# Tables from whose rows much is derived.
+SPREAD = ("documents", "lineitem")
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _AS_BASES = "TCAGTCAGTCAGTCAGTCAGTCAGTC"
 NON_STOP_TEXT = "".join(C.NON_STOP_CODONS)
@@ -21,6 +23,14 @@ ALL_CODONS_TEXT = "".join(C.ALL_CODONS)
 
 
 class Inputs(Tables):
+    def table(self, name: str) -> DataFrame:
+        """A given table; one that comes as fewer files than there are cores is dealt out to all of them."""
+        df = super().table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in SPREAD and len(df.inputFiles()) < cores:
+            return df.repartition(cores)
+        return df
+
     # ---- reads: every document's letters as bases, cut into consecutive fragments -------------
     @cached_property
     def fragments(self) -> DataFrame:
