@@ -151,7 +151,8 @@ def contaminant_hits(alignments: DataFrame, transcripts: DataFrame) -> DataFrame
     reads = alignments.withColumn("_last", F.col("aend") - 1)
     pairs = intervals.overlap_join(reads, spans, ["seqname"], ("pos", "_last"), ("t_start", "t_end"))
     blocks = G.aligned_blocks(F.col("pos"), F.col("cigar"))
-    touches = F.exists(blocks, lambda b: F.exists(F.col("exons"), lambda e: (b["start"] <= e["end"]) & (e["start"] < b["end"])))
+    # The spans overlap; one base decides for mappings without a gap and transcripts of one exon.
+    touches = ((F.size("cigar") == 1) & (F.size("exons") == 1)) | F.exists(blocks, lambda b: F.exists(F.col("exons"), lambda e: (b["start"] <= e["end"]) & (e["start"] < b["end"])))
     hits = pairs.where(touches).drop("_last", "exons", "is_secondary")
     order = [F.col(c) for c in ("class_rank", "seqname", "t_start", "t_end", "gene", "pos", "aend", "strand", "mapq", "barcode")]
     return stats.first_of_group(hits, ["sample", "qname"], order, "is_primary")

@@ -35,16 +35,13 @@ def to_transcript(p: Column, left: int = 0, right: int = 0, model: str = "") ->
     m = lambda c: F.col(f"{model}{c}")
     plus = m("strand") == "+"
     hit = F.filter(m("exons"), lambda e: (e["start"] <= p) & (p <= e["end"]))
-    exon = F.get(hit, F.lit(0))
-    inside = exon["t0"] + F.when(plus, p - exon["start"]).otherwise(exon["end"] - p)
+    # One pass over the exons: the expression is not repeated for the parts of the exon found.
+    inside = F.get(F.transform(hit, lambda e: e["t0"] + F.when(plus, p - e["start"]).otherwise(e["end"] - p)), F.lit(0))
     ahead = F.when(plus, p - m("start")).otherwise(m("end") - p)
     behind = F.when(plus, p - m("end") - 1).otherwise(m("start") - 1 - p)
-    return (
-        F.when(F.size(hit) > 0, inside)
-        .when((ahead < 0) & (ahead >= -left), ahead)
-        .when((behind >= 0) & (behind < right), m("transcript_length") + behind)
-        .cast("bigint")
-    )
+    in_buffers = F.when((ahead < 0) & (ahead >= -left), ahead).when((behind >= 0) & (behind < right), m("transcript_length") + behind)
+    within = (p >= m("start")) & (p <= m("end"))
+    return F.when(within, inside).otherwise(in_buffers).cast("bigint")
 
 
 def to_genomic(t: Column, model: str = "") -> Column:
@@ -52,8 +49,8 @@ def to_genomic(t: Column, model: str = "") -> Column:
     m = lambda c: F.col(f"{model}{c}")
     plus = m("strand") == "+"
     hit = F.filter(m("exons"), lambda e: (e["t0"] <= t) & (t <= e["t0"] + e["end"] - e["start"]))
-    exon = F.get(hit, F.lit(0))
-    inside = F.when(plus, exon["start"] + t - exon["t0"]).otherwise(exon["end"] - (t - exon["t0"]))
+    place = lambda e: F.when(plus, e["start"] + t - e["t0"]).otherwise(e["end"] - (t - e["t0"]))
+    inside = F.get(F.transform(hit, place), F.lit(0))
     over = t - m("transcript_length")
     return (
         F.when(t < 0, F.when(plus, m("start") + t).otherwise(m("end") - t))

@@ -59,17 +59,19 @@ def transcript_hits(
     """
     shapes = collapse_alignments(alignments).select(
         "sample", "seqname", F.col("strand").alias("read_strand"), "pos", F.col("aend"),
-        (F.col("aend") - 1).alias("last"), "cigar", "qlen", "nongenomic_length", "is_secondary", "unique", "n",
+        (F.col("aend") - 1).alias("last"), G.aligned_blocks(F.col("pos"), F.col("cigar")).alias("blocks"), "qlen", "nongenomic_length", "is_secondary", "unique", "n",
     )
     genes = models.withColumn("_lo", F.greatest(F.lit(0), F.col("start") - left)).withColumn("_hi", F.col("end") + right - 1)
     pairs = intervals.overlap_join(shapes, genes, ["seqname"], ("pos", "last"), ("_lo", "_hi"))
-    blocks = G.aligned_blocks(F.col("pos"), F.col("cigar"))
+    # Most candidates lie in a buffer or in one exon; only the others need their blocks compared with the exons.
+    reaches_in = (F.col("last") > F.col("start")) & (F.col("pos") < F.col("end"))
+    dropped = F.when(reaches_in, spliced_out(F.col("blocks"), F.col("start"), F.col("end"), F.col("exons"))).otherwise(F.lit(False))
     five = five_prime(F.col("read_strand"), F.col("pos"), F.col("aend"))
     three = three_prime(F.col("read_strand"), F.col("pos"), F.col("aend"))
     return pairs.select(
         "sample", "gene", (F.col("read_strand") == F.col("strand")).alias("same_strand"), "unique", "is_secondary",
         "qlen", "nongenomic_length", "n", "start_codon_t", "stop_codon_t",
-        spliced_out(blocks, F.col("start"), F.col("end"), F.col("exons")).alias("spliced_out"),
+        dropped.alias("spliced_out"),
         coords.to_transcript(five, left, right).alias("five_t"),
         coords.to_transcript(three, left, right).alias("three_t"),
     )

@@ -24,11 +24,18 @@ def descendants(features: DataFrame, max_depth: int = 4) -> DataFrame:
     return closure.groupBy("top_id", "id").agg(F.min("depth").alias("depth"))
 
 
+def with_root(features: DataFrame, max_depth: int = 4) -> DataFrame:
+    """Adds ``root_id``, the top-level feature above each feature; a top-level one is its own."""
+    parents = features.where("parent_id is not null").groupBy(F.col("id").alias("_id")).agg(F.first("parent_id").alias("_up"))
+    climbed = features.withColumn("root_id", F.coalesce("parent_id", "id"))
+    for _ in range(max_depth - 2):
+        climbed = climbed.join(parents, F.col("root_id") == F.col("_id"), "left").withColumn("root_id", F.coalesce("_up", "root_id")).drop("_id", "_up")
+    return climbed
+
+
 def roots(features: DataFrame, max_depth: int = 4) -> DataFrame:
-    """(id, root_id) of every feature with an id; top-level features are their own root."""
-    tops = features.where("parent_id is null").select("id")
-    below = descendants(features, max_depth).join(tops.withColumnRenamed("id", "top_id"), "top_id").select("id", F.col("top_id").alias("root_id"))
-    return below.unionByName(tops.select("id", F.col("id").alias("root_id"))).distinct()
+    """(id, root_id) of every feature with an id."""
+    return with_root(features, max_depth).select("id", "root_id").distinct()
 
 
 def unknown_parents(features: DataFrame) -> DataFrame:
@@ -46,21 +53,19 @@ def nontrivial(features: DataFrame) -> DataFrame:
     return features.where(~F.col("feature").isin(C.TRIVIAL_FEATURES) & ~dubious)
 
 
-def with_descendant(tops: DataFrame, features: DataFrame, closure: DataFrame, condition: Column) -> DataFrame:
-    """Rows of ``tops`` that have a descendant for which the condition on ``feature`` holds."""
-    wanted = features.where(condition).select("id").join(closure, "id").select(F.col("top_id").alias("id")).distinct()
-    return tops.join(wanted, "id", "left_semi")
-
-
 def gene_features(features: DataFrame) -> DataFrame:
-    """Top-level features with an exon below them that are not dubious."""
+    """Top-level features with an exon below them that are not dubious, with ``has_cds``."""
+    families = with_root(features).groupBy("root_id").agg(
+        F.bool_or(F.col("feature").contains("exon") & F.col("parent_id").isNotNull()).alias("_exon"),
+        F.bool_or((F.col("feature") == "CDS") & F.col("parent_id").isNotNull()).alias("has_cds"),
+    ).where("_exon").select(F.col("root_id").alias("id"), "has_cds")
     dubious = F.coalesce(F.col("orf_classification") == "Dubious", F.lit(False))
-    return with_descendant(top_level(features).where(~dubious), features, descendants(features), F.col("feature").contains("exon"))
+    return top_level(features).where(~dubious).join(families, "id")
 
 
 def translated(features: DataFrame) -> DataFrame:
     """Gene features with a CDS."""
-    return with_descendant(gene_features(features), features, descendants(features), F.col("feature") == "CDS")
+    return gene_features(features).where("has_cds")
 
 
 def _noncoding(kind: Column) -> tuple[Column, Column]:
@@ -88,8 +93,7 @@ def noncoding_by_source(exons: DataFrame) -> DataFrame:
 def transcripts_of(genes: DataFrame, features: DataFrame) -> DataFrame:
     """One row per gene feature: coordinates of first start and stop codon base (null without CDS), exons with ``t0``,
     transcript_length, start_codon_t, stop_codon_t. Raises where a gene mixes strands or sequences."""
-    below = descendants(features).withColumnRenamed("top_id", "gene")
-    members = below.join(features.drop("parent_id"), "id").join(genes.select(F.col("id").alias("gene")), "gene", "left_semi")
+    members = with_root(features).where("parent_id is not null").withColumnRenamed("root_id", "gene")
     exon, cds = F.col("feature").contains("exon"), F.col("feature") == "CDS"
     parts = members.groupBy("gene").agg(
         F.count_distinct("strand").alias("strands"),
@@ -99,6 +103,7 @@ def transcripts_of(genes: DataFrame, features: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(exon, F.struct("start", "end")))).alias("blocks"),
     )
     single = (F.col("strands") == 1) & (F.col("seqnames") == 1)
+    parts = parts.join(genes.select(F.col("id").alias("gene")), "gene", "left_semi")
     checked = parts.withColumn("_ok", F.assert_true(single, F.concat(F.lit("mixed strand or sequence in "), F.col("gene"))).isNull())
     g = genes.select(F.col("id").alias("gene"), "seqname", "strand", "start", "end").join(checked.where("_ok"), "gene")
     plus = F.col("strand") == "+"
@@ -126,9 +131,9 @@ def transcripts_of(genes: DataFrame, features: DataFrame) -> DataFrame:
 
 def cds_outside_exons(features: DataFrame) -> DataFrame:
     """CDS features that lie in no exon of their gene; assembling such a gene is an error."""
-    root = roots(features)
-    cds = features.where("feature = 'CDS'").join(root, "id").select("id", "root_id", "seqname", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
-    exon = features.where(F.col("feature").contains("exon")).join(root, "id").select("root_id", "seqname", F.col("start").alias("e_start"), F.col("end").alias("e_end"))
+    rooted = with_root(features)
+    cds = rooted.where("feature = 'CDS'").select("id", "root_id", "seqname", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
+    exon = rooted.where(F.col("feature").contains("exon")).select("root_id", "seqname", F.col("start").alias("e_start"), F.col("end").alias("e_end"))
     inside = (F.col("c.seqname") == F.col("e.seqname")) & (F.col("c_start") >= F.col("e_start")) & (F.col("c_end") <= F.col("e_end"))
     return cds.alias("c").join(exon.alias("e"), (F.col("c.root_id") == F.col("e.root_id")) & inside, "left_anti")
 
@@ -158,13 +163,13 @@ def add_exons(features: DataFrame) -> DataFrame:
     order, those upstream of introns last.
     """
     order = [F.col(c) for c in ("seqname", "start", "end", "feature", "strand", "id")]
-    root = roots(features).withColumnRenamed("root_id", "gene_id")
-    cds = features.where("feature = 'CDS'").join(root, "id")
+    rooted = with_root(features).withColumnRenamed("root_id", "gene_id")
+    cds = rooted.where("feature = 'CDS'")
     numbered = cds.withColumn("k", F.row_number().over(Window.partitionBy("gene_id").orderBy(*order)))
     exon_id = F.concat("gene_id", F.lit("_exon_"), F.col("k"))
     exons = numbered.select("seqname", F.lit("exon").alias("feature"), exon_id.alias("id"), "parent_id", "start", "end", "strand", "gene_id")
     wrapped = numbered.select("seqname", "feature", "id", exon_id.alias("parent_id"), "start", "end", "strand", "gene_id")
-    introns = features.where("feature = 'five_prime_UTR_intron'").join(root, "id")
+    introns = rooted.where("feature = 'five_prime_UTR_intron'")
     n_exons = numbered.groupBy("gene_id").agg(F.max("k").alias("n"))
     j = introns.join(n_exons, "gene_id", "left").withColumn(
         "k", F.coalesce("n", F.lit(0)) + F.row_number().over(Window.partitionBy("gene_id").orderBy(*order))
@@ -190,8 +195,7 @@ def add_exons(features: DataFrame) -> DataFrame:
     bounds = last.select(F.col("parent_id").alias("id"), "u").unionByName(
         last.groupBy("gene_id").agg(F.max("u").alias("u")).select(F.col("gene_id").alias("id"), "u")
     )
-    rest = features.where("feature <> 'CDS'").join(root.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").drop("_i")
-    moved = rest.join(bounds, "id", "left").select(
+    moved = rooted.where("feature <> 'CDS'").join(bounds, "id", "left").select(
         "seqname", F.when(F.col("feature") == "five_prime_UTR_intron", "intron").otherwise(F.col("feature")).alias("feature"), "id", "parent_id",
         F.when(plus & F.col("u").isNotNull(), F.col("u.s")).otherwise(F.col("start")).alias("start"),
         F.when(~plus & F.col("u").isNotNull(), F.col("u.e")).otherwise(F.col("end")).alias("end"),
@@ -205,8 +209,7 @@ def extend_utrs(features: DataFrame, boundaries: DataFrame) -> DataFrame:
 
     ``boundaries``: gene, five_pos, three_pos. A gene with other than one mRNA is an error.
     """
-    root = roots(features).withColumnRenamed("root_id", "gene")
-    joined = features.join(root, "id", "left").join(boundaries.select("gene", "five_pos", "three_pos"), "gene", "left")
+    joined = with_root(features).withColumnRenamed("root_id", "gene").join(boundaries.select("gene", "five_pos", "three_pos"), "gene", "left")
     exon = F.col("feature").contains("exon")
     per_gene = joined.where("five_pos is not null").groupBy("gene").agg(
         F.count_if(F.col("feature") == "mRNA").alias("mrnas"),

@@ -24,12 +24,13 @@ ALL_CODONS_TEXT = "".join(C.ALL_CODONS)
 
 class Inputs(Tables):
     def table(self, name: str) -> DataFrame:
-        """A given table; one that comes as fewer files than there are cores is dealt out to all of them."""
         df = super().table(name)
+        return self.spread(df) if name in SPREAD else df
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """A table that comes as fewer files than there are cores is dealt out to all of them."""
         cores = self.spark.sparkContext.defaultParallelism
-        if name in SPREAD and len(df.inputFiles()) < cores:
-            return df.repartition(cores)
-        return df
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
     # ---- reads: every document's letters as bases, cut into consecutive fragments -------------
     @cached_property
@@ -184,7 +185,7 @@ class Inputs(Tables):
             ),
             "",
         )
-        return self.table("part").select((F.col("p_partkey") % SEQUENCES).alias("seqname"), chunk.alias("chunk"), seq.alias("seq"))
+        return self.spread(self.table("part")).select((F.col("p_partkey") % SEQUENCES).alias("seqname"), chunk.alias("chunk"), seq.alias("seq"))
 
     # ---- dense counts per codon and per position, from events ------------------------------------
     @cached_property
