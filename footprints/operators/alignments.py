@@ -345,7 +345,7 @@ def unambiguous_ends(alignments: DataFrame, genome: DataFrame, lengths: DataFram
     """Mappings whose last aligned base and the base behind it are both not A in reading direction."""
     plus = F.col("strand") == "+"
     spans = (
-        alignments.join(F.broadcast(lengths), "seqname")
+        alignments.join(lengths, "seqname")
         .withColumn("a", F.when(plus, F.col("aend") - 1).otherwise(F.col("pos") - 1))
         .withColumn("b", F.when(plus, F.col("aend")).otherwise(F.col("pos")))
         .where("a >= 0 and b < length")

@@ -28,7 +28,7 @@ def lift(annotations: DataFrame, chain_blocks: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("name") == c, F.col("new"))).alias(f"_{c}") for c in COORDINATES],
     )
     wanted = sum((F.col(c).isNotNull().cast("int") for c in COORDINATES), F.lit(0))
-    joined = annotations.crossJoin(F.broadcast(chains)).join(wide, ["chain", "gene"]).where(F.col("_found") == wanted)
+    joined = annotations.crossJoin(chains).join(wide, ["chain", "gene"]).where(F.col("_found") == wanted)
     forward = F.col("_cds_from") < F.col("_cds_to")
     return joined.select(
         "chain", *[c for c in annotations.columns if c not in COORDINATES],

@@ -182,13 +182,13 @@ def log_te(counts: DataFrame, pairs: DataFrame, min_count: int = 10, floor: floa
     """
     floored = counts.select("sample", "gene", F.greatest(F.col("n").cast("double"), F.lit(floor)).alias("v"))
     total = floored.groupBy("sample").agg(F.sum("v").alias("t"))
-    share = floored.join(F.broadcast(total), "sample").select("sample", "gene", "v", F.log2(F.col("v") / F.col("t")).alias("log"))
+    share = floored.join(total, "sample").select("sample", "gene", "v", F.log2(F.col("v") / F.col("t")).alias("log"))
     wanted = pairs.select(F.explode(F.array("footprint", "mrna")).alias("sample")).distinct()
-    enough = share.join(F.broadcast(wanted), "sample").groupBy("gene").agg(F.min("v").alias("m")).where(F.col("m") > min_count).select("gene")
+    enough = share.join(wanted, "sample").groupBy("gene").agg(F.min("v").alias("m")).where(F.col("m") > min_count).select("gene")
     kept = share.join(enough, "gene", "left_semi")
     f = kept.select(F.col("sample").alias("footprint"), "gene", F.col("log").alias("_f"))
     m = kept.select(F.col("sample").alias("mrna"), "gene", F.col("log").alias("_m"))
-    return F.broadcast(pairs).join(f, "footprint").join(m, ["mrna", "gene"]).select("name", "gene", (F.col("_f") - F.col("_m")).alias("log_te"))
+    return pairs.join(f, "footprint").join(m, ["mrna", "gene"]).select("name", "gene", (F.col("_f") - F.col("_m")).alias("log_te"))
 
 
 def centred(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -58,7 +58,7 @@ def trim(reads: DataFrame, find_start: Finder | None = None, find_end: Finder |
 
 def trim_by_type(reads: DataFrame, adapters: DataFrame) -> DataFrame:
     """Trims each read as its sample's ``adapter_type`` says; ``adapters`` is the (sample, adapter_type) dimension."""
-    typed = reads.join(F.broadcast(adapters.select("sample", "adapter_type")), "sample")
+    typed = reads.join(adapters.select("sample", "adapter_type"), "sample")
     seq, kind = F.col("seq"), F.col("adapter_type")
     start = end = None
     for name, (find_start, find_end) in FINDERS.items():

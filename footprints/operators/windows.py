@@ -82,7 +82,7 @@ def ranks(df: DataFrame, keys: Sequence[str], label: str, value: str) -> DataFra
 
 def rank_changes(ranked: DataFrame, order: DataFrame, label: str, value: str, floor: float = 2.0**-8) -> DataFrame:
     """(label, rank_change, log_change, raw_change) from the first to the last sample of ``order`` (sample, place)."""
-    placed = ranked.join(F.broadcast(order), "sample")
+    placed = ranked.join(order, "sample")
     g = placed.groupBy(label).agg(
         F.min_by("rank", "place").alias("_r0"), F.max_by("rank", "place").alias("_r1"),
         F.min_by(value, "place").alias("_v0"), F.max_by(value, "place").alias("_v1"),

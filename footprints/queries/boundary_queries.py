@@ -43,12 +43,12 @@ def _(t):
 
 @query(
     "S12_boundary_table_order",
-    _BOUNDARIES + "SELECT gene, row_number() OVER (ORDER BY seqname, least(five_pos, three_pos), greatest(five_pos, three_pos), strand, gene) AS place FROM b",
+    _BOUNDARIES + "SELECT gene, row_number() OVER (PARTITION BY seqname ORDER BY least(five_pos, three_pos), greatest(five_pos, three_pos), strand, gene) AS place FROM b",
 )
 def _(t):
     from pyspark.sql import Window
 
-    w = Window.orderBy("seqname", F.least("five_pos", "three_pos"), F.greatest("five_pos", "three_pos"), "strand", "gene")
+    w = Window.partitionBy("seqname").orderBy(F.least("five_pos", "three_pos"), F.greatest("five_pos", "three_pos"), "strand", "gene")
     return U.boundary_order(boundaries(t)).select("gene", F.row_number().over(w).alias("place"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from footprints.queries.inputs import Inputs
 from footprints.queries.registry import ORACLES, QUERIES, with_views
 
-MODULES = ["counting", "read_queries", "alignment_queries", "profile_queries", "pause_queries", "compare_queries", "boundary_queries", "source_queries"]
+MODULES = ["counting", "read_queries", "alignment_queries", "profile_queries", "pause_queries", "compare_queries", "boundary_queries", "source_queries", "workflow_queries"]
 
 
 def _load() -> None:

@@ -11,7 +11,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"), "value"
     )
     first = raw.groupBy("file", "block").agg(F.min("_id").alias("_first"))
-    return raw.join(F.broadcast(first), ["file", "block"]).select("file", "block", (F.col("_id") - F.col("_first")).alias("idx"), "value")
+    return raw.join(first, ["file", "block"]).select("file", "block", (F.col("_id") - F.col("_first")).alias("idx"), "value")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -20,7 +20,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     sizes = lines.groupBy("file", "block").agg((F.max("idx") + 1).alias("_n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return lines.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("_start") + F.col("idx")).alias("line"), "value")
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("_start") + F.col("idx")).alias("line"), "value")
 
 
 def up_to(lines: DataFrame, marker: str) -> DataFrame:
