@@ -98,6 +98,12 @@ def site_contexts(sites: DataFrame, codons: DataFrame, te: DataFrame | None = No
     return pairs.join(te.select("gene", "te"), "gene", "left").na.fill(0.0, ["te"])
 
 
+def ratios_at(sites: DataFrame, codons: DataFrame, offset: int, count: str = "relaxed") -> DataFrame:
+    """(sample, gene, i, ratio): the relative count at one offset from every site, by a plain equi-join."""
+    at = site_contexts(sites, codons, None, count, -offset, offset)
+    return at.select("sample", "gene", "i", "ratio")
+
+
 def nucleotides(contexts: DataFrame) -> DataFrame:
     """Contexts by base: ``offset`` in nucleotides (3 * codon offset + 0 .. 2) and ``base``."""
     letters = F.array(*[F.substring("codon", k + 1, 1) for k in range(3)])

@@ -177,16 +177,16 @@ UNION ALL SELECT sample, gene, i, 'all' FROM contexts WHERE "offset" = 0""",
 
 
 def ratio_edges(t):
-    return P.bin_edges(contexts(t).where("offset = -2"), "ratio", 5, True)
+    return P.bin_edges(P.ratios_at(sites(t), t.codon_counts, -2), "ratio", 5, True)
 
 
 def ratio_bins(t):
-    at = contexts(t).where("offset = -2").select("sample", "gene", "i", "ratio")
+    at = P.ratios_at(sites(t), t.codon_counts, -2)
     return P.assign_bins(at, P.bin_edges(at, "ratio", 5, True), "ratio")
 
 
 def te_bins(t):
-    at = contexts(t).where("offset = 0").select("sample", "gene", "i", "te")
+    at = sites(t).join(te(t), "gene").select("sample", "gene", "i", "te")
     return P.assign_bins(at, P.bin_edges(at, "te", 4, False), "te")
 
 
