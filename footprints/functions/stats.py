@@ -43,9 +43,8 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return running_sum(counts, keys, value, {"cum": "n"}, value_chunk(F.col(value)))
 
 
-def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame, rank: str) -> DataFrame:
-    """The value at each 1-based rank of ``ranks`` (keys + rank); ranks must lie in 1..count."""
-    counts = value_counts(df, keys, value)
+def order_statistics(counts: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame, rank: str) -> DataFrame:
+    """The value at each 1-based rank of ``ranks`` (keys + rank), from ``value_counts``; ranks must lie in 1..count."""
     spans = counts.select(
         *keys, F.col(value).alias("x"), (F.col("cum") - F.col("n")).alias("_lo"), F.col("cum").alias("_hi")
     )
@@ -65,8 +64,8 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Data
 
 def mquantiles(df: DataFrame, keys: Sequence[str], value: str, probs: DataFrame) -> DataFrame:
     """Quantiles with plotting positions alpha = beta = 0.4, one row per key and row of ``probs`` (q, p)."""
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    n = n.where("n > 0").crossJoin(F.broadcast(probs))
+    counts = value_counts(df, keys, value)
+    n = counts.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0").crossJoin(F.broadcast(probs))
     a = F.col("n") * F.col("p") + 0.4 + 0.2 * F.col("p")
     k = F.floor(F.greatest(F.lit(1.0), F.least(a, F.col("n") - 1.0)))
     at = n.select(
@@ -77,7 +76,7 @@ def mquantiles(df: DataFrame, keys: Sequence[str], value: str, probs: DataFrame)
         *keys, "q", "n", "k", "gamma",
         F.explode(F.array_distinct(F.array("k", F.least(F.col("k") + 1, F.col("n"))))).alias("rank"),
     )
-    found = order_statistics(df, keys, value, ranks, "rank")
+    found = order_statistics(counts, keys, value, ranks, "rank")
     joined = ranks.join(found, [*keys, "rank"])
     return joined.groupBy(*keys, "q").agg(
         F.sum(
