@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from footprints.queries.inputs import Inputs
 from footprints.queries.registry import ORACLES, QUERIES, with_views
+from footprints.session import ship_package
 
 MODULES = ["counting", "read_queries", "alignment_queries", "profile_queries", "pause_queries", "compare_queries", "boundary_queries", "source_queries", "workflow_queries"]
 
@@ -20,6 +21,7 @@ def _load() -> None:
 
 
 def _run(name: str, spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
     return QUERIES[name](Inputs(spark, folder))
 
 

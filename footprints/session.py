@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, once per application."""
+    context = spark.sparkContext
+    if any(os.path.basename(p).startswith("footprints-code") for p in context.listFiles):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(), "footprints-code")
+    # Spark hands the archive to the executors itself; the folder is only read by the driver.
+    context.addPyFile(shutil.make_archive(archive, "zip", root, "footprints"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, so that losing an executor costs no recomputation from the start."""
     spark = df.sparkSession
