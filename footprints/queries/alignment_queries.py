@@ -435,10 +435,8 @@ def _(t):
 @query(
     "J13_drop_contaminant_reads",
     """
-SELECT sample, 'kept' AS category, length(seq) AS length, count(*) AS n FROM reads
-WHERE doc_hit(seq) GROUP BY ALL""".replace("doc_hit(seq)", "seq NOT IN (SELECT seq FROM reads GROUP BY seq HAVING count(*) > 3)")
-    + """
-UNION ALL SELECT sample, 'rRNA', length(seq), count(*) FROM reads WHERE seq IN (SELECT seq FROM reads GROUP BY seq HAVING count(*) > 3) GROUP BY ALL""",
+WITH often AS (SELECT seq FROM reads GROUP BY seq HAVING count(*) > 3)
+SELECT sample, CASE WHEN seq IN (SELECT seq FROM often) THEN 'rRNA' ELSE 'kept' END AS category, length(seq) AS length, count(*) AS n FROM reads GROUP BY ALL""",
 )
 def _(t):
     often = t.reads.groupBy("seq").agg(F.count(F.lit(1)).alias("c")).where("c > 3").select("seq")

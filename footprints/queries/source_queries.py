@@ -6,13 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from footprints import constants as C
 from footprints.functions import cigar as G
 from footprints.operators import coords, counts, dimensions, reads as R
 from footprints.queries import boundary_queries, compare_queries, counting, inputs, read_queries
-from footprints.queries.alignment_queries import aligned_reads
-from footprints.queries.registry import VIEWS, query
-from footprints.session import shared_folder
+from footprints.queries.registry import query
+from footprints.session import cut_lineage, shared_folder
 from footprints.sources import alignments as A, annotation as N, fastq as Q, tables as T
 
 
@@ -201,17 +199,12 @@ def _(t):
     path = folder(t, "lengths")
     h = read_queries.histogram(t)
     T.upsert(h, path, ["category"])
-    T.upsert(t.spark.read.parquet(path).where("category = 'trimmed'").withColumn("n", F.col("n") * 2).transform(_settled(t)), path, ["category"])
+    # What is read from the store is checkpointed before its partition is replaced.
+    doubled = t.spark.read.parquet(path).where("category = 'trimmed'").withColumn("n", F.col("n") * 2)
+    T.upsert(cut_lineage(doubled), path, ["category"])
     return t.spark.read.parquet(path).select("sample", "category", "length", "n")
 
 
-def _settled(t):
-    """What is read from a store is checkpointed before the store's partition is replaced."""
-    from footprints.session import cut_lineage
-
-    return cut_lineage
-
-
 @query("S18_sample_catalogue", "SELECT DISTINCT sample FROM histogram")
 def _(t):
     path = folder(t, "catalogue")
