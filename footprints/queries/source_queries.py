@@ -109,6 +109,15 @@ def _(t):
     return A.read_region(t.spark, path, 2, 600, 20000, 100).select("sample", "qname", "pos", "aend", "strand")
 
 
+@query(
+    "O2_grouped_by_position",
+    "SELECT sample, seqname, pos, strand, count(*) AS n, 1 AS partitions FROM mapped GROUP BY ALL",
+)
+def _(t):
+    placed = A.grouped_by_position(t.mapped).withColumn("part", F.spark_partition_id())
+    return placed.groupBy("sample", "seqname", "pos", "strand").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("part").alias("partitions"))
+
+
 @query(
     "S8_region_fetch",
     """

@@ -95,6 +95,9 @@ def merge_pathways(*pathways: DataFrame) -> DataFrame:
 
 
 def grouped_by_position(alignments: DataFrame) -> DataFrame:
-    """Mappings with equal position in the same partition, sorted so that equal ones follow each other."""
+    """Mappings with equal position in the same partition, sorted so that equal ones follow each other.
+
+    For exports that need whole groups; collapsing duplicates does not, as it counts map-side first.
+    """
     keys = ["sample", "seqname", "pos", "strand"]
     return alignments.repartition(*keys).sortWithinPartitions(*keys)
