@@ -5,8 +5,8 @@ that grow by half; for each band, elements are dealt into n1 groups of n2 parts
 difference k between two sets of the band. Then some group has at most n2-t differing parts, and one of its t-part subsets is
 equal in both sets; the hash of that subset's elements is a signature that both sets share. A set near the top of its band also
 gets the next band's signatures. ``spare`` more groups than needed make that many more groups fit, so a set may leave out the
-signatures of subsets with fewer than two elements, which unlike sets share by chance, as long as no more than ``spare``
-groups have one; else it keeps them all. No link is lost.
+signatures of subsets with hardly an element, which unlike sets share by chance, as long as no more than ``spare`` groups have
+one; else it keeps them all. No link is lost.
 """
 
 from __future__ import annotations
@@ -17,19 +17,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from footprints.llm import graph
-from footprints.llm.storage import prepared, small_or_not, written
+from footprints.llm.storage import fresh, prepared, small_or_not, written
 from footprints.llm.text import Words, grams, mix, pieces
 
 GROWTH = 1.5
-MIN_ELEMENTS = 2
 # Groups of up to this many sets are compared pair by pair, larger ones with one member at a time.
 PAIRWISE = 8
-# After so many members of a group, all pairs that are still apart are compared.
-ROUNDS = 5
-BUFFER_ROWS = 1_000_000
+# Groups of a family's members with more members than this get references of their own; the others are filtered pair by pair.
+REGROUPED = 1_000
+# After so many rounds of regrouping, all pairs that are left are compared.
+DEPTH = 6
+BUFFER_ROWS = 500_000
 
 
 @lru_cache(None)
@@ -47,25 +48,28 @@ def band_of(size: int) -> int:
 
 
 @lru_cache(None)
-def scheme(i: int, num: int, den: int) -> tuple[int, int, int, int]:
-    """(n1, n2, t, spare) of a band: the fewest signatures whose subsets hold about eight elements, else the fullest subsets."""
+def scheme(i: int, num: int, den: int) -> tuple[int, int, int, int, int]:
+    """(n1, n2, t, spare, least) of a band; least is the number of elements below which a subset may be left out.
+
+    Two of three parts are a signature where that holds about five elements or more. Where the sets may differ by so much that it
+    does not, one group is, which takes a third fewer signatures; small sets take the fullest subsets.
+    """
     low, high = band(i)
     k = 2 * high * (den - num) // (den + num)
     if k == 0:
-        return 1, 1, 1, 0
-    options = []
-    for k2 in range(0, min(k, 3) + 1):
-        n1 = math.ceil((k + 1) / (k2 + 1))
-        for t in (1,) if k2 == 0 else (1, 2, 3):
-            n2 = k2 + t
-            options.append((n1 * math.comb(n2, t), low / n1 * t / n2, n1, n2, t))
-    full = [o for o in options if o[1] >= 8]
-    _, mean, n1, n2, t = min(full) if full else max((o for o in options if o[0] <= 6 * (k + 1)), key=lambda o: (o[1], -o[0]))
-    spare = 0
-    if n1 >= 4:
-        thin = n1 * math.comb(n2, t) * math.exp(-mean) * (1 + mean)
-        spare = math.ceil(thin + 3 * math.sqrt(thin) + 1)
-    return n1 + spare, n2, t, spare
+        return 1, 1, 1, 0, 0
+    if k <= 3:
+        options = [(math.ceil((k + 1) / (k2 + 1)), k2 + t, t) for k2 in range(k + 1) for t in (1, 2, 3) if k2 or t == 1]
+        cheap = [o for o in options if o[0] * math.comb(o[1], o[2]) <= 6 * (k + 1)]
+        n1, n2, t = max(cheap, key=lambda o: (o[2] / o[1] / o[0], -o[0] * math.comb(o[1], o[2])))
+        return n1, n2, t, 0, 0
+    n1, n2, t, least = math.ceil((k + 1) / 2), 3, 2, 2
+    if low / n1 * t / n2 < 5:
+        n1, n2, t, least = k + 1, 1, 1, 1
+    mean = low / n1 * t / n2
+    thin = n1 * math.comb(n2, t) * math.exp(-mean) * (1 + mean * (least - 1))
+    spare = math.ceil(thin + 3 * math.sqrt(thin) + 1)
+    return n1 + spare, n2, t, spare, least
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +103,7 @@ def _signatures(doc: np.ndarray, value: np.ndarray, sizes: np.ndarray, num: int,
         chosen = np.flatnonzero(own | reach)
         if not len(chosen):
             continue
-        n1, n2, t, spare = scheme(i, num, den)
+        n1, n2, t, spare, least = scheme(i, num, den)
         width = n1 * n2
         step = max(1, 4_000_000 // width)
         for part in (chosen[j : j + step] for j in range(0, len(chosen), step)):
@@ -122,7 +126,7 @@ def _signatures(doc: np.ndarray, value: np.ndarray, sizes: np.ndarray, num: int,
                     held[:, :, s] += filled[:, :, m]
             names = (np.uint64(i) << np.uint64(40)) + (np.arange(n1, dtype=np.uint64)[:, None] << np.uint64(8)) + np.arange(len(subsets), dtype=np.uint64)
             sig = mix(sig ^ mix(names + np.uint64(1))[None])
-            thin = held < MIN_ELEMENTS
+            thin = held < least
             keep = ~thin | (thin.any(axis=2).sum(axis=1) > spare)[:, None, None]
             which = np.nonzero(keep)
             out_doc.append(part[which[0]])
@@ -159,40 +163,43 @@ def document_signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFram
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, sigs array<long>")
 
 
-def _grouped(sig: np.ndarray, member: np.ndarray, last: bool):
+def _grouped(kind: np.ndarray, sig: np.ndarray, member: np.ndarray, last: bool):
     """Groups of equal signatures: rows (kind, sig, a, b).
 
-    kind 0: a pair to compare; 1: a, a member of a large group, and b, the member it is compared with; 2: a member, b null.
-    Ahead of the shuffle, small groups stay members; behind it, they become pairs.
+    Going in, kind 2 is a member and kind 3 one that stands for a large group of its task. Coming out, kind 0 is a pair of a
+    small group and kind 1 a member of a large one; ahead of the shuffle, small groups stay kind 2, and the first member of a
+    large one goes on as kind 3.
     """
-    order = np.lexsort((member, sig))
-    sig, member = sig[order], member[order]
+    order = np.lexsort((-kind, member, sig))
+    kind, sig, member = kind[order], sig[order], member[order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])
-    sig, member = sig[new], member[new]
+    kind, sig, member = kind[new], sig[new], member[new]
     starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(sig)))
     size, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
     place = np.arange(len(sig)) - first
     large = size > PAIRWISE
-    out = [(1, np.flatnonzero(large & (place > 0)), first[large & (place > 0)])]
+    if last and len(starts):
+        large |= np.repeat(np.maximum.reduceat(kind, starts) == 3, sizes)
+    out = [(1, np.flatnonzero(large), None)]
     if last:
         for gap in range(1, PAIRWISE):
             at = np.flatnonzero(~large & (place >= gap))
             out.append((0, at, at - gap))
     else:
-        at = np.flatnonzero(~large | (place == 0))
-        out.append((2, at, None))
-    for kind, at, other in out:
+        out.append((2, np.flatnonzero(~large), None))
+        out.append((3, np.flatnonzero(large & (place == 0)), None))
+    for kind_out, at, other in out:
         if len(at):
-            yield kind, sig[at], member[at], None if other is None else member[other]
+            yield kind_out, sig[at], member[at], None if other is None else member[other]
 
 
 _GROUP_SCHEMA = "kind int, sig long, a long, b long"
 
 
 def _groups(rows: DataFrame, last: bool) -> DataFrame:
-    """Rows (kind, sig, a, b), of which those of kind 2 are grouped and the others pass. Behind the shuffle they come sorted."""
+    """Rows (kind, sig, a, b), of which those of kind 2 and 3 are grouped and the others pass. Behind the shuffle they come sorted."""
 
     def emit(kind, sig, a, b):
         return pa.RecordBatch.from_arrays(
@@ -201,65 +208,205 @@ def _groups(rows: DataFrame, last: bool) -> DataFrame:
         )
 
     def run(batches):
-        sigs, members, held = [], [], 0
+        held: list[tuple] = []
+        count = 0
 
         def flush(whole: bool):
-            nonlocal sigs, members, held
-            if not held:
+            nonlocal held, count
+            if not count:
                 return
-            sig, member = np.concatenate(sigs), np.concatenate(members)
+            kind, sig, member = (np.concatenate(x) for x in zip(*held))
             cut = len(sig)
             if last and not whole:
-                # Sorted by signature: the last one may go on in the next batch. A long group is cut; its first member goes along.
+                # Sorted by signature: the last one may go on in the next batch. A long group is let go but for one that stands for it.
                 cut = int(np.searchsorted(sig, sig[-1]))
-            rest_sig, rest_member = sig[cut:], member[cut:]
-            if len(rest_sig) > BUFFER_ROWS:
-                center = rest_member.min()
-                others = rest_member[rest_member != center]
-                yield emit(1, rest_sig[: len(others)], others, np.full(len(others), center))
-                rest_sig, rest_member = rest_sig[:1], np.array([center])
-            for part in _grouped(sig[:cut], member[:cut], last):
+            rest = kind[cut:], sig[cut:], member[cut:]
+            if len(rest[0]) > BUFFER_ROWS // 2:
+                yield emit(1, rest[1], rest[2], None)
+                rest = np.array([3], np.int32), rest[1][:1], rest[2][:1]
+            for part in _grouped(kind[:cut], sig[:cut], member[:cut], last):
                 yield emit(*part)
-            sigs, members, held = ([rest_sig], [rest_member], len(rest_sig)) if len(rest_sig) else ([], [], 0)
+            held, count = ([rest], len(rest[0])) if len(rest[0]) else ([], 0)
 
         for batch in batches:
             kind = batch.column(0).to_numpy(zero_copy_only=False)
-            mine = kind == 2
+            mine = kind >= 2
             if not mine.all():
                 yield batch.filter(pa.array(~mine))
             if mine.any():
-                sigs.append(batch.column(1).to_numpy(zero_copy_only=False)[mine])
-                members.append(batch.column(2).to_numpy(zero_copy_only=False)[mine])
-                held += len(sigs[-1])
-            if held >= BUFFER_ROWS:
+                held.append((kind[mine], *(batch.column(i).to_numpy(zero_copy_only=False)[mine] for i in (1, 2))))
+                count += len(held[-1][0])
+            if count >= BUFFER_ROWS:
                 yield from flush(False)
         yield from flush(True)
 
     return rows.mapInArrow(run, _GROUP_SCHEMA)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) of documents whose sets are similar enough, by their whole texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs with the texts of a and b."""
+    wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "doc_id")
     texts = written(docs.join(small_or_not(wanted), "doc_id", "left_semi").select("doc_id", "text"), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+
+
+def _sets_of(piece: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, from b, first of two equal ones): the elements of both sets of every row, sorted by row and hash."""
+    doc_a, a = shingle_sets(Words(piece.column("text_a")), n)
+    doc_b, b = shingle_sets(Words(piece.column("text_b")), n)
+    doc, value = np.concatenate([doc_a, doc_b]), np.concatenate([a, b])
+    of_b = np.repeat([False, True], [len(a), len(b)])
+    order = np.lexsort((value, doc))
+    doc, value, of_b = doc[order], value[order], of_b[order]
+    twice = np.zeros(len(doc), bool)
+    twice[:-1] = (doc[1:] == doc[:-1]) & (value[1:] == value[:-1])
+    return doc, value, of_b, twice
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b, linked) of the pairs by their whole texts."""
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, "text_a"):
-                doc_a, a = shingle_sets(Words(piece.column("text_a")), n)
-                doc_b, b = shingle_sets(Words(piece.column("text_b")), n)
-                rows = piece.num_rows
-                doc, value = np.concatenate([doc_a, doc_b]), np.concatenate([a, b])
+                doc, _, _, twice = _sets_of(piece, n)
+                shared = np.bincount(doc[twice], minlength=piece.num_rows)
+                union = np.bincount(doc, minlength=piece.num_rows) - shared
+                linked = (union > 0) & (den * shared >= num * union)
+                yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(linked)], names=["a", "b", "linked"])
+
+    return _with_texts(pairs, docs).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean").distinct()
+
+
+CORE, APART, APART_LONG = range(3)
+
+
+def _references(hubs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(ref, elements): what at least two of a group's up to three hubs (ref, a) have in common; of fewer hubs, the first one's set."""
+    three = hubs.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").groupBy("ref").agg(F.collect_list("text").alias("hubs"))
+
+    def run(batches):
+        for batch in batches:
+            for ref, hub_texts in zip(batch.column("ref").to_pylist(), batch.column("hubs").to_pylist()):
+                hub_texts = sorted(hub_texts)[:3]
+                _, value = shingle_sets(Words(pa.array(hub_texts, pa.large_string())), n)
+                found, times = np.unique(value, return_counts=True)
+                if len(hub_texts) < 3:
+                    _, found = shingle_sets(Words(pa.array(hub_texts[:1], pa.large_string())), n)
+                else:
+                    found = found[times >= 2]
+                yield pa.RecordBatch.from_pylist([{"ref": ref, "elements": found.view(np.int64).tolist()}], schema=pa.schema([("ref", pa.int64()), ("elements", pa.list_(pa.int64()))]))
+
+    return three.mapInArrow(run, "ref long, elements array<long>")
+
+
+def _edits(members: DataFrame, references: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, ref, size, count, edits): each member's size, the number of elements that only it or its reference has, and the first of those.
+
+    What the member has and the reference lacks comes first, as others seldom have it too; else by hash. As many are given as any
+    comparison needs: (den-num)/num of the size, and one.
+    """
+    rows = members.join(references, "ref").join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch):
+                doc, value = shingle_sets(Words(piece.column("text")), n)
+                size = np.bincount(doc, minlength=piece.num_rows)
+                lists = piece.column("elements")
+                lengths = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+                ref_doc, ref_value = np.repeat(np.arange(len(lengths)), lengths), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                doc, value = np.concatenate([doc, ref_doc]), np.concatenate([value, ref_value])
+                of_ref = np.repeat([False, True], [len(doc) - len(ref_doc), len(ref_doc)])
                 order = np.lexsort((value, doc))
+                doc, value, of_ref = doc[order], value[order], of_ref[order]
+                same = (doc[1:] == doc[:-1]) & (value[1:] == value[:-1])
+                once = np.ones(len(doc), bool)
+                once[1:] &= ~same
+                once[:-1] &= ~same
+                doc, value, of_ref = doc[once], value[once], of_ref[once]
+                count = np.bincount(doc, minlength=piece.num_rows)
+                order = np.lexsort((value, of_ref, doc))
                 doc, value = doc[order], value[order]
-                twice = (doc[1:] == doc[:-1]) & (value[1:] == value[:-1])
-                shared = np.bincount(doc[1:][twice], minlength=rows)
-                union = np.bincount(doc, minlength=rows) - shared
-                yield piece.select(["a", "b"]).filter(pa.array((den * shared >= num * union) & (union > 0)))
+                place = np.arange(len(doc)) - np.concatenate([[0], np.cumsum(count)[:-1]])[doc]
+                first = place <= ((den - num) * size // num)[doc]
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=piece.num_rows))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("a"), piece.column("ref"), pa.array(size), pa.array(count), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[first].view(np.int64)))],
+                    names=["a", "ref", "size", "count", "edits"],
+                )
+
+    return rows.select("a", "ref", "text", "elements").mapInArrow(run, "a long, ref long, size long, count long, edits array<long>")
+
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _pairs_within(groups: DataFrame, condition: str) -> DataFrame:
+    """Pairs of members of the same group (sig, a, ...) under a condition on their columns, those of the second ending in _b."""
+    other = groups.select("sig", *[F.col(c).alias(f"{c}_b") for c in groups.columns if c != "sig"]).withColumnRenamed("sig", "sig_b")
+    return _ordered(groups.join(other, F.expr(f"sig = sig_b and a > a_b and {condition}")).select("a", F.col("a_b").alias("b")))
+
+
+def _links_of_large(members: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> list[DataFrame]:
+    """Links (a, b) that join all members (sig, a) of large groups which are linked with each other, directly or by way of others.
+
+    Each group gets a reference set R, here what most of three members that are in many groups have in common; any set would be
+    right. Let e(x) be the elements that only one of x and R has, q = (den-num)/(den+num), and x's slack q|x| - |e(x)|. Two sets
+    are linked when they differ by at most q(|x|+|y|) elements, and they differ by |e(x)| + |e(y)| - 2t, where t is what e(x) and
+    e(y) share. So members whose slacks add up to 0 or more are linked; then each of them is linked with the member h of the
+    greatest slack, too. Linking h with all of its kind (the core) thus joins all of those. Of other pairs one at least is not
+    core, and they are linked only if t is at least -(slack + slack) / 2 > 0. So in any common order some element is among the
+    first |e|-t+1 of both, which gives new, much smaller groups. Bounds of t for all partners of a member: t exceeds
+    (slack(h) - slack(x)) / 2 for a core x, and for an apart x with an apart partner; with a core partner it is at least
+    -(slack(x) + slack(h)) / 2; and as the partner's e has t elements, it is at least |e(x)| - (den-num)/num |x| in any case.
+    """
+    links = []
+    total = den + num
+    for depth in range(DEPTH + 1):
+        if members.isEmpty():
+            break
+        if depth == DEPTH:
+            pairs = written(_pairs_within(members, "true"), "pairs")
+            links.append(_compared(pairs, docs, n, num, den).where("linked").select("a", "b"))
+            break
+        degree = members.groupBy("a").agg(F.count("*").alias("degree"))
+        best = members.join(degree, "a").groupBy("sig").agg(F.max(F.struct("degree", (-F.col("a")).alias("minus"))).alias("best"))
+        stars = members.join(best.select("sig", (-F.col("best.minus")).alias("ref")), "sig").groupBy("a", "ref").agg(F.count("*").alias("shared"))
+        stars = written(stars, "stars")
+        if depth == 0:
+            # Groups that overlap are of one family, which needs one reference. Later groups are parts of families.
+            family = graph.components(stars.select("a", F.col("ref").alias("b")))
+            stars = written(family.select(F.col("id").alias("a"), F.col("component").alias("ref")).join(degree.withColumnRenamed("degree", "shared"), "a"), "stars")
+        ranked = stars.withColumn("_rank", F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("shared"), "a"))).where("_rank <= 3")
+        wanted = stars.select(F.col("a").alias("doc_id")).distinct()
+        texts = written(docs.join(small_or_not(wanted), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
+        references = written(_references(ranked.select("ref", "a"), texts, n), "references")
+        edits = written(_edits(stars.select("a", "ref"), references, texts, n, num, den), "edits")
+        slack = F.expr(f"{den - num} * size - {total} * count")
+        hubs = edits.groupBy("ref").agg(F.max(F.struct(slack.alias("slack"), (-F.col("a")).alias("minus"))).alias("hub"), F.min(slack).alias("least"))
+        judged = edits.join(hubs.select("ref", F.col("hub.slack").alias("top"), (-F.col("hub.minus")).alias("h"), "least"), "ref").withColumn("slack", slack)
+        links.append(judged.where("slack + top >= 0 and a <> h").select("a", F.col("h").alias("b")).distinct())
+        apart = F.col("slack") + F.col("top") < 0
+        least_t = F.expr(f"count - ({den - num} * size) div {num}")
+        t_short = F.greatest(F.lit(1), F.floor((F.col("top") - F.col("slack")) / (2 * total)) + 1, F.when(apart, least_t).otherwise(1))
+        t_long = F.greatest(F.lit(1), F.ceil((-F.col("slack") - F.col("top")) / (2 * total)), least_t)
+        judged = judged.where("least + top < 0").withColumn("short", F.col("count") - t_short + 1).withColumn("long", F.when(apart, F.col("count") - t_long + 1).otherwise(0))
+        first = judged.withColumn("edits", F.slice("edits", F.lit(1), F.greatest(F.lit(0), F.col("short"), F.col("long")).cast("int")))
+        signs = first.select("a", "ref", apart.alias("apart"), "short", "count", "slack", F.posexplode("edits").alias("place", "element"))
+        role = F.when(~F.col("apart"), CORE).when(F.col("place") < F.col("short"), APART).otherwise(APART_LONG)
+        rest = F.col("count") - F.col("place")
+        signs = written(signs.select(F.xxhash64("ref", "element").alias("sig"), "a", role.alias("role"), rest.alias("rest"), "slack"), "signs")
+        sizes = signs.groupBy("sig").agg(F.count("*").alias("size"), F.max("role").alias("_role")).where(f"size > 1 and _role > {CORE}").drop("_role")
+        groups = written(signs.join(sizes, "sig"), "groups")
+        # The first element that two members share is followed by t - 1 more in both.
+        could = f"(role = {APART} and role_b = {APART} or (role = {CORE}) <> (role_b = {CORE})) and {2 * total} * least(rest, rest_b) >= -(slack + slack_b)"
+        pairs = written(_pairs_within(groups.where(F.col("size") <= REGROUPED).drop("size"), could), "pairs")
+        links.append(_compared(pairs, docs, n, num, den).where("linked").select("a", "b"))
+        members = groups.where(F.col("size") > REGROUPED).select("sig", "a")
+    return links
 
 
 def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -270,46 +417,38 @@ def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFram
     linked with nothing. Rows that share a doc_id are one document, linked with whatever any of them is; a row without
     doc_id gets its n_shingles and no component. Equal texts, ties and repeated rows change nothing else; other columns are ignored.
 
-    Equal sets become one before any pair is formed. A group of sets that share a signature is never paired off unless it has at
-    most eight members: ahead of the shuffle each task already reduces a large group to its smallest member, compared with
-    the others; behind it the smallest members meet. Members that are then still apart from others of their group are
-    compared with its next members, round by round, and in the end with all that are not yet of the same component.
+    Equal sets become one before any pair is formed. Groups of up to eight sets that share a signature are compared pair by pair,
+    larger ones by way of a reference set (``_links_of_large``). Ahead of the shuffle each task lets the members of its own large groups
+    go past the grouping, but for one that stands for them; so no task ever has to take in a whole large group.
     """
     spark = prepared(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = written(document_signatures(texts, n, num, den), "signatures")
     full = rows.where("doc_id is not null and n_shingles > 0")
-    sets = full.groupBy("hi", "lo").agg(F.min("doc_id").alias("a"), F.first("sigs").alias("sigs"))
-    members = sets.select(F.lit(2).alias("kind"), F.explode("sigs").alias("sig"), "a", F.lit(None).cast("bigint").alias("b"))
-    salt = F.when(F.col("kind") == 2, F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.lit(64)))
+    firsts = written(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("a")), "sets")
+    sets = full.join(small_or_not(firsts.select(F.col("a").alias("doc_id"), F.col("hi").alias("_hi"), F.col("lo").alias("_lo"))), "doc_id").where("hi = _hi and lo = _lo")
+    members = sets.withColumnRenamed("doc_id", "a").select(F.lit(2).alias("kind"), F.explode("sigs").alias("sig"), "a", F.lit(None).cast("bigint").alias("b"))
+    salt = F.when(F.col("kind") >= 2, F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.lit(64)))
     dealt = _groups(members, last=False).repartition("sig", salt).sortWithinPartitions("sig", "a")
     groups = written(_groups(dealt, last=True), "groups")
-    same = full.join(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("_first")), ["hi", "lo"]).select(F.col("doc_id").alias("a"), F.col("_first").alias("b")).where("a <> b").distinct()
-    tested = written(groups.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    links = written(same.unionByName(_verified(tested, texts, n, num, den)), "links")
-    labels = written(graph.components(links), "components")
-    large = groups.where("kind = 1")
-    large = written(large.select("sig", "a").unionByName(large.select("sig", F.col("b").alias("a"))).distinct(), "large")
-    done = 0
-    while True:
-        state = large.join(labels.withColumnRenamed("id", "a"), "a", "left").select("sig", "a", F.coalesce("component", "a").alias("component"))
-        apart = state.groupBy("sig").agg(F.min("component").alias("_p"), F.max("component").alias("_q"), F.min("a").alias("center")).where("_p <> _q").select("sig", "center")
-        left = written(state.join(apart, "sig"), "apart")
-        if left.isEmpty():
-            break
-        if done < ROUNDS:
-            centers = left.where("a = center").select("sig", F.col("component").alias("_c"))
-            pairs = left.where("a <> center").join(centers, "sig").where("component <> _c").select("a", F.col("center").alias("b"))
-            large = left.where("a <> center").select("sig", "a")
-        else:
-            other = left.select("sig", F.col("a").alias("b"), F.col("component").alias("_c"))
-            pairs = left.join(other, "sig").where("component <> _c and a > b").select("a", "b")
-            large = left.limit(0).select("sig", "a")
-        pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tested = tested.unionByName(pairs)
-            links = links.unionByName(_verified(pairs, texts, n, num, den))
-            labels = written(graph.components(links), "components")
-        done += 1
-    named = labels.select(F.col("id").alias("doc_id"), "component")
-    return rows.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    same = full.select("doc_id", "hi", "lo").join(firsts, ["hi", "lo"]).select("doc_id", F.col("a").alias("b")).withColumnRenamed("doc_id", "a")
+    pairs = written(_ordered(groups.where("kind = 0").select("a", "b")), "pairs")
+    links = [same.where("a <> b").distinct(), _compared(pairs, texts, n, num, den).where("linked").select("a", "b")]
+    large = written(groups.where("kind = 1").select("sig", "a").distinct(), "large")
+    links += _links_of_large(large, texts, n, num, den)
+    whole = links[0]
+    for more in links[1:]:
+        whole = whole.unionByName(more)
+    labels = graph.components(whole).select(F.col("id").alias("doc_id"), "component")
+    return rows.select("doc_id", "n_shingles").join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id, in one row; rows without an id stay."""
+    found = linked(docs, n, num, den)
+    kept = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    key = fresh(docs, "_kept")
+    chosen = docs.join(small_or_not(kept.select(F.col("doc_id").alias(key))), F.col("doc_id").cast("bigint") == F.col(key), "left_semi")
+    if not kept.where("rows > 1").isEmpty():
+        chosen = chosen.dropDuplicates(["doc_id"])
+    return chosen.unionByName(docs.where(F.col("doc_id").cast("bigint").isNull()))

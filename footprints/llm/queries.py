@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footprints.llm import ngram_join
+from footprints.llm import iblt, katz, langid, licences, line_dedup, ngram_join, packing, pieces, pseudonyms, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,16 +26,41 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TEXT = "coalesce(text, '')"
+_LOWERED = f"translate({_TEXT}, '{licences.UPPER}', '{licences.LOWER}')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
 
+@query(
+    "op1_line_dedup",
+    f"""
+WITH l AS (SELECT doc_id, unnest(string_split({_TEXT}, chr(10))) AS t, unnest(string_split({_LOWERED}, chr(10))) AS s,
+           unnest(range(len(string_split({_TEXT}, chr(10))))) AS i FROM documents),
+w AS (SELECT doc_id, i, t, doc_id * 10000000 + i AS at, regexp_extract_all(s, {_WORD}) AS w FROM l),
+k AS (SELECT *, len(w) AS n, array_to_string(w, ' ') AS s FROM w),
+f AS (SELECT s, any_value(w) AS w, any_value(n) AS n, min(at) AS at FROM k WHERE n >= {line_dedup.MIN_WORDS} GROUP BY s),
+g AS (SELECT * FROM f WHERE n >= {line_dedup.MIN_NEAR_WORDS}),
+p AS (SELECT s, w, at, unnest(range(1, n + 1)) AS j FROM g),
+c AS (SELECT s, at, j, array_to_string(list_concat(list_slice(w, 1, j - 1), list_slice(w, j + 1, len(w))), ' ') AS v FROM p),
+r AS (SELECT v, j, min(at) AS at FROM c GROUP BY v, j),
+m AS (SELECT v, min(at) AS at FROM c GROUP BY v),
+near AS (SELECT c.s FROM c JOIN r ON r.v = c.v AND r.j = c.j WHERE r.at < c.at
+         UNION SELECT c.s FROM c JOIN g ON g.s = c.v WHERE g.at < c.at UNION SELECT g.s FROM g JOIN m ON m.v = g.s WHERE m.at < g.at),
+d AS (SELECT k.doc_id, k.i, k.t, near.s IS NOT NULL AS close, coalesce(near.s IS NOT NULL OR f.at < k.at, false) AS gone
+      FROM k LEFT JOIN f ON f.s = k.s AND k.n >= {line_dedup.MIN_WORDS} LEFT JOIN near ON near.s = f.s)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed, CAST(sum(CAST(close AS INT)) AS BIGINT) AS n_near,
+       md5(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_md5 FROM d GROUP BY doc_id""",
+)
+def _(spark, folder):
+    return line_dedup.line_dedup(documents(spark, folder)).select("doc_id", "n_lines", "n_removed", "n_near", F.md5("text").alias("kept_md5"))
+
+
 @query(
     "op2_ngram_jaccard_join",
     f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_WORD}) AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-       ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+       ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
@@ -46,3 +71,103 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(z) AS co
 )
 def _(spark, folder):
     return ngram_join.linked(documents(spark, folder), n=3, num=90, den=100)
+
+
+@query("op3_pii_pseudonyms")
+def _(spark, folder):
+    found = pseudonyms.pseudonymised(documents(spark, folder))
+
+    def number(kind):
+        return F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    numbers = [number(kind) for kind in pseudonyms.KINDS]
+    return found.select("doc_id", *numbers, "text")
+
+
+_REJECTED = [(rule, i, cutoff) for rule, cutoffs in quality.RULES.items() for i, cutoff in enumerate(cutoffs)]
+_W = quality.WINDOW
+
+
+@query(
+    "op4_quality_rules",
+    f"""
+WITH t AS (SELECT doc_id, lang, {_TEXT} AS text, regexp_extract_all({_TEXT}, {_WORD}) AS w FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t),
+ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM l WHERE regexp_matches(l, {_WORD}) GROUP BY 1),
+g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + {_W - 1}), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {_W - 2})) AS i FROM t WHERE len(w) >= {_W})),
+rg AS (SELECT doc_id, i FROM g WHERE (doc_id, g) IN (SELECT (doc_id, g) FROM g GROUP BY doc_id, g HAVING count(*) > 1)),
+rw AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rg, range({_W}) r(k) GROUP BY 1),
+b AS (SELECT t.doc_id, coalesce(lang, '') AS lang, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0) AS word_chars,
+      length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words
+      FROM t LEFT JOIN ln ON ln.doc_id = t.doc_id LEFT JOIN rw ON rw.doc_id = t.doc_id),
+v AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbol_ratio,
+      n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_repeat_words / greatest(n_words, 1) AS repeat_ratio,
+      word_chars / greatest(n_words, 1) AS word_chars_high, -word_chars / greatest(n_words, 1) AS word_chars_low FROM b),
+good AS (SELECT v.* FROM v JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) q ON q.doc_id = v.doc_id WHERE NOT base_failed),
+c AS ({" UNION ALL ".join(f"SELECT lang, '{r}' AS rule, {i} AS i, CAST({x} AS DOUBLE) AS cutoff, count(*) AS n, sum(CAST({r} > {x} AS INT)) AS k FROM good GROUP BY lang" for r, i, x in _REJECTED)}),
+z AS (SELECT *, {quality.ALPHA} / {len(quality.RULES)} AS p, {quality.DELTA} / ((SELECT count(DISTINCT lang) FROM good) * {len(quality.RULES)}) AS level FROM c),
+e AS (SELECT *, k <= n * p AND list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))
+      FOR j IN range(CAST(least(k, n * p) AS BIGINT) + 1)]) <= level AS ok FROM z),
+h AS (SELECT lang, rule, max_by(cutoff, i) AS cutoff FROM (SELECT *, bool_and(ok) OVER (PARTITION BY lang, rule ORDER BY i) AS on_ FROM e) WHERE on_ GROUP BY 1, 2),
+x AS (SELECT v.doc_id, bool_or(CASE h.rule {" ".join(f"WHEN '{r}' THEN {r} > h.cutoff" for r in quality.RULES)} END) AS bad FROM v JOIN h ON h.lang = v.lang GROUP BY 1)
+SELECT v.doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept
+FROM v LEFT JOIN x ON x.doc_id = v.doc_id""",
+)
+def _(spark, folder):
+    found = quality.judged(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op5_iblt_fingerprints")
+def _(spark, folder):
+    return iblt.compared(documents(spark, folder)).drop("differing")
+
+
+def _licence_sql() -> str:
+    known = ", ".join(f"('{form}', '{name}')" for name, forms in licences.SENTENCES.items() for form in forms)
+    source = f"""
+SELECT doc_id, string_agg(k.name, ' ' ORDER BY i) AS sentence_ids, ' ' || string_agg(k.name, '  ' ORDER BY i) || ' ' AS rest, '' AS found FROM (
+  SELECT doc_id, i, trim(regexp_replace(s, '{licences.OTHER}', ' ', 'g')) AS s FROM (
+    SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split(regexp_replace({_LOWERED}, '([.!?;:])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS p FROM documents))) x
+JOIN (VALUES {known}) k(s, name) ON k.s = x.s GROUP BY doc_id"""
+    for licence, kind, ids in licences.RULES:
+        wanted = "' " + "  ".join(ids) + " '"
+        name = f"{licence}:{kind}"
+        source = f"""SELECT doc_id, sentence_ids, replace(rest, {wanted}, ' | ') AS rest,
+ CASE WHEN contains(rest, {wanted}) AND NOT contains(' ' || found || ' ', ' {name} ') THEN trim(found || ' {name}') ELSE found END AS found FROM ({source})"""
+    return f"SELECT d.doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(found, '') AS licences FROM documents d LEFT JOIN ({source}) x ON x.doc_id = d.doc_id"
+
+
+@query("op6_license_rules", _licence_sql())
+def _(spark, folder):
+    return licences.scanned(documents(spark, folder)).select("doc_id", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licences", " ").alias("licences"))
+
+
+@query("op7_katz_scores")
+def _(spark, folder):
+    docs = documents(spark, folder)
+    model = katz.train(docs.where(~katz.held_out(F.col("doc_id"))))
+    return katz.score(docs, model).select("doc_id", katz.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op8_length_buckets")
+def _(spark, folder):
+    counted = packing.token_counts(documents(spark, folder).select("doc_id", "text"))
+    return packing.packed(counted, "n_tokens").drop("text")
+
+
+@query("op9_language_id")
+def _(spark, folder):
+    docs = documents(spark, folder)
+    held = katz.held_out(F.col("doc_id"), 3)
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_sentencepiece")
+def _(spark, folder):
+    model = pieces.load(spark)
+    coded = pieces.decode(pieces.encode(documents(spark, folder).select("doc_id", "text"), model), model)
+    return coded.select(
+        "doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("bigint").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("restored")
+    )

@@ -28,7 +28,33 @@ def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+# Texts come to Python in batches of so many, whatever they weigh; operators cut them further by bytes.
+BATCH_ROWS = 2_000
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """Makes the package importable in the Python workers."""
+    """Makes the package importable in the Python workers, and their batches small enough for a core's share of memory."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_text(docs: DataFrame, text) -> DataFrame:
+    """The same columns with another text; n_chars follows where the table has it."""
+    docs = docs.withColumn("text", text)
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def row_key():
+    """One number for a document's id and text; rows that agree in both are the same document."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"))
