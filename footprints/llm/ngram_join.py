@@ -27,7 +27,7 @@ GROWTH = 1.5
 # Groups of up to this many sets are compared pair by pair, larger ones with one member at a time.
 PAIRWISE = 8
 # Groups of a family's members with more members than this get references of their own; the others are filtered pair by pair.
-REGROUPED = 1_000
+REGROUPED = 4_000
 # After so many rounds of regrouping, all pairs that are left are compared.
 DEPTH = 6
 BUFFER_ROWS = 500_000
@@ -374,12 +374,15 @@ def _links_of_large(members: DataFrame, docs: DataFrame, n: int, num: int, den:
             break
         degree = members.groupBy("a").agg(F.count("*").alias("degree"))
         best = members.join(degree, "a").groupBy("sig").agg(F.max(F.struct("degree", (-F.col("a")).alias("minus"))).alias("best"))
-        stars = members.join(best.select("sig", (-F.col("best.minus")).alias("ref")), "sig").groupBy("a", "ref").agg(F.count("*").alias("shared"))
-        stars = written(stars, "stars")
+        best = best.select("sig", (-F.col("best.minus")).alias("ref"), F.col("best.degree").alias("top"))
         if depth == 0:
-            # Groups that overlap are of one family, which needs one reference. Later groups are parts of families.
-            family = graph.components(stars.select("a", F.col("ref").alias("b")))
-            stars = written(family.select(F.col("id").alias("a"), F.col("component").alias("ref")).join(degree.withColumnRenamed("degree", "shared"), "a"), "stars")
+            # Groups that overlap are of one family, which needs one reference: that of a group in which their own one is, if it
+            # is in more groups. (Later groups are parts of families, which need references of their own.)
+            for _ in range(2):
+                higher = members.join(best, "sig").groupBy("a").agg(F.max(F.struct("top", (-F.col("ref")).alias("minus"))).alias("higher"))
+                higher = higher.select(F.col("a").alias("ref"), F.col("higher.top").alias("_top"), (-F.col("higher.minus")).alias("_ref"))
+                best = written(best.join(higher, "ref").select("sig", F.col("_ref").alias("ref"), F.col("_top").alias("top")), "best")
+        stars = written(members.join(best, "sig").groupBy("a", "ref").agg(F.count("*").alias("shared")), "stars")
         ranked = stars.withColumn("_rank", F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("shared"), "a"))).where("_rank <= 3")
         wanted = stars.select(F.col("a").alias("doc_id")).distinct()
         texts = written(docs.join(small_or_not(wanted), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")

@@ -36,19 +36,19 @@ _WORD = r"'[^\x20\x09-\x0D]+'"
     f"""
 WITH l AS (SELECT doc_id, unnest(string_split({_TEXT}, chr(10))) AS t, unnest(string_split({_LOWERED}, chr(10))) AS s,
            unnest(range(len(string_split({_TEXT}, chr(10))))) AS i FROM documents),
-w AS (SELECT doc_id, i, t, doc_id * 10000000 + i AS at, regexp_extract_all(s, {_WORD}) AS w FROM l),
+w AS (SELECT doc_id, i, t, doc_id * 10000000 + i AS pos, regexp_extract_all(s, {_WORD}) AS w FROM l),
 k AS (SELECT *, len(w) AS n, array_to_string(w, ' ') AS s FROM w),
-f AS (SELECT s, any_value(w) AS w, any_value(n) AS n, min(at) AS at FROM k WHERE n >= {line_dedup.MIN_WORDS} GROUP BY s),
+f AS (SELECT s, any_value(w) AS w, any_value(n) AS n, min(pos) AS pos FROM k WHERE n >= {line_dedup.MIN_WORDS} GROUP BY s),
 g AS (SELECT * FROM f WHERE n >= {line_dedup.MIN_NEAR_WORDS}),
-p AS (SELECT s, w, at, unnest(range(1, n + 1)) AS j FROM g),
-c AS (SELECT s, at, j, array_to_string(list_concat(list_slice(w, 1, j - 1), list_slice(w, j + 1, len(w))), ' ') AS v FROM p),
-r AS (SELECT v, j, min(at) AS at FROM c GROUP BY v, j),
-m AS (SELECT v, min(at) AS at FROM c GROUP BY v),
-near AS (SELECT c.s FROM c JOIN r ON r.v = c.v AND r.j = c.j WHERE r.at < c.at
-         UNION SELECT c.s FROM c JOIN g ON g.s = c.v WHERE g.at < c.at UNION SELECT g.s FROM g JOIN m ON m.v = g.s WHERE m.at < g.at),
-d AS (SELECT k.doc_id, k.i, k.t, near.s IS NOT NULL AS close, coalesce(near.s IS NOT NULL OR f.at < k.at, false) AS gone
+p AS (SELECT s, w, pos, unnest(range(1, n + 1)) AS j FROM g),
+c AS (SELECT s, pos, j, array_to_string(list_concat(list_slice(w, 1, j - 1), list_slice(w, j + 1, len(w))), ' ') AS v FROM p),
+r AS (SELECT v, j, min(pos) AS pos FROM c GROUP BY v, j),
+m AS (SELECT v, min(pos) AS pos FROM c GROUP BY v),
+near AS (SELECT c.s FROM c JOIN r ON r.v = c.v AND r.j = c.j WHERE r.pos < c.pos
+         UNION SELECT c.s FROM c JOIN g ON g.s = c.v WHERE g.pos < c.pos UNION SELECT g.s FROM g JOIN m ON m.v = g.s WHERE m.pos < g.pos),
+d AS (SELECT k.doc_id, k.i, k.t, near.s IS NOT NULL AS is_near, coalesce(near.s IS NOT NULL OR f.pos < k.pos, false) AS gone
       FROM k LEFT JOIN f ON f.s = k.s AND k.n >= {line_dedup.MIN_WORDS} LEFT JOIN near ON near.s = f.s)
-SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed, CAST(sum(CAST(close AS INT)) AS BIGINT) AS n_near,
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed, CAST(sum(CAST(is_near AS INT)) AS BIGINT) AS n_near,
        md5(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_md5 FROM d GROUP BY doc_id""",
 )
 def _(spark, folder):
