@@ -15,7 +15,6 @@ def lift(annotations: DataFrame, chain_blocks: DataFrame) -> DataFrame:
     One row per chain and gene; a gene of which a coordinate lies in no block of a chain is dropped. Empty coordinates
     stay empty. The larger CDS coordinate is then made exclusive: ``cds_to`` on the plus strand, ``cds_from`` on the minus.
     """
-    chains = chain_blocks.select("chain").distinct()
     long = annotations.select(
         "gene", "seqname",
         F.explode(F.array(*[F.struct(F.lit(c).alias("name"), (F.col(c) - 1).alias("at")) for c in COORDINATES])).alias("x"),
@@ -28,7 +27,7 @@ def lift(annotations: DataFrame, chain_blocks: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("name") == c, F.col("new"))).alias(f"_{c}") for c in COORDINATES],
     )
     wanted = sum((F.col(c).isNotNull().cast("int") for c in COORDINATES), F.lit(0))
-    joined = annotations.crossJoin(chains).join(wide, ["chain", "gene"]).where(F.col("_found") == wanted)
+    joined = annotations.join(wide, "gene").where(F.col("_found") == wanted)
     forward = F.col("_cds_from") < F.col("_cds_to")
     return joined.select(
         "chain", *[c for c in annotations.columns if c not in COORDINATES],

@@ -9,7 +9,7 @@ from footprints import constants as C
 
 def codon_dimension(spark: SparkSession) -> DataFrame:
     """64 rows: codon, index, amino_acid (``*`` for stop), its degeneracy and, for sense codons, the anticodon."""
-    readers = {codon.replace("U", "T"): anti.replace("U", "T") for anti, codons in C.ANTICODONS.items() for codon in codons.split()}
+    readers = {codon.replace("U", "T"): anti.replace("U", "T") for anti, codons in C.ANTICODONS.items() for codon in codons}
     rows = [
         (codon, i, aa, C.AMINO_ACIDS.count(aa), readers.get(codon))
         for i, (codon, aa) in enumerate(C.CODON_TO_AMINO_ACID.items())
@@ -17,6 +17,12 @@ def codon_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "codon string, codon_index int, amino_acid string, degeneracy int, anticodon string")
 
 
+def listed(dimension: DataFrame, limit: int = 10_000) -> DataFrame:
+    """The rows of a dimension, such as the samples, for a broadcast if they are few; otherwise the frame as it is."""
+    rows = dimension.limit(limit + 1).collect()
+    return F.broadcast(dimension.sparkSession.createDataFrame(rows, dimension.schema)) if len(rows) <= limit else dimension
+
+
 def bases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(b, i) for i, b in enumerate(C.BASES)], "base string, base_index int")
 

@@ -7,35 +7,61 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from footprints import constants as C
 from footprints.functions import stats
 from footprints.operators import intervals
+from footprints.session import cut_lineage
 
 
-def descendants(features: DataFrame, max_depth: int = 4) -> DataFrame:
-    """(top_id, id, depth): every feature below each feature that has an id.
+def descendants(features: DataFrame) -> DataFrame:
+    """(top_id, id, depth): every feature below each feature that has an id, however deep.
 
-    Annotation is at most gene, transcript, exon, CDS deep, so the closure is a fixed number of equi-joins.
+    One join per level of the deepest family, each level written to the shared folder. A family that leads back to itself is an
+    error.
     """
-    edges = features.where("parent_id is not null").select("parent_id", "id").distinct()
+    edges = cut_lineage(features.where("parent_id is not null and id is not null").select("parent_id", "id").distinct())
+    most = edges.select("id").distinct().count()
+    step = edges.select(F.col("parent_id").alias("id"), F.col("id").alias("child"))
     level = edges.select(F.col("parent_id").alias("top_id"), "id", F.lit(1).alias("depth"))
-    closure = level
-    for depth in range(2, max_depth + 1):
-        step = edges.select(F.col("parent_id").alias("id"), F.col("id").alias("child"))
-        level = level.join(step, "id").select("top_id", F.col("child").alias("id"), F.lit(depth).alias("depth"))
+    closure, depth = level, 1
+    while True:
+        depth += 1
+        level = cut_lineage(level.join(step, "id").select("top_id", F.col("child").alias("id"), F.lit(depth).alias("depth")).distinct())
+        if level.isEmpty():
+            break
+        if depth > most:
+            raise ValueError("a feature is its own ancestor")
         closure = closure.unionByName(level)
     return closure.groupBy("top_id", "id").agg(F.min("depth").alias("depth"))
 
 
-def with_root(features: DataFrame, max_depth: int = 4) -> DataFrame:
+def _tops(features: DataFrame) -> DataFrame:
+    """(id, top): the feature on top of each feature that has a parent.
+
+    Each round doubles the number of levels climbed. Of several parents of one id the smallest counts.
+    """
+    parents = features.where("parent_id is not null and id is not null").groupBy("id").agg(F.min("parent_id").alias("top"))
+    climbed = cut_lineage(parents)
+    rounds = max(1, climbed.count()).bit_length() + 1
+    for _ in range(rounds):
+        above = climbed.select(F.col("id").alias("_id"), F.col("top").alias("_top"))
+        climbed = cut_lineage(climbed.join(above, F.col("top") == F.col("_id"), "left").select("id", F.coalesce("_top", "top").alias("top"), F.col("_top").isNotNull().alias("_moved")))
+        moved = climbed.where("_moved").select("id", "top")
+        if not moved.where("id = top").isEmpty():
+            raise ValueError("a feature is its own ancestor")
+        climbed = climbed.drop("_moved")
+        if moved.isEmpty():
+            return climbed
+    raise ValueError("a feature is its own ancestor")
+
+
+def with_root(features: DataFrame) -> DataFrame:
     """Adds ``root_id``, the top-level feature above each feature; a top-level one is its own."""
-    parents = features.where("parent_id is not null").groupBy(F.col("id").alias("_id")).agg(F.first("parent_id").alias("_up"))
-    climbed = features.withColumn("root_id", F.coalesce("parent_id", "id"))
-    for _ in range(max_depth - 2):
-        climbed = climbed.join(parents, F.col("root_id") == F.col("_id"), "left").withColumn("root_id", F.coalesce("_up", "root_id")).drop("_id", "_up")
-    return climbed
+    tops = _tops(features).select(F.col("id").alias("_id"), F.col("top").alias("_top"))
+    climbed = features.join(tops, F.col("parent_id") == F.col("_id"), "left")
+    return climbed.withColumn("root_id", F.coalesce("_top", "parent_id", "id")).drop("_id", "_top")
 
 
-def roots(features: DataFrame, max_depth: int = 4) -> DataFrame:
+def roots(features: DataFrame) -> DataFrame:
     """(id, root_id) of every feature with an id."""
-    return with_root(features, max_depth).select("id", "root_id").distinct()
+    return with_root(features).select("id", "root_id").distinct()
 
 
 def unknown_parents(features: DataFrame) -> DataFrame:

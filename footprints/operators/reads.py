@@ -93,10 +93,13 @@ def strip_barcodes(pairs: DataFrame, length: int = C.PAIR_BARCODE_LENGTH) -> Dat
 
 
 def pair_up(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Joins R1 and R2 reads on sample and pair name (the read id without its mate suffix)."""
+    """Joins R1 and R2 reads on sample and pair name (the read id without its mate suffix). A read without its mate is an error;
+    ``unpaired`` lists those."""
     name = F.regexp_replace("read_id", r"[/ ][12].*$", "")
-    side = lambda df, r: df.select("sample", name.alias("pair_id"), F.col("seq").alias(f"{r}_seq"), F.col("qual").alias(f"{r}_qual"))
-    return side(first, "r1").join(side(second, "r2"), ["sample", "pair_id"])
+    side = lambda df, r: df.select("sample", name.alias("pair_id"), F.col("seq").alias(f"{r}_seq"), F.col("qual").alias(f"{r}_qual"), F.lit(True).alias(f"_{r}"))
+    both = side(first, "r1").join(side(second, "r2"), ["sample", "pair_id"], "full")
+    whole = F.col("_r1").isNotNull() & F.col("_r2").isNotNull()
+    return both.withColumn("_ok", F.assert_true(whole, F.concat(F.lit("no mate for "), F.col("pair_id"))).isNull()).where("_ok").drop("_ok", "_r1", "_r2")
 
 
 def unpaired(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -349,7 +349,10 @@ def _(t):
 
 def sgd_features(t):
     """The first shape of the annotation: CDS below mRNA without exons; some genes with an intron in the 5' UTR."""
-    f = t.features.where("feature in ('gene', 'mRNA', 'CDS')").select("seqname", "feature", "id", "parent_id", "start", "end", "strand")
+    mrna = F.concat(F.regexp_extract("id", "^g[0-9]+", 0), F.lit("_mRNA"))
+    f = t.features.where("feature in ('gene', 'mRNA', 'CDS')").select(
+        "seqname", "feature", "id", F.when(F.col("feature") == "CDS", mrna).otherwise(F.col("parent_id")).alias("parent_id"), "start", "end", "strand"
+    )
     introns = f.where("feature = 'mRNA' and (start div 600) % 3 = 0").select(
         "seqname", F.lit("five_prime_UTR_intron").alias("feature"), F.concat("id", F.lit("_i")).alias("id"), F.col("id").alias("parent_id"),
         F.when(F.col("strand") == "+", F.col("start") + 10).otherwise(F.col("end") - 20).alias("start"),
@@ -361,7 +364,7 @@ def sgd_features(t):
 @query(
     "J10_add_exons",
     """
-WITH f AS (SELECT seqname, feature, id, parent_id, "start" AS s, "end" AS e, strand, regexp_extract(id, '^g[0-9]+') AS gene_id
+WITH f AS (SELECT seqname, feature, id, CASE WHEN feature = 'CDS' THEN regexp_extract(id, '^g[0-9]+') || '_mRNA' ELSE parent_id END AS parent_id, "start" AS s, "end" AS e, strand, regexp_extract(id, '^g[0-9]+') AS gene_id
            FROM features WHERE feature IN ('gene', 'mRNA', 'CDS')),
 i AS (SELECT seqname, 'intron' AS feature, id || '_i' AS id, id AS parent_id, CASE WHEN strand = '+' THEN s + 10 ELSE e - 20 END AS s,
         CASE WHEN strand = '+' THEN s + 20 ELSE e - 10 END AS e, strand, gene_id FROM f WHERE feature = 'mRNA' AND (s // 600) % 3 = 0),

@@ -29,11 +29,16 @@ def boundaries(t):
     return U.call_boundaries(counting.models(t), five, three)
 
 
-_BOUNDARIES = """
+def _genomic(t: str) -> str:
+    """The position of transcript coordinate t on two exons, 150 bases and the rest, with 30 bases between them."""
+    return f"""CASE WHEN strand = '+' THEN "start" + {t} + CASE WHEN {t} >= 150 THEN 30 ELSE 0 END ELSE "end" - {t} - CASE WHEN {t} >= "end" - "start" - 179 THEN 30 ELSE 0 END END"""
+
+
+_BOUNDARIES = f"""
 WITH f AS (SELECT gene, min(rel) AS rel FROM (SELECT *, max(n) OVER (PARTITION BY gene) AS top FROM five_window WHERE sample = 'A') WHERE n = top GROUP BY gene),
 h AS (SELECT gene, min(rel) AS rel FROM (SELECT *, max(n) OVER (PARTITION BY gene) AS top FROM three_window WHERE sample = 'R') WHERE n = top GROUP BY gene),
-b AS (SELECT g.gene, g.seqname, g.strand, a.p AS five_pos, c.p AS three_pos FROM genes g LEFT JOIN f ON f.gene = g.gene LEFT JOIN h ON h.gene = g.gene
-  JOIN coordinate_map a ON a.gene = g.gene AND a.t = g.start_codon_t + COALESCE(f.rel, 0) JOIN coordinate_map c ON c.gene = g.gene AND c.t = g.stop_codon_t + COALESCE(h.rel, 3)) """
+t AS (SELECT g.*, start_codon_t + COALESCE(f.rel, 0) AS t5, stop_codon_t + COALESCE(h.rel, 3) AS t3 FROM genes g LEFT JOIN f ON f.gene = g.gene LEFT JOIN h ON h.gene = g.gene),
+b AS (SELECT gene, seqname, strand, {_genomic("t5")} AS five_pos, {_genomic("t3")} AS three_pos FROM t) """
 
 
 @query("A47_call_boundaries", _BOUNDARIES + "SELECT * FROM b")

@@ -192,7 +192,7 @@ def _(t):
 
 
 _WOBBLE = " UNION ALL ".join(
-    f"SELECT '{codon[2]}' AS third_base, '{anti[0]}' AS first_base, '{codon.replace('U', 'T')}' AS codon" for anti, codons in C.ANTICODONS.items() for codon in codons.split()
+    f"SELECT '{codon[2]}' AS third_base, '{anti[0]}' AS first_base, '{codon.replace('U', 'T')}' AS codon" for anti, codons in C.ANTICODONS.items() for codon in codons
 )
 
 

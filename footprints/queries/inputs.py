@@ -14,8 +14,6 @@ from footprints.queries.registry import VIEWS, Tables
 
 GENOME_CHUNK = 600
 SEQUENCES = 5
-# Tables from whose rows much is derived.
-SPREAD = ("documents", "lineitem")
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _AS_BASES = "TCAGTCAGTCAGTCAGTCAGTCAGTC"
 NON_STOP_TEXT = "".join(C.NON_STOP_CODONS)
@@ -23,15 +21,6 @@ ALL_CODONS_TEXT = "".join(C.ALL_CODONS)
 
 
 class Inputs(Tables):
-    def table(self, name: str) -> DataFrame:
-        df = super().table(name)
-        return self.spread(df) if name in SPREAD else df
-
-    def spread(self, df: DataFrame) -> DataFrame:
-        """A table that comes as fewer files than there are cores is dealt out to all of them."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
     # ---- reads: every document's letters as bases, cut into consecutive fragments -------------
     @cached_property
     def fragments(self) -> DataFrame:
@@ -138,7 +127,7 @@ class Inputs(Tables):
 
     @cached_property
     def features(self) -> DataFrame:
-        """Genes with mRNA, exon and CDS descendants; a shifted second set of ncRNA genes gives overlaps."""
+        """Genes with mRNA, exon and CDS descendants, one CDS six levels deep; a shifted second set of ncRNA genes gives overlaps."""
         b = F.expr("(p_partkey div 5) * 600")
         part = self.table("part").withColumn("b", b)
         strand = F.when(F.col("p_size") % 2 == 0, "+").otherwise("-")
@@ -166,7 +155,10 @@ class Inputs(Tables):
             row(F.lit("exon"), F.concat(gene_id, F.lit("_e1")), mrna_id, F.col("b") + 60, F.col("b") + 209, strand),
             row(F.lit("exon"), F.concat(gene_id, F.lit("_e2")), mrna_id, F.col("b") + 240, last, strand),
             row(F.lit("CDS"), F.concat(gene_id, F.lit("_c1")), mrna_id, F.col("b") + 90, F.col("b") + 209, strand),
-            row(F.lit("CDS"), F.concat(gene_id, F.lit("_c2")), mrna_id, F.col("b") + 240, last - 57, strand),
+            row(F.lit("segment"), F.concat(gene_id, F.lit("_s1")), mrna_id, F.col("b") + 240, last - 50, strand),
+            row(F.lit("segment"), F.concat(gene_id, F.lit("_s2")), F.concat(gene_id, F.lit("_s1")), F.col("b") + 240, last - 52, strand),
+            row(F.lit("segment"), F.concat(gene_id, F.lit("_s3")), F.concat(gene_id, F.lit("_s2")), F.col("b") + 240, last - 54, strand),
+            row(F.lit("CDS"), F.concat(gene_id, F.lit("_c2")), F.concat(gene_id, F.lit("_s3")), F.col("b") + 240, last - 57, strand),
             row(nc_type, nc_id, none, shift, shift + 40 + F.col("p_size"), nc_strand),
             row(F.lit("noncoding_exon"), F.concat(nc_id, F.lit("_e1")), nc_id, shift, shift + 40 + F.col("p_size"), nc_strand),
         )
@@ -185,7 +177,7 @@ class Inputs(Tables):
             ),
             "",
         )
-        return self.spread(self.table("part")).select((F.col("p_partkey") % SEQUENCES).alias("seqname"), chunk.alias("chunk"), seq.alias("seq"))
+        return self.table("part").select((F.col("p_partkey") % SEQUENCES).alias("seqname"), chunk.alias("chunk"), seq.alias("seq"))
 
     # ---- dense counts per codon and per position, from events ------------------------------------
     @cached_property
@@ -281,7 +273,10 @@ FROM (SELECT seqname, unnest([
   {{'feature': 'exon', 'id': gid || '_e1', 'parent_id': gid || '_mRNA', 's': b + 60, 'e': b + 209, 'strand': strand, 'cls': NULL}},
   {{'feature': 'exon', 'id': gid || '_e2', 'parent_id': gid || '_mRNA', 's': b + 240, 'e': last, 'strand': strand, 'cls': NULL}},
   {{'feature': 'CDS', 'id': gid || '_c1', 'parent_id': gid || '_mRNA', 's': b + 90, 'e': b + 209, 'strand': strand, 'cls': NULL}},
-  {{'feature': 'CDS', 'id': gid || '_c2', 'parent_id': gid || '_mRNA', 's': b + 240, 'e': last - 57, 'strand': strand, 'cls': NULL}},
+  {{'feature': 'segment', 'id': gid || '_s1', 'parent_id': gid || '_mRNA', 's': b + 240, 'e': last - 50, 'strand': strand, 'cls': NULL}},
+  {{'feature': 'segment', 'id': gid || '_s2', 'parent_id': gid || '_s1', 's': b + 240, 'e': last - 52, 'strand': strand, 'cls': NULL}},
+  {{'feature': 'segment', 'id': gid || '_s3', 'parent_id': gid || '_s2', 's': b + 240, 'e': last - 54, 'strand': strand, 'cls': NULL}},
+  {{'feature': 'CDS', 'id': gid || '_c2', 'parent_id': gid || '_s3', 's': b + 240, 'e': last - 57, 'strand': strand, 'cls': NULL}},
   {{'feature': nct, 'id': nid, 'parent_id': NULL, 's': sh, 'e': she, 'strand': ncs, 'cls': NULL}},
   {{'feature': 'noncoding_exon', 'id': nid || '_e1', 'parent_id': nid, 's': sh, 'e': she, 'strand': ncs, 'cls': NULL}}]) AS r
 FROM (SELECT p_partkey % 5 AS seqname, {_B} AS b, {_B} + 329 + 3 * p_size AS last,

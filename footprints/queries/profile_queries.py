@@ -22,7 +22,7 @@ SELECT gene, start_codon_t, m.* FROM (SELECT gene, start_codon_t, unnest([
   {'landmark': 'end', 'origin': transcript_length - start_codon_t, 'lo': -cds, 'hi': 330, 'ulo': -cds, 'uhi': 0}]) AS m FROM lonely)""",
         "landmark_counts": """
 SELECT p.sample, p.key, p.n, p.pos - m.origin AS rel, m.* FROM position_counts p JOIN marked m ON m.gene = p.gene
-WHERE p.read_end = 'five' AND p.key IN ('all', '28', '30')""",
+WHERE p.read_end = 'five'""",
         "gene_densities": """
 SELECT sample, key, landmark, gene, ulo, uhi, sum(n) / (uhi - ulo) AS density FROM landmark_counts WHERE rel >= ulo AND rel < uhi GROUP BY sample, key, landmark, gene, ulo, uhi""",
         "metagene_raw": """
@@ -37,7 +37,6 @@ GROUP BY ALL HAVING sum(actual) > 0 OR sum(enr) > 0 OR sum(elig) > 0""",
         "rel_genes": "SELECT gene, CAST(max(pos) + 1 - 5 AS INTEGER) AS cds_length FROM positions GROUP BY gene",
     }
 )
-KEYS = ["all", "28", "30"]
 
 
 def isolated(t):
@@ -50,7 +49,7 @@ def isolated(t):
 
 
 def five_prime_counts(t):
-    return counting.position_counts(t).where(F.col("key").isin(KEYS) & (F.col("read_end") == "five")).drop("read_end")
+    return counting.position_counts(t).where("read_end = 'five'").drop("read_end")
 
 
 def metagene(t):
@@ -142,7 +141,7 @@ def _(t):
     "A19_metanucleotide",
     """
 SELECT p.sample, p.key, i.codon, CAST(p.pos - 3 * i.codon_idx AS INTEGER) AS "offset", CAST(sum(p.n) AS BIGINT) AS n
-FROM identities i JOIN position_counts p ON p.gene = i.gene AND p.read_end = 'five' AND p.key IN ('all', '28', '30') AND p.pos - 3 * i.codon_idx BETWEEN -50 AND 49
+FROM identities i JOIN position_counts p ON p.gene = i.gene AND p.read_end = 'five' AND p.pos - 3 * i.codon_idx BETWEEN -50 AND 49
 WHERE i.codon_idx >= 0 AND i.codon_idx <= num_codons AND 3 * i.codon_idx >= 50 AND 3 * i.codon_idx <= 3 * num_codons + 3 - 50 GROUP BY ALL""",
 )
 def _(t):

@@ -288,17 +288,14 @@ def _(t):
 @query(
     "F27_reverse_complement",
     """
-SELECT sample, left(reverse(translate(seq, 'ACGTN', 'TGCAN')), 4) AS first_bases, left(translate(seq, 'ACGTN', 'TGCAN'), 4) AS complement_bases,
-       count(*) AS n FROM reads GROUP BY ALL""",
+SELECT sample, reverse(translate(seq, 'ACGTN', 'TGCAN')) AS reverse_complement, translate(seq, 'ACGTN', 'TGCAN') AS complement, count(*) AS n FROM reads GROUP BY ALL""",
 )
 def _(t):
     s = F.col("seq")
-    return t.reads.groupBy(
-        "sample", F.substring(S.reverse_complement(s), 1, 4).alias("first_bases"), F.substring(S.complement(s), 1, 4).alias("complement_bases")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    return t.reads.groupBy("sample", S.reverse_complement(s).alias("reverse_complement"), S.complement(s).alias("complement")).agg(F.count(F.lit(1)).alias("n"))
 
 
-MARKERS = ["".join(x) for x in (["TCAGTTCAGGATCAAGTCATTGACCAGTCATG"], [C.SMRNA_LINKER], ["A" * 50])]
+MARKERS = ["TCAGTTCAGGATCAAGTCATTGACCAGTCATG", C.SMRNA_LINKER, "A" * 50]
 
 
 @query(
@@ -312,7 +309,14 @@ def _(t):
     return trimmed.groupBy("sample", R.synthetic_hits(trimmed, MARKERS).alias("synthetic"), "length").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("F31_synthetic_overlaps")
+@query(
+    "F31_synthetic_overlaps",
+    f"""
+WITH s AS (SELECT DISTINCT seq FROM reads), m AS (SELECT unnest([{", ".join(f"'{m}'" for m in MARKERS)}]) AS marker),
+x AS (SELECT seq, marker, k, greatest(0, -k) AS lo, least(length(seq), length(marker) - k) AS hi FROM s, m, range(-49, 50) r(k)),
+y AS (SELECT seq, bool_or(CASE WHEN hi - lo > 10 THEN hamming(substr(seq, lo + 1, hi - lo), substr(marker, lo + k + 1, hi - lo)) <= 2 END) AS hit FROM x WHERE hi - lo > 10 GROUP BY seq)
+SELECT sample, COALESCE(hit, false) AS synthetic, count(*) AS n FROM reads LEFT JOIN y ON y.seq = reads.seq GROUP BY ALL""",
+)
 def _(t):
     return R.synthetic_overlaps(t.reads, MARKERS).groupBy("sample", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
@@ -386,10 +390,22 @@ def _(t):
     return qc.yield_report(h, d).withColumn("fraction", F.round("fraction", 6))
 
 
-@query("A45_triplets_at_codon")
+LOCI = [("locus_1", "TCAGGTCAATCGGACTTGACCATGACTT", "GATCAGTTACGGATCATTGACCAGTCAA"), ("locus_2", "A" * 28, "T" * 28)]
+
+
+@query(
+    "A45_triplets_at_codon",
+    f"""
+WITH s AS (SELECT DISTINCT seq FROM reads), c AS (SELECT * FROM (VALUES {", ".join(f"('{name}', '{left}NNN{right}')" for name, left, right in LOCI)}) v(locus, target)),
+x AS (SELECT seq, locus, target, k, greatest(0, -k) AS lo, least(length(seq), length(target) - k) AS hi FROM s, c, range(-49, 59) r(k)),
+y AS (SELECT *, hi - lo AS overlap, CASE WHEN hi - lo >= 20 THEN hamming(substr(seq, lo + 1, hi - lo), substr(target, lo + k + 1, hi - lo)) END - greatest(0, least(hi + k, 31) - greatest(lo + k, 28)) AS miss
+      FROM x WHERE hi - lo >= 20),
+z AS (SELECT seq, locus, 28 - arg_max(k, (2 * overlap - 3 * miss) * 1000 - k) AS place FROM y WHERE miss <= 14 AND 2 * overlap >= 3 * miss GROUP BY seq, locus)
+SELECT sample, locus, substr(reads.seq, CAST(place + 1 AS BIGINT), 3) AS triplet, count(*) AS n FROM reads JOIN z ON z.seq = reads.seq
+WHERE place >= 3 AND length(reads.seq) - 1 - (place + 2) >= 3 GROUP BY ALL""",
+)
 def _(t):
-    contexts = [("locus_1", "TCAGGTCAATCGGACTTGACCATGACTT", "GATCAGTTACGGATCATTGACCAGTCAA"), ("locus_2", "A" * 28, "T" * 28)]
-    return R.triplets_at(t.reads, contexts, 20, 14)
+    return R.triplets_at(t.reads, LOCI, 20, 14)
 
 
 @query(

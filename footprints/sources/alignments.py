@@ -77,12 +77,16 @@ def coordinate_sorted(alignments: DataFrame, partitions: int | None = None) -> D
 
 
 def write_sorted(alignments: DataFrame, path: str) -> None:
+    """Coordinate-sorted Parquet, and beside it, where readers of the folder do not look, the longest span of each sequence."""
     coordinate_sorted(alignments).write.mode("overwrite").parquet(path)
+    written = alignments.sparkSession.read.parquet(path)
+    written.groupBy("seqname").agg(F.max(F.col("aend") - F.col("pos")).alias("longest")).write.mode("overwrite").parquet(f"{path}/_longest")
 
 
-def read_region(spark: SparkSession, path: str, seqname, start: int, end: int, longest: int) -> DataFrame:
-    """Alignments that overlap [start, end); ``longest`` bounds their span, so that the start filter reaches the scan."""
+def read_region(spark: SparkSession, path: str, seqname, start: int, end: int) -> DataFrame:
+    """Alignments that overlap [start, end). The sequence's longest span bounds where they begin, so that the filter reaches the scan."""
     a = spark.read.parquet(path)
+    longest = spark.read.parquet(f"{path}/_longest").where(F.col("seqname") == seqname).agg(F.max("longest")).first()[0] or 0
     return a.where((F.col("seqname") == seqname) & (F.col("pos") < end) & (F.col("pos") > start - longest) & (F.col("aend") > start))
 
 

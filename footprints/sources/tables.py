@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_positions(counts: DataFrame, path: str) -> None:
-    """(sample, gene, read_end, key, pos, n) as Parquet by sample and key; each folder sorted by gene and position."""
-    counts.repartition("sample", "key", F.pmod(F.xxhash64("gene"), F.lit(16))).sortWithinPartitions("sample", "key", "gene", "pos").write.mode(
-        "overwrite"
-    ).partitionBy("sample", "key").parquet(path)
+    """(sample, gene, read_end, key, pos, n) as Parquet by sample and key; files sorted by gene and position.
+
+    Rows are dealt out by sample and key, and Spark splits a folder that is larger than a task should be.
+    """
+    dealt = counts.hint("rebalance", F.col("sample"), F.col("key"))
+    dealt.sortWithinPartitions("sample", "key", "gene", "pos").write.mode("overwrite").partitionBy("sample", "key").parquet(path)
 
 
 def read_positions(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:

@@ -269,3 +269,28 @@ def test_landmark_check(spark):
     a = spark.createDataFrame([("g", 1, 2), ("h", 1, 2)], "gene string, start int, stop int")
     b = spark.createDataFrame([("g", 1, 2), ("h", 1, 3)], "gene string, start int, stop int")
     assert [r.gene for r in algebra.check_landmarks(a, b, ["start", "stop"]).collect()] == ["h"]
+
+
+def test_families_of_any_depth(spark):
+    chain = [(f"f{i}", f"f{i - 1}" if i else None) for i in range(9)] + [("g", None)]
+    df = spark.createDataFrame(chain, "id string, parent_id string")
+    below = {(r.top_id, r.id): r.depth for r in X.descendants(df).collect()}
+    assert below == {(f"f{i}", f"f{j}"): j - i for i in range(9) for j in range(i + 1, 9)}
+    assert {r.id: r.root_id for r in X.with_root(df).collect()} == {f"f{i}": "f0" for i in range(9)} | {"g": "g"}
+    loop = spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b"), ("d", "a")], "id string, parent_id string")
+    for closure in (X.descendants, X.with_root):
+        with pytest.raises(ValueError, match="its own ancestor"):
+            closure(loop).collect()
+
+
+def test_samples_are_broadcast_and_not_multiplied(spark):
+    genes = spark.createDataFrame([("g", 10, 40)], "gene string, start_codon_t int, stop_codon_t int")
+    hits = spark.createDataFrame([("s", "g", "five", "all", 0, 3)], "sample string, gene string, read_end string, key string, pos bigint, n bigint")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = counts.read_counts(hits, genes, hits.select("sample").distinct())
+        assert "CartesianProduct" not in table._jdf.queryExecution().executedPlan().toString()
+        assert [(r.gene, r.n) for r in table.collect()] == [("g", 3)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -1,5 +1,6 @@
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 
 from footprints.operators import reads as R
@@ -29,10 +30,46 @@ def test_pairs_and_orphans(spark):
     schema = "sample string, read_id string, seq string, qual string"
     first = spark.createDataFrame([("s", "x/1", "A", "I"), ("s", "y/1", "C", "I")], schema)
     second = spark.createDataFrame([("s", "x/2", "G", "I"), ("s", "z/2", "T", "I")], schema)
-    assert [(r.pair_id, r.r1_seq, r.r2_seq) for r in R.pair_up(first, second).collect()] == [("x", "A", "G")]
+    same = spark.createDataFrame([("s", "x/2", "G", "I"), ("s", "y/2", "T", "I")], schema)
+    assert sorted((r.pair_id, r.r1_seq, r.r2_seq) for r in R.pair_up(first, same).collect()) == [("x", "A", "G"), ("y", "C", "T")]
+    with pytest.raises(Exception, match="no mate for"):
+        R.pair_up(first, second).collect()
     assert sorted((r.pair_id, r.mate) for r in R.unpaired(first, second).collect()) == [("y", 1), ("z", 2)]
 
 
+def test_malformed_fastq_raises(spark, tmp_path):
+    whole = fastq_text(6)
+    bad = {
+        "no quality": whole + "@r\nACGT\n+\n", "no plus": whole + "@r\nACGT\n", "short quality": whole + "@r\nACGT\n+\nII\n",
+        "no header": "r\nACGT\n+\nIIII\n" + whole, "not FASTQ": "ACGT\n" * 40,
+    }
+    for i, text in enumerate(bad.values()):
+        for name in (f"bad{i}.fastq", f"bad{i}.fastq.gz"):
+            folder = tmp_path / name.replace(".", "_")
+            folder.mkdir()
+            with (gzip.open if name.endswith("gz") else open)(folder / name, "wt") as f:
+                f.write(text)
+            for size in (50, 1 << 20):
+                with pytest.raises(Exception, match="no whole FASTQ record"):
+                    Q.read_fastq(spark, str(folder), size).collect()
+
+
+def test_mate_files(spark, tmp_path):
+    for name in ("a_1.fastq", "a_2.fastq", "b1.fq"):
+        (tmp_path / name).write_text(fastq_text(3))
+    with pytest.raises(ValueError, match="without a mate: b"):
+        Q.read_mates(spark, str(tmp_path))
+    (tmp_path / "b2.fq").write_text(fastq_text(3))
+    first, second = Q.read_mates(spark, str(tmp_path))
+    assert sorted((r.sample, r.pair_id) for r in R.pair_up(first, second).collect()) == [(s, f"r{i}") for s in ("a_", "b") for i in range(3)]
+
+
+def test_long_alignments_are_found_in_their_region(spark, tmp_path):
+    df = spark.createDataFrame([("c", 100, 10100), ("c", 5500, 5600), ("c", 7000, 7100), ("d", 0, 90000)], "seqname string, pos long, aend long").withColumn("strand", F.lit("+"))
+    A.write_sorted(df, str(tmp_path / "sorted"))
+    assert sorted(r.pos for r in A.read_region(spark, str(tmp_path / "sorted"), "c", 5000, 6000).collect()) == [100, 5500]
+
+
 def test_quality_offsets(spark):
     df = spark.createDataFrame([("a", "r", "AC", "hB"), ("b", "r", "AC", "I#")], "file string, read_id string, seq string, qual string")
     fixed = {r.file: r.qual for r in Q.to_sanger(df, Q.quality_offsets(df)).collect()}
