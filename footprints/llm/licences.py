@@ -93,16 +93,19 @@ SENTENCE_END = r"([.!?;:])\s+"
 OTHER = "[^a-z0-9]+"
 
 
-def sentence_ids(text: Column) -> Column:
-    """The identifiers of the known sentences of a text, in order; other sentences leave no trace."""
-    lowered = F.translate(text, UPPER, LOWER)
-    table = F.create_map(*[x for name, forms in SENTENCES.items() for form in forms for x in (F.lit(form), F.lit(name))])
+def may_hold(lowered: Column) -> Column:
+    """Whether a text in lower case holds a hint of any known sentence."""
     hint = F.lit(False)
     for word in HINTS:
         hint = hint | F.contains(lowered, F.lit(word))
-    parts = F.split(F.regexp_replace(lowered, SENTENCE_END, "$1\n"), "\n")
-    named = F.array_compact(F.transform(parts, lambda s: F.try_element_at(table, F.trim(F.regexp_replace(s, OTHER, " ")))))
-    return F.when(hint, named).otherwise(F.array().cast("array<string>"))
+    return hint
+
+
+def sentence_ids(text: Column) -> Column:
+    """The identifiers of the known sentences of a text, in order; other sentences leave no trace."""
+    table = F.create_map(*[x for name, forms in SENTENCES.items() for form in forms for x in (F.lit(form), F.lit(name))])
+    parts = F.split(F.regexp_replace(F.translate(text, UPPER, LOWER), SENTENCE_END, "$1\n"), "\n")
+    return F.array_compact(F.transform(parts, lambda s: F.try_element_at(table, F.trim(F.regexp_replace(s, OTHER, " ")))))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -113,7 +116,9 @@ def scanned(docs: DataFrame) -> DataFrame:
     several times is listed once. A null or empty text, or one without known sentences, has empty lists; repeated rows get equal
     answers, and other columns are ignored.
     """
-    found = docs.select("doc_id", F.coalesce(sentence_ids(F.coalesce("text", F.lit(""))), F.array().cast("array<string>")).alias("sentence_ids"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hinted = texts.withColumn("_lower", F.lower("text")).select("doc_id", "text", may_hold(F.col("_lower")).alias("_hint"))
+    found = hinted.select("doc_id", F.when(F.col("_hint"), sentence_ids(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     some = F.size("sentence_ids") > 0
     # Each identifier between blanks of its own, so that a sequence is a substring.
     found = found.withColumn("_rest", F.when(some, F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))))

@@ -46,12 +46,10 @@ def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[
     best = [0] + [lengths[j - 1] * c[j] - t[j] for j in range(1, n + 1)]
     back = [[0] * (n + 1)]
     for b in range(2, min(buckets, n) + 1):
-        layer, source = best[:], list(range(n + 1))
+        layer, source = best[:], [-1] * (n + 1)
         hull: list[int] = []
         at = 0
         value = lambda i, x: best[i] + t[i] - x * c[i]
-        previous = back[-1]
-        source = [-1] * (n + 1)
         for j in range(1, n + 1):
             i = j - 1
             if i >= b - 1:
@@ -74,8 +72,6 @@ def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[
                 layer[j], source[j] = made, hull[at]
         back.append(source)
         best = layer
-        if source[n] == -1 and previous[n] == -1 and b > 2:
-            pass
     bounds, j, b = [], n, len(back)
     while j > 0:
         while b > 1 and back[b - 1][j] == -1:
@@ -91,14 +87,16 @@ def packed(docs: DataFrame, n_tokens: str, buckets: int = BUCKETS, batch_tokens:
 
     Buckets are numbered from 0 by rising bound; a batch is numbered within its bucket and holds as many documents as fit into
     ``batch_tokens`` at the bucket's bound, one at least. Documents longer than a batch are buckets of their own, one for each
-    such length, without padding, and have a batch each. In a bucket documents come by length, then by a hash of doc_id and
-    text; repeated rows follow each other. Documents without tokens are bucket -1: batch and slot are null, nothing is padded.
+    such length, without padding, and have a batch each. In a bucket documents come by length, then by a hash of doc_id and text
+    (or text_hash); repeated rows follow each other. Documents without tokens are bucket -1: batch and slot are null, nothing is padded.
     Any length up to ``batch_tokens`` can occur in the histogram, and no other, so the driver gets that many rows at most.
     Columns of the same names are replaced.
     """
     docs = docs.drop("bucket", "bound", "padding", "batch", "slot")
     n, mix, run, place = (fresh(docs, c) for c in ("_n", "_mix", "_run", "_place"))
-    known = docs.withColumn(n, F.col(n_tokens)).withColumn(mix, F.xxhash64("doc_id", "text"))
+    same = [c for c in ("doc_id", "text", "text_hash") if c in docs.columns]
+    # Needed three times, and counting tokens is dear.
+    known = written(docs.withColumn(n, F.col(n_tokens)).withColumn(mix, F.xxhash64(*same)), "lengths")
     histogram = known.where((F.col(n) > 0) & (F.col(n) <= batch_tokens)).groupBy(n).agg(F.count("*").alias("count")).toPandas().sort_values(n)
     lengths, counts = histogram[n].tolist(), histogram["count"].tolist()
     bounds = optimal_bounds(lengths, counts, buckets)

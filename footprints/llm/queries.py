@@ -153,7 +153,7 @@ def _(spark, folder):
 @query("op8_length_buckets")
 def _(spark, folder):
     counted = packing.token_counts(documents(spark, folder).select("doc_id", "text"))
-    return packing.packed(counted, "n_tokens").drop("text")
+    return packing.packed(counted.select("doc_id", F.xxhash64("text").alias("text_hash"), "n_tokens"), "n_tokens").drop("text_hash")
 
 
 @query("op9_language_id")
