@@ -431,29 +431,59 @@ def _rare_table(unigrams: DataFrame, least: int, buckets: int) -> DataFrame:
     return unigrams.where(F.col("c") < least).select("w", "c").mapInArrow(run, _BLOCK_SCHEMA)
 
 
+_SUMS_SCHEMA = "part long, a binary, b binary"
+
+
+class _Sums:
+    """Sums by text: n_tokens, n_known, base and score, and the doc_id where it is known. As blocks, rows of neighbouring texts."""
+
+    def __init__(self):
+        self.held: list[list[np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.held.append(list(columns))
+        self.rows += len(columns[0])
+
+    def merge(self) -> list[np.ndarray]:
+        rid = np.concatenate([h[0] for h in self.held])
+        order = np.argsort(rid, kind="stable")
+        rid = rid[order]
+        first = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
+        rest = [np.concatenate([h[i] for h in self.held])[order] for i in range(1, 6)]
+        merged = [rid[first], np.maximum.reduceat(rest[0], first), *(np.add.reduceat(x, first) for x in rest[1:])]
+        self.held, self.rows = [merged], len(first)
+        return merged
+
+    def blocks(self) -> pa.RecordBatch:
+        """A row for each run of up to 16,384 neighbouring texts."""
+        columns = self.merge()
+        part = columns[0] >> 14
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
+        rows = []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            numbers = b"".join(len(x).to_bytes(4, "big") + x for x in (_pack(c[i:j]) for c in columns[:4]))
+            rows.append({"part": int(part[i]), "a": numbers, "b": columns[4][i:j].tobytes() + columns[5][i:j].tobytes()})
+        self.held, self.rows = [], 0
+        return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary())]))
+
+    def read(self, row: dict) -> None:
+        columns, rest = [], row["a"]
+        while rest:
+            size = int.from_bytes(rest[:4], "big")
+            columns.append(_unpack(rest[4 : 4 + size]))
+            rest = rest[4 + size :]
+        half = len(columns[0]) * 8
+        self.add(*columns, np.frombuffer(row["b"][:half]), np.frombuffer(row["b"][half:]))
+
+
 def _answers(blocks: DataFrame, shared: Broadcast) -> DataFrame:
-    """(rid, doc_id, n_tokens, n_known, base, score): parts of each text's sums. Blocks come sorted by bucket, tables first."""
+    """Blocks of parts of each text's sums. What goes in comes sorted by bucket, tables first."""
 
     def run(batches):
         model = shared.value
         bucket, tables = None, {}
-        held: list[list[np.ndarray]] = []
-        rows_held = 0
-
-        def flush():
-            nonlocal held, rows_held
-            rid = np.concatenate([h[0] for h in held])
-            order = np.argsort(rid, kind="stable")
-            rid = rid[order]
-            first = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
-            joined = [np.concatenate([h[i] for h in held])[order] for i in range(1, 6)]
-            sums = [np.maximum.reduceat(joined[0], first), *(np.add.reduceat(x, first) for x in joined[1:])]
-            held, rows_held = [[rid[first], *sums]], len(first)
-
-        def emit():
-            rid, ids, tokens, known, base, score = held[0]
-            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(ids, mask=ids == _NO_ID), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], names=["rid", "doc_id", "n_tokens", "n_known", "base", "score"])
-
+        sums = _Sums()
         for batch in batches:
             for row in batch.to_pylist():
                 if row["bucket"] != bucket:
@@ -466,7 +496,7 @@ def _answers(blocks: DataFrame, shared: Broadcast) -> DataFrame:
                     rid, tokens, known = (_unpack(row[c]) for c in "abc")
                     size = len(rid) * 8
                     ids, base, score = np.frombuffer(row["d"][:size], np.int64), np.frombuffer(row["d"][size : 2 * size]), np.frombuffer(row["d"][2 * size :])
-                    held.append([rid, ids, tokens, known, base, score])
+                    sums.add(rid, ids, tokens, known, base, score)
                 else:
                     for k in (TABLE, RARE):
                         if isinstance(tables[k], list):
@@ -483,20 +513,42 @@ def _answers(blocks: DataFrame, shared: Broadcast) -> DataFrame:
                         value = np.empty(len(key))
                         value[seen] = model.log_seen(r[seen], v[seen])
                         value[~seen] = model.log_unseen(v[~seen], w[~seen])
-                        held.append([rid, no_id, none, none, zero, np.bincount(doc, value * n, size)])
+                        sums.add(rid, no_id, none, none, zero, np.bincount(doc, value * n, size))
                     else:
-                        held.append([rid, no_id, none, np.bincount(doc[seen], n[seen], size).astype(np.int64), np.bincount(doc, _base(r, model) * n, size), zero])
-                rows_held += len(held[-1][0])
-                if rows_held > 1_000_000:
-                    flush()
-                    if rows_held > 500_000:
-                        yield emit()
-                        held, rows_held = [], 0
-        if held:
-            flush()
-            yield emit()
+                        sums.add(rid, no_id, none, np.bincount(doc[seen], n[seen], size).astype(np.int64), np.bincount(doc, _base(r, model) * n, size), zero)
+                if sums.rows > 1_000_000:
+                    sums.merge()
+                    if sums.rows > 500_000:
+                        yield sums.blocks()
+        if sums.rows:
+            yield sums.blocks()
+
+    return blocks.mapInArrow(run, _SUMS_SCHEMA)
+
+
+def _added_up(blocks: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base, score) of each text from its parts, which come sorted."""
+
+    def out(sums: _Sums) -> pa.RecordBatch:
+        _, ids, tokens, known, base, score = sums.merge()
+        columns = [pa.array(ids, mask=ids == _NO_ID), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base", "score"])
+
+    def run(batches):
+        part, sums = None, _Sums()
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    if sums.rows:
+                        yield out(sums)
+                    part, sums = row["part"], _Sums()
+                sums.read(row)
+                if sums.rows > 1_000_000:
+                    sums.merge()
+        if sums.rows:
+            yield out(sums)
 
-    return blocks.mapInArrow(run, "rid long, doc_id long, n_tokens long, n_known long, base double, score double")
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -514,8 +566,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     # Fewer parts than buckets: every part answers for each text once.
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(model.buckets / 2))
     dealt = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    parts_of = _answers(dealt, shared)
-    sums = parts_of.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    return sums.select(
+    return _added_up(_answers(dealt, shared)).select(
         "doc_id", "n_tokens", "n_known", F.lit(model.local.tokens).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score"
     )
