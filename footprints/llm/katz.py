@@ -32,7 +32,7 @@ VOCABULARY = 1 << 18
 HOT_SHARE = 1 / (1 << 16)
 # Counts up to this are discounted.
 SELDOM = 5
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_500_000
 BUCKET_TOKENS = 1_500_000
 _NO_ID = np.iinfo(np.int64).min
 _CONTEXTS = np.int64(1 << 20)
