@@ -26,6 +26,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _K = np.uint64(0x9E3779B97F4A7C15)
+_SIEVE_BITS = 20
+# Different units that a task remembers.
+_KNOWN_UNITS = 500_000
 
 
 def _fields(data: bytes):
@@ -63,6 +66,7 @@ class Pieces:
     keys: np.ndarray  # sorted hashes of the pieces that texts can hold
     key_ids: np.ndarray
     key_scores: np.ndarray
+    sieve: np.ndarray  # by a hash's first bits: whether any key has them
     byte_ids: np.ndarray
     unknown: int
     unknown_score: float
@@ -91,6 +95,8 @@ class Pieces:
         usable = [i for i, k in enumerate(kinds) if k == NORMAL]
         keys = np.array([int(_hash_one(names[i])) for i in usable], np.uint64)
         order = np.argsort(keys)
+        sieve = np.zeros(1 << _SIEVE_BITS, bool)
+        sieve[(keys >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)] = True
         byte_ids = np.full(256, -1)
         for i in np.flatnonzero(kinds == BYTE):
             byte_ids[int(names[i][3:5], 16)] = i
@@ -101,7 +107,7 @@ class Pieces:
         units_of = re.compile(f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" + (f"|[{apart}]+" if apart else ""))
         coded = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else bytes([int(n[3:5], 16)]) if k == BYTE else n.encode() for n, k in zip(names, kinds)]
         return cls(
-            names, kinds, keys[order], np.array(usable)[order], np.array([scores[i] for i in usable])[order], byte_ids,
+            names, kinds, keys[order], np.array(usable)[order], np.array([scores[i] for i in usable])[order], sieve, byte_ids,
             int(np.flatnonzero(kinds == UNKNOWN)[0]), min(scores[i] for i in usable) - UNKNOWN_PENALTY, max(len(names[i]) for i in usable), units_of, add_prefix, coded,
         )
 
@@ -135,16 +141,15 @@ class Pieces:
             low = max(0, end - self.longest)
             hashes[end - 1] = 0
             hashes[low:end] = (hashes[low:end] + chars[end - 1] + np.uint64(1)) * _K
-            at, found = _find(self.keys, mix(hashes[low:end]))
-            score = np.where(found, self.key_scores[at], -np.inf)
-            score[-1] = np.where(found[-1], score[-1], self.unknown_score)
+            score, ids = self._looked_up(mix(hashes[low:end]))
+            score[-1] = np.where(ids[-1] >= 0, score[-1], self.unknown_score)
             total = best[low:end] + score
             # The longest of equally good last pieces is the first row.
             pick = total.argmax(axis=0)
             columns = np.arange(n)
             best[end] = total[pick, columns]
             came[end] = low + pick
-            piece[end] = np.where(found[pick, columns], self.key_ids[at[pick, columns]], -1)
+            piece[end] = ids[pick, columns]
         out: list[list[int]] = [[] for _ in range(n)]
         at = np.full(n, size)
         columns = np.arange(n)
@@ -157,6 +162,16 @@ class Pieces:
             at[live] = begins
         return [self._bytes(unit, ids[::-1]) for unit, ids in zip(units, out)]
 
+    def _looked_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of substrings by their hashes; -inf and -1 for those that are no pieces, as most are: a sieve tells."""
+        flat = hashes.ravel()
+        some = np.flatnonzero(self.sieve[(flat >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)])
+        at, found = _find(self.keys, flat[some])
+        score, ids = np.full(len(flat), -np.inf), np.full(len(flat), -1, np.int32)
+        some, at = some[found], at[found]
+        score[some], ids[some] = self.key_scores[at], self.key_ids[at]
+        return score.reshape(hashes.shape), ids.reshape(hashes.shape)
+
     def _bytes(self, unit: str, ids: list[int]) -> list[int]:
         if min(ids) >= 0:
             return ids
@@ -203,17 +218,17 @@ def encode(docs: DataFrame, model: Pieces) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, bytes] = {}
         for batch in batches:
             for part in parts_of(batch, limit=8 << 20):
                 texts = [model.units(t) if t is not None else None for t in part.column("text").to_pylist()]
-                if len(known) > 300_000:
+                if len(known) > _KNOWN_UNITS:
                     known.clear()
-                new = list({u for t in texts if t for u in t if u not in known})
-                known.update(zip(new, (np.array(x, np.int32) for x in model.encode_units(new))))
-                flat = [known[u] for t in texts if t for u in t]
-                values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-                sizes = [sum(len(known[u]) for u in t) if t else 0 for t in texts]
+                new = list(set().union(*filter(None, texts)) - known.keys())
+                known.update(zip(new, (np.array(x, np.int32).tobytes() for x in model.encode_units(new))))
+                coded = [b"".join(map(known.__getitem__, t)) if t else b"" for t in texts]
+                values = np.frombuffer(b"".join(coded), np.int32)
+                sizes = [len(c) // 4 for c in coded]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(offsets, pa.array(values))], names=[*names, "piece_ids"])
 
