@@ -27,19 +27,18 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 KINDS = ["email", "iban", "date", "ssn", "ip", "phone", "card", "secret"]
 
 # Forms; what stands around them must not continue them. Runs are bounded or possessive, so that no text takes long.
-FORMS = re.compile(
-    r"""
-    (?P<email>(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-]))
-  | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-  | (?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\4[0-9]{4})(?![0-9]|[./-][0-9]))
-  | (?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9]))
-  | (?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))
-  | (?P<phone>(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9]))
-  | (?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))
-  | (?P<secret>(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z]))
-    """,
-    re.VERBOSE,
-)
+_FORMS = [
+    r"(?P<email>(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-]))",
+    r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))",
+    r"(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?P<point>[./])[0-9]{2}(?P=point)[0-9]{4})(?![0-9]|[./-][0-9]))",
+    r"(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9]))",
+    r"(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))",
+    r"(?P<phone>(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9]))",
+    r"(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))",
+    r"(?P<secret>(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z]))",
+]
+FORMS = re.compile("|".join(_FORMS))
+FORM = {kind: re.compile(form) for kind, form in zip(KINDS, _FORMS)}
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
@@ -100,6 +99,16 @@ def _regrouped(text: str, plain: str) -> str:
     return "".join(next(rest) if c.isalnum() else c for c in text)
 
 
+def _in_case_of(text: str, plain: str) -> str:
+    """``plain`` in the case of the letters of ``text`` at the same places; digits go with the letter before them, or the first one."""
+    upper = next(c for c in text if c.isalpha()).isupper()
+    out = []
+    for old, new in zip(text, plain):
+        upper = old.isupper() if old.isalpha() else upper
+        out.append(new.upper() if upper else new)
+    return "".join(out)
+
+
 @lru_cache(100_000)
 def pseudonym(kind: str, text: str, key: bytes) -> str | None:
     """What the value becomes, or null if it is not valid for its kind."""
@@ -151,26 +160,36 @@ def pseudonym(kind: str, text: str, key: bytes) -> str | None:
             return None
         body = str(permuted(int(digits[:-1]), 10 ** (len(digits) - 1), key, "card")).zfill(len(digits) - 1)
         return _regrouped(text, body + str(-luhn(body + "0") % 10))
-    if not (re.search("[0-9]", text) and re.search("[a-f]", text)):
+    if not (re.search("[0-9]", text) and re.search("[A-Fa-f]", text)):
         return None
-    return f"{permuted(int(text, 16), 16 ** len(text), key, 'secret'):0{len(text)}x}"
+    return _in_case_of(text, f"{permuted(int(text, 16), 16 ** len(text), key, 'secret'):0{len(text)}x}")
+
+
+def _valid(kind: str, text: str, start: int, key: bytes) -> tuple[str, int, str] | None:
+    """(kind, end, pseudonym) of the first valid value that begins at ``start``, from ``kind`` on in the order of kinds."""
+    for kind in KINDS[KINDS.index(kind) :]:
+        if match := FORM[kind].match(text, start):
+            value = pseudonym(kind, match.group(), key)
+            if value is not None:
+                return kind, match.end(), value
+    return None
 
 
 def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with pseudonyms, and (kind, start, end, pseudonym) of each; lengths may change only where an address of numbers does."""
     out, spans, done, at = [], [], 0, 0
     while match := FORMS.search(text, at):
-        kind = match.lastgroup
-        value = pseudonym(kind, match.group(), key)
-        if value is None:
-            # Another kind may begin within what was no valid value of this one.
+        found = _valid(match.lastgroup, text, match.start(), key)
+        if found is None:
+            # Another value may begin within what was no valid one.
             at = match.start() + 1
             while at < match.end() and text[at - 1].isalnum() and text[at].isalnum():
                 at += 1
             continue
+        kind, end, value = found
         out += [text[done : match.start()], value]
-        spans.append((kind, match.start(), match.end(), value))
-        done = at = match.end()
+        spans.append((kind, match.start(), end, value))
+        done = at = end
     return "".join([*out, text[done:]]), spans
 
 
@@ -182,7 +201,7 @@ def pseudonymised(docs: DataFrame, key: bytes = DEMONSTRATION_KEY) -> DataFrame:
     """The documents with pseudonyms in their texts, and ``pii``: kind, start and end in the old text, and pseudonym of each value.
 
     Found are mail addresses, IBANs, dates from 1900 to 2099, social security numbers, IPv4 addresses, telephone numbers, card
-    numbers and hexadecimal secrets; numbers that fail validation stay. At equal places the kinds go first in that order, and
+    numbers and hexadecimal secrets in either case; numbers that fail validation stay. At equal places the kinds go first in that order, and
     values do not overlap. A null text stays null, with no values. A value may be its own pseudonym once in N cases, as in any
     permutation. A column ``pii`` of the documents is replaced; all others stay.
     """
@@ -207,7 +226,7 @@ def pseudonymised(docs: DataFrame, key: bytes = DEMONSTRATION_KEY) -> DataFrame:
 
 
 # Every form holds a digit or an at sign.
-_HINT = re.compile("[0-9@]|[a-f]{32}")
+_HINT = re.compile("[0-9@]|[A-Fa-f]{32}")
 
 
 def without_personal_data(docs: DataFrame, key: bytes = DEMONSTRATION_KEY) -> DataFrame:

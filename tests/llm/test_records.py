@@ -247,3 +247,16 @@ def test_pieces_are_the_best_segmentation(spark):
 
 def library_mark(text):
     return ("▁" + text.replace(" ", "▁")) if text else ""
+
+
+def test_hexadecimal_secrets_in_either_case():
+    # The second begins as an IBAN does, the third as a card number.
+    for secret in ("0a9f" * 10, "ab12" * 8, "1234567890123" + "ab" * 10):
+        new = P.replaced(f"x {secret} y", KEY)[0][2:-2]
+        assert new != secret and new == new.lower() and len(new) == len(secret)
+        assert P.replaced(f"KEY: {secret.upper()}.", KEY)[0] == f"KEY: {new.upper()}."
+        mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(secret))
+        out, spans = P.replaced(mixed, KEY)
+        assert [s[0] for s in spans] == ["secret"] and out.lower() == new
+        assert all(a.isupper() == b.isupper() for a, b in zip(mixed, out) if a.isalpha() and b.isalpha())
+    assert P.replaced("A" * 40, KEY) == ("A" * 40, [])
