@@ -26,6 +26,16 @@ DEMONSTRATION_KEY = b"not a secret"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 KINDS = ["email", "iban", "date", "ssn", "ip", "phone", "card", "secret"]
 
+# Characters of an IBAN by country; others are found too, the longest valid one first.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 "
+        "IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 "
+        "TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
+
 # Forms; what stands around them must not continue them. Runs are bounded or possessive, so that no text takes long.
 _FORMS = [
     r"(?P<email>(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-]))",
@@ -165,13 +175,26 @@ def pseudonym(kind: str, text: str, key: bytes) -> str | None:
     return _in_case_of(text, f"{permuted(int(text, 16), 16 ** len(text), key, 'secret'):0{len(text)}x}")
 
 
+def _ends(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Where a value of this form may end, the longest first: forms in groups may have taken in groups of what follows, such as a date."""
+    if kind not in ("iban", "card"):
+        return [end]
+    ends = [end, *(i for i in range(end - 1, start, -1) if not text[i].isalnum())]
+    lengths = {i: sum(c.isalnum() for c in text[start:i]) for i in ends}
+    if kind == "card":
+        return [i for i in ends if lengths[i] >= 13]
+    # The length that the country has goes first.
+    return sorted((i for i in ends if lengths[i] >= 15), key=lambda i: lengths[i] != IBAN_LENGTHS.get(text[start : start + 2]))
+
+
 def _valid(kind: str, text: str, start: int, key: bytes) -> tuple[str, int, str] | None:
     """(kind, end, pseudonym) of the first valid value that begins at ``start``, from ``kind`` on in the order of kinds."""
     for kind in KINDS[KINDS.index(kind) :]:
         if match := FORM[kind].match(text, start):
-            value = pseudonym(kind, match.group(), key)
-            if value is not None:
-                return kind, match.end(), value
+            for end in _ends(kind, text, start, match.end()):
+                value = pseudonym(kind, text[start:end], key)
+                if value is not None:
+                    return kind, end, value
     return None
 
 

@@ -260,3 +260,17 @@ def test_hexadecimal_secrets_in_either_case():
         assert [s[0] for s in spans] == ["secret"] and out.lower() == new
         assert all(a.isupper() == b.isupper() for a, b in zip(mixed, out) if a.isalpha() and b.isalpha())
     assert P.replaced("A" * 40, KEY) == ("A" * 40, [])
+
+
+def test_cards_and_ibans_ahead_of_other_groups():
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    for value, kind, after in [
+        (card, "card", " 12/27"), (card, "card", " 123"), (card.replace(" ", ""), "card", " 12/27"), (card.replace(" ", "-"), "card", "-123"), (card, "card", " 1 2 3"),
+        (iban, "iban", " BANK"), (iban.replace(" ", ""), "iban", " EUR 20"), (iban, "iban", " EURO ZONE"), ("BE68 5390 0754 7034", "iban", " A GOOD BANK"),
+    ]:
+        alone = P.pseudonym(kind, value, KEY)
+        assert P.replaced(f"pay {value}{after}.", KEY) == (f"pay {alone}{after}.", [(kind, 4, 4 + len(value), alone)])
+    # What follows belongs to the value if it is valid with it only.
+    longer = "4111 1111 1111 1111 " + next(f"{i:03d}" for i in range(10) if P.luhn(f"4111111111111111{i:03d}") == 0)
+    assert P.replaced(longer, KEY)[1][0][:3] == ("card", 0, len(longer))
+    assert P.replaced("4111 1111 1111 1112 12/27", KEY)[1] == []
