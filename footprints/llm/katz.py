@@ -1,8 +1,8 @@
 """Katz backoff bigram model: Good-Turing discounted counts, exactly normalised backoff weights.
 
-Words are lower-cased runs between white space; a text ends with one end token, and its first word's context is the start. The
-vocabulary is the most frequent training words, at most VOCABULARY of them; every other word is one unknown word, with the
-training count of all words left out or, if none is, the mass that Good-Turing takes from the seen ones.
+Words are lower-cased runs between white space; a text ends with one end token, and its first word's context is the start. Every
+training word is a word of the model, whatever their number; words not seen in training are one unknown word, with the mass that
+Good-Turing takes from the seen ones. A caller may cap the vocabulary; all words left out are the unknown word then, with their count.
 
 P(w|v) = d(r) r / c(v) where the bigram was seen r times, else alpha(v) P(w); P(w) = d(c) c / N. alpha(v) is the mass that the
 discounts free after v, over the probability of all words not seen after v, so that P(.|v) sums to 1. If no word after v was seen
@@ -10,7 +10,11 @@ seldom enough to free any, its counts give 1 / (c(v) + 1) of their mass.
 
 Bigram counts lie in tables cut into buckets by the bigram's hash, as sorted numbers in compressed blocks. Scoring deals a text's
 bigrams out to the buckets and adds the answers up by text. Bigrams so frequent that a bucket would get them from most texts are
-few by definition (HOT_SHARE) and are answered from memory instead, as are single words of the vocabulary.
+few by definition (HOT_SHARE) and are answered from memory instead, as are the IN_MEMORY most frequent words.
+
+Bigrams with a word that is not in memory, called far, are keyed by a hash of both words' hashes. A text's score is first added up
+as if none of its far bigrams had been seen, which takes one number for each word, alpha(w) P(w); those that were seen are put
+right by a number for each bigram, so that no bigram has to be asked for twice.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from footprints.llm.storage import prepared, written
 from footprints.llm.text import Words, mix, pieces
 
-VOCABULARY = 1 << 18
+# Words whose counts the driver and every task hold; those of all others lie in tables.
+IN_MEMORY = 1 << 18
 # A bigram with this share of all training tokens is hot; there cannot be more than its inverse.
 HOT_SHARE = 1 / (1 << 16)
 # Counts up to this are discounted.
@@ -36,7 +41,9 @@ CHUNK_TOKENS = 1_500_000
 BUCKET_TOKENS = 1_500_000
 _NO_ID = np.iinfo(np.int64).min
 _CONTEXTS = np.int64(1 << 20)
-TABLE, RARE, QUERY, RARE_QUERY, DIRECT = range(5)
+TABLE, RARE, FAR_TABLE, QUERY, RARE_QUERY, FAR_QUERY, DIRECT, FAR = range(8)
+HELD_ROWS = 200_000
+_START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
 def held_out(doc_id: Column, parts: int = 5) -> Column:
@@ -64,6 +71,20 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _merged_pairs(v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((w, v))
+    v, w, counts = v[order], w[order], counts[order]
+    if not len(v):
+        return v, w, counts
+    first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+    return v[first], w[first], np.add.reduceat(counts, first)
+
+
+def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One number for the hashes of two words."""
+    return mix(v.view(np.uint64) * np.uint64(0xD1342543DE82EF95) + mix(w.view(np.uint64))).view(np.int64)
+
+
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each key stands, and whether it is there."""
     if not len(sorted_keys):
@@ -90,6 +111,37 @@ def _by_bucket(keys: np.ndarray, buckets: int):
             yield b, order[cuts[b] : cuts[b + 1]]
 
 
+def _dealt(batches, buckets: int, kind: int, integers: int):
+    """Blocks of rows whose first column is the key, the last one numbers with fractions."""
+    held, rows = [], 0
+
+    def flush():
+        columns = [np.concatenate(c) for c in zip(*held)]
+        out = []
+        for b, at in _by_bucket(columns[0], buckets):
+            out.append(_block(b, kind, *(c[at] for c in columns[:integers])) | {"d": columns[-1][at].tobytes()})
+        return pa.RecordBatch.from_pylist(out, schema=_BLOCK_ARROW)
+
+    for columns in batches:
+        held.append(columns)
+        rows += len(columns[0])
+        if rows > HELD_ROWS:
+            yield flush()
+            held, rows = [], 0
+    if rows:
+        yield flush()
+
+
+def _rows(batch):
+    """One row at a time, as blocks are large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _numpy(batch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+
+
 # ---- discounts --------------------------------------------------------------------------------
 def discounts(n: list[int]) -> np.ndarray:
     """d(0..SELDOM) from n[r], the number of events seen r times, r = 1..SELDOM + 1: Good-Turing in Katz's form.
@@ -115,7 +167,10 @@ def discounts(n: list[int]) -> np.ndarray:
 
 @dataclass
 class Unigrams:
-    """What every task holds: the vocabulary by rising hash, its counts and probabilities. Ids: places, then unknown, end, start."""
+    """What every task holds: the words in memory by rising hash, their counts and probabilities. Ids: places, then unknown, end, start.
+
+    If ``open``, words out of memory are words of their own, which lie in tables; else they are the unknown word.
+    """
 
     words: np.ndarray
     counts: np.ndarray
@@ -123,6 +178,9 @@ class Unigrams:
     types: int
     texts: int
     log_p: np.ndarray  # of the ids up to end
+    open: bool = True
+    d_word: np.ndarray | None = None  # what p_of needs
+    shrink: float = 1.0
     hot: np.ndarray | None = None
     hot_counts: np.ndarray | None = None
     d: np.ndarray | None = None
@@ -134,6 +192,20 @@ class Unigrams:
     def unknown(self) -> int:
         return len(self.words)
 
+    def p_of(self, c: Column) -> Column:
+        """The probability of a word out of memory by its count."""
+        seldom = F.element_at(F.array(*[F.lit(float(x)) for x in self.d_word[1:]]), F.least(c, F.lit(SELDOM)).cast("int"))
+        return c * F.when(c <= SELDOM, seldom).otherwise(1.0) * (self.shrink / max(self.tokens, 1))
+
+    def is_far(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return (v == self.unknown) | (w == self.unknown) if self.open else np.zeros(len(v), bool)
+
+    def ids_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of words, start and end by their hashes; -1 for words out of memory."""
+        hashes = hashes.view(np.uint64)
+        at, known = _find(self.words, hashes)
+        return np.where(known, at, np.where(hashes == _END, self.unknown + 1, np.where(hashes == _START, self.unknown + 2, -1)))
+
     def log_seen(self, r: np.ndarray, v: np.ndarray) -> np.ndarray:
         return np.log10(r * self.d[np.where(r > SELDOM, 0, r)]) - self.log_context[v] + self.log_scale[v]
 
@@ -145,17 +217,21 @@ class Unigrams:
         at, known = _find(self.words, words.hash)
         word = np.where(known, at, self.unknown)
         texts = len(words.begin) - 1
-        counts = words.counts
         doc = np.concatenate([words.doc, np.arange(texts)])
         place = np.concatenate([np.arange(len(word)), np.full(texts, -1)])
-        w = np.concatenate([word, np.full(texts, self.unknown + 1)])
-        start = self.unknown + 2
-        before = np.empty(len(word), np.int64)
-        if len(word):
-            before[1:] = word[:-1]
-            before[words.begin[:-1][counts > 0]] = start
-        last = np.where(counts > 0, word[np.maximum(words.begin[1:] - 1, 0)] if len(word) else start, start)
-        return np.concatenate([before, last]), w, doc, place
+        v, w = _neighbours(words, word, self.unknown + 1, self.unknown + 2)
+        return v, w, doc, place
+
+
+def _neighbours(words: Words, word: np.ndarray, end, start) -> tuple[np.ndarray, np.ndarray]:
+    """What stands before each token, and the token: of all words of all texts, then of each text's end."""
+    counts = words.counts
+    before = np.empty(len(word), word.dtype)
+    if len(word):
+        before[1:] = word[:-1]
+        before[words.begin[:-1][counts > 0]] = start
+    last = np.where(counts > 0, word[np.maximum(words.begin[1:] - 1, 0)], start) if len(word) else np.full(len(counts), start, word.dtype)
+    return np.concatenate([before, last]), np.concatenate([word, np.full(len(counts), end, word.dtype)])
 
 
 # ---- training ---------------------------------------------------------------------------------
@@ -188,42 +264,41 @@ def _unigram_table(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def _unigrams(table: DataFrame, texts: int, vocabulary: int) -> tuple[Unigrams, int]:
-    """The model's single words, and the least count of a word of the vocabulary."""
-    # Counts in bins of a twelfth of a power of two: some hundred rows whatever the corpus.
+def _unigrams(table: DataFrame, texts: int, vocabulary: int | None, in_memory: int) -> tuple[Unigrams, int]:
+    """The model's single words, and the least count of a word in memory."""
+    # Counts in bins of a twelfth of a power of two: some hundred rows whatever the corpus. Counts up to SELDOM + 1 have bins of their own.
     size = F.floor(F.log2("c") * 12)
-    bins = table.groupBy(size.alias("bin")).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.min("c").alias("least")).collect()
+    bins = table.groupBy(size.alias("bin")).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.min("c").alias("least"), F.max("c").alias("most")).collect()
     types, tokens = sum(b["n"] for b in bins), sum(b["c"] for b in bins)
-    room, least = vocabulary, 1
-    for b in sorted(bins, key=lambda b: -b["bin"]):
-        if b["n"] > room:
-            break
-        room -= b["n"]
-        least = b["least"]
-    else:
-        least = 1
-    if bins and types > vocabulary and least == 1:
-        least = max(b["least"] for b in bins) + 1
-    chosen = table.where(F.col("c") >= least).toPandas()  # at most ``vocabulary`` rows
+    room, least = in_memory if vocabulary is None else vocabulary, 1
+    if types > room:
+        least = max(b["most"] for b in bins) + 1
+        for b in sorted(bins, key=lambda b: -b["bin"]):
+            if b["n"] > room:
+                break
+            room -= b["n"]
+            least = b["least"]
+    chosen = table.where(F.col("c") >= least).toPandas()  # at most as many rows as there was room for
     words = chosen["w"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
     words, counts = words[order], chosen["c"].to_numpy(np.int64)[order]
     total = tokens + texts
     events = np.concatenate([counts, [total - texts - counts.sum(), texts]]).astype(float)
-    if events[-2] == 0:
-        n = [0] + [int((np.append(counts, texts) == r).sum()) for r in range(1, SELDOM + 2)]
+    d, shrink = None, 1.0
+    if vocabulary is None or events[-2] == 0:
+        small = {b["least"]: b["n"] for b in bins}
+        n = [0] + [small.get(r, 0) + (texts == r) for r in range(1, SELDOM + 2)]
         d = discounts(n)
-        small = np.where(events > SELDOM, 0, events).astype(int)
-        p = events * np.where(events > SELDOM, 1.0, d[small]) / max(total, 1)
-        left = 1 - p.sum()
+        left = sum(n[r] * r * (1 - d[r]) for r in range(1, SELDOM + 1)) / max(total, 1)
         if left <= 1e-15:
-            p, left = p * total / (total + 1), 1 / (total + 1)
+            shrink, left = total / (total + 1), 1 / (total + 1)
+        p = events * np.where(events > SELDOM, 1.0, d[np.where(events > SELDOM, 0, events).astype(int)]) * shrink / max(total, 1)
         p[-2] = left
     else:
         p = events / total
     with np.errstate(divide="ignore"):
         log_p = np.log10(p)
-    return Unigrams(words, counts, total, types + (texts > 0), texts, log_p), least
+    return Unigrams(words, counts, total, types + (texts > 0), texts, log_p, vocabulary is None or least == 1, d, shrink), least
 
 
 def _accumulated(batches, needed: list[str]):
@@ -232,9 +307,10 @@ def _accumulated(batches, needed: list[str]):
     for batch in batches:
         for piece in pieces(batch):
             words = Words(piece.column("text"))
-            words.data = None
+            words.data = words.start = words.end = None
             held.append((words, [piece.column(c) for c in needed]))
             tokens += len(words.hash) + piece.num_rows
+            words = None
             if tokens >= CHUNK_TOKENS:
                 yield held
                 held, tokens = [], 0
@@ -243,51 +319,137 @@ def _accumulated(batches, needed: list[str]):
 
 
 def _bigram_table(train: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
-    """(bucket, kind TABLE, bigrams, counts): one block a bucket, the bigrams sorted."""
+    """(bucket, kind TABLE, bigrams, counts), the bigrams sorted, and (bucket, kind FAR, v, w, counts): one block of each a bucket."""
 
     def count(batches):
         model = shared.value
         for chunk in _accumulated(batches, []):
-            keys, counts = [], []
-            for words, _ in chunk:
+            keys, counts, pairs = [], [], []
+            while chunk:
+                words, _ = chunk.pop(0)
                 v, w, _, _ = model.ids(words)
-                k, c = np.unique(v * _CONTEXTS + w, return_counts=True)
+                far = model.is_far(v, w)
+                k, c = np.unique((v * _CONTEXTS + w)[~far], return_counts=True)
                 keys.append(k)
                 counts.append(c)
+                before, word = _neighbours(words, words.hash, _END, _START)
+                pairs.append((before[far].view(np.int64), word[far].view(np.int64)))
             k, c = _merged(np.concatenate(keys), np.concatenate(counts))
-            yield pa.RecordBatch.from_pylist([_block(b, TABLE, k[rows], c[rows]) for b, rows in _by_bucket(k, buckets)], schema=_BLOCK_ARROW)
+            out = [_block(b, TABLE, k[rows], c[rows]) for b, rows in _by_bucket(k, buckets)]
+            v, w = (np.concatenate(x) for x in zip(*pairs))
+            v, w, c = _merged_pairs(v, w, np.ones(len(v), np.int64))
+            for b, rows in _by_bucket(_pair_key(v, w), buckets):
+                rows = np.sort(rows)
+                out.append(_block(b, FAR, v[rows], w[rows], c[rows]))
+            yield pa.RecordBatch.from_pylist(out, schema=_BLOCK_ARROW)
 
     def merge(batches):
-        def out(bucket, keys, counts):
-            k, c = _merged(np.concatenate(keys), np.concatenate(counts))
-            return pa.RecordBatch.from_pylist([_block(bucket, TABLE, k, c)], schema=_BLOCK_ARROW)
-
-        bucket, keys, counts = None, [], []
+        def out(bucket, near, far):
+            blocks = []
+            if near:
+                blocks.append(_block(bucket, TABLE, *_merged(*(np.concatenate(x) for x in zip(*near)))))
+            if far:
+                blocks.append(_block(bucket, FAR, *_merged_pairs(*(np.concatenate(x) for x in zip(*far)))))
+            return pa.RecordBatch.from_pylist(blocks, schema=_BLOCK_ARROW)
+
+        bucket, near, far = None, [], []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if bucket is not None and row["bucket"] != bucket:
-                    yield out(bucket, keys, counts)
-                    keys, counts = [], []
+                    yield out(bucket, near, far)
+                    near, far = [], []
                 bucket = row["bucket"]
-                keys.append(_unpack(row["a"]))
-                counts.append(_unpack(row["b"]))
-        if keys:
-            yield out(bucket, keys, counts)
+                if row["kind"] == TABLE:
+                    near.append((_unpack(row["a"]), _unpack(row["b"])))
+                else:
+                    far.append((_unpack(row["a"]), _unpack(row["b"]), _unpack(row["c"])))
+        if near or far:
+            yield out(bucket, near, far)
 
     blocks = train.select("text").mapInArrow(count, _BLOCK_SCHEMA)
     return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, _BLOCK_SCHEMA)
 
 
+_SUMS = ["total", *(f"n{r}" for r in range(1, SELDOM + 1)), "seen"]
+
+
+def _far_bigrams(bigrams: DataFrame, rare: DataFrame, shared: Broadcast) -> DataFrame:
+    """(v, w, r, vi, pw) of every far bigram: the hashes, the count, the id of v or -1, and P(w). ``rare``: (_w, _p) of words out of memory."""
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            for row in _rows(batch):
+                v, w, r = (_unpack(row[c]) for c in "abc")
+                vi, wi = model.ids_of(v), model.ids_of(w)
+                p = np.where(wi < 0, 0.0, 10 ** model.log_p[np.minimum(wi, model.unknown + 1)])
+                for i in range(0, len(v), 100_000):
+                    cut = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (v, w, r, vi, wi, p)], names=["v", "w", "r", "vi", "wi", "p"])
+
+    far = bigrams.where(F.col("kind") == FAR).mapInArrow(run, "v long, w long, r long, vi long, wi long, p double")
+    # One of the two words is out of memory, so that none of these keys is frequent.
+    found = far.join(rare, F.when(F.col("wi") < 0, F.col("w")).otherwise(F.col("v")) == F.col("_w"), "left")
+    return found.select("v", "w", "r", "vi", F.when(F.col("wi") < 0, F.col("_p")).otherwise(F.col("p")).alias("pw"))
+
+
+def _weights(sums: list[np.ndarray], d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 of c(v), alpha(v) and the scale of the seen words after v, from _SUMS; 0 for contexts not seen."""
+    total, seen = sums[0], sums[-1]
+    known = total > 0
+    freed = sum(sums[r] * (1 - d[r]) * r for r in range(1, SELDOM + 1))
+    scale = np.where(freed > 0, 1.0, total / (total + 1))
+    mass = np.where(freed > 0, freed / np.maximum(total, 1), 1 / (total + 1))
+    # Nothing unseen is left if every event followed v; then there is nothing to back off to either.
+    unseen = np.maximum(1 - seen, 0)
+    some = known & (unseen > 1e-12)
+    with np.errstate(divide="ignore"):
+        return (
+            np.where(known, np.log10(np.maximum(total, 1)), 0.0), np.where(some, np.log10(mass / np.maximum(unseen, 1e-12)), 0.0),
+            np.where(some, np.log10(scale), 0.0),
+        )
+
+
+def _rare_contexts(contexts: DataFrame, shared: Broadcast) -> DataFrame:
+    """(_v, log_context, log_alpha, log_scale) of the contexts out of memory."""
+
+    def run(batches):
+        for batch in batches:
+            weights = _weights(_numpy(batch, *_SUMS), shared.value.d)
+            yield pa.RecordBatch.from_arrays([batch.column("v"), *map(pa.array, weights)], names=["_v", "log_context", "log_alpha", "log_scale"])
+
+    return contexts.where("vi < 0").select("v", *_SUMS).mapInArrow(run, "_v long, log_context double, log_alpha double, log_scale double")
+
+
+def _far_table(far: DataFrame, contexts: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
+    """Blocks of the far bigrams' keys and what each has to be put right by: log10 P(w|v) - alpha(v) P(w)."""
+
+    def run(batches):
+        model = shared.value
+
+        def rows():
+            for batch in batches:
+                v, w, r, vi, pw, context, alpha, scale = _numpy(batch, "v", "w", "r", "vi", "pw", "log_context", "log_alpha", "log_scale")
+                near = vi >= 0
+                context, alpha, scale = (np.where(near, mine[vi], x) for mine, x in ((model.log_context, context), (model.log_alpha, alpha), (model.log_scale, scale)))
+                yield _pair_key(v, w), np.log10(r * model.d[np.where(r > SELDOM, 0, r)]) - context + scale - alpha - np.log10(pw)
+
+        yield from _dealt(rows(), buckets, FAR_TABLE, 1)
+
+    joined = far.join(contexts, F.when(F.col("vi") < 0, F.col("v")).otherwise(F.col("w")) == F.col("_v"), "left")
+    return joined.select("v", "w", "r", "vi", "pw", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("log_context", "log_alpha", "log_scale")]).mapInArrow(run, _BLOCK_SCHEMA)
+
+
 def _context_sums(table: DataFrame, shared: Broadcast) -> DataFrame:
     """(v, total, n1..n5, seen): by context, the tokens, the bigrams seen 1 to 5 times and the probability of all words seen."""
-    names = ["v", "total", *(f"n{r}" for r in range(1, SELDOM + 1)), "seen"]
+    names = ["v", *_SUMS]
 
     def run(batches):
         model = shared.value
         size = model.unknown + 3
         sums = np.zeros((SELDOM + 2, size))
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 key, r = _unpack(row["a"]), _unpack(row["b"])
                 v, w = key // _CONTEXTS, key % _CONTEXTS
                 sums[0] += np.bincount(v, r, size)
@@ -306,7 +468,7 @@ def _hot(table: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 key, r = _unpack(row["a"]), _unpack(row["b"])
                 yield pa.RecordBatch.from_arrays([pa.array(key[r >= least]), pa.array(r[r >= least])], names=["key", "r"])
 
@@ -317,7 +479,7 @@ def _counts_of_counts(table: DataFrame) -> list[int]:
     def run(batches):
         n = np.zeros(SELDOM + 2, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 r = _unpack(row["b"])
                 n += np.bincount(np.minimum(r, SELDOM + 2), minlength=SELDOM + 3)[: SELDOM + 2]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SELDOM + 2)), pa.array(n)], names=["r", "n"])
@@ -328,51 +490,65 @@ def _counts_of_counts(table: DataFrame) -> list[int]:
 
 @dataclass
 class Model:
-    unigrams: DataFrame  # (w, c), every training word
-    bigrams: DataFrame  # blocks
-    least: int
+    near: DataFrame  # blocks of the bigrams of words in memory
+    far: DataFrame | None  # blocks of the others, if there are any
+    rare: DataFrame  # (w, c, value): words out of memory, their counts and log10 of alpha(w) P(w)
     buckets: int
     local: Unigrams
 
 
-def train(docs: DataFrame, vocabulary: int = VOCABULARY) -> Model:
+def train(docs: DataFrame, vocabulary: int | None = None, in_memory: int = IN_MEMORY) -> Model:
     """Learns from every text of ``docs``, a null one being empty. The tables are written to the shared folder.
 
-    The driver and each task hold the vocabulary, its context sums and the hot bigrams: at most VOCABULARY and 65,536 rows of a
-    few numbers (some 20 MB), whatever the corpus. Without documents, the unknown word and the end share all probability.
+    The driver and each task hold the ``in_memory`` most frequent words, their context sums and the hot bigrams: at most IN_MEMORY
+    and 65,536 rows of a few numbers (some 20 MB), whatever the corpus; what they hold changes no score. ``vocabulary`` caps the
+    words of the model instead, all of which are held. Without documents, the unknown word and the end share all probability.
     """
     spark = prepared(docs.sparkSession)
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     texts = docs.count()
     unigrams = written(_unigram_table(docs), "unigrams")
-    local, least = _unigrams(unigrams, texts, vocabulary)
+    local, least = _unigrams(unigrams, texts, vocabulary, in_memory)
     if texts == 0:
         local.log_p = np.log10(np.array([0.5, 0.5]))
     buckets = max(1, math.ceil(local.tokens / BUCKET_TOKENS))
-    bigrams = written(_bigram_table(docs, spark.sparkContext.broadcast(local), buckets), "bigrams")
-    local.d = discounts(_counts_of_counts(bigrams))
-    local.d[0] = 1.0
+    shared = spark.sparkContext.broadcast(local)
+    bigrams = written(_bigram_table(docs, shared, buckets), "bigrams")
+    near = bigrams.where(F.col("kind") == TABLE).select("bucket", "kind", "a", "b", "c", "d")
+    n = _counts_of_counts(near)
     size = local.unknown + 3
-    sums = np.zeros((SELDOM + 2, size))
-    got = _context_sums(bigrams, spark.sparkContext.broadcast(local)).toPandas()
-    for i, name in enumerate(["total", *(f"n{r}" for r in range(1, SELDOM + 1)), "seen"]):
-        sums[i, got["v"].to_numpy(np.int64)] = got[name]
-    total, seen = sums[0], sums[-1]
-    known = total > 0
-    freed = sum(sums[r] * (1 - local.d[r]) * r for r in range(1, SELDOM + 1))
-    scale = np.where(freed > 0, 1.0, total / (total + 1))
-    mass = np.where(freed > 0, freed / np.maximum(total, 1), 1 / (total + 1))
-    # Nothing unseen is left if every event followed v; then there is nothing to back off to either.
-    unseen = np.maximum(1 - seen, 0)
-    with np.errstate(divide="ignore"):
-        local.log_alpha = np.where(known & (unseen > 1e-12), np.log10(mass / np.maximum(unseen, 1e-12)), 0.0)
-        local.log_scale = np.where(known & (unseen > 1e-12), np.log10(scale), 0.0)
-        local.log_context = np.where(known, np.log10(np.maximum(total, 1)), 0.0)
+    sums = np.zeros((len(_SUMS), size))
+    got = _context_sums(near, shared).toPandas()
+    rare = unigrams.where(F.col("c") < least)
+    some_far = local.open and least > 1
+    if some_far:
+        far = written(_far_bigrams(bigrams, rare.select(F.col("w").alias("_w"), local.p_of(F.col("c")).alias("_p")), shared), "far")
+        by_count = far.where(F.col("r") <= SELDOM + 1).groupBy("r").agg(F.count("*").alias("n")).collect()
+        for row in by_count:
+            n[row["r"]] += row["n"]
+        counts = [F.sum(F.when(F.col("r") == r, 1.0).otherwise(0.0)).alias(f"n{r}") for r in range(1, SELDOM + 1)]
+        contexts = written(far.groupBy("v", "vi").agg(F.sum("r").cast("double").alias("total"), *counts, F.sum("pw").alias("seen")), "contexts")
+        more = contexts.where("vi >= 0").toPandas()  # contexts in memory
+        for i, name in enumerate(_SUMS):
+            sums[i, more["vi"].to_numpy(np.int64)] = more[name]
+    for i, name in enumerate(_SUMS):
+        sums[i, got["v"].to_numpy(np.int64)] += got[name]
+    local.d = discounts(n)
+    local.d[0] = 1.0
+    local.log_context, local.log_alpha, local.log_scale = _weights(list(sums), local.d)
+    far_table, value = None, F.lit(0.0)
+    if some_far:
+        shared = spark.sparkContext.broadcast(local)
+        outer = _rare_contexts(contexts, shared)
+        far_table = written(_far_table(far, outer, shared, buckets), "far_table")
+        rare = rare.join(outer, F.col("w") == F.col("_v"), "left")
+        value = F.log10(local.p_of(F.col("c"))) + F.coalesce("log_alpha", F.lit(0.0))
+    rare = rare.select("w", "c", value.alias("value"))
     hot_least = max(2, math.ceil(local.tokens * HOT_SHARE))
-    hot = _hot(bigrams, hot_least).toPandas()
+    hot = _hot(near, hot_least).toPandas()
     order = np.argsort(hot["key"].to_numpy(np.int64))
     local.hot, local.hot_counts = hot["key"].to_numpy(np.int64)[order], hot["r"].to_numpy(np.int64)[order]
-    return Model(unigrams, bigrams, least, buckets, local)
+    return Model(near, far_table, rare, buckets, local)
 
 
 # ---- scoring ----------------------------------------------------------------------------------
@@ -390,8 +566,9 @@ def _queries(docs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
             ids = np.concatenate([columns[1].fill_null(_NO_ID).to_numpy(zero_copy_only=False) for _, columns in chunk])
             size = len(rids)
             known, base, score, tokens = np.zeros(size, np.int64), np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
-            bigrams, rare, first = [], [], 0
-            for words, _ in chunk:
+            bigrams, rare, pairs, first = [], [], [], 0
+            while chunk:
+                words, _ = chunk.pop(0)
                 v, w, doc, place = model.ids(words)
                 doc = doc + first
                 first += len(words.begin) - 1
@@ -402,11 +579,18 @@ def _queries(docs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
                 known += np.bincount(doc[mine][c > 0], minlength=size)
                 rare.append((words.hash[place[~mine]].view(np.int64), doc[~mine]))
                 key = v * _CONTEXTS + w
+                far = model.is_far(v, w)
                 at, hot = _find(model.hot, key)
+                hot &= ~far
                 score += np.bincount(doc[hot], model.log_seen(model.hot_counts[at[hot]], v[hot]) if hot.any() else None, size)
-                bigrams.append((key[~hot], doc[~hot]))
+                bigrams.append((key[~hot & ~far], doc[~hot & ~far]))
+                # As if unseen; what belongs to a word out of memory comes with that word.
+                v, w, doc = v[far], w[far], doc[far]
+                score += np.bincount(doc, np.where(v == model.unknown, 0.0, model.log_alpha[v]) + np.where(w == model.unknown, 0.0, model.log_p[w]), size)
+                before, word = _neighbours(words, words.hash, _END, _START)
+                pairs.append((_pair_key(before[far], word[far]), doc))
             out = [_block(number % buckets, DIRECT, rids, tokens, known) | {"d": ids.tobytes() + base.tobytes() + score.tobytes()}]
-            for kind, parts in ((QUERY, bigrams), (RARE_QUERY, rare)):
+            for kind, parts in ((QUERY, bigrams), (RARE_QUERY, rare), (FAR_QUERY, pairs)):
                 key, doc = (np.concatenate(x) for x in zip(*parts))
                 order = np.lexsort((doc, key))
                 key, doc = key[order], doc[order]
@@ -422,13 +606,20 @@ def _queries(docs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, _BLOCK_SCHEMA)
 
 
-def _rare_table(unigrams: DataFrame, least: int, buckets: int) -> DataFrame:
+def _rare_table(rare: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            key, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            yield pa.RecordBatch.from_pylist([_block(b, RARE, key[rows], c[rows]) for b, rows in _by_bucket(key, buckets)], schema=_BLOCK_ARROW)
+        yield from _dealt((_numpy(batch, "w", "c", "value") for batch in batches), buckets, RARE, 2)
+
+    return rare.mapInArrow(run, _BLOCK_SCHEMA)
+
 
-    return unigrams.where(F.col("c") < least).select("w", "c").mapInArrow(run, _BLOCK_SCHEMA)
+def _sorted_parts(parts: list[tuple]) -> list[np.ndarray]:
+    """The columns of all parts, by the first."""
+    if not parts:
+        return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
 
 
 _SUMS_SCHEMA = "part long, a binary, b binary"
@@ -482,40 +673,50 @@ def _answers(blocks: DataFrame, shared: Broadcast) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        bucket, tables = None, {}
+        bucket, tables, read = None, {}, None
+        table_of = {QUERY: TABLE, RARE_QUERY: RARE, FAR_QUERY: FAR_TABLE}
+        # Unless the vocabulary is open, words out of memory are the unknown word, which is in memory.
+        log_new = model.log_p[model.unknown] if model.open else 0.0
         sums = _Sums()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if row["bucket"] != bucket:
-                    bucket, tables = row["bucket"], {TABLE: [], RARE: []}
+                    bucket, tables, read = row["bucket"], {TABLE: [], RARE: [], FAR_TABLE: []}, set()
                 kind = row["kind"]
-                if kind in (TABLE, RARE):
+                if kind == TABLE:
                     tables[kind].append((_unpack(row["a"]), _unpack(row["b"])))
-                    continue
-                if kind == DIRECT:
+                elif kind == RARE:
+                    tables[kind].append((_unpack(row["a"]), _unpack(row["b"]), np.frombuffer(row["d"])))
+                elif kind == FAR_TABLE:
+                    tables[kind].append((_unpack(row["a"]), np.frombuffer(row["d"])))
+                elif kind == DIRECT:
                     rid, tokens, known = (_unpack(row[c]) for c in "abc")
                     size = len(rid) * 8
                     ids, base, score = np.frombuffer(row["d"][:size], np.int64), np.frombuffer(row["d"][size : 2 * size]), np.frombuffer(row["d"][2 * size :])
                     sums.add(rid, ids, tokens, known, base, score)
                 else:
-                    for k in (TABLE, RARE):
-                        if isinstance(tables[k], list):
-                            parts = tables[k] or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-                            tables[k] = _merged(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+                    if table_of[kind] not in read:
+                        tables[table_of[kind]] = _sorted_parts(tables[table_of[kind]])
+                        read.add(table_of[kind])
                     key, doc, n, rid = (_unpack(row[c]) for c in "abcd")
-                    keys, counts = tables[TABLE if kind == QUERY else RARE]
+                    keys, *values = tables[table_of[kind]]
                     at, seen = _find(keys, key)
-                    r = np.where(seen, counts[at] if len(counts) else 0, 0)
+                    at = at[seen]
                     zero, size = np.zeros(len(rid)), len(rid)
                     none, no_id = np.zeros(size, np.int64), np.full(size, _NO_ID)
                     if kind == QUERY:
                         v, w = key // _CONTEXTS, key % _CONTEXTS
                         value = np.empty(len(key))
-                        value[seen] = model.log_seen(r[seen], v[seen])
+                        value[seen] = model.log_seen(values[0][at], v[seen])
                         value[~seen] = model.log_unseen(v[~seen], w[~seen])
                         sums.add(rid, no_id, none, none, zero, np.bincount(doc, value * n, size))
+                    elif kind == FAR_QUERY:
+                        sums.add(rid, no_id, none, none, zero, np.bincount(doc[seen], values[0][at] * n[seen], size))
                     else:
-                        sums.add(rid, no_id, none, np.bincount(doc[seen], n[seen], size).astype(np.int64), np.bincount(doc, _base(r, model) * n, size), zero)
+                        r, value = np.zeros(len(key), np.int64), np.full(len(key), log_new)
+                        r[seen], value[seen] = values[0][at], values[1][at]
+                        known = np.bincount(doc[seen], n[seen], size).astype(np.int64)
+                        sums.add(rid, no_id, none, known, np.bincount(doc, _base(r, model) * n, size), np.bincount(doc, value * n, size))
                 if sums.rows > 1_000_000:
                     sums.merge()
                     if sums.rows > 500_000:
@@ -537,7 +738,7 @@ def _added_up(blocks: DataFrame) -> DataFrame:
     def run(batches):
         part, sums = None, _Sums()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if row["part"] != part:
                     if sums.rows:
                         yield out(sums)
@@ -562,7 +763,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model.local)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = _queries(rows, shared, model.buckets)
-    blocks = blocks.unionByName(model.bigrams).unionByName(_rare_table(model.unigrams, model.least, model.buckets))
+    blocks = blocks.unionByName(model.near).unionByName(_rare_table(model.rare, model.buckets))
+    if model.far is not None:
+        blocks = blocks.unionByName(model.far)
     # Fewer parts than buckets: every part answers for each text once.
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(model.buckets / 2))
     dealt = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")

@@ -92,6 +92,22 @@ def test_katz_equals_plain_python(spark, vocabulary):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(plain.score(text))
 
 
+@pytest.mark.parametrize("in_memory", [0, 40])
+def test_katz_knows_every_training_word(spark, in_memory):
+    rng = random.Random(2)
+    zipf = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    rows = [(i, " ".join(zipf[i * 20 : i * 20 + rng.randint(0, 20)])) for i in range(200)] + [(500, None), (501, ""), (502, "W1 w2 new"), (503, "new new w1")]
+    docs = table(spark, rows)
+    model = katz.train(docs.where(~katz.held_out(F.col("doc_id"))), in_memory=in_memory)
+    plain = PlainKatz([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], 10**9)
+    assert len(model.local.words) <= in_memory < len(plain.c) / 2 and len(plain.known) == len(plain.c)
+    got = {r.doc_id: r for r in katz.score(docs, model).collect()}
+    for i, text in rows:
+        base, known = plain.base(text)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(words(text)) + 1, known, plain.n)
+        assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(plain.score(text))
+
+
 def test_katz_of_odd_rows(spark):
     docs = table(spark, odd_rows()).selectExpr("*", "1 as rid", "2 as bucket")
     got = katz.score(docs, katz.train(docs)).collect()
