@@ -143,25 +143,45 @@ def _numpy(batch, *names: str) -> list[np.ndarray]:
 
 
 # ---- discounts --------------------------------------------------------------------------------
+def _good_turing(n: list[float], k: int) -> np.ndarray | None:
+    """Good-Turing in Katz's form for counts up to k, or nothing if any ratio is outside 0 to 1 or none is below 1."""
+    d = np.ones(SELDOM + 1)
+    if min(n[1 : k + 2]) <= 0:
+        return None
+    a = (k + 1) * n[k + 1] / n[1]
+    if a >= 1:
+        return None
+    for r in range(1, k + 1):
+        d[r] = ((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a)
+    return d if ((0 < d[1:]) & (d[1:] <= 1)).all() and (d[1:] < 1).any() else None
+
+
+def _fitted(n: list[int]) -> list[float] | None:
+    """Counts of counts on the line through log n[r] over log r, as Simple Good-Turing has it, if it falls steeply enough."""
+    some = [r for r in range(1, SELDOM + 2) if n[r] > 0]
+    if len(some) < 2:
+        return None
+    # A count whose neighbours are missing stands for them too.
+    gaps = [(after - before) / 2 for before, r, after in zip([0, *some], some, [*some[1:], 2 * some[-1] - some[-2]])]
+    slope, level = np.polyfit(np.log(some), np.log([n[r] / gap for r, gap in zip(some, gaps)]), 1)
+    return [0.0, *(float(np.exp(level + slope * np.log(r))) for r in range(1, SELDOM + 2))] if slope < -1 else None
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """d(0..SELDOM) from n[r], the number of events seen r times, r = 1..SELDOM + 1: Good-Turing in Katz's form.
 
-    Where the counts are too irregular for it, a constant is taken from each seldom count instead (Ney's estimate).
+    Katz's k is SELDOM, or the largest below it whose ratios are all valid; counts above k are not discounted then. If there is
+    none, the counts of counts are smoothed first. Only where they are too few for a line or do not fall, as in a handful of
+    texts, a constant is taken from each seldom count instead (Ney's estimate).
     """
+    for k in range(SELDOM, 1, -1):
+        if (d := _good_turing(n, k)) is not None:
+            return d
+    if (smooth := _fitted(n)) and (d := _good_turing(smooth, SELDOM)) is not None:
+        return d
     d = np.ones(SELDOM + 1)
-    n1, n2 = n[1], n[2]
-    ok = n1 > 0
-    if ok:
-        a = (SELDOM + 1) * n[SELDOM + 1] / n1
-        for r in range(1, SELDOM + 1):
-            if n[r] == 0 or a >= 1:
-                ok = False
-                break
-            d[r] = ((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a)
-            ok &= bool(0 < d[r] <= 1)
-    if not ok or (d[1:] == 1).all():
-        less = n1 / (n1 + 2 * n2) if n1 else 0.5
-        d[1:] = [(r - max(min(less, 0.9), 0.1)) / r for r in range(1, SELDOM + 1)]
+    less = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    d[1:] = [(r - max(min(less, 0.9), 0.1)) / r for r in range(1, SELDOM + 1)]
     return d
 
 

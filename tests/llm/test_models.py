@@ -126,6 +126,19 @@ def test_discounts():
     assert all(0 < x < 1 for x in katz.discounts([0] * 7)[1:])
 
 
+def test_discounts_stay_good_turing_where_counts_are_uneven():
+    # Counts of counts of a corpus with copies; with k = 5 the ratio for 4 is above 1.
+    n = [0, 1166653, 243736, 52614, 22744, 19087, 8198]
+    d = katz.discounts(n)
+    assert all(0 < x <= 1 for x in d[1:]) and list(d[4:]) == [1, 1]
+    assert sum(n[r] * (1 - d[r]) * r for r in range(1, 6)) == pytest.approx(n[1])
+    # No k is valid for these; on a fitted line n[r + 1] / n[r] is a power of (r + 1) / r, so the ratios rise.
+    d = katz.discounts([0, 1000, 200, 150, 30, 28, 5])
+    assert all(0 < x < y < 1 for x, y in zip(d[1:], d[2:])) and 5 * (1 - d[5]) - 4 * (1 - d[4]) != pytest.approx(0)
+    # Missing counts are smoothed over.
+    assert all(0 < x < 1 for x in katz.discounts([0, 1000, 200, 0, 30, 0, 5])[1:])
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = katz.held_out(F.col("doc_id"), 3)
