@@ -88,7 +88,8 @@ RULES = [
 # Every known sentence holds one of these, so that other texts need not be cut into sentences.
 HINTS = ["licen", "permission", "warrant", "liable", "redistribution", " cc", "mpl", "unencumbered", "copyright notice"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# A sentence ends at a line's end, or at . ! ? ; or : ahead of white space.
+# Texts are cut at line ends, and at . ! ? ; or : ahead of white space. A known sentence may go over several such parts, as wrapped
+# lines and clauses do, but not over a blank line.
 SENTENCE_END = r"([.!?;:])\s+"
 OTHER = "[^a-z0-9]+"
 
@@ -101,17 +102,33 @@ def may_hold(lowered: Column) -> Column:
     return hint
 
 
+def _known() -> str:
+    """A pattern for the known sentences, from the beginning of a part to the end of one; of several the longest is found."""
+    by_first: dict[str, list[str]] = {}
+    for form in sorted((form for forms in SENTENCES.values() for form in forms), key=lambda f: (-len(f), f)):
+        first, _, rest = form.partition(" ")
+        by_first.setdefault(first, []).append(f" {rest}".replace(" ", "[ \n]") if rest else "")
+    return r"(?<![^\n])(?:" + "|".join(f"{first}(?:{'|'.join(rests)})" for first, rests in by_first.items()) + r")(?![^\n])"
+
+
+KNOWN = _known()
+
+
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order; other sentences leave no trace."""
     table = F.create_map(*[x for name, forms in SENTENCES.items() for form in forms for x in (F.lit(form), F.lit(name))])
-    parts = F.split(F.regexp_replace(F.translate(text, UPPER, LOWER), SENTENCE_END, "$1\n"), "\n")
-    return F.array_compact(F.transform(parts, lambda s: F.try_element_at(table, F.trim(F.regexp_replace(s, OTHER, " ")))))
+    parts = F.regexp_replace(F.translate(text, UPPER, LOWER), SENTENCE_END, "$1\n")
+    # Words between single blanks, parts between single line ends, and blank lines kept.
+    parts = F.regexp_replace(F.regexp_replace(parts, "[^a-z0-9\n]+", " "), " ?\n ?", "\n")
+    found = F.regexp_extract_all(F.trim(parts), F.lit(KNOWN), F.lit(0))
+    return F.array_compact(F.transform(found, lambda s: F.try_element_at(table, F.translate(s, "\n", " "))))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_ids, licences) per row: the known sentences in order, and (licence, kind) of the rules that match.
 
-    Sentences are compared lower-cased, each run of other characters than a-z and 0-9 being one blank. Rules are tried in order; a
+    Sentences are compared lower-cased, each run of other characters than a-z and 0-9 being one blank, so that line ends and comment
+    marks of wrapped texts do not matter. Rules are tried in order; a
     match takes its sentences away from those after it, so that a whole text is not its own notice as well. A rule that matches
     several times is listed once. A null or empty text, or one without known sentences, has empty lists; repeated rows get equal
     answers, and other columns are ignored.
