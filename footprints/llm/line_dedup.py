@@ -7,6 +7,9 @@ minimum, and no two lines of a variant need ever be paired: a line goes if it is
 
 Lines of n words have n variants, so only lines that can match make any: for an edit in one half, the other half is equal,
 and halves that no other line has are found first from four hashes a line.
+
+In scripts written without blanks a line is one word or a few, however long. So in lines with too few words for the bound, each
+character of such a script counts as a word. These lines have keys of their own.
 """
 
 from __future__ import annotations
@@ -16,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from footprints.llm.storage import fresh, prepared, row_key, small_or_not, with_text, written
-from footprints.llm.text import Words, line_breaks, mix, pieces, raw
+from footprints.llm.text import UNSPACED, Words, line_breaks, mix, pieces, raw, unspaced
 
-# Shorter lines stay as they are: a single word says too little.
-MIN_WORDS = 2
+# Lines without a word stay.
+MIN_WORDS = 1
 # Shorter lines are compared for equality only.
 MIN_NEAR_WORDS = 8
+_BY_CHARACTER = np.uint64(0x2545F4914F6CDD1D)
 _Q = 0xC2B2AE3D27D4EB4F
 
 
@@ -55,6 +59,16 @@ def _identity(words: Words, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return tuple(mix(_Ranges(h).of(start, end) + size).view(np.int64) for h in (words.hash, _salted(words.hash)))
 
 
+def _near_words(texts: pa.Array, words: Words) -> tuple[Words, np.ndarray]:
+    """The words that near lines are compared by, and which lines have characters cut apart for it; ``words`` holds their lines."""
+    few = words.counts < MIN_NEAR_WORDS
+    begin, end = unspaced(words.data)
+    chosen = few[np.searchsorted(words.at, begin, "right") - 1] if len(begin) else np.zeros(0, bool)
+    if not chosen.any():
+        return words, np.zeros(len(few), bool)
+    return Words(texts, breaks=words.at, cuts=np.concatenate([begin[chosen], end[chosen]])), few
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line, n, hi, lo, halves) of every line with words enough: its number, words, 128-bit hash and half keys."""
 
@@ -70,13 +84,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 start, end = words.begin[chosen], words.begin[chosen + 1]
                 hi, lo = _identity(words, start, end)
                 n = end - start
-                ranges = _Ranges(words.hash)
+                parts, apart = _near_words(piece.column("text"), words)
+                start, end = parts.begin[chosen], parts.begin[chosen + 1]
+                own = np.where(apart[chosen], _BY_CHARACTER, np.uint64(0))
+                ranges = _Ranges(parts.hash)
                 halves = []
-                for size in (n, n - 1):
+                for size in (end - start, end - start - 1):
                     cut = size // 2
                     for side, run_hash in ((0, ranges.of(start, start + cut)), (1, ranges.of(end - (size - cut), end))):
-                        halves.append(mix(mix(run_hash + np.uint64(side)) + size.astype(np.uint64)).view(np.int64))
-                near = n >= MIN_NEAR_WORDS
+                        halves.append((mix(mix(run_hash + np.uint64(side)) + size.astype(np.uint64)) ^ own).view(np.int64))
+                near = end - start >= MIN_NEAR_WORDS
                 offsets = np.concatenate([[0], np.cumsum(np.where(near, 4, 0))]).astype(np.int32)
                 keys = np.stack(halves, axis=1)[near].ravel()
                 take = pa.array(of[chosen])
@@ -127,9 +144,10 @@ def variants(candidates: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for piece in pieces(batch):
-                words = Words(piece.column("text"))
+                words, apart = _near_words(piece.column("text"), Words(piece.column("text")))
                 start, end = words.begin[:-1], words.begin[1:]
                 n = end - start
+                salt = np.where(apart, _BY_CHARACTER, np.uint64(0))
                 ranges = _Ranges(words.hash)
                 left = piece.column("left").to_numpy(zero_copy_only=False)
                 right = piece.column("right").to_numpy(zero_copy_only=False)
@@ -137,8 +155,8 @@ def variants(candidates: DataFrame) -> DataFrame:
                 place = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
                 wanted = left[of] & (place < (n // 2)[of]) | right[of] & (place >= ((n - 1) // 2)[of])
                 of, place = of[wanted], place[wanted]
-                key = mix(ranges.without(start[of], end[of], start[of] + place) + (n[of] - 1).astype(np.uint64))
-                own = mix(ranges.of(start, end) + n.astype(np.uint64))
+                key = mix(ranges.without(start[of], end[of], start[of] + place) + (n[of] - 1).astype(np.uint64)) ^ salt[of]
+                own = mix(ranges.of(start, end) + n.astype(np.uint64)) ^ salt
                 key = np.concatenate([own, key]).view(np.int64)
                 take = pa.array(np.concatenate([np.arange(len(n)), of]))
                 place = np.concatenate([np.full(len(n), -1), place]).astype(np.int32)
@@ -176,7 +194,11 @@ def _one_edit():
 
 def _words(text):
     lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lowered, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    def split(x):
+        return F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    words = split(lowered)
+    return F.when((F.size(words) < MIN_NEAR_WORDS) & lowered.rlike(UNSPACED), split(F.regexp_replace(lowered, f"({UNSPACED})", " $1 "))).otherwise(words)
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -223,9 +245,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The documents without the lines that an earlier line repeats, with n_lines, n_removed and n_near after their columns.
 
-    Lines are \\n-split; their words lie between white space, and A-Z counts as a-z. A line of two words or more goes if an
-    earlier line has the same words; one of eight or more also if an earlier one of eight or more is one word edit away, itself
-    removed or not. Earlier is the smaller doc_id (null last), then the document's hash, then the place in the text. Other lines,
+    Lines are \\n-split; their words lie between white space, and A-Z counts as a-z. A line with a word goes if an earlier
+    line has the same words; one of eight or more also if an earlier one of eight or more is one word edit away, itself removed or
+    not. In lines of fewer words, each character of a script without blanks is a word for the latter. Earlier is the smaller doc_id (null last), then the document's hash, then the place in the text. Other lines,
     blank ones among them, stay. Rows that agree in doc_id and text are one document and lose the same lines, so a repeated row
     keeps its lines. A null text stays null and has no lines. Columns called n_lines, n_removed or n_near are replaced.
     """

@@ -72,17 +72,19 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """start, end: byte places; doc: the text's number; hash: 64 bits; begin: each text's first word, with the end of the last."""
 
-    def __init__(self, texts: pa.Array, lower: bool = True, breaks: np.ndarray | None = None):
-        """breaks: byte places of texts cut further, such as into lines; by default each text is one piece."""
+    def __init__(self, texts: pa.Array, lower: bool = True, breaks: np.ndarray | None = None, cuts: np.ndarray | None = None):
+        """breaks: byte places of texts cut further, such as into lines; by default each text is one piece. cuts: places within words where a new one begins."""
         self.data, at = raw(texts)
-        self._of(self.data, at if breaks is None else breaks, lower)
+        self._of(self.data, at if breaks is None else breaks, lower, cuts)
 
-    def _of(self, data: np.ndarray, at: np.ndarray, lower: bool) -> None:
+    def _of(self, data: np.ndarray, at: np.ndarray, lower: bool, cuts: np.ndarray | None) -> None:
         n = len(data)
         self.at = at
         word = ~SPACE[data]
         edge = np.zeros(n + 1, bool)
         edge[at] = True
+        if cuts is not None:
+            edge[cuts] = True
         first = word.copy()
         first[1:] &= ~word[:-1] | edge[1:n]
         last = word.copy()
@@ -101,6 +103,21 @@ class Words:
         return np.diff(self.begin)
 
 
+# Scripts written without blanks: Thai, Lao, Burmese, Khmer, kana and Chinese characters.
+UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{107F}\x{1780}-\x{17FF}\x{3000}-\x{9FFF}\x{20000}-\x{2FFFF}]"
+
+
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each character of UNSPACED begins in UTF-8, and where it ends."""
+    start = np.flatnonzero(data >= 0xE0)
+    lead = data[start]
+    second = data[np.minimum(start + 1, len(data) - 1)]
+    southern = (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB) | (lead == 0xE1) & ((second <= 0x81) | (second >= 0x9E) & (second <= 0x9F))
+    four = (lead == 0xF0) & (second >= 0xA0) & (second <= 0xAF)
+    chosen = southern | (lead >= 0xE3) & (lead <= 0xE9) | four
+    return start[chosen], start[chosen] + np.where(four[chosen], 4, 3)
+
+
 def line_breaks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the \\n-split lines of all texts begin, with the end of the last, and each line's text.
 

@@ -68,6 +68,24 @@ def test_line_dedup_equals_plain_python(spark):
     assert got == plain_line_dedup(rows)
 
 
+def test_lines_without_blanks(spark):
+    han, thai = "今日は天気がいいから散歩しましょう", "วันนี้อากาศดีมากเราไปเดินเล่น"
+    rows = [
+        (1, f"{han}\nles.\nhttps://example.com/a/page\n{thai}\nA\n𠀀𠀁𠀂𠀃𠀄𠀅𠀆𠀇"),
+        (2, f"les.\nLes.\n{han}\nhttps://example.com/a/page\nhttps://example.com/a/pagf\n"),
+        (3, f"{han[:5]}雨{han[6:]}\n{thai[:-1]}\n{han[:4]}{han[5:]}\n{han}。\n𠀀𠀁𠀂𠀃x𠀅𠀆𠀇\n𠀀𠀁𠀂𠀃x𠀅𠀆y"),
+        # Two edits, too short, and an edit of a whole word in a line of words enough.
+        (4, f"雨雨{han[2:]}\n一二三四五六七\n一二三四五六八\na b c d e f g {han}\na b c d e f g {thai}"),
+        (5, "今日は天気が いいから散歩しまし\nshort 漢"),
+    ]
+    got = {r.doc_id: (r.n_removed, r.n_near, r.text.split("\n")) for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert got[1][:2] == (0, 0)
+    assert got[2] == (4, 0, ["https://example.com/a/pagf", ""])
+    assert got[3] == (6, 6, [""])
+    assert got[4] == (1, 1, [f"雨雨{han[2:]}", "一二三四五六七", "一二三四五六八", f"a b c d e f g {han}"])
+    assert got[5][:2] == (0, 0)
+
+
 def test_line_dedup_of_odd_rows(spark):
     rows = odd_rows()
     docs = table(spark, rows).selectExpr("*", "1 as n_lines", "2 as row", "3 as line", "'x' as gone")
