@@ -46,9 +46,9 @@ HELD_ROWS = 200_000
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
-def held_out(doc_id: Column, parts: int = 5) -> Column:
-    """Whether the checksum of the id as text leaves 1; an id that is null counts as an empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts == 1
+def held_out(doc_id: Column, parts: int = 5, rest: int = 1) -> Column:
+    """Whether the checksum of the id as text leaves ``rest``; an id that is null counts as an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts == rest
 
 
 # ---- blocks of numbers ------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footprints.llm import iblt, katz, langid, licences, line_dedup, ngram_join, packing, pieces, pseudonyms, quality
+from footprints.llm import iblt, katz, laesa, langid, licences, line_dedup, merkle, ngram_join, packing, pieces, pseudonyms, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,3 +171,90 @@ def _(spark, folder):
     return coded.select(
         "doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("bigint").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("restored")
     )
+
+
+def _round_sql(i: int) -> str:
+    """The nearest centroid of each vector, and the centroids that follow."""
+    return f"""
+n{i} AS MATERIALIZED (SELECT vec_id, v, min_by(c, (d, c)) AS c, min(d) AS d FROM
+  (SELECT vec_id, v, c, CAST(list_sum([(v[i] - m[i]) * (v[i] - m[i]) FOR i IN range(1, {laesa.COMPONENTS + 1})]) AS BIGINT) AS d FROM v, c{i}) GROUP BY vec_id, v),
+s{i} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range({laesa.COMPONENTS})) AS i FROM n{i}) GROUP BY c, i),
+m{i} AS (SELECT c, list(s // n - CAST(s < 0 AND s % n <> 0 AS INT) ORDER BY i) AS m FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN m{i} ON m{i}.c = c{i}.c)"""
+
+
+@query(
+    "op11_laesa_clusters",
+    f"""
+WITH v AS MATERIALIZED (SELECT vec_id, [CAST(floor({laesa.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = {laesa.COMPONENTS} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h LIMIT {laesa.CENTROIDS})),
+{",".join(_round_sql(i) for i in range(laesa.ROUNDS + 1))},
+t AS (SELECT c, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM n{laesa.ROUNDS} GROUP BY c)
+SELECT vec_id, CAST(n.c AS INT) AS cluster, d AS distance, cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM n{laesa.ROUNDS}) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM n{laesa.ROUNDS} n JOIN t ON t.c = n.c JOIN c{laesa.ROUNDS} k ON k.c = n.c""",
+)
+def _(spark, folder):
+    return laesa.described(laesa.cluster(spark.read.parquet(f"{folder}/embeddings.parquet"))).drop("tested")
+
+
+# Eight levels of eight hold 16 million rows of a language.
+_LEVELS = 8
+
+
+def _rise_sql(name: str, i: int) -> str:
+    """Nodes of level i + 1, from those of level i: (g, pos, n, h)."""
+    return f"""
+{name}{i + 1} AS MATERIALIZED (SELECT g, pos // 8 AS pos, (n + 7) // 8 AS n, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {name}{i} WHERE n > 1 GROUP BY g, pos // 8, n)"""
+
+
+def _fold_sql(rows: str, nodes: str, i: int) -> str:
+    """Each row's way through level i: own digest f, siblings so far p; rows whose tree has ended stay as they are."""
+    return f"""
+{rows}{i + 1} AS MATERIALIZED (SELECT r.key, any_value(r.g) AS g, any_value(r.pos // 8) AS pos, any_value((r.n + 7) // 8) AS n,
+  CASE WHEN any_value(r.n) > 1 THEN sha256(string_agg(CASE WHEN x.pos = r.pos THEN r.f ELSE x.h END, '' ORDER BY x.pos)) ELSE any_value(r.f) END AS f,
+  any_value(r.p) || coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (WHERE x.pos <> r.pos), '') AS p
+  FROM {rows}{i} r LEFT JOIN {nodes}{i} x ON x.g = r.g AND x.pos // 8 = r.pos // 8 AND r.n > 1 GROUP BY r.key)"""
+
+
+def _leaf_sql(text: str) -> str:
+    shown = [f"coalesce(CAST(octet_length(encode(CAST({v} AS VARCHAR))) AS VARCHAR) || ':' || CAST({v} AS VARCHAR), '-')" for v in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(shown)})"
+
+
+# One step a bit, the lowest bit of each byte first.
+_BITS = "flatten([[(ascii(c) >> k) & 1 FOR k IN range(8)] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST(b AS BIGINT) FOR b IN {_BITS}]), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"
+_ENDED = " UNION ALL ".join(f"SELECT g, h FROM t{i} WHERE n = 1" for i in range(_LEVELS + 1))
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+WITH d AS MATERIALIZED (SELECT doc_id, lang, {_leaf_sql("text")} AS h, CASE WHEN {_CRC} % 3 = 0 THEN {_leaf_sql(f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')")} ELSE h END AS o FROM documents),
+l AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) AS n FROM d GROUP BY lang),
+w AS MATERIALIZED (SELECT row_number() OVER () AS key, d.doc_id, l.g, l.n, row_number() OVER (PARTITION BY l.g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, h, o FROM d JOIN l ON l.lang IS NOT DISTINCT FROM d.lang),
+t0 AS MATERIALIZED (SELECT g, pos, n, h FROM w),
+{",".join(_rise_sql("t", i) for i in range(_LEVELS))},
+e AS (SELECT g, h FROM ({_ENDED})),
+u0 AS MATERIALIZED (SELECT 0 AS g, g AS pos, (SELECT count(*) FROM l) AS n, h FROM e),
+{",".join(_rise_sql("u", i) for i in range(_LEVELS))},
+r0 AS MATERIALIZED (SELECT key, g, pos, n, o AS f, '' AS p FROM w),
+{",".join(_fold_sql("r", "t", i) for i in range(_LEVELS))},
+q0 AS MATERIALIZED (SELECT key, 0 AS g, g AS pos, (SELECT count(*) FROM l) AS n, f, p FROM r{_LEVELS}),
+{",".join(_fold_sql("q", "u", i) for i in range(_LEVELS))},
+z AS (SELECT h AS root FROM ({" UNION ALL ".join(f"SELECT h FROM u{i} WHERE n = 1" for i in range(_LEVELS + 1))}))
+SELECT w.doc_id, w.h AS leaf, e.h AS subroot, root, sha256(q.p) AS proof_sha256, q.f AS folded_root, q.f = root AS verified
+FROM w JOIN q{_LEVELS} q ON q.key = w.key JOIN e ON e.g = w.g, z""",
+)
+def _(spark, folder):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.manifest(documents(spark, folder), tampered, merkle.lowered()).drop("lang", "path")
+
+
+@query("op13_toxicity")
+def _(spark, folder):
+    docs = documents(spark, folder)
+    held = katz.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.train(docs.where(~held), spark.read.parquet(f"{folder}/labels.parquet"), docs)
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
