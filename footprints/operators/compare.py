@@ -89,9 +89,9 @@ def rank_correlations_by_offset(enrichments: DataFrame, weights: DataFrame, wind
     return stats.spearman(joined, ["sample", "offset"], "smoothed", "weight")
 
 
-def best_offset(correlations: DataFrame, value: str = "rho") -> DataFrame:
-    """(sample, offset, value) at the largest correlation, the first of equals."""
-    return correlations.groupBy("sample").agg(F.max_by("offset", F.struct(F.col(value), -F.col("offset"))).alias("offset"), F.max(value).alias(value))
+def best_offset(correlations: DataFrame, value: str = "rho", keys: Sequence[str] = ("sample",)) -> DataFrame:
+    """(keys, offset, value) at the largest correlation, the first of equals."""
+    return correlations.groupBy(*keys).agg(F.max_by("offset", F.struct(F.col(value), -F.col("offset"))).alias("offset"), F.max(value).alias(value))
 
 
 def change_correlations(enrichments: DataFrame, untreated: str, window: int, lo: int, hi: int, squared: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from footprints import constants as C
 from footprints.functions import stats
-from footprints.operators import dimensions
+from footprints.operators import dimensions, surroundings
 
 
 def cds_codons(codons: DataFrame, count: str = "relaxed") -> DataFrame:
@@ -99,16 +99,35 @@ def site_contexts(sites: DataFrame, codons: DataFrame, te: DataFrame | None = No
 
 
 def ratios_at(sites: DataFrame, codons: DataFrame, offset: int, count: str = "relaxed") -> DataFrame:
-    """(sample, gene, i, ratio): the relative count at one offset from every site, by a plain equi-join."""
-    at = site_contexts(sites, codons, None, count, -offset, offset)
-    return at.select("sample", "gene", "i", "ratio")
+    """(sample, gene, i, ratio): the relative count at one offset from every site, by an equi-join on the codon."""
+    at = cds_codons(codons, count).select("sample", "gene", (F.col("i") - offset).alias("i"), F.col("n").alias("_n"))
+    return sites.select("sample", "gene", "i", "mean").join(at, ["sample", "gene", "i"]).select("sample", "gene", "i", (F.col("_n") / F.col("mean")).alias("ratio"))
 
 
-def nucleotides(contexts: DataFrame) -> DataFrame:
-    """Contexts by base: ``offset`` in nucleotides (3 * codon offset + 0 .. 2) and ``base``."""
+def context_sums(
+    sites: DataFrame, codons: DataFrame, te: DataFrame | None = None, label: Column | None = None, count: str = "relaxed", before: int = 90, after: int = 90, pairs: bool = False
+) -> DataFrame:
+    """(sample, label, offset, codon, sites, site_ratio, n, ratio, te, weighted): sums over the contexts of all sites of a label.
+
+    ``n`` and ``ratio`` are those at the offset, ``site_ratio`` and ``te`` those of the site, ``weighted`` is their product.
+    ``label`` is a string column of the sites, all of one by default; sites without one are left out. The sums equal those over
+    ``site_contexts``, without a row per site and offset.
+    """
+    marked = sites.withColumn("label", F.lit("") if label is None else label)
+    marked = marked.withColumn("te", F.lit(0.0)) if te is None else marked.join(te.select("gene", "te"), "gene", "left").na.fill(0.0, ["te"])
+    marked = marked.select(
+        "sample", "gene", "i", "label", F.col("ratio").alias("site_ratio"), "te", (F.col("ratio") * F.col("te")).alias("weighted"), F.lit(1.0).alias("count"), (1 / F.col("mean")).alias("per_mean")
+    )
+    rows = cds_codons(codons, count).select("sample", "gene", "i", "codon", "n").join(marked, ["sample", "gene", "i"], "left")
+    sums = surroundings.sums_around(rows, ["site_ratio", "te", "weighted", "count", "per_mean"], before, after, ["count", "per_mean"], pairs)
+    return sums.withColumnsRenamed({"count": "n", "per_mean": "ratio"}).withColumn("n", F.col("n").cast("bigint"))
+
+
+def nucleotides(sums: DataFrame) -> DataFrame:
+    """Sums or contexts by base: ``offset`` in nucleotides (3 * codon offset + 0 .. 2) and ``base``."""
     letters = F.array(*[F.substring("codon", k + 1, 1) for k in range(3)])
-    rest = [c for c in contexts.columns if c not in ("offset", "codon")]
-    return contexts.select(*rest, F.col("offset").alias("_o"), F.posexplode(letters).alias("_k", "base")).select(
+    rest = [c for c in sums.columns if c not in ("offset", "codon")]
+    return sums.select(*rest, F.col("offset").alias("_o"), F.posexplode(letters).alias("_k", "base")).select(
         *rest, (F.col("_o") * 3 + F.col("_k")).alias("offset"), "base"
     )
 
@@ -138,11 +157,18 @@ def assign_bins(sites: DataFrame, edges: DataFrame, value: str, include_max: boo
     return numbered.unionByName(sites.withColumn("bin", F.lit("all")))
 
 
-def binned_base_composition(contexts: DataFrame, bins: DataFrame, relative: bool = False) -> DataFrame:
-    """(bin, offset, base, fraction) of nucleotides around the sites of each bin (sample, gene, i, bin); optionally divided by
-    the ``all`` bin, whose fractions count at least 0.1."""
-    n = nucleotides(contexts.join(bins.select("sample", "gene", "i", "bin"), ["sample", "gene", "i"]))
-    counts = n.groupBy("bin", "offset", "base").agg(F.count(F.lit(1)).alias("c"))
+def bin_labels(sites: DataFrame, edges: DataFrame, value: str, include_max: bool = False) -> DataFrame:
+    """Sites with ``label``, their bin as a string; ``none`` where the value is in no bin. One row per site."""
+    below = (F.col(value) <= F.col("hi")) if include_max else (F.col(value) < F.col("hi"))
+    found = sites.join(F.broadcast(edges), (F.col(value) >= F.col("lo")) & below, "left")
+    return found.withColumn("label", F.coalesce(F.col("bin").cast("string"), F.lit("none"))).drop("bin", "lo", "hi")
+
+
+def binned_base_composition(sums: DataFrame, relative: bool = False) -> DataFrame:
+    """(bin, offset, base, fraction) of nucleotides around the sites of each label, from ``context_sums``; all sites again as
+    ``all``. With ``relative``, divided by the fractions of ``all``, which count at least 0.1."""
+    n = nucleotides(sums).select(F.explode(F.array("label", F.lit("all"))).alias("bin"), "offset", "base", "sites").where("bin <> 'none'")
+    counts = n.groupBy("bin", "offset", "base").agg(F.sum("sites").alias("c"))
     total = F.sum("c").over(Window.partitionBy("bin", "offset"))
     fractions = counts.select("bin", "offset", "base", (F.col("c") / total).alias("fraction"))
     if not relative:
@@ -151,25 +177,32 @@ def binned_base_composition(contexts: DataFrame, bins: DataFrame, relative: bool
     return fractions.where("bin <> 'all'").join(every, ["offset", "base"]).select("bin", "offset", "base", (F.col("fraction") / F.col("_all")).alias("fraction"))
 
 
-def binned_means(contexts: DataFrame, bins: DataFrame, reach: int = 40) -> DataFrame:
-    """(bin, offset, ratio, te): mean ratio at each offset and mean TE of the sites of each bin."""
-    near = contexts.where(F.col("offset").between(-reach, reach))
-    joined = near.join(bins.where("bin <> 'all'").select("sample", "gene", "i", "bin"), ["sample", "gene", "i"])
-    return joined.groupBy("bin", "offset").agg(F.avg("ratio").alias("ratio"), F.avg("te").alias("te"))
+def binned_means(sums: DataFrame, reach: int = 40) -> DataFrame:
+    """(bin, offset, ratio, te): mean ratio at each offset and mean TE of the sites of each label, from ``context_sums``."""
+    near = sums.where(F.col("offset").between(-reach, reach) & (F.col("label") != "none"))
+    return near.groupBy(F.col("label").alias("bin"), "offset").agg((F.sum("ratio") / F.sum("sites")).alias("ratio"), (F.sum("te") / F.sum("sites")).alias("te"))
+
 
+def split_profiles(sums: DataFrame) -> DataFrame:
+    """(above, offset, ratio): mean profiles of the sites with a ratio above 1 and of the others; labels are ``above_one``."""
+    return sums.groupBy((F.col("label") == "above").alias("above"), "offset").agg((F.sum("ratio") / F.sum("sites")).alias("ratio"))
 
-def split_profiles(contexts: DataFrame) -> DataFrame:
-    """(above, offset, ratio): mean profiles of the sites with a ratio above 1 and of the others."""
-    return contexts.groupBy((F.col("site_ratio") > 1).alias("above"), "offset").agg(F.avg("ratio").alias("ratio"))
+
+def above_one(ratio: Column) -> Column:
+    return F.when(ratio > 1, F.lit("above")).otherwise(F.lit("below"))
 
 
 # ---- mean ratio by what stands around the site ---------------------------------------------------
 
 
-def mean_by_base(contexts: DataFrame) -> DataFrame:
-    """(offset, base, ratio) over single nucleotide offsets; 0 where the base never occurs."""
-    found = nucleotides(contexts).groupBy("offset", "base").agg(F.avg("site_ratio").alias("ratio"))
-    grid = found.select("offset").distinct().crossJoin(F.broadcast(dimensions.bases(contexts.sparkSession).select("base")))
+def _mean_ratio() -> Column:
+    return (F.sum("site_ratio") / F.sum("sites")).alias("ratio")
+
+
+def mean_by_base(sums: DataFrame) -> DataFrame:
+    """(offset, base, ratio) over single nucleotide offsets, from ``context_sums``; 0 where the base never occurs."""
+    found = nucleotides(sums).groupBy("offset", "base").agg(_mean_ratio())
+    grid = found.select("offset").distinct().crossJoin(F.broadcast(dimensions.bases(sums.sparkSession).select("base")))
     return grid.join(found, ["offset", "base"], "left").na.fill(0.0, ["ratio"])
 
 
@@ -189,18 +222,18 @@ def mean_by_base_pair(contexts: DataFrame, first: int = -16, last: int = 12) ->
     ).agg(F.avg("site_ratio").alias("ratio")).where("first_base <> '' and second_base <> ''")
 
 
-def mean_by_codon(contexts: DataFrame) -> DataFrame:
-    """(offset, codon, ratio) over codon offsets; 0 where the codon never occurs."""
-    found = contexts.groupBy("offset", "codon").agg(F.avg("site_ratio").alias("ratio"))
-    sense = dimensions.codon_dimension(contexts.sparkSession).where("amino_acid <> '*'").select("codon")
+def mean_by_codon(sums: DataFrame) -> DataFrame:
+    """(offset, codon, ratio) over codon offsets, from ``context_sums``; 0 where the codon never occurs."""
+    found = sums.groupBy("offset", "codon").agg(_mean_ratio())
+    sense = dimensions.codon_dimension(sums.sparkSession).where("amino_acid <> '*'").select("codon")
     return found.select("offset").distinct().crossJoin(F.broadcast(sense)).join(found, ["offset", "codon"], "left").na.fill(0.0, ["ratio"])
 
 
-def mean_by_codon_pair(contexts: DataFrame) -> DataFrame:
-    """(offset, p_codon, a_codon, ratio) of adjacent codons; ``offset`` is the first one's. Pairs that never occur are left out."""
-    second = contexts.select("sample", "gene", "i", (F.col("offset") - 1).alias("offset"), F.col("codon").alias("a_codon"))
-    pairs = contexts.select("sample", "gene", "i", "site_ratio", "offset", F.col("codon").alias("p_codon")).join(second, ["sample", "gene", "i", "offset"])
-    return pairs.groupBy("offset", "p_codon", "a_codon").agg(F.avg("site_ratio").alias("ratio"))
+def mean_by_codon_pair(sums: DataFrame) -> DataFrame:
+    """(offset, p_codon, a_codon, ratio) of adjacent codons, from ``context_sums`` with ``pairs``; ``offset`` is the first one's.
+    Pairs that never occur are left out."""
+    pairs = sums.where("codon_before is not null")
+    return pairs.groupBy((F.col("offset") - 1).alias("offset"), F.col("codon_before").alias("p_codon"), F.col("codon").alias("a_codon")).agg(_mean_ratio())
 
 
 def overall_mean(sites: DataFrame) -> DataFrame:
@@ -281,8 +314,8 @@ def stratified_enrichments(
     """(sample, min_mean, excl_start, excl_end, feature, offset, label, occurrences, enrichment).
 
     Mean relative count of the positions that have a label at an offset, by codon, nucleotide and optionally dicodon
-    (which ends at the offset). The join of positions with their surroundings happens once for all conditions and is spread
-    over chunks of genes; nucleotides are sums of the codon result. ``dense`` adds the labels that never occur, as 0.
+    (which ends at the offset). Surroundings are summed up once for all conditions on arrays of pieces of genes; nucleotides are
+    sums of the codon result. ``dense`` adds the labels that never occur, as 0.
     """
     cds = cds_codons(codons, count)
     conditions = [(float(m), a, b) for a, b in edges for m in min_means]
@@ -292,19 +325,14 @@ def stratified_enrichments(
     ratio = lambda k, m, a, b: F.when(
         (F.col("i") >= a) & (F.col("i") < F.col("length") - b) & (F.col(f"m{k}") > m) & (F.col(f"m{k}") > 0), F.col("n") / F.col(f"m{k}")
     ).alias(f"r{k}")
-    sites = cds.join(means, ["sample", "gene"]).select("sample", "gene", "i", *[ratio(k, *c) for k, c in enumerate(conditions)])
-    sites = sites.where(F.coalesce(*[F.col(f"r{k}") for k in range(len(conditions))]).isNotNull())
-    labels = cds.select("sample", "gene", F.col("i").alias("j"), "codon")
-    if dicodons:
-        before = cds.select("sample", "gene", (F.col("i") + 1).alias("j"), F.col("codon").alias("before"))
-        labels = labels.join(before, ["sample", "gene", "j"], "left")
-    pairs = stats.window_join(sites, labels, ["sample", "gene"], "i", "j", around, around)
-    keys = ["sample", "offset", "codon"]
-    if dicodons:
-        pairs = pairs.withColumn("before", F.when(F.col("offset") > -around, F.col("before")))
-        keys.append("before")
-    sums = pairs.groupBy(*keys).agg(
-        *[F.count(f"r{k}").alias(f"c{k}") for k in range(len(conditions))], *[F.sum(f"r{k}").alias(f"s{k}") for k in range(len(conditions))]
+    sites = cds.join(means, ["sample", "gene"]).select("sample", "gene", "i", "codon", "n", *[ratio(k, *c) for k, c in enumerate(conditions)])
+    any_of = F.coalesce(*[F.col(f"r{k}") for k in range(len(conditions))]).isNotNull()
+    sites = sites.withColumn("label", F.when(any_of, F.lit("")))
+    counted = [F.when(F.col(f"r{k}").isNotNull(), 1.0).alias(f"c{k}") for k in range(len(conditions))]
+    sums = surroundings.sums_around(sites.select("*", *counted), [f"{x}{k}" for x in "rc" for k in range(len(conditions))], around, around, pairs=dicodons)
+    sums = sums.select(
+        "sample", "offset", "codon", *([F.col("codon_before").alias("before")] if dicodons else []),
+        *[F.col(f"c{k}").cast("bigint").alias(f"c{k}") for k in range(len(conditions))], *[F.col(f"r{k}").alias(f"s{k}") for k in range(len(conditions))],
     )
     per = F.array(*[
         F.struct(F.lit(m).alias("min_mean"), F.lit(a).alias("excl_start"), F.lit(b).alias("excl_end"), F.col(f"c{k}").alias("c"),

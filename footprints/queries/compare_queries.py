@@ -22,7 +22,7 @@ def _spearman(source: str, keys: str, x: str, y: str) -> str:
 VIEWS.update(
     {
         "enr": """
-SELECT sample, "offset", label, enrichment FROM enrichments WHERE min_mean = 1 AND excl_start = 5 AND feature = 'codon' AND label NOT IN ('TAA', 'TAG', 'TGA')""",
+SELECT sample, "offset", label, enrichment FROM enrichments WHERE min_mean = 0.1 AND excl_start = 90 AND feature = 'codon' AND label NOT IN ('TAA', 'TAG', 'TGA')""",
         "enr_weighted": 'SELECT e.*, weight FROM enr e JOIN trna t ON t.codon = e.label',
         "wave_smooth": """
 SELECT sample, label, "offset", CASE WHEN count(*) OVER w = 5 THEN avg(enrichment) OVER w ELSE enrichment END AS smoothed FROM enr WHERE "offset" BETWEEN -15 AND 15
@@ -36,7 +36,7 @@ ACTIVE = range(-2, 1)
 
 
 def enr(t):
-    table = P.stratified_enrichments(t.codon_counts, [(5, 5)], [1.0], AROUND)
+    table = P.stratified_enrichments(t.codon_counts, [(90, 90)], [0.1], AROUND)
     return table.where(F.col("feature") == "codon").where(~F.col("label").isin(C.STOP_CODONS)).select("sample", "offset", "label", "enrichment")
 
 
@@ -139,10 +139,10 @@ def _(t):
     return rounded(K.change_correlations(enr(t), "S0", 2, -15, 16), "r", digits=5)
 
 
-@query("A40_best_offsets", _CHANGE_R + """SELECT sample, arg_max("offset", r * 1000 - "offset" / 1000.0) AS "offset", max(r) AS r FROM c WHERE sites = 'A+P' GROUP BY sample""")
+@query("A40_best_offsets", _CHANGE_R + """SELECT sample, sites, arg_max("offset", r * 1000 - "offset" / 1000.0) AS "offset", max(r) AS r FROM c GROUP BY sample, sites""")
 def _(t):
-    c = rounded(K.change_correlations(enr(t), "S0", 2, -15, 16).where("sites = 'A+P'"), "r", digits=5)
-    return K.best_offset(c, "r")
+    c = rounded(K.change_correlations(enr(t), "S0", 2, -15, 16), "r", digits=5)
+    return K.best_offset(c, "r", ["sample", "sites"])
 
 
 @query(
@@ -166,13 +166,13 @@ def _area_with(where: str) -> str:
         f"SELECT *, '{name}' AS measure FROM ({_spearman(_area_with(where), 'sample', 'area', 'weight')})"
         for name, where in [
             ("active", '"offset" BETWEEN -2 AND 0'), ("active+wave", '"offset" BETWEEN -2 AND 0 OR "offset" BETWEEN -17 AND -6'),
-            ("active+big_wave", '"offset" BETWEEN -2 AND 0 OR "offset" BETWEEN -20 AND -7'),
+            ("active+big_wave", '"offset" BETWEEN -2 AND 0 OR "offset" BETWEEN -99 AND -7'),
         ]
     )
     + ")",
 )
 def _(t):
-    return rounded(K.weight_recovery(enr(t), t.trna, WAVE, range(-7, -21, -1)), "rho", digits=5)
+    return rounded(K.weight_recovery(enr(t), t.trna, WAVE, range(-7, -100, -1)), "rho", digits=5)
 
 
 @query(
@@ -180,15 +180,15 @@ def _(t):
     "SELECT sample, side, stop, round(rho, 4) AS rho, n FROM ("
     + _spearman(
         """(SELECT s.sample, side, stop, round(s.area + a.area, 9) AS total, weight FROM (
-  SELECT sample, label, 'downstream' AS side, "offset" - 1 AS stop, sum(enrichment - 1) OVER (PARTITION BY sample, label ORDER BY "offset" DESC) AS area FROM enr WHERE "offset" BETWEEN -18 AND -6
-  UNION ALL SELECT sample, label, 'upstream', -"offset" - 1, sum(enrichment - 1) OVER (PARTITION BY sample, label ORDER BY "offset") FROM enr WHERE "offset" BETWEEN 7 AND 18) s
-  JOIN (SELECT sample, label, sum(enrichment - 1) AS area FROM enr WHERE "offset" BETWEEN -2 AND 0 GROUP BY ALL) a USING (sample, label) JOIN trna t ON t.codon = label WHERE stop BETWEEN -19 AND -8)""",
+  SELECT sample, label, 'downstream' AS side, "offset" - 1 AS stop, sum(enrichment - 1) OVER (PARTITION BY sample, label ORDER BY "offset" DESC) AS area FROM enr WHERE "offset" BETWEEN -98 AND -6
+  UNION ALL SELECT sample, label, 'upstream', -"offset" - 1, sum(enrichment - 1) OVER (PARTITION BY sample, label ORDER BY "offset") FROM enr WHERE "offset" BETWEEN 7 AND 98) s
+  JOIN (SELECT sample, label, sum(enrichment - 1) AS area FROM enr WHERE "offset" BETWEEN -2 AND 0 GROUP BY ALL) a USING (sample, label) JOIN trna t ON t.codon = label WHERE stop BETWEEN -99 AND -8)""",
         "sample, side, stop", "total", "weight",
     )
     + ")",
 )
 def _(t):
-    return rounded(K.area_scan(enr(t), t.trna, -8, -19), "rho", digits=4)
+    return rounded(K.area_scan(enr(t), t.trna), "rho", digits=4)
 
 
 _WOBBLE = " UNION ALL ".join(
@@ -220,14 +220,14 @@ def _(t):
 
 VIEWS["te_values"] = """
 WITH f AS (SELECT sample, gene, greatest(n, 0.1) AS v FROM gene_counts), s AS (SELECT sample, gene, v, log2(v / sum(v) OVER (PARTITION BY sample)) AS l FROM f),
-g AS (SELECT gene FROM s GROUP BY gene HAVING min(v) > 1500)
+g AS (SELECT gene FROM s GROUP BY gene HAVING min(v) > 50000)
 SELECT p.name, a.gene, a.l - b.l AS log_te FROM (VALUES ('one', 'S0', 'S1'), ('two', 'S2', 'S1')) p(name, f, m) JOIN s a ON a.sample = p.f JOIN s b ON b.sample = p.m AND b.gene = a.gene
 WHERE a.gene IN (SELECT gene FROM g)"""
 
 
 def log_te(t):
     pairs = t.spark.createDataFrame([("one", "S0", "S1"), ("two", "S2", "S1")], "name string, footprint string, mrna string")
-    return K.log_te(gene_counts(t).select("sample", "gene", "n"), pairs, 1500)
+    return K.log_te(gene_counts(t).select("sample", "gene", "n"), pairs, 50000)
 
 
 @query(
@@ -272,9 +272,9 @@ def _(t):
     return rounded(K.pairwise(gene_counts(t), "sample", "gene", "n"), "pearson", "spearman", digits=5)
 
 
-@query("F28_genes_above", "SELECT gene FROM gene_counts GROUP BY gene HAVING min(n) > 1700")
+@query("F28_genes_above", "SELECT gene FROM gene_counts GROUP BY gene HAVING min(n) > 52000")
 def _(t):
-    return L.genes_above(gene_counts(t), 1700)
+    return L.genes_above(gene_counts(t), 52000)
 
 
 VIEWS["matrix"] = """
@@ -423,10 +423,10 @@ def _(t):
     "W5_dicodon_ranks",
     """
 SELECT sample, label, enrichment, row_number() OVER (PARTITION BY sample ORDER BY enrichment, label) - 1 AS rank FROM (
-  SELECT sample, p_codon || a_codon AS label, round(enrichment, 6) AS enrichment FROM dicodon_enrichments WHERE min_mean = 1 AND excl_start = 5 AND "offset" = 0)""",
+  SELECT sample, p_codon || a_codon AS label, round(enrichment, 6) AS enrichment FROM dicodon_enrichments WHERE min_mean = 0.1 AND excl_start = 90 AND "offset" = 0)""",
 )
 def _(t):
-    d = P.stratified_enrichments(t.codon_counts, [(5, 5)], [1.0], AROUND, dicodons=True, dense=False).where("feature = 'dicodon' and offset = 0")
+    d = P.stratified_enrichments(t.codon_counts, [(90, 90)], [0.1], AROUND, dicodons=True, dense=False).where("feature = 'dicodon' and offset = 0")
     return W.ranks(rounded(d, "enrichment").select("sample", "label", "enrichment"), ["sample"], "label", "enrichment")
 
 

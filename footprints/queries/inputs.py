@@ -193,11 +193,21 @@ class Inputs(Tables):
             "event_id",
         )
 
+    @cached_property
+    def long_genes(self) -> DataFrame:
+        """The same with the events of sixteen users in a row as one gene."""
+        gene = F.expr("user_id div 16")
+        w = Window.partitionBy(gene).orderBy("event_id")
+        n = F.count(F.lit(1)).over(Window.partitionBy(gene))
+        return self.table("events").select(
+            gene.alias("gene"), (F.row_number().over(w) - 1).alias("rn"), n.alias("n_rows"), F.floor("value").cast("bigint").alias("v"), "event_type", "event_id"
+        )
+
     @cached_property
     def codon_counts(self) -> DataFrame:
-        """Three samples; five buffer codons before the start and after the stop codon of every gene."""
+        """Three samples; five buffer codons before the start and after the stop codon of every gene, about a thousand between."""
         x = (F.col("gene") * 31 + F.col("rn") * 17) % 61
-        base = self.numbered_events.select(
+        base = self.long_genes.select(
             "gene",
             (F.col("rn") - 5).alias("codon_idx"),
             (F.col("n_rows") - 10).cast("int").alias("num_codons"),
@@ -292,13 +302,17 @@ FROM (SELECT p_partkey % 5 AS seqname, (p_partkey // 5) * 600 + unnest(range(0,
         "numbered_events": """
 SELECT user_id AS gene, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rn,
        count(*) OVER (PARTITION BY user_id) AS n_rows, CAST(floor(value) AS BIGINT) AS v, event_type, event_id
+FROM events""",
+        "long_genes": """
+SELECT user_id // 16 AS gene, row_number() OVER (PARTITION BY user_id // 16 ORDER BY event_id) - 1 AS rn,
+       count(*) OVER (PARTITION BY user_id // 16) AS n_rows, CAST(floor(value) AS BIGINT) AS v, event_type, event_id
 FROM events""",
         "codon_counts": f"""
 SELECT sample, gene, codon_idx, num_codons, codon, relaxed, relaxed // 2 AS stringent, relaxed // 3 AS anisomycin
 FROM (SELECT 'S' || s AS sample, gene, rn - 5 AS codon_idx, CAST(n_rows - 10 AS INTEGER) AS num_codons,
              substr('{NON_STOP_TEXT}', CAST(((gene * 31 + rn * 17) % 61) * 3 + 1 AS BIGINT), 3) AS codon,
              (v * (s + 2) + (rn * 13 + s * 5) % 7) // 2 AS relaxed
-      FROM numbered_events, range(0, 3) t(s))""",
+      FROM long_genes, range(0, 3) t(s))""",
         "positions": """
 SELECT sample, gene, rn AS pos, CASE WHEN sample = 'x' THEN v ELSE (v * 3 + rn) % 50 END AS n
 FROM numbered_events, (VALUES ('x'), ('y')) t(sample)""",

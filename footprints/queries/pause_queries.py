@@ -8,10 +8,13 @@ from footprints import constants as C
 from footprints.operators import pausing as P
 from footprints.queries.registry import VIEWS, query
 
-EDGES = [(5, 5), (10, 10), (0, 20)]
-MIN_MEANS = [1.0, 50.0]
-AROUND = 20
-BEFORE = AFTER = 12
+EDGES = [(90, 90), (200, 200), (200, 0), (300, 0), (0, 0)]
+MIN_MEANS = [0.1, 50.0]
+AROUND = 100
+BEFORE = AFTER = 90
+_EDGES = ", ".join(map(str, EDGES))
+_MEANS = ", ".join(f"({m}::DOUBLE)" for m in MIN_MEANS)
+_CONDITIONS = [(m, a, b) for a, b in EDGES for m in MIN_MEANS]
 
 VIEWS.update(
     {
@@ -19,7 +22,7 @@ VIEWS.update(
 SELECT sample, gene, codon_idx - 2 AS i, codon, relaxed AS n, num_codons - 2 AS length FROM codon_counts WHERE codon_idx >= 2 AND codon_idx < num_codons""",
         "scores": """
 WITH m AS (SELECT sample, gene, median(n) AS med FROM cds GROUP BY ALL),
-q AS (SELECT gene FROM m GROUP BY gene HAVING count(*) FILTER (med >= 40) = (SELECT count(DISTINCT sample) FROM cds)),
+q AS (SELECT gene FROM m GROUP BY gene HAVING count(*) FILTER (med >= 36) = (SELECT count(DISTINCT sample) FROM cds)),
 s AS (SELECT sample, gene, sum(n) AS s, count(*) AS c FROM cds GROUP BY ALL)
 SELECT d.sample, COALESCE(v.name, 'not_special') AS set, d.gene, i, d.codon, n, n / ((s.s - n) / (s.c - 1)) AS ratio
 FROM cds d JOIN q ON q.gene = d.gene JOIN s ON s.sample = d.sample AND s.gene = d.gene
@@ -27,7 +30,7 @@ LEFT JOIN (VALUES ('proline', 'CCA'), ('proline', 'CCG'), ('proline', 'CCT'), ('
         "high_genes": f"""
 WITH u AS (SELECT * FROM cds WHERE length >= {BEFORE + AFTER + 1} AND i >= {BEFORE} AND i < length - {AFTER}),
 g AS (SELECT sample, gene, avg(n) AS mean, median(n) AS med FROM u GROUP BY ALL)
-SELECT gene FROM g GROUP BY gene HAVING count(*) FILTER (mean > 30 AND med >= 20) = (SELECT count(DISTINCT sample) FROM cds)""",
+SELECT gene FROM g GROUP BY gene HAVING count(*) FILTER (mean > 50 AND med >= 30) = (SELECT count(DISTINCT sample) FROM cds)""",
         "sites": f"""
 WITH c AS (SELECT * FROM cds WHERE gene IN (SELECT gene FROM high_genes)),
 m AS (SELECT sample, gene, avg(n) AS mean FROM c WHERE i >= {BEFORE} AND i < length - {AFTER} GROUP BY ALL)
@@ -50,22 +53,29 @@ FROM t a JOIN t b ON a.sample = b.sample AND a.gene = b.gene AND a.i = b.i AND a
         "codon_means": """
 SELECT "offset", codon, COALESCE(r, 0) AS ratio FROM (SELECT DISTINCT "offset" FROM contexts) CROSS JOIN sense_codons
 LEFT JOIN (SELECT "offset", codon, avg(site_ratio) AS r FROM contexts GROUP BY ALL) USING ("offset", codon)""",
-        "breakpoints": """
+        "breakpoints": f"""
 SELECT sample, gene, excl_start, excl_end, min_mean, mean FROM (
   SELECT sample, gene, a AS excl_start, b AS excl_end, CASE WHEN any_value(length) <= a + b THEN -1 ELSE avg(n) FILTER (i >= a AND i < length - b) END AS mean
-  FROM cds, (VALUES (5, 5), (10, 10), (0, 20)) v(a, b) GROUP BY sample, gene, a, b), (VALUES (1.0::DOUBLE), (50.0::DOUBLE)) m(min_mean) WHERE mean > min_mean""",
-        "cond_pairs": f"""
-SELECT p.sample, min_mean, excl_start, excl_end, CAST(d.i - c.i AS INTEGER) AS o, d.codon, e.codon AS before, c.n / mean AS ratio
-FROM breakpoints p JOIN cds c ON c.sample = p.sample AND c.gene = p.gene AND c.i >= excl_start AND c.i < c.length - excl_end
-JOIN cds d ON d.sample = c.sample AND d.gene = c.gene AND d.i - c.i BETWEEN -{AROUND} AND {AROUND}
-LEFT JOIN cds e ON e.sample = d.sample AND e.gene = d.gene AND e.i = d.i - 1""",
-        "conditions": "SELECT * FROM (VALUES (5, 5), (10, 10), (0, 20)) v(excl_start, excl_end), (VALUES (1.0::DOUBLE), (50.0::DOUBLE)) m(min_mean)",
+  FROM cds, (VALUES {_EDGES}) v(a, b) GROUP BY sample, gene, a, b), (VALUES {_MEANS}) m(min_mean) WHERE mean > min_mean""",
+        "cond_means": f"""
+SELECT sample, gene, {", ".join(f"avg(n) FILTER (i >= {a} AND i < length - {b}) AS m{k}" for k, (m, a, b) in enumerate(_CONDITIONS))} FROM cds GROUP BY sample, gene""",
+        "cond_sites": f"""
+SELECT c.sample, c.gene, c.i, {", ".join(f"CASE WHEN i >= {a} AND i < length - {b} AND m{k} > {m} AND m{k} > 0 THEN n / m{k} END AS r{k}" for k, (m, a, b) in enumerate(_CONDITIONS))}
+FROM cds c JOIN cond_means m ON m.sample = c.sample AND m.gene = c.gene""",
+        "cond_sums": f"""
+SELECT sample, o, codon, before, x.min_mean AS min_mean, x.excl_start AS excl_start, x.excl_end AS excl_end, x.c AS c, x.s AS s FROM (
+  SELECT sample, o, codon, before, unnest([{", ".join(
+      f"{{'min_mean': {m}::DOUBLE, 'excl_start': {a}, 'excl_end': {b}, 'c': c{k}, 's': s{k}}}" for k, (m, a, b) in enumerate(_CONDITIONS))}]) AS x FROM (
+    SELECT c.sample, CAST(d.i - c.i AS INTEGER) AS o, d.codon, d.before, {", ".join(f"count(r{k}) AS c{k}, sum(r{k}) AS s{k}" for k in range(len(_CONDITIONS)))}
+    FROM cond_sites c JOIN (SELECT sample, gene, i, codon, lag(codon) OVER (PARTITION BY sample, gene ORDER BY i) AS before FROM cds) d
+      ON d.sample = c.sample AND d.gene = c.gene AND d.i BETWEEN c.i - {AROUND} AND c.i + {AROUND} GROUP BY ALL)) WHERE x.c > 0""",
+        "conditions": f"SELECT * FROM (VALUES {_EDGES}) v(excl_start, excl_end), (VALUES {_MEANS}) m(min_mean)",
         "all_codon_labels": f"SELECT substr('{''.join(C.ALL_CODONS)}', CAST(3 * i + 1 AS BIGINT), 3) AS label FROM range(0, 64) r(i)",
         "enrichment_grid": f"""
 SELECT sample, min_mean, excl_start, excl_end, feature, CAST(o AS INTEGER) AS "offset", label FROM (SELECT DISTINCT sample FROM codon_counts), conditions, (
   SELECT 'codon' AS feature, o, label FROM all_codon_labels, range(-{AROUND}, {AROUND + 1}) r(o)
   UNION ALL SELECT 'nucleotide', o, label FROM (VALUES ('T'), ('C'), ('A'), ('G')) b(label), range({-3 * AROUND}, {3 * AROUND + 3}) r(o))""",
-        "codon_sums": "SELECT sample, min_mean, excl_start, excl_end, o, codon, count(*) AS c, sum(ratio) AS s FROM cond_pairs GROUP BY ALL",
+        "codon_sums": "SELECT sample, min_mean, excl_start, excl_end, o, codon, sum(c) AS c, sum(s) AS s FROM cond_sums GROUP BY ALL",
         "enrichments": """
 SELECT g.*, COALESCE(c, 0) AS occurrences, COALESCE(s / c, 0) AS enrichment FROM enrichment_grid g LEFT JOIN (
   SELECT sample, min_mean, excl_start, excl_end, 'codon' AS feature, o AS "offset", codon AS label, CAST(c AS BIGINT) AS c, s FROM codon_sums
@@ -82,11 +92,11 @@ def special_sets(t):
 
 
 def scores(t):
-    return P.pause_scores(t.codon_counts, special_sets(t), 40)
+    return P.pause_scores(t.codon_counts, special_sets(t), 36)
 
 
 def high_genes(t):
-    return P.highly_expressed(t.codon_counts, 30, 20, before=BEFORE, after=AFTER)
+    return P.highly_expressed(t.codon_counts, 50, 30, before=BEFORE, after=AFTER)
 
 
 def sites(t):
@@ -99,8 +109,13 @@ def te(t):
     return t.codon_counts.select("gene").distinct().withColumn("te", (F.col("gene") % 7) / 2.0)
 
 
-def contexts(t):
-    return P.site_contexts(sites(t), t.codon_counts, te(t), before=BEFORE, after=AFTER)
+def sums(t, label=None, pairs=False, of=None):
+    return P.context_sums(sites(t) if of is None else of, t.codon_counts, te(t), label, before=BEFORE, after=AFTER, pairs=pairs)
+
+
+def base_pairs(t):
+    # Nucleotides -16 to 12 lie in codons -6 to 4.
+    return P.mean_by_base_pair(P.site_contexts(sites(t), t.codon_counts, before=6, after=4))
 
 
 def enrichments(t, dicodons=False):
@@ -143,12 +158,19 @@ def _(t):
 SELECT sample, "offset", codon, count(*) AS n_sites, CAST(sum(n) AS BIGINT) AS n, round(sum(ratio), 5) AS ratio, round(sum(site_ratio * te), 5) AS weighted FROM contexts GROUP BY ALL""",
 )
 def _(t):
-    g = contexts(t).groupBy("sample", "offset", "codon").agg(
-        F.count(F.lit(1)).alias("n_sites"), F.sum("n").alias("n"), F.sum("ratio").alias("ratio"), F.sum(F.col("site_ratio") * F.col("te")).alias("weighted")
-    )
+    g = sums(t).select("sample", "offset", "codon", F.col("sites").alias("n_sites"), "n", "ratio", "weighted")
     return rounded(g, "ratio", "weighted", digits=5)
 
 
+@query(
+    "A26_contexts_of_strong_sites",
+    'SELECT sample, gene, i, round(site_ratio, 6) AS site_ratio, te, "offset", codon, n, round(ratio, 6) AS ratio FROM contexts WHERE site_ratio > 1.9',
+)
+def _(t):
+    strong = sites(t).where("ratio > 1.9")
+    return rounded(P.site_contexts(strong, t.codon_counts, te(t), before=BEFORE, after=AFTER), "site_ratio", "ratio")
+
+
 def _quantiles(value, table, parts):
     return f"""
 SELECT q, CASE WHEN k >= n THEN xs[n] ELSE (1 - g) * xs[k] + g * xs[k + 1] END AS quantile FROM (
@@ -180,6 +202,14 @@ def ratio_edges(t):
     return P.bin_edges(P.ratios_at(sites(t), t.codon_counts, -2), "ratio", 5, True)
 
 
+def labelled(t):
+    """Sites with the bin of the ratio two codons ahead of them as label."""
+    s = sites(t)
+    at = P.ratios_at(s, t.codon_counts, -2).withColumnRenamed("ratio", "_at")
+    joined = s.join(at, ["sample", "gene", "i"])
+    return P.bin_labels(joined, P.bin_edges(at, "_at", 5, True), "_at")
+
+
 def ratio_bins(t):
     at = P.ratios_at(sites(t), t.codon_counts, -2)
     return P.assign_bins(at, P.bin_edges(at, "ratio", 5, True), "ratio")
@@ -212,7 +242,7 @@ f AS (SELECT bin, o, base, c / sum(c) OVER (PARTITION BY bin, o) AS fraction FRO
 
 @query("A27_binned_base_composition", _COMPOSITION + 'SELECT bin, o AS "offset", base, round(fraction, 6) AS fraction FROM f')
 def _(t):
-    return rounded(P.binned_base_composition(contexts(t), ratio_bins(t)), "fraction")
+    return rounded(P.binned_base_composition(sums(t, F.col("label"), of=labelled(t))), "fraction")
 
 
 @query(
@@ -222,37 +252,37 @@ def _(t):
 WHERE f.bin <> 'all'""",
 )
 def _(t):
-    return rounded(P.binned_base_composition(contexts(t), ratio_bins(t), relative=True), "fraction")
+    return rounded(P.binned_base_composition(sums(t, F.col("label"), of=labelled(t)), relative=True), "fraction")
 
 
 @query(
     "A29_binned_means",
     """
 SELECT bin, "offset", round(avg(ratio), 6) AS ratio, round(avg(te), 6) AS te FROM contexts JOIN ratio_bins USING (sample, gene, i)
-WHERE bin <> 'all' AND "offset" BETWEEN -10 AND 10 GROUP BY ALL""",
+WHERE bin <> 'all' AND "offset" BETWEEN -40 AND 40 GROUP BY ALL""",
 )
 def _(t):
-    return rounded(P.binned_means(contexts(t), ratio_bins(t), 10), "ratio", "te")
+    return rounded(P.binned_means(sums(t, F.col("label"), of=labelled(t))), "ratio", "te")
 
 
 @query("A71_profiles_by_centre", 'SELECT site_ratio > 1 AS above, "offset", round(avg(ratio), 6) AS ratio FROM contexts GROUP BY ALL')
 def _(t):
-    return rounded(P.split_profiles(contexts(t)), "ratio")
+    return rounded(P.split_profiles(sums(t, P.above_one(F.col("ratio")))), "ratio")
 
 
 @query("A30_mean_by_base", 'SELECT "offset", base, round(ratio, 6) AS ratio FROM single_means')
 def _(t):
-    return rounded(P.mean_by_base(contexts(t)), "ratio")
+    return rounded(P.mean_by_base(sums(t)), "ratio")
 
 
 @query("A30_mean_by_base_pair", "SELECT first_offset, second_offset, first_base, second_base, round(ratio, 6) AS ratio FROM pair_means")
 def _(t):
-    return rounded(P.mean_by_base_pair(contexts(t)), "ratio")
+    return rounded(base_pairs(t), "ratio")
 
 
 @query("A30_mean_by_codon", 'SELECT "offset", codon, round(ratio, 6) AS ratio FROM codon_means')
 def _(t):
-    return rounded(P.mean_by_codon(contexts(t)), "ratio")
+    return rounded(P.mean_by_codon(sums(t)), "ratio")
 
 
 @query(
@@ -262,7 +292,7 @@ SELECT a."offset", a.codon AS p_codon, b.codon AS a_codon, round(avg(a.site_rati
 JOIN contexts b ON a.sample = b.sample AND a.gene = b.gene AND a.i = b.i AND b."offset" = a."offset" + 1 GROUP BY ALL""",
 )
 def _(t):
-    return rounded(P.mean_by_codon_pair(contexts(t)), "ratio")
+    return rounded(P.mean_by_codon_pair(sums(t, pairs=True)), "ratio")
 
 
 @query("A30_overall_mean", "SELECT round(avg(ratio), 6) AS baseline FROM sites")
@@ -284,13 +314,12 @@ FROM pair_means p JOIN single_means a ON a."offset" = p.first_offset AND a.base
 JOIN single_means b ON b."offset" = p.second_offset AND b.base = p.second_base, (SELECT avg(ratio) AS z FROM sites)""",
 )
 def _(t):
-    c, s = contexts(t), sites(t)
-    return rounded(P.base_pair_effects(P.mean_by_base_pair(c), P.mean_by_base(c), P.overall_mean(s)), "expected", "actual")
+    return rounded(P.base_pair_effects(base_pairs(t), P.mean_by_base(sums(t)), P.overall_mean(sites(t))), "expected", "actual")
 
 
 @query("A35_codon_effects", 'SELECT "offset", codon, round(expected, 6) AS expected, round(actual, 6) AS actual FROM codon_effects')
 def _(t):
-    c, s = contexts(t), sites(t)
+    c, s = sums(t), sites(t)
     return rounded(P.codon_effects(P.mean_by_codon(c), P.mean_by_base(c), P.overall_mean(s)), "expected", "actual")
 
 
@@ -299,25 +328,25 @@ def _(t):
     'SELECT "offset", codon, round(expected, 6) AS expected, round(actual, 6) AS actual FROM codon_effects WHERE expected > 0 AND actual > 0 AND abs(log2(expected) - log2(actual)) > 0.3',
 )
 def _(t):
-    c, s = contexts(t), sites(t)
+    c, s = sums(t), sites(t)
     return rounded(P.outliers(P.codon_effects(P.mean_by_codon(c), P.mean_by_base(c), P.overall_mean(s)), 0.3), "expected", "actual")
 
 
 VIEWS["dicodon_enrichments"] = f"""
-SELECT sample, min_mean, excl_start, excl_end, o AS "offset", before AS p_codon, codon AS a_codon, count(*) AS occurrences, avg(ratio) AS enrichment
-FROM cond_pairs WHERE before IS NOT NULL AND o > -{AROUND} GROUP BY ALL"""
+SELECT sample, min_mean, excl_start, excl_end, o AS "offset", before AS p_codon, codon AS a_codon, CAST(sum(c) AS BIGINT) AS occurrences, sum(s) / sum(c) AS enrichment
+FROM cond_sums WHERE before IS NOT NULL AND o > -{AROUND} GROUP BY ALL"""
 
 
 @query(
     "A35_codon_pair_effects",
     """
 SELECT d.sample, p_codon, a_codon, round(p.enrichment * a.enrichment, 6) AS expected, round(d.enrichment, 6) AS actual, d.occurrences FROM dicodon_enrichments d
-JOIN enrichments p ON p.sample = d.sample AND p.min_mean = 1 AND p.excl_start = 5 AND p.feature = 'codon' AND p."offset" = -1 AND p.label = p_codon
-JOIN enrichments a ON a.sample = d.sample AND a.min_mean = 1 AND a.excl_start = 5 AND a.feature = 'codon' AND a."offset" = 0 AND a.label = a_codon
-WHERE d.min_mean = 1 AND d.excl_start = 5 AND d."offset" = 0""",
+JOIN enrichments p ON p.sample = d.sample AND p.min_mean = 0.1 AND p.excl_start = 90 AND p.feature = 'codon' AND p."offset" = -1 AND p.label = p_codon
+JOIN enrichments a ON a.sample = d.sample AND a.min_mean = 0.1 AND a.excl_start = 90 AND a.feature = 'codon' AND a."offset" = 0 AND a.label = a_codon
+WHERE d.min_mean = 0.1 AND d.excl_start = 90 AND d."offset" = 0""",
 )
 def _(t):
-    one = enrichments(t, dicodons=True).where("min_mean = 1 and excl_start = 5")
+    one = enrichments(t, dicodons=True).where("min_mean = 0.1D and excl_start = 90")
     return rounded(P.codon_pair_effects(one), "expected", "actual")
 
 
@@ -361,10 +390,10 @@ def _(t):
     "A33_enrichment_slice",
     """
 SELECT sample, "offset", label, round(enrichment, 6) AS enrichment FROM enrichments
-WHERE min_mean = 50 AND excl_start = 10 AND feature = 'codon' AND "offset" BETWEEN -6 AND 5 AND label IN ('CCA', 'CCG', 'AAA')""",
+WHERE min_mean = 0.1 AND excl_start = 90 AND feature = 'codon' AND "offset" BETWEEN -100 AND 99 AND label IN ('CCA', 'CCG', 'AAA')""",
 )
 def _(t):
-    part = P.enrichment_slice(enrichments(t), "codon", -6, 6, ["CCA", "CCG", "AAA"], (50.0, 10, 10))
+    part = P.enrichment_slice(enrichments(t), "codon", -AROUND, AROUND, ["CCA", "CCG", "AAA"])
     return rounded(part, "enrichment").select("sample", "offset", "label", "enrichment")
 
 

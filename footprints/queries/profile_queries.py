@@ -34,6 +34,8 @@ SELECT sample, key, landmark, rel, CAST(sum(actual) AS BIGINT) AS actual, sum(un
   UNION ALL SELECT sample, key, landmark, unnest(range(ulo, uhi)), 0, density, 0, 1 FROM gene_densities)
 GROUP BY ALL HAVING sum(actual) > 0 OR sum(enr) > 0 OR sum(elig) > 0""",
         "extent_counts": "SELECT sample, gene, 'x' AS key, pos AS rel, n FROM positions",
+        "long_extents": "SELECT 'x' AS sample, gene, rn AS rel, v AS n FROM long_genes",
+        "long_rel_genes": "SELECT DISTINCT gene, CAST(n_rows - 5 AS INTEGER) AS cds_length FROM long_genes",
         "rel_genes": "SELECT gene, CAST(max(pos) + 1 - 5 AS INTEGER) AS cds_length FROM positions GROUP BY gene",
     }
 )
@@ -86,7 +88,7 @@ def _(t):
 
 VIEWS["density_table"] = """
 WITH g AS (SELECT sample, gene, sum(relaxed) AS total, min(codon_idx) AS lo, max(codon_idx) + 1 AS hi, any_value(num_codons) AS len
-           FROM codon_counts GROUP BY ALL HAVING sum(relaxed) >= 1500),
+           FROM codon_counts GROUP BY ALL HAVING sum(relaxed) >= 50000),
 v AS (SELECT c.sample, codon_idx, len, relaxed / (total / len) AS value FROM codon_counts c JOIN g ON g.sample = c.sample AND g.gene = c.gene)
 SELECT sample, side, rel, sum(value) / count(*) AS density FROM (
   SELECT sample, 'from_start' AS side, codon_idx AS rel, value FROM v UNION ALL SELECT sample, 'from_end', codon_idx - len, value FROM v) GROUP BY ALL"""
@@ -94,17 +96,17 @@ SELECT sample, side, rel, sum(value) / count(*) AS density FROM (
 
 @query("A16_averaged_codon_densities", "SELECT sample, side, rel, round(density, 6) AS density FROM density_table")
 def _(t):
-    return M.averaged_codon_densities(t.codon_counts, min_counts=1500).withColumn("density", F.round("density", 6))
+    return M.averaged_codon_densities(t.codon_counts, min_counts=50000).withColumn("density", F.round("density", 6))
 
 
 @query(
     "A64_asymptotic_scaling",
     """
 SELECT d.sample, d.side, rel, round(density / m, 6) AS density FROM density_table d
-JOIN (SELECT sample, side, avg(density) AS m FROM density_table WHERE rel >= 30 AND rel < 40 GROUP BY ALL) a ON a.sample = d.sample AND a.side = d.side""",
+JOIN (SELECT sample, side, avg(density) AS m FROM density_table WHERE rel >= 490 AND rel < 510 GROUP BY ALL) a ON a.sample = d.sample AND a.side = d.side""",
 )
 def _(t):
-    return M.asymptotic_scaled(M.averaged_codon_densities(t.codon_counts, min_counts=1500), 30, 40).withColumn("density", F.round("density", 6))
+    return M.asymptotic_scaled(M.averaged_codon_densities(t.codon_counts, min_counts=50000)).withColumn("density", F.round("density", 6))
 
 
 @query(
@@ -126,12 +128,12 @@ g AS (SELECT sample, gene, avg(relaxed) AS mean FROM c GROUP BY ALL)
 SELECT a.sample, a.codon, CAST(b.codon_idx - a.codon_idx AS INTEGER) AS "offset", CAST(sum(b.relaxed) AS BIGINT) AS actual, round(sum(mean), 6) AS uniform,
        round(COALESCE(sum(CASE WHEN mean > 0 THEN b.relaxed / mean END), 0), 6) AS sum_of_enrichments, count(CASE WHEN mean > 0 THEN 1 END) AS num_eligible,
        round(sum(b.relaxed) / sum(mean), 6) AS enrichment
-FROM c a JOIN c b ON b.sample = a.sample AND b.gene = a.gene AND b.codon_idx - a.codon_idx BETWEEN -12 AND 11
+FROM c a JOIN c b ON b.sample = a.sample AND b.gene = a.gene AND b.codon_idx - a.codon_idx BETWEEN -30 AND 29
 JOIN g ON g.sample = a.sample AND g.gene = a.gene
-WHERE a.codon_idx >= 12 AND a.codon_idx <= a.num_codons + 1 - 12 GROUP BY ALL""",
+WHERE a.codon_idx >= 30 AND a.codon_idx <= a.num_codons + 1 - 30 GROUP BY ALL""",
 )
 def _(t):
-    m = M.metacodon(t.codon_counts, window=12)
+    m = M.metacodon(t.codon_counts)
     for c in ("uniform", "sum_of_enrichments", "enrichment"):
         m = m.withColumn(c, F.round(c, 6))
     return m
@@ -189,11 +191,13 @@ def _(t):
 @query(
     "A56_end_excess",
     """
-SELECT sample, c.gene, round(sum(CASE WHEN rel < 20 THEN n ELSE 0 END) - least(20, cds_length) * sum(n) / cds_length, 6) AS excess
-FROM extent_counts c JOIN rel_genes g ON g.gene = c.gene AND cds_length >= 50 WHERE rel < cds_length GROUP BY sample, c.gene, cds_length""",
+SELECT sample, c.gene, round(sum(CASE WHEN rel < 200 THEN n ELSE 0 END) - least(200, cds_length) * sum(n) / cds_length, 6) AS excess
+FROM long_extents c JOIN long_rel_genes g ON g.gene = c.gene AND cds_length >= 50 WHERE rel < cds_length GROUP BY sample, c.gene, cds_length""",
 )
 def _(t):
-    return M.end_excess(rel_counts(t), rel_genes(t), 50, 20).withColumn("excess", F.round("excess", 6))
+    counts = t.long_genes.select(F.lit("x").alias("sample"), "gene", F.col("rn").alias("rel"), F.col("v").alias("n"))
+    genes = t.long_genes.select("gene", (F.col("n_rows") - 5).cast("int").alias("cds_length")).distinct()
+    return M.end_excess(counts, genes, 50).withColumn("excess", F.round("excess", 6))
 
 
 VIEWS["truncation"] = """
@@ -248,8 +252,8 @@ def offsets(t):
     "A61_frame_track",
     """
 WITH m AS (SELECT sample, gene, key, pos + 15 + CASE WHEN key IN ('30', '31') THEN 1 ELSE 0 END AS place, n, sz FROM (
-    SELECT sample, gene, CASE WHEN rn < 20 THEN '28' WHEN rn < 40 THEN '30' ELSE '33' END AS key, rn AS pos, n, n_rows + 5 AS sz
-    FROM (SELECT 'x' AS sample, gene, rn, v AS n, n_rows FROM numbered_events)) WHERE key <> '33'),
+    SELECT sample, gene, CASE WHEN rn < 20 THEN '28' WHEN rn < 40 THEN '30' ELSE '31' END AS key, rn AS pos, n, n_rows + 5 AS sz
+    FROM (SELECT 'x' AS sample, gene, rn, v AS n, n_rows FROM numbered_events))),
 c AS (SELECT sample, gene, key, place // 3 AS codon_idx, place % 3 AS frame, n FROM m WHERE place // 3 < sz // 3),
 grid AS (SELECT DISTINCT sample, gene, key, codon_idx, f AS frame FROM c, range(0, 3) r(f)),
 d AS (SELECT g.*, CAST(COALESCE(sum(c.n), 0) AS BIGINT) AS n FROM grid g LEFT JOIN c USING (sample, gene, key, codon_idx, frame) GROUP BY ALL),
@@ -260,7 +264,7 @@ SELECT sample, gene, key, codon_idx, CAST(frame AS INTEGER) AS frame, n,
    round(b / greatest(1, sum(b) OVER (PARTITION BY sample, gene, key, codon_idx)), 6) AS remaining FROM e""",
 )
 def _(t):
-    key = F.when(F.col("rn") < 20, "28").when(F.col("rn") < 40, "30").otherwise("33")
+    key = F.when(F.col("rn") < 20, "28").when(F.col("rn") < 40, "30").otherwise("31")
     c = t.numbered_events.select(F.lit("x").alias("sample"), "gene", key.alias("key"), F.col("rn").alias("pos"), F.col("v").alias("n"))
     extents = t.numbered_events.select("gene", (F.col("n_rows") + 5).alias("transcript_length")).distinct()
     track = M.frame_track(c, extents, offsets(t))
