@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from footprints.llm.storage import fresh, prepared
+from footprints.llm.storage import fresh, prepared, small_or_not, written
 from footprints.llm.text import pieces
 
 ORDERS = (1, 2, 3)
@@ -20,6 +20,8 @@ BITS = 16
 # About so many different texts of each language are learned from.
 TRAIN_TEXTS = 5_000
 SMOOTHING = 0.5
+# N-grams of three orders take some 150 bytes a character while they are counted.
+PIECE_BYTES = 1 << 19
 UNKNOWN = "und"
 _LETTER = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
 
@@ -78,7 +80,8 @@ def train(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> Model:
     MODEL_CELLS numbers.
     """
     prepared(docs.sparkSession)
-    labelled = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
+    key = F.col("doc_id") if "doc_id" in docs.columns else F.lit(0)
+    labelled = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"), key.alias("key"))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
@@ -88,13 +91,15 @@ def train(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> Model:
         raise ValueError(f"{len(languages)} languages are too many for one model")
     number = {lang: i for i, lang in enumerate(languages)}
     share = F.element_at(F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, train_texts / n)))]), F.col("lang"))
-    chosen = labelled.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "h"])
+    # One row of each text and language, found by numbers alone; only its text is fetched. What repeats a row exactly goes last.
+    firsts = labelled.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).groupBy("lang", "h").agg(F.min("key").alias("_key"))
+    chosen = labelled.join(small_or_not(written(firsts, "chosen")), ["lang", "h"]).where(F.col("key").eqNullSafe(F.col("_key"))).dropDuplicates(["lang", "h"])
 
     def run(batches):
         counts = np.zeros((len(languages), 1 << bits), np.int64)
         texts_seen = np.zeros(len(languages), np.int64)
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE_BYTES):
                 of = np.array([number[lang] for lang in piece.column("lang").to_pylist()], np.int64)
                 gram, doc = _features(piece.column("text").to_pylist(), bits)
                 counts += np.bincount((of[doc] << bits) | gram, minlength=counts.size).reshape(counts.shape)
@@ -116,36 +121,36 @@ def train(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> Model:
     return Model(languages, bits, np.log((seen + 1) / (seen.sum() + len(seen))), log_prob)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The documents with lang_pred and score, the posterior probability of that language; such columns of theirs are replaced.
 
     A text without any letter, an empty or a null one is ``und`` with score 0, as is every text if nothing was learned. Only
-    the text decides; repeated rows get the same answer.
+    the text decides; repeated rows get the same answer. Of equally likely languages the first by name is taken.
     """
     spark = prepared(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     shared = spark.sparkContext.broadcast(model)
-    names = docs.columns
+    own = docs.columns
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE_BYTES):
                 texts = piece.column("text").to_pylist()
                 lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool) & bool(model.languages)
                 lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
                 if lettered.any():
                     best, p = model.score([t for t, ok in zip(texts, lettered) if ok])
                     lang[lettered], score[lettered] = np.array(model.languages, object)[best], p
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), pa.array(lang, pa.string()), pa.array(score)], names=[*own, *names])
+        pa.default_memory_pool().release_unused()
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
 def in_language(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The documents whose language is recognised with a score of ``min_score`` at least, with their own columns."""
     known, score = fresh(docs, "_lang_pred"), fresh(docs, "_score")
-    found = identify(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), "text"), train(docs))
-    found = found.select("_doc.*", F.col("lang_pred").alias(known), F.col("score").alias(score))
+    found = identify(docs, train(docs), (known, score))
     return found.where((F.col(known) != UNKNOWN) & (F.col(score) >= min_score)).select(*docs.columns)
