@@ -191,21 +191,14 @@ def oligo_hit_lengths(alignments: DataFrame, extents: DataFrame) -> DataFrame:
 # ---- comparison with the genome ----------------------------------------------------------------
 
 
-def with_reference(alignments: DataFrame, genome: DataFrame, chunk_width: int) -> DataFrame:
-    """Adds ``ref``, the genome's bases under the aligned read bases.
+def with_reference(alignments: DataFrame, genome: DataFrame, chunk_width: int, longest: int | None = None) -> DataFrame:
+    """Adds ``ref``, the genome's bases under the aligned read bases, by one join with the chunk of the first one.
 
-    Looked up once per distinct (sequence, position, cigar) and joined back.
+    ``longest`` is the largest span of an alignment on the genome, which the aligner's largest intron bounds; a chunk's width
+    by default. A longer one is an error.
     """
-    shapes = alignments.select("seqname", "pos", "cigar").distinct()
-    blocks = shapes.select("seqname", "pos", "cigar", F.posexplode(G.aligned_blocks(F.col("pos"), F.col("cigar"))).alias("k", "b")).select(
-        "seqname", "pos", "cigar", "k", F.col("b.start").alias("a"), (F.col("b.end") - 1).alias("b")
-    )
-    texts = coords.fetch_regions(blocks.select("seqname", "a", "b").distinct(), genome, chunk_width)
-    placed = blocks.join(texts, ["seqname", "a", "b"])
-    refs = placed.groupBy("seqname", "pos", "cigar").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "seq"))), lambda x: x["seq"]), "").alias("ref")
-    )
-    return alignments.join(refs, ["seqname", "pos", "cigar"])
+    blocks = F.transform(G.aligned_blocks(F.col("pos"), F.col("cigar")), lambda b: F.struct(b["start"].alias("a"), (b["end"] - 1).alias("b")))
+    return coords.bases_at(alignments, genome, chunk_width, blocks, "ref", longest)
 
 
 def has_indel(cigar: Column) -> Column:
@@ -310,11 +303,9 @@ def extend_tails(alignments: DataFrame, genome: DataFrame, chunk_width: int) ->
     """
     plus = F.col("strand") == "+"
     size = F.length("tail_seq")
-    spans = alignments.withColumn("a", F.when(plus, F.col("aend")).otherwise(F.col("pos") - size)).withColumn(
-        "b", F.when(plus, F.col("aend") + size - 1).otherwise(F.col("pos") - 1)
-    )
-    texts = coords.fetch_regions(spans.where("b >= a and not is_unmapped").select("seqname", "a", "b").distinct(), genome, chunk_width)
-    joined = spans.join(texts.withColumnRenamed("seq", "_after"), ["seqname", "a", "b"], "left")
+    a, b = F.when(plus, F.col("aend")).otherwise(F.col("pos") - size), F.when(plus, F.col("aend") + size - 1).otherwise(F.col("pos") - 1)
+    behind = F.when((b >= a) & ~F.col("is_unmapped"), F.array(F.struct(a.alias("a"), b.alias("b"))))
+    joined = coords.bases_at(alignments, genome, chunk_width, behind, "_after")
     # Off the sequence there are no bases to match.
     after = F.when(plus, F.col("_after")).otherwise(S.reverse_complement(F.col("_after")))
     extra = F.coalesce(S.opening_run(after, "A"), F.lit(0))
@@ -344,15 +335,12 @@ def extend_tails(alignments: DataFrame, genome: DataFrame, chunk_width: int) ->
 def unambiguous_ends(alignments: DataFrame, genome: DataFrame, lengths: DataFrame, chunk_width: int) -> DataFrame:
     """Mappings whose last aligned base and the base behind it are both not A in reading direction."""
     plus = F.col("strand") == "+"
-    spans = (
-        alignments.join(lengths, "seqname")
-        .withColumn("a", F.when(plus, F.col("aend") - 1).otherwise(F.col("pos") - 1))
-        .withColumn("b", F.when(plus, F.col("aend")).otherwise(F.col("pos")))
-        .where("a >= 0 and b < length")
-    )
-    texts = coords.fetch_regions(spans.select("seqname", "a", "b").distinct(), genome, chunk_width).withColumnRenamed("seq", "_two")
+    a, b = F.when(plus, F.col("aend") - 1).otherwise(F.col("pos") - 1), F.when(plus, F.col("aend")).otherwise(F.col("pos"))
+    # One row per sequence.
+    inside = alignments.join(lengths, "seqname").where((a >= 0) & (b < F.col("length")))
+    placed = coords.bases_at(inside, genome, chunk_width, F.array(F.struct(a.alias("a"), b.alias("b"))), "_two")
     other = F.when(plus, "A").otherwise("T")
-    return spans.join(texts, ["seqname", "a", "b"]).where(~F.upper("_two").contains(other)).select(*alignments.columns)
+    return placed.where(~F.upper("_two").contains(other)).select(*alignments.columns)
 
 
 def position_ambiguity(sequences: DataFrame, lengths: list[int]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footprints import constants as C
 from footprints.functions import sequence as S
+from footprints.session import cut_lineage
 
 
 def transcript_models(genes: DataFrame, exons: DataFrame) -> DataFrame:
@@ -114,6 +115,39 @@ def fetch_regions(regions: DataFrame, genome: DataFrame, chunk_width: int) -> Da
     return _joined_text(_chunk_pieces(regions, genome, chunk_width), regions.columns)
 
 
+def halo_chunks(genome: DataFrame, chunk_width: int, halo: int) -> DataFrame:
+    """(seqname, chunk, text): every chunk with the ``halo`` bases behind it; bases off the sequence are ``-``.
+
+    Chunks just ahead of a sequence's first are there too, so that a region may begin before the sequence does.
+    """
+    widths = [chunk_width] + [min(chunk_width, halo - k * chunk_width) for k in range(-(-halo // chunk_width))]
+    copies = genome.select("seqname", "chunk", "seq", F.explode(F.sequence(F.lit(0), F.lit(len(widths) - 1))).alias("k"))
+    kept = F.substr(F.col("seq"), F.lit(1), F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("k") + 1))
+    placed = copies.select("seqname", (F.col("chunk") - F.col("k")).cast("bigint").alias("chunk"), "k", kept.alias("piece"))
+    spread = placed.groupBy("seqname", "chunk").agg(*[F.max(F.when(F.col("k") == k, F.col("piece"))).alias(f"_{k}") for k in range(len(widths))])
+    parts = [F.rpad(F.coalesce(F.col(f"_{k}"), F.lit("")), w, "-") for k, w in enumerate(widths)]
+    return spread.select("seqname", "chunk", F.concat(*parts).alias("text"))
+
+
+def bases_at(rows: DataFrame, genome: DataFrame, chunk_width: int, spans: Column, name: str, longest: int | None = None) -> DataFrame:
+    """Adds ``name``: the bases of all ``spans`` (array of a, b, inclusive and ascending), joined; null where there is no span.
+
+    One equi-join with chunks that reach ``longest`` bases (a chunk's width by default) into the next ones; a row whose last
+    span ends further from its first base is an error. The chunks are written first, so both sides come straight from their
+    shuffles and AQE can split a place that holds most rows.
+    """
+    halo = longest or chunk_width
+    chunks = cut_lineage(halo_chunks(genome, chunk_width, halo)).select("seqname", F.col("chunk").alias("_chunk"), F.col("text").alias("_text"))
+    keyed = rows.withColumn("_spans", spans).withColumn("_chunk", F.floor(F.get("_spans", F.lit(0))["a"] / chunk_width))
+    joined = keyed.join(chunks, ["seqname", "_chunk"], "left")
+    text, begin = F.coalesce("_text", F.lit("-" * (chunk_width + halo))), F.col("_chunk") * chunk_width
+    part = lambda s: F.substr(text, (s["a"] - begin + 1).cast("int"), F.greatest(s["b"] - s["a"] + 1, F.lit(0)).cast("int"))
+    found = F.when(F.size("_spans") == 1, part(F.get("_spans", F.lit(0)))).otherwise(F.array_join(F.transform("_spans", part), ""))
+    reach = F.element_at("_spans", -1)["b"] - F.get("_spans", F.lit(0))["a"] + 1
+    checked = F.when(F.size("_spans") == 0, F.lit(None)).when(reach > halo, F.raise_error(F.concat(F.lit("a row spans more than the longest allowed: "), reach.cast("string"))).cast("string")).otherwise(found)
+    return joined.withColumn(name, checked).drop("_spans", "_chunk", "_text").select(*rows.columns, name)
+
+
 def transcript_sequences(
     models: DataFrame, genome: DataFrame, chunk_width: int, left: int = 0, right: int = 0
 ) -> DataFrame:

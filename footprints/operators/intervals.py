@@ -1,7 +1,7 @@
 """Interval joins, nearest neighbours and depth along a sequence.
 
-Intervals are inclusive ``[start, end]`` unless a name says otherwise. Joins are equi-joins on a position bin, so
-Catalyst and AQE choose broadcast, hash or sort-merge from real sizes and split skewed partitions.
+Intervals are inclusive ``[start, end]`` unless a name says otherwise. Joins are equi-joins on a position bin and, where a
+bin holds more than its share of the rows, on a part of it; Catalyst and AQE choose the kind of join from real sizes.
 """
 
 from __future__ import annotations
@@ -17,43 +17,54 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
 
 
+# Rows of a bin beyond 1 / (SHARES * shuffle partitions) of all rows are dealt out to several parts.
+SHARES = 2
+
+
+def _dealt(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_part``: left rows of a crowded bin are dealt out by their hash, and right rows copied into its parts.
+
+    A locus may be a single base, so finer bins would not split it. Fewer than SHARES * shuffle partitions bins can be crowded,
+    which bounds what is broadcast. Rows equal in all columns go together: collapse them first where there are many.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    fair = sizes.agg(F.ceil(F.sum("_n") / (SHARES * tasks)).alias("_fair"))
+    crowded = sizes.crossJoin(F.broadcast(fair)).where("_n > _fair").select(*keys, F.ceil(F.col("_n") / F.col("_fair")).cast("int").alias("_parts"))
+    crowded = F.broadcast(crowded)
+    hashed = F.xxhash64(*[F.col(f.name) for f in left.schema.fields if "map<" not in f.dataType.simpleString()])
+    parts = F.coalesce("_parts", F.lit(1))
+    l = left.join(crowded, keys, "left").withColumn("_part", F.pmod(hashed, parts).cast("int")).drop("_parts")
+    r = right.join(crowded, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return l, r
+
+
 def overlap_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    left_span: tuple[str, str],
-    right_span: tuple[str, str],
-    width: int = BIN,
-    salt: int = 1,
+    left: DataFrame, right: DataFrame, on: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int = BIN
 ) -> DataFrame:
     """All pairs whose spans share a position; column names of the sides must differ except ``on``.
 
     Both sides are copied into the bins they touch and a pair is emitted only in the bin of the larger start, so no
-    ``distinct`` is needed. With ``salt`` > 1 the rows of a hot bin's left side spread over that many partitions.
+    ``distinct`` is needed. The left side's crowded bins are split; the right side should be the one with fewer rows a place.
     """
     (ls, le), (rs, re) = left_span, right_span
-    l = left.withColumn("_bin", _bins(F.col(ls), F.col(le), width))
-    r = right.withColumn("_bin", _bins(F.col(rs), F.col(re), width))
     keys = [*on, "_bin"]
-    if salt > 1:
-        l = l.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if left.schema[c].dataType.simpleString() in ("bigint", "int", "string", "double", "boolean")]), F.lit(salt)))
-        r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))
-        keys.append("_salt")
+    l, r = _dealt(left.withColumn("_bin", _bins(F.col(ls), F.col(le), width)), right.withColumn("_bin", _bins(F.col(rs), F.col(re), width)), keys)
     hit = (
         (F.col(ls) <= F.col(re))
         & (F.col(rs) <= F.col(le))
         & (F.col("_bin") == F.floor(F.greatest(F.col(ls), F.col(rs)) / width))
     )
-    return l.join(r, keys).where(hit).drop("_bin", "_salt")
+    return l.join(r, [*keys, "_part"]).where(hit).drop("_bin", "_part")
 
 
 def point_join(
     points: DataFrame, intervals: DataFrame, on: Sequence[str], point: str, span: tuple[str, str], width: int = BIN
 ) -> DataFrame:
-    """Pairs of a point and an interval that contains it; only the intervals are copied."""
-    p = points.withColumn("_bin", F.floor(F.col(point) / width))
-    i = intervals.withColumn("_bin", _bins(F.col(span[0]), F.col(span[1]), width))
-    return p.join(i, [*on, "_bin"]).where(F.col(point).between(F.col(span[0]), F.col(span[1]))).drop("_bin")
+    """Pairs of a point and an interval that contains it; only the intervals are copied, and crowded bins of points are split."""
+    keys = [*on, "_bin"]
+    p, i = _dealt(points.withColumn("_bin", F.floor(F.col(point) / width)), intervals.withColumn("_bin", _bins(F.col(span[0]), F.col(span[1]), width)), keys)
+    return p.join(i, [*keys, "_part"]).where(F.col(point).between(F.col(span[0]), F.col(span[1]))).drop("_bin", "_part")
 
 
 def _strand_classes(strand: Column) -> Column:

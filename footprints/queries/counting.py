@@ -374,7 +374,7 @@ SELECT g.gene, a.sample, count(*) AS n FROM genes g JOIN mapped a
 )
 def _(t):
     reads = t.mapped.groupBy("sample", "seqname", F.col("pos").alias("_s"), (F.col("aend") - 1).alias("_e")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = intervals.overlap_join(reads, t.genes, ["seqname"], ("_s", "_e"), ("start", "end"), salt=4)
+    pairs = intervals.overlap_join(reads, t.genes, ["seqname"], ("_s", "_e"), ("start", "end"))
     return pairs.groupBy("gene", "sample").agg(F.sum("n").alias("n"))
 
 

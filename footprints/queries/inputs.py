@@ -24,7 +24,8 @@ class Inputs(Tables):
     # ---- reads: every document's letters as bases, cut into consecutive fragments -------------
     @cached_property
     def fragments(self) -> DataFrame:
-        docs = self.table("documents").select(
+        # The given tables have one row group each; rows are dealt out before the costly expressions.
+        docs = self.table("documents").select("doc_id", "source", "text").repartition("doc_id").select(
             "doc_id",
             "source",
             F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), _LETTERS, _AS_BASES).alias("base"),
@@ -67,7 +68,8 @@ class Inputs(Tables):
             F.struct(F.lit(3).alias("op"), F.lit(30).alias("len")),
             F.struct(F.lit(0).alias("op"), (qlen - 10).alias("len")),
         )
-        return self.table("lineitem").select(
+        used = ["l_returnflag", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+        return self.table("lineitem").select(*used).repartition("l_orderkey").select(
             F.col("l_returnflag").alias("sample"),
             F.col("l_orderkey").cast("string").alias("qname"),
             (F.col("l_partkey") % SEQUENCES).alias("seqname"),
