@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from footprints import constants as C
 from footprints.functions import cigar as G
-from footprints.operators import alignments as A, algebra, annotation, compare, coords, counts, features as X, intervals, mappability, metagene, pausing, qc, reads as R, utr, windows
+from footprints.operators import alignments as A, algebra, annotation, compare, coords, counts, features as X, intervals, mappability, metagene, pausing, qc, reads as R, surroundings, utr, windows
 
 
 def models(spark):
@@ -85,86 +85,89 @@ def test_region_fetch_pads_off_the_sequence(spark):
     assert {r.a: r.seq for r in coords.fetch_regions(regions, genome, 5).collect()} == {-2: "--AC", 3: "TACC", 7: "GG---"}
 
 
-@pytest.mark.parametrize("salt", [1, 3])
-def test_overlap_join_against_brute_force(spark, salt):
+def test_overlap_join_against_brute_force(spark):
     rnd = random.Random(3)
     # A third of the left rows share one place.
     left = [(i, "c", 500, 520) if i % 3 == 0 else (i, "c", s := rnd.randrange(3000), s + rnd.randrange(60)) for i in range(150)]
     right = [(i, "c", s := rnd.randrange(3000), s + rnd.randrange(900)) for i in range(40)]
     l = spark.createDataFrame(left, "i int, seqname string, ls bigint, le bigint")
     r = spark.createDataFrame(right, "j int, seqname string, rs bigint, re bigint")
-    got = [(x.i, x.j) for x in intervals.overlap_join(l, r, ["seqname"], ("ls", "le"), ("rs", "re"), 64, salt).collect()]
+    got = [(x.i, x.j) for x in intervals.overlap_join(l, r, ["seqname"], ("ls", "le"), ("rs", "re"), 64).collect()]
     want = [(a[0], b[0]) for a in left for b in right if a[2] <= b[3] and b[2] <= a[3]]
     assert sorted(got) == sorted(want)
+    points = [(x.i, x.j) for x in intervals.point_join(l, r, ["seqname"], "ls", ("rs", "re"), 64).collect()]
+    assert sorted(points) == sorted((a[0], b[0]) for a in left for b in right if b[2] <= a[2] <= b[3])
+    assert intervals.overlap_join(l.limit(0), r, ["seqname"], ("ls", "le"), ("rs", "re")).count() == 0
+
+
+def test_a_locus_with_most_rows_is_dealt_out(spark):
+    # Nine tenths of the reads begin at one base; the others are spread out.
+    l = spark.range(20_000).selectExpr("id as i", "'c' as seqname", "if(id % 10 > 0, 700, id * 37) as ls", "if(id % 10 > 0, 700, id * 37) + 30 as le")
+    r = spark.createDataFrame([(k, "c", k * 50, k * 50 + 200) for k in range(100)], "j int, seqname string, rs bigint, re bigint")
+    keys = ["seqname", "_bin"]
+    bins = lambda a, b: intervals._bins(F.col(a), F.col(b), intervals.BIN)
+    dealt, _ = intervals._dealt(l.withColumn("_bin", bins("ls", "le")), r.withColumn("_bin", bins("rs", "re")), keys)
+    sizes = sorted(x["n"] for x in dealt.groupBy(*keys, "_part").agg(F.count("*").alias("n")).collect())
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Fair shares, but for the luck of the hash.
+    assert sizes[-1] <= 1.3 * 20_100 / (intervals.SHARES * tasks)
+    joined = intervals.overlap_join(l, r, ["seqname"], ("ls", "le"), ("rs", "re"))
+    near = sum(k * 50 <= 730 and k * 50 + 200 >= 700 for k in range(100))
+    assert joined.where("i % 10 > 0").groupBy("i").count().agg(F.min("count"), F.max("count"), F.count("*")).first()[:] == (near, near, 18_000)
+
+
+def test_bases_under_reads_over_chunks_and_edges(spark):
+    rnd = random.Random(5)
+    text = "".join(rnd.choice("ACGT") for _ in range(95))
+    genome = spark.createDataFrame([("c", k, text[k * 20 : k * 20 + 20]) for k in range(5)], "seqname string, chunk bigint, seq string")
+    rows = [(i, "c", p := rnd.randrange(-15, 100), [(p, p + rnd.randrange(0, 6)), (p + 8, p + 8 + rnd.randrange(0, 12))][: 1 + i % 2]) for i in range(300)]
+    # Half of all reads at one place, one without a span, one off the known sequences.
+    rows += [(1000 + i, "c", 18, [(18, 25)]) for i in range(300)] + [(2000, "c", 5, []), (2001, "x", 5, [(5, 8)]), (2002, "c", None, None)]
+    reads = spark.createDataFrame(rows, "i int, seqname string, p bigint, s array<struct<a:bigint,b:bigint>>")
+    base = lambda name, k: text[k] if name == "c" and 0 <= k < len(text) else "-"
+    want = {i: "".join(base(name, k) for a, b in s for k in range(a, b + 1)) if s else None for i, name, _, s in rows}
+    found = coords.bases_at(reads, genome, 20, F.col("s"), "bases")
+    assert {r.i: r.bases for r in found.collect()} == want and found.columns == ["i", "seqname", "p", "s", "bases"]
+    # Wider than a chunk is possible if asked for, and an error if not.
+    wide = spark.createDataFrame([(1, "c", 3, [(3, 60)])], reads.schema)
+    assert coords.bases_at(wide, genome, 20, F.col("s"), "bases", 58).first()["bases"] == text[3:61]
+    with pytest.raises(Exception, match="spans more than the longest allowed"):
+        coords.bases_at(wide, genome, 20, F.col("s"), "bases").collect()
+
+
+def test_reads_and_genome_meet_in_one_join(spark):
+    genome = spark.createDataFrame([("c", 0, "ACGTACGTACGTACGTACGT")], "seqname string, chunk bigint, seq string")
+    a = alignment_rows(spark, [("s", "1", "c", 2, "6M", "+", 50, False, 0)]).withColumn("seq", F.lit("CCACGT")).withColumn("qual", F.lit("IIIIII"))
+    plan = A.with_reference(a, genome, 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("Join") == 1
 
 
-def test_nearest_against_brute_force(spark):
-    rnd = random.Random(4)
-    f = [(f"f{i}", "c", s := rnd.randrange(4000), s + rnd.randrange(80), rnd.choice("+-.")) for i in range(60)]
-    df = spark.createDataFrame(f, "id string, seqname string, start bigint, end bigint, strand string")
-    lengths = spark.createDataFrame([("c", 5000)], "seqname string, length bigint")
-    got = {r.id: (r.closest_left, r.closest_right) for r in intervals.nearest(df, df, lengths, width=128).collect()}
-    for name, _, s, e, strand in f:
-        left = max([x[3] for x in f if x[3] < s and x[4] in (".", strand)], default=-1)
-        right = min([x[2] for x in f if x[2] > e and x[4] in (".", strand)], default=5000)
-        assert got[name] == (left, right)
-
-
-def test_depth_runs_across_chunks(spark):
-    rnd = random.Random(5)
-    blocks = [("k", s := rnd.randrange(200), s + rnd.randrange(1, 90), 2) for _ in range(60)]
-    df = spark.createDataFrame(blocks, "k string, s bigint, e bigint, w bigint")
-    got = {r.pos: r.n for r in intervals.per_base(intervals.depth_runs(df, ["k"], "s", "e", "w", width=32), ["k"]).collect()}
-    want = {p: sum(w for _, s, e, w in blocks if s <= p < e) for p in range(300)}
-    assert got == {p: n for p, n in want.items() if n}
-
-
-def circular(spark, r1, r2):
-    return spark.createDataFrame([("s", "x", r1, "I" * len(r1), r2, "J" * len(r2))], "sample string, pair_id string, r1_seq string, r1_qual string, r2_seq string, r2_qual string")
-
-
-def test_circular_boundaries(spark):
-    payload5, payload3 = "ACGTTGCATCGA", "GGCTTCAGGCTC"
-    reverse = payload5 + C.COMMON_RIGHT_REVERSE + C.AFTER_RIGHT["B"] + C.AFTER_LEFT["A"] + "TTTTTTTT"
-    forward = payload3 + "A" * 16 + "CTCC"
-    row = R.circular_boundaries(circular(spark, forward, reverse)).first()
-    assert (row.status, row.reverse_mate, row.control_ids) == ("ok", "R2", "A-B")
-    assert row.five_seq == payload5[::-1].translate(str.maketrans("ACGT", "TGCA")) and row.three_seq == payload3 and row.tail_length == 16
-    # One mismatch in the junction is accepted, and the mates may be swapped.
-    changed = reverse.replace("GGTATTGCTC", "GGTATCGCTC")
-    assert R.circular_boundaries(circular(spark, changed, forward)).first().reverse_mate == "R1"
-    # A junction cut off by the read's end.
-    cut = (payload5 + C.COMMON_RIGHT_REVERSE)[: len(payload5) + 8]
-    row = R.circular_boundaries(circular(spark, forward, cut)).first()
-    assert (row.status, row.control_ids, row.five_length) == ("ok", "*-*", len(payload5))
-    assert R.circular_boundaries(circular(spark, forward.replace("A" * 16, "A" * 12), reverse)).first().status == "short_tail"
-    assert R.circular_boundaries(circular(spark, reverse, reverse)).first().status == "ambiguous"
-    assert R.circular_boundaries(circular(spark, "GGGGGGCCCCCC", "CCCCCCCCCC")).first().status == "no_junction"
-
-
-def brute_diagonal(seq, marker):
-    best = 0
-    for shift in range(-len(seq) + 1, len(marker)):
-        pairs = [(seq[i], marker[i + shift]) for i in range(len(seq)) if 0 <= i + shift < len(marker)]
-        if pairs and 3 * sum(a != b for a, b in pairs) <= 7:
-            best = max(best, len(pairs))
-    return best
-
-
-def test_best_diagonal_against_brute_force():
-    rnd = random.Random(6)
-    marker = "".join(rnd.choice("ACGT") for _ in range(25))
-    seqs = ["".join(rnd.choice("ACGT") for _ in range(rnd.randrange(1, 30))) for _ in range(40)] + [marker[5:20], marker[:12] + "G", "TT" + marker]
-    assert list(R.best_diagonal(pd.Series(seqs), marker)) == [brute_diagonal(s, marker) for s in seqs]
-
-
-def test_triplets(spark):
-    rnd = random.Random(7)
-    left, right = ("".join(rnd.choice("ACGT") for _ in range(28)) for _ in range(2))
-    seqs = [left[-15:] + "CAT" + right[:12], left[-15:] + "CAC" + right[:12], left[-26:] + "CA", left[-20:] + "GGG" + right[:2], "ACGT" * 7]
-    df = spark.createDataFrame([("s", s) for s in seqs], "sample string, seq string")
-    got = {(r.locus, r.triplet): r.n for r in R.triplets_at(df, [("l", left, right)]).collect()}
-    assert got == {("l", "CAT"): 1, ("l", "CAC"): 1}
+def test_sums_around_against_brute_force(spark):
+    rnd = random.Random(9)
+    rows = []
+    for sample, gene, size in [("a", 1, 2500), ("a", 2, 9), ("b", 1, 1030)]:
+        for i in range(size):
+            if rnd.random() < 0.02:
+                continue  # a codon without a row
+            label = rnd.choice([None, None, "x", "y"])
+            rows.append((sample, gene, i, rnd.choice(["AAA", "CCG", "TGA", "NNN"]), float(rnd.randrange(9)), label, rnd.choice([None, 0.5, 2.0]), 3.0))
+    marked = spark.createDataFrame(rows, "sample string, gene int, i bigint, codon string, n double, label string, v double, u double")
+    got = {(r.sample, r.label, r.offset, r.codon, r.codon_before): (r.sites, r.v, r.u) for r in surroundings.sums_around(marked, ["v", "u"], 3, 5, ["u"], pairs=True).collect()}
+    at = {r[:3]: (r[3], r[4]) for r in rows}
+    want = {}
+    for sample, gene, i, _, _, label, v, u in rows:
+        for o in range(-3, 6):
+            codon, n = at.get((sample, gene, i + o), ("NNN", 0))
+            if label is None or codon == "NNN":
+                continue
+            before = at.get((sample, gene, i + o - 1), ("NNN", 0))[0] if o > -3 else "NNN"
+            key = (sample, label, o, codon, None if before == "NNN" else before)
+            s = want.get(key, (0, 0.0, 0.0))
+            want[key] = (s[0] + 1, s[1] + (v or 0), s[2] + u * n)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    with pytest.raises(Exception, match="several rows"):
+        surroundings.sums_around(marked.unionByName(marked), ["v"], 1, 1).collect()
+    assert surroundings.sums_around(marked.limit(0), ["v"], 1, 1).count() == 0
 
 
 def test_consistent_position_prefers_the_dimer_rule():
