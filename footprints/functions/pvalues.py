@@ -1,53 +1,57 @@
-"""Two-sided p-values of correlations, for the small result tables of rank and product-moment correlations."""
+"""Two-sided p-values of correlations as column expressions."""
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
+# Lanczos' coefficients for g = 7, accurate to some fifteen digits.
+_G = 7
+_LANCZOS = [
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012,
+    9.9843695780195716e-6, 1.5056327351493116e-7,
+]
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 300):
-        for step in (
-            m * (b - m) * x / ((a + 2 * m - 1.0) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1.0)),
-        ):
-            d = 1.0 + step * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + step / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-14:
-            break
-    return h
-
-
-def two_sided(r: float, n: int) -> float:
-    """P(|R| >= |r|) for n pairs, by Student's t with n - 2 degrees of freedom."""
-    if r is None or math.isnan(r) or n is None or n < 3:
-        return math.nan
-    if abs(r) >= 1:
-        return 0.0
-    a, b = (n - 2) / 2.0, 0.5
-    x = 1.0 - r * r
-    if x >= 1.0:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1.0 - x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
+def log_gamma(x: Column) -> Column:
+    """Natural logarithm of the gamma function of x >= 0.5."""
+    y = x - 1
+    series = sum((F.lit(c) / (y + k) for k, c in enumerate(_LANCZOS[1:], 1)), F.lit(_LANCZOS[0]))
+    t = y + (_G + 0.5)
+    return F.lit(0.5 * math.log(2 * math.pi)) + (y + 0.5) * F.log(t) - t + F.log(series)
 
-def correlation_p_value(r: Column, n: Column) -> Column:
-    @F.pandas_udf("double")
-    def p(rs: pd.Series, ns: pd.Series) -> pd.Series:
-        return pd.Series([two_sided(a, int(b)) for a, b in zip(rs, ns)])
 
-    return p(r, n)
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Lentz' continued fraction of the incomplete beta function, as one aggregate over its steps."""
+    tiny = F.lit(1e-300)
+    safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+    state = lambda c, d, h: F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+    def turned(s, step):
+        """One step of the fraction; the struct keeps each value from being worked out again."""
+        return F.transform(
+            F.array(F.struct((1 / safe(1 + step * s["d"])).alias("d"), safe(1 + step / s["c"]).alias("c"))), lambda v: state(v["c"], v["d"], s["h"] * v["c"] * v["d"])
+        )[0]
+
+    def both(s, m):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return F.transform(F.array(turned(s, even)), lambda v: turned(v, odd))[0]
+
+    first = 1 / safe(1 - (a + b) * x / (a + 1))
+    # The fraction settles after a few times the square root of its larger parameter.
+    steps = F.sequence(F.lit(1), (F.lit(40) + 4 * F.sqrt(F.greatest(a, b))).cast("int"))
+    return F.aggregate(F.transform(steps, lambda m: m.cast("double")), state(F.lit(1.0), first, first), both, lambda s: s["h"])
+
+
+def correlation_p_value(r: Column, n: Column) -> Column:
+    """P(|R| >= |r|) for n pairs without correlation, by Student's t with n - 2 degrees of freedom.
+
+    Null where r or n is null, r is not a number or n is below 3; 0 where |r| is 1 and 1 where r is 0.
+    """
+    r = r.cast("double")
+    a, b, x = (n.cast("double") - 2) / 2, F.lit(0.5), 1 - r * r
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - F.lit(math.lgamma(0.5)) + a * F.log(x) + b * F.log(r * r))
+    tail = F.when(x < (a + 1) / (a + b + 2), front * _beta_fraction(a, b, x) / a).otherwise(1 - front * _beta_fraction(b, a, r * r) / b)
+    return F.when(r.isNull() | F.isnan(r) | n.isNull() | (n < 3), F.lit(None).cast("double")).when(F.abs(r) >= 1, F.lit(0.0)).when(r == 0, F.lit(1.0)).otherwise(tail)

@@ -192,7 +192,7 @@ def codon_table(counts: DataFrame, identities: DataFrame, samples: DataFrame, re
             for name, kind in [("relaxed", relaxed), ("stringent", stringent), ("anisomycin", anisomycin)]
         ]
     )
-    grid = identities.crossJoin(dimensions.listed(samples))
+    grid = dimensions.for_each(identities, samples)
     return grid.join(wide, ["sample", "gene", "codon_idx"], "left").na.fill(0, ["relaxed", "stringent", "anisomycin"])
 
 
@@ -208,7 +208,7 @@ def read_counts(
     hits = counts.where("read_end = 'five' and key = 'all'").join(lengths, "gene").where(inside)
     sums = hits.groupBy("sample", "gene").agg(F.sum("n").alias("n"))
     return (
-        lengths.crossJoin(dimensions.listed(samples.select("sample")))
+        dimensions.for_each(lengths, samples.select("sample"))
         .join(sums, ["sample", "gene"], "left")
         .select(
             "sample", "gene", (F.col("_cds") - exclude_start - exclude_end).alias("cds_length"),

@@ -17,10 +17,14 @@ def codon_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "codon string, codon_index int, amino_acid string, degeneracy int, anticodon string")
 
 
-def listed(dimension: DataFrame, limit: int = 10_000) -> DataFrame:
-    """The rows of a dimension, such as the samples, for a broadcast if they are few; otherwise the frame as it is."""
-    rows = dimension.limit(limit + 1).collect()
-    return F.broadcast(dimension.sparkSession.createDataFrame(rows, dimension.schema)) if len(rows) <= limit else dimension
+def for_each(rows: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Every row with every row of a dimension, such as the catalogue of samples.
+
+    The dimension travels as one array, whose size is that of a catalogue: experiments are listed by hand. So the plan has no
+    product of two tables, and nothing is collected while it is made.
+    """
+    every = dimension.agg(F.collect_list(F.struct(*dimension.columns)).alias("_every"))
+    return rows.crossJoin(F.broadcast(every)).withColumn("_one", F.explode("_every")).select(*rows.columns, "_one.*")
 
 
 def bases(spark: SparkSession) -> DataFrame:

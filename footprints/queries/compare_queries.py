@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from footprints import constants as C
 from footprints.functions import sequence as S
+from footprints.functions.pvalues import correlation_p_value
 from footprints.functions.stats import t_statistic
 from footprints.operators import algebra as L, compare as K, counts, dimensions, pausing as P, windows as W
 from footprints.queries import counting
@@ -109,21 +110,29 @@ def _(t):
     return K.extreme_labels(rounded(K.area_differences(enr(t), "S0", "S2", [WAVE]), "difference"))
 
 
+def _p_sql(r: str, n: str) -> str:
+    """Student's two-sided p-value by its finite sums for whole degrees of freedom n - 2, even and odd."""
+    even = f"abs({r}) * list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(1 - {r} * {r}, k) FOR k IN range(({n} - 2) // 2)])"
+    odd = f"2 / pi() * (asin(abs({r})) + abs({r}) * coalesce(list_sum([sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(1 - {r} * {r}, k + 0.5) FOR k IN range(({n} - 3) // 2)]), 0))"
+    return f"1 - CASE WHEN {n} % 2 = 0 THEN {even} ELSE {odd} END"
+
+
 @query(
     "A39_rank_correlations",
-    "SELECT sample, round(rho, 6) AS rho, n, round(rho * sqrt((n - 2) / (1 - rho * rho)), 5) AS t FROM (" + _spearman('(SELECT * FROM enr_weighted WHERE "offset" = 0)', "sample", "enrichment", "weight") + ")",
+    f"SELECT sample, round(rho, 6) AS rho, n, round(rho * sqrt((n - 2) / (1 - rho * rho)), 5) AS t, round({_p_sql('rho', 'n')}, 9) AS p FROM (" + _spearman('(SELECT * FROM enr_weighted WHERE "offset" = 0)', "sample", "enrichment", "weight") + ")",
 )
 def _(t):
-    c = K.rank_correlations(enr(t), t.trna).withColumn("t", t_statistic(F.col("rho"), F.col("n")))
-    return rounded(rounded(c, "rho"), "t", digits=5)
+    c = K.rank_correlations(enr(t), t.trna).withColumn("t", t_statistic(F.col("rho"), F.col("n"))).withColumn("p", correlation_p_value(F.col("rho"), F.col("n")))
+    return rounded(rounded(rounded(c, "rho"), "t", digits=5), "p", digits=9)
 
 
 _BY_OFFSET = _spearman("(SELECT w.*, t.weight FROM wave_smooth w JOIN trna t ON t.codon = w.label)", 'sample, "offset"', "smoothed", "weight")
 
 
-@query("A39_rank_correlations_by_offset", f'SELECT sample, "offset", round(rho, 6) AS rho, n FROM ({_BY_OFFSET})')
+@query("A39_rank_correlations_by_offset", f'SELECT sample, "offset", round(rho, 6) AS rho, n, round({_p_sql("rho", "n")}, 9) AS p FROM ({_BY_OFFSET})')
 def _(t):
-    return rounded(K.rank_correlations_by_offset(enr(t), t.trna, 2, -15, 15), "rho")
+    c = K.rank_correlations_by_offset(enr(t), t.trna, 2, -15, 15).withColumn("p", correlation_p_value(F.col("rho"), F.col("n")))
+    return rounded(rounded(c, "rho"), "p", digits=9)
 
 
 _CHANGE_R = """

@@ -136,15 +136,32 @@ def test_first_of_group_flags_exactly_one_even_among_equals(spark):
     assert sorted(flagged) == [("a", 1), ("b", 3)]
 
 
-def test_correlation_p_values():
-    # Closed forms: with 4 pairs p = 1 - |r|; with 3 pairs p = 1 - 2 asin(|r|) / pi.
-    for r in (-0.9, -0.3, 0.0, 0.2, 0.99):
-        assert math.isclose(pvalues.two_sided(r, 4), 1 - abs(r), rel_tol=1e-9, abs_tol=1e-12)
-        assert math.isclose(pvalues.two_sided(r, 3), 1 - 2 * math.asin(abs(r)) / math.pi, rel_tol=1e-9, abs_tol=1e-12)
-    assert pvalues.two_sided(1.0, 10) == 0.0 and math.isnan(pvalues.two_sided(0.5, 2))
-
-
-def test_p_value_column(spark):
-    df = spark.createDataFrame([(0.5, 4), (1.0, 9)], "r double, n bigint")
+def student_two_sided(r, n):
+    """Student's two-sided p-value by its finite sums for whole degrees of freedom."""
+    v, s, c = n - 2, abs(r), math.sqrt(1 - r * r)
+    if v % 2 == 0:
+        term, total = 1.0, 0.0
+        for k in range(v // 2):
+            total += term
+            term *= (2 * k + 1) / (2 * k + 2) * c * c
+        return 1 - s * total
+    term, total = c, 0.0
+    for k in range((v - 1) // 2):
+        total += term
+        term *= (2 * k + 2) / (2 * k + 3) * c * c
+    return 1 - 2 / math.pi * (math.asin(s) + s * total)
+
+
+def test_correlation_p_values(spark):
+    cases = [(r, n) for n in (3, 4, 5, 6, 17, 61, 62, 1000, 4001) for r in (-0.999, -0.9, -0.31, 0.0, 1e-9, 0.02, 0.2, 0.5, 0.99)]
+    df = spark.createDataFrame(cases, "r double, n bigint")
+    for x in df.select("r", "n", pvalues.correlation_p_value(F.col("r"), F.col("n")).alias("p")).collect():
+        assert math.isclose(x.p, student_two_sided(x.r, x.n), rel_tol=1e-8, abs_tol=1e-10), x
+
+
+def test_p_values_at_the_edges(spark):
+    rows = [(1.0, 9), (-1.0, 9), (0.0, 9), (0.5, 2), (None, 9), (0.5, None), (float("nan"), 9), (1.0, None)]
+    df = spark.createDataFrame(rows, "r double, n bigint")
     got = [x.p for x in df.select(pvalues.correlation_p_value(F.col("r"), F.col("n")).alias("p")).collect()]
-    assert math.isclose(got[0], 0.5) and got[1] == 0.0
+    assert got == [0.0, 0.0, 1.0, None, None, None, None, None]
+    assert df.limit(0).select(pvalues.correlation_p_value(F.col("r"), F.col("n")).alias("p")).count() == 0

@@ -64,6 +64,20 @@ def test_mate_files(spark, tmp_path):
     assert sorted((r.sample, r.pair_id) for r in R.pair_up(first, second).collect()) == [(s, f"r{i}") for s in ("a_", "b") for i in range(3)]
 
 
+def test_mates_are_found_within_their_folder(spark, tmp_path):
+    for name, n in (("A/R1.fastq", 2), ("A/R2.fastq", 2), ("B/R1.fastq", 3), ("B/deep/x_1.fq", 1), ("B/deep/x_2.fq", 1)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(fastq_text(n))
+    # The second file of B is missing; that of A is no stand-in.
+    with pytest.raises(ValueError, match="without a mate: B/R$"):
+        Q.read_mates(spark, str(tmp_path))
+    (tmp_path / "B/R2.fastq").write_text(fastq_text(3))
+    for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}"):
+        first, second = Q.read_mates(spark, root)
+        pairs = sorted((r.sample, r.pair_id) for r in R.pair_up(first, second).collect())
+        assert pairs == [("A/R", "r0"), ("A/R", "r1"), ("B/R", "r0"), ("B/R", "r1"), ("B/R", "r2"), ("B/deep/x_", "r0")]
+
+
 def test_long_alignments_are_found_in_their_region(spark, tmp_path):
     df = spark.createDataFrame([("c", 100, 10100), ("c", 5500, 5600), ("c", 7000, 7100), ("d", 0, 90000)], "seqname string, pos long, aend long").withColumn("strand", F.lit("+"))
     A.write_sorted(df, str(tmp_path / "sorted"))
@@ -71,9 +85,10 @@ def test_long_alignments_are_found_in_their_region(spark, tmp_path):
 
 
 def test_quality_offsets(spark):
-    df = spark.createDataFrame([("a", "r", "AC", "hB"), ("b", "r", "AC", "I#")], "file string, read_id string, seq string, qual string")
-    fixed = {r.file: r.qual for r in Q.to_sanger(df, Q.quality_offsets(df)).collect()}
-    assert fixed == {"a": "I#", "b": "I#"}
+    df = spark.createDataFrame([("a", "r", "AC", "hB"), ("b", "r", "AC", "I#"), ("good", "r", "AC", "II"), ("good", "s", "AC", ";J")], "file string, read_id string, seq string, qual string")
+    fixed = sorted((r.file, r.qual) for r in Q.to_sanger(df, Q.quality_offsets(df)).collect())
+    # A file of good qualities only stays as it is.
+    assert fixed == [("a", "I#"), ("b", "I#"), ("good", ";J"), ("good", "II")]
 
 
 GFF = """##gff-version 3
