@@ -32,15 +32,32 @@ def running_sum(
     return joined.drop("_chunk", *[f"_l_{k}" for k in sums], *[f"_o_{k}" for k in sums])
 
 
-def value_chunk(value: Column) -> Column:
-    """A monotone coarse bucket of a number, fine enough to split a hot group by value."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * 256)).cast("bigint")
+# Chunks of a key's values (a power of two), and parts in which its rows meet the bounds of the chunks.
+VALUE_CHUNKS = 1024
+SALTS = 16
+
+
+def _cuts_below(value: Column, cuts: Column) -> Column:
+    """How many of the ascending ``cuts`` (fewer than VALUE_CHUNKS) are below the value, by bisection; null for null."""
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(VALUE_CHUNKS.bit_length() - 1))])
+    below = lambda at, half: F.coalesce(F.get(cuts, at + half - 1) < value, F.lit(False))
+    return F.when(value.isNotNull(), F.aggregate(halves, F.lit(0), lambda at, half: F.when(below(at, half), at + half).otherwise(at)))
+
+
+def value_chunks(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Adds ``_part``, the place of the value among approximate quantiles of its key's distinct values, so that parts are of like
+    size wherever the values lie. The quantiles are for balance only; any cuts give the same sums."""
+    steps = [i / VALUE_CHUNKS for i in range(1, VALUE_CHUNKS)]
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, steps).alias("_cuts"))
+    salted = counts.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    copies = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"]).withColumn("_part", _cuts_below(F.col(value), F.col("_cuts"))).drop("_salt", "_cuts")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values with their number and, as ``cum``, the number of rows not larger."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    return running_sum(counts, keys, value, {"cum": "n"}, value_chunk(F.col(value)))
+    return running_sum(value_chunks(counts, keys, value), keys, value, {"cum": "n"}, F.col("_part")).drop("_part")
 
 
 def order_statistics(counts: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame, rank: str) -> DataFrame:

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from footprints.functions import cigar as G
-from footprints.operators import coords, counts, dimensions, reads as R
+from footprints.operators import algebra, coords, counts, dimensions, reads as R
 from footprints.queries import boundary_queries, compare_queries, counting, inputs, read_queries
 from footprints.queries.registry import query
 from footprints.session import cut_lineage, shared_folder
-from footprints.sources import alignments as A, annotation as N, fastq as Q, tables as T
+from footprints.sources import alignments as A, annotation as N, exports as X, fastq as Q, tables as T
 
 
 def folder(t, name):
@@ -60,7 +60,9 @@ def feature_table(t):
 SELECT CAST(seqname AS VARCHAR) AS seqname, feature, "start", "end", strand, CASE WHEN feature = 'CDS' THEN 0 END AS frame, id, parent_id, 'a b;c=+*' || "start" AS note FROM features""",
 )
 def _(t):
-    back = N.with_family(N.parse_features(N.to_gff_lines(feature_table(t))))
+    path = folder(t, "features")
+    X.write_gff(feature_table(t), path)
+    back = N.read_gff(t.spark, path)
     return back.select("seqname", "feature", "start", "end", "strand", "frame", "id", "parent_id", F.col("attributes")["Note"].alias("note"))
 
 
@@ -83,7 +85,9 @@ def _(t):
     lines = t.features.select(
         F.concat_ws("\t", F.concat(F.lit("s"), "seqname"), F.lit("src"), "feature", F.col("start") + 1, F.col("end") + 1, F.lit("."), "strand", F.lit("."), text).alias("value")
     )
-    f = N.parse_features(lines, N.gtf_attributes)
+    path = folder(t, "gtf")
+    lines.write.text(path)
+    f = N.read_gtf(t.spark, path)
     total = f.agg(F.count(F.lit(1)).alias("n"))
     return f.select("seqname", "feature", "start", "end", F.col("attributes")["transcript_id"].alias("transcript_id"), F.col("attributes")["gene_note"].alias("note")).crossJoin(F.broadcast(total))
 
@@ -96,7 +100,9 @@ SELECT sample, qname, CAST(seqname AS VARCHAR) AS seqname, pos, aend, strand, ma
 )
 def _(t):
     text = t.alignments.withColumn("seq", F.lit("*")).withColumn("qual", F.lit("*"))
-    back = A.parse_sam(A.to_sam(text).select("sample", "value"))
+    path = folder(t, "sam")
+    X.write_sam(text, path)
+    back = A.read_sam(t.spark, path)
     return back.select("sample", "qname", "seqname", "pos", "aend", "strand", "mapq", "is_secondary", "is_unmapped", "qlen", "nongenomic_length", "nm", G.unparse(F.col("cigar")).alias("cigar"))
 
 
@@ -168,32 +174,64 @@ def _(t):
 )
 def _(t):
     lines = t.genes.select(F.concat_ws("\t", F.concat(F.lit("g"), "gene"), "strand", "start", F.when(F.col("gene") % 3 == 0, "").otherwise(F.col("end").cast("string"))).alias("value"))
-    cells = N.parse_table(lines, ["gene", "strand", "tx_start", "tx_end"])
+    path = folder(t, "annotation")
+    lines.write.text(path)
+    cells = N.read_table(t.spark, path, 0, ["gene", "strand", "tx_start", "tx_end"])
     return cells.select("gene", "strand", N.maybe_int(F.col("tx_start")).alias("tx_start"), N.maybe_int(F.col("tx_end")).alias("tx_end"))
 
 
-@query("S12_boundary_lines", boundary_queries._BOUNDARIES + "SELECT CAST(gene AS VARCHAR) AS gene, CAST(seqname AS VARCHAR) AS seqname, strand, five_pos, three_pos FROM b")
+@query(
+    "S12_boundary_lines",
+    boundary_queries._BOUNDARIES
+    + """SELECT row_number() OVER (ORDER BY CAST(seqname AS VARCHAR), least(five_pos, three_pos), greatest(five_pos, three_pos), strand, CAST(gene AS VARCHAR)) - 1 AS line,
+  CAST(gene AS VARCHAR) AS gene, CAST(seqname AS VARCHAR) AS seqname, strand, five_pos, three_pos FROM b""",
+)
 def _(t):
-    return T.parse_boundary_lines(T.boundary_lines(boundary_queries.boundaries(t)))
+    path = folder(t, "boundaries")
+    X.write_boundaries(boundary_queries.boundaries(t), path)
+    return X.read_boundaries(t.spark, path)
+
 
+_BY_NAME = "OVER (PARTITION BY sample ORDER BY CAST(gene AS VARCHAR)) - 1"
 
-@query("S13_codon_count_lines", "SELECT sample, CAST(gene AS VARCHAR) AS gene, CAST(codon_idx + 5 AS INTEGER) AS codon_idx, relaxed AS n FROM codon_counts")
+
+@query(
+    "S13_codon_count_lines",
+    f"SELECT sample, dense_rank() {_BY_NAME} AS line, CAST(gene AS VARCHAR) AS gene, CAST(codon_idx + 5 AS INTEGER) AS codon_idx, relaxed AS n FROM codon_counts",
+)
 def _(t):
-    return T.parse_codon_count_lines(T.codon_count_lines(t.codon_counts))
+    path = folder(t, "codons")
+    X.write_codon_counts(t.codon_counts, path)
+    return X.read_codon_counts(t.spark, path)
 
 
-@query("S14_expression_records", "SELECT sample, CAST(gene AS VARCHAR) AS gene, cds_length, n AS sense, 0 AS antisense FROM gene_counts")
+@query(
+    "S14_expression_records",
+    f"SELECT sample, row_number() {_BY_NAME} AS record, CAST(gene AS VARCHAR) AS gene, cds_length, n AS sense, 0 AS antisense FROM gene_counts",
+)
 def _(t):
-    back = T.parse_expression_records(T.expression_lines(compare_queries.gene_counts(t)))
-    return back.select("sample", "gene", "cds_length", F.col("counts")[0].alias("sense"), F.col("counts")[1].alias("antisense"))
+    path = folder(t, "expression")
+    X.write_expression(compare_queries.gene_counts(t), path)
+    back = X.read_expression(t.spark, path)
+    return back.select("sample", "record", "gene", "cds_length", F.col("counts")[0].alias("sense"), F.col("counts")[1].alias("antisense"))
 
 
 @query(
     "S15_rpkm_lines",
-    "SELECT sample, CAST(gene AS VARCHAR) AS gene, round(1e9 * n / cds_length / sum(n) OVER (PARTITION BY sample), 2) AS rpkm FROM gene_counts",
+    f"SELECT sample, row_number() {_BY_NAME} AS line, CAST(gene AS VARCHAR) AS gene, round(1e9 * n / cds_length / sum(n) OVER (PARTITION BY sample), 2) AS rpkm FROM gene_counts",
 )
 def _(t):
-    return T.parse_rpkm_lines(T.rpkm_lines(counts.rpkm(compare_queries.gene_counts(t))))
+    path = folder(t, "rpkm")
+    X.write_rpkms(counts.rpkm(compare_queries.gene_counts(t)), path)
+    return X.read_rpkms(t.spark, path)
+
+
+@query("S19_matrix_file", """SELECT row_number() OVER (ORDER BY CAST(gene AS VARCHAR)) AS line, CAST(gene AS VARCHAR) AS gene, * EXCLUDE (gene) FROM matrix""")
+def _(t):
+    path = folder(t, "matrix")
+    samples = ["S0", "S1", "S2"]
+    X.write_matrix(algebra.count_matrix(compare_queries.gene_counts(t), samples), path)
+    return X.read_matrix(t.spark, path, samples)
 
 
 @query("S16_position_store", "SELECT sample, gene, read_end, key, pos, n FROM position_counts WHERE key IN ('all', '28')")
@@ -222,3 +260,21 @@ def _(t):
     path = folder(t, "catalogue")
     T.upsert(read_queries.histogram(t), path, ["sample"])
     return T.catalogue(t.spark, path)
+
+
+@query(
+    "S18_family_catalogue",
+    """
+SELECT source AS family, lang AS name, CAST(count(*) AS VARCHAR) AS documents, CAST(sum(n_chars) AS VARCHAR) AS characters, 'all of ' || lang AS note
+FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL""",
+)
+def _(t):
+    # One experiment for each source and language, described by a file in its folder.
+    path = folder(t, "experiments")
+    found = t.table("documents").where("source is not null and lang is not null").groupBy(F.col("source").alias("family"), F.col("lang").alias("name")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("size")
+    )
+    text = F.concat(F.lit("# described here\ndocuments: "), "n", F.lit("\ncharacters "), "size", F.lit("\nnote: all of "), "name")
+    found.select("family", "name", text.alias("value")).write.partitionBy("family", "name").text(path)
+    back = X.read_descriptions(t.spark, path, "part-*")
+    return back.select("family", "name", *[F.col("fields")[k].alias(k) for k in ("documents", "characters", "note")])

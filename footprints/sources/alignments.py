@@ -66,28 +66,52 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _spread(alignments: DataFrame, keys: list[str], partitions: int | None) -> DataFrame:
+    """Range-partitioned and sorted by the keys. Rows with equal keys are spread by a hash of their name, so that a start site
+    that holds a third of all rows is cut into several ranges."""
+    last = [F.xxhash64("qname").alias("_tie")] if "qname" in alignments.columns else []
+    cut = [*[F.col(k) for k in keys], *last]
+    ranged = alignments.repartitionByRange(partitions, *cut) if partitions else alignments.repartitionByRange(*cut)
+    return ranged.sortWithinPartitions(*keys)
+
+
 def coordinate_sorted(alignments: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Range-partitioned and sorted by sequence and position, so that Parquet row groups can be skipped by region.
+    """Range-partitioned and sorted by sequence and position, so that Parquet row groups can be skipped by region."""
+    return _spread(alignments, ["seqname", "pos", "strand", "aend"], partitions)
 
-    Ties on a hot position are spread by strand and end before they are sorted.
-    """
-    keys = ["seqname", "pos", "strand", "aend"]
-    ranged = alignments.repartitionByRange(partitions, *keys) if partitions else alignments.repartitionByRange(*keys)
-    return ranged.sortWithinPartitions(*keys)
+
+# Spans of up to FINEST bases are of level 0; each further level holds spans eight times as long, the last all the rest.
+FINEST = 1 << 12
+LEVELS = 10
 
 
-def write_sorted(alignments: DataFrame, path: str) -> None:
-    """Coordinate-sorted Parquet, and beside it, where readers of the folder do not look, the longest span of each sequence."""
-    coordinate_sorted(alignments).write.mode("overwrite").parquet(path)
-    written = alignments.sparkSession.read.parquet(path)
-    written.groupBy("seqname").agg(F.max(F.col("aend") - F.col("pos")).alias("longest")).write.mode("overwrite").parquet(f"{path}/_longest")
+def span_level(pos, aend):
+    """The level of an alignment by its span; 0 where there is none."""
+    span = F.coalesce(F.col(aend) - F.col(pos), F.lit(0))
+    return sum((F.when(span > FINEST * 8**k, 1).otherwise(0) for k in range(LEVELS - 1)), F.lit(0)).cast("int")
+
+
+def write_sorted(alignments: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Parquet sorted by sequence, level of span and position; ``span_level`` is stored for ``read_region``."""
+    levelled = alignments.withColumn("span_level", span_level("pos", "aend"))
+    _spread(levelled, ["seqname", "span_level", "pos", "strand", "aend"], partitions).write.mode("overwrite").parquet(path)
+
+
+def region_filter(start: int, end: int):
+    """Overlap with [start, end), with bounds on where an alignment of each level begins that reach the scan.
+
+    One long alignment is in a level of its own, so it does not widen what is read of the short ones.
+    """
+    level, pos = F.col("span_level"), F.col("pos")
+    begins = level == LEVELS - 1
+    for k in range(LEVELS - 1):
+        begins = begins | ((level == k) & (pos > start - FINEST * 8**k))
+    return begins & (pos < end) & (F.col("aend") > start)
 
 
 def read_region(spark: SparkSession, path: str, seqname, start: int, end: int) -> DataFrame:
-    """Alignments that overlap [start, end). The sequence's longest span bounds where they begin, so that the filter reaches the scan."""
-    a = spark.read.parquet(path)
-    longest = spark.read.parquet(f"{path}/_longest").where(F.col("seqname") == seqname).agg(F.max("longest")).first()[0] or 0
-    return a.where((F.col("seqname") == seqname) & (F.col("pos") < end) & (F.col("pos") > start - longest) & (F.col("aend") > start))
+    """Alignments of a store of ``write_sorted`` that overlap [start, end)."""
+    return spark.read.parquet(path).where((F.col("seqname") == seqname) & region_filter(start, end)).drop("span_level")
 
 
 def merge_pathways(*pathways: DataFrame) -> DataFrame:

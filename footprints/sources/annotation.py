@@ -72,18 +72,15 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
     return parse_features(spark.read.text(path), gtf_attributes)
 
 
-def to_gff_lines(features: DataFrame) -> DataFrame:
-    """Lines (``value``) of features, 1-based, attributes sorted and quoted."""
+def to_gff_lines(features: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines (``value``) of features, 1-based, attributes sorted and quoted; the columns ``keep`` stay beside them."""
     frame = F.coalesce(F.col("frame").cast("string"), F.lit("."))
     return features.select(
-        F.concat_ws("\t", "seqname", "source", "feature", F.col("start") + 1, F.col("end") + 1, "score", "strand", frame, unparse_attributes(F.col("attributes"))).alias("value")
+        *keep,
+        F.concat_ws("\t", "seqname", "source", "feature", F.col("start") + 1, F.col("end") + 1, "score", "strand", frame, unparse_attributes(F.col("attributes"))).alias("value"),
     )
 
 
-def write_gff(features: DataFrame, path: str) -> None:
-    to_gff_lines(features.orderBy("seqname", "start", "end", "feature", "strand")).write.mode("overwrite").text(path)
-
-
 def read_fasta(spark: SparkSession, path: str, chunk_width: int = 1 << 14) -> DataFrame:
     """(seqname, chunk, seq): FASTA files cut into chunks of equal width, whatever their line width.
 

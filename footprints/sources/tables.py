@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 # ---- position counts ------------------------------------------------------------------------------
@@ -40,17 +40,17 @@ def catalogue(spark: SparkSession, path: str, partition: str = "sample") -> Data
 
 
 def codon_count_lines(codons: DataFrame, count: str = "relaxed") -> DataFrame:
-    """One line per gene: its name and its counts in codon order, tab-separated, sorted by name."""
+    """One line per gene: its name and its counts in codon order, tab-separated. ``exports`` writes them sorted by name."""
     ordered = codons.groupBy("sample", "gene").agg(F.array_sort(F.collect_list(F.struct("codon_idx", F.col(count).alias("n")))).alias("c"))
     text = F.array_join(F.transform("c", lambda x: x["n"].cast("string")), "\t")
     return ordered.select("sample", F.concat_ws("\t", "gene", text).alias("value"))
 
 
-def parse_codon_count_lines(lines: DataFrame) -> DataFrame:
-    """(sample, gene, codon_idx, n) with indices from 0."""
+def parse_codon_count_lines(lines: DataFrame, *keep: str) -> DataFrame:
+    """(sample, ``keep``, gene, codon_idx, n) with indices from 0."""
     f = F.split("value", "\t")
     numbers = F.transform(F.slice(f, F.lit(2), F.size(f)), lambda x: x.cast("bigint"))
-    return lines.select("sample", F.get(f, F.lit(0)).alias("gene"), F.posexplode(numbers).alias("codon_idx", "n"))
+    return lines.select("sample", *keep, F.get(f, F.lit(0)).alias("gene"), F.posexplode(numbers).alias("codon_idx", "n"))
 
 
 def expression_lines(read_counts: DataFrame) -> DataFrame:
@@ -60,12 +60,12 @@ def expression_lines(read_counts: DataFrame) -> DataFrame:
     )
 
 
-def parse_expression_records(records: DataFrame) -> DataFrame:
-    """(sample, gene, cds_length, counts) of two-line records."""
+def parse_expression_records(records: DataFrame, *keep: str) -> DataFrame:
+    """(sample, ``keep``, gene, cds_length, counts) of two-line records."""
     parts = F.split("value", "\n")
     info = F.split(F.get(parts, F.lit(0)), r"\s+")
     counts = F.transform(F.split(F.trim(F.get(parts, F.lit(1))), " +"), lambda x: x.cast("bigint"))
-    return records.select("sample", F.get(info, F.lit(0)).alias("gene"), F.get(info, F.lit(1)).cast("int").alias("cds_length"), counts.alias("counts"))
+    return records.select("sample", *keep, F.get(info, F.lit(0)).alias("gene"), F.get(info, F.lit(1)).cast("int").alias("cds_length"), counts.alias("counts"))
 
 
 def rpkm_lines(rpkms: DataFrame) -> DataFrame:
@@ -73,25 +73,16 @@ def rpkm_lines(rpkms: DataFrame) -> DataFrame:
     return rpkms.select("sample", F.concat_ws("\t", "gene", F.format_string("%.2f", "rpkm")).alias("value"))
 
 
-def parse_rpkm_lines(lines: DataFrame) -> DataFrame:
+def parse_rpkm_lines(lines: DataFrame, *keep: str) -> DataFrame:
     f = F.split(F.trim("value"), r"\s+")
-    return lines.select("sample", F.get(f, F.lit(0)).alias("gene"), F.get(f, F.lit(1)).cast("double").alias("rpkm"))
+    return lines.select("sample", *keep, F.get(f, F.lit(0)).alias("gene"), F.get(f, F.lit(1)).cast("double").alias("rpkm"))
 
 
-def boundary_lines(boundaries: DataFrame) -> DataFrame:
-    return boundaries.select(F.concat_ws("\t", "gene", "seqname", "strand", "five_pos", "three_pos").alias("value"))
+def boundary_line() -> Column:
+    return F.concat_ws("\t", "gene", "seqname", "strand", "five_pos", "three_pos")
 
 
-def parse_boundary_lines(lines: DataFrame) -> DataFrame:
+def parse_boundary_lines(lines: DataFrame, *keep: str) -> DataFrame:
     f = F.split(F.trim("value"), r"\s+")
     at = lambda i: F.get(f, F.lit(i))
-    return lines.select(at(0).alias("gene"), at(1).alias("seqname"), at(2).alias("strand"), at(3).cast("bigint").alias("five_pos"), at(4).cast("bigint").alias("three_pos"))
-
-
-def write_matrix(matrix: DataFrame, path: str) -> None:
-    matrix.write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)
-
-
-def read_matrix(spark: SparkSession, path: str, samples: list[str]) -> DataFrame:
-    schema = "gene string, cds_length int, " + ", ".join(f"`{s}` bigint" for s in samples)
-    return spark.read.schema(schema).option("sep", "\t").option("header", "true").csv(path)
+    return lines.select(*keep, at(0).alias("gene"), at(1).alias("seqname"), at(2).alias("strand"), at(3).cast("bigint").alias("five_pos"), at(4).cast("bigint").alias("three_pos"))
