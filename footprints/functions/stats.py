@@ -38,10 +38,10 @@ SALTS = 16
 
 
 def _cuts_below(value: Column, cuts: Column) -> Column:
-    """How many of the ascending ``cuts`` (fewer than VALUE_CHUNKS) are below the value, by bisection; null for null."""
+    """How many of the ascending ``cuts`` (fewer than VALUE_CHUNKS) are below the value, by bisection."""
     halves = F.array(*[F.lit(1 << i) for i in reversed(range(VALUE_CHUNKS.bit_length() - 1))])
     below = lambda at, half: F.coalesce(F.get(cuts, at + half - 1) < value, F.lit(False))
-    return F.when(value.isNotNull(), F.aggregate(halves, F.lit(0), lambda at, half: F.when(below(at, half), at + half).otherwise(at)))
+    return F.aggregate(halves, F.lit(0), lambda at, half: F.when(below(at, half), at + half).otherwise(at))
 
 
 def value_chunks(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -55,8 +55,8 @@ def value_chunks(counts: DataFrame, keys: Sequence[str], value: str) -> DataFram
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct values with their number and, as ``cum``, the number of rows not larger."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    """Distinct values with their number and, as ``cum``, the number of rows not larger. Nulls do not count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     return running_sum(value_chunks(counts, keys, value), keys, value, {"cum": "n"}, F.col("_part")).drop("_part")
 
 

@@ -133,7 +133,13 @@ def read_descriptions(spark: SparkSession, root: str, files: str = "description.
     """
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(root)
     place = F.regexp_replace(F.col("_metadata.file_path"), "(/job)?/[^/]*$", "")
-    part = lambda i, label: F.url_decode(F.replace(F.regexp_replace(F.element_at(F.split(place, "/"), i), f"^{label}=", ""), F.lit("+"), F.lit("%2B")))
+    # Paths come quoted, and names of partition folders are quoted once more.
+    plain = lambda name: F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+
+    def part(i: int, label: str) -> Column:
+        name = plain(F.element_at(F.split(place, "/"), i))
+        return F.when(name.startswith(f"{label}="), plain(F.substr(name, F.lit(len(label) + 2)))).otherwise(name)
+
     text = F.trim("value")
     lines = raw.where(~text.startswith("#") & (F.length(text) > 0)).select(
         part(-2, "family").alias("family"), part(-1, "name").alias("name"), F.col("_metadata.file_path").alias("file"),
