@@ -33,7 +33,7 @@ def running_sum(
 
 
 # Chunks of a key's values (a power of two), and parts in which its rows meet the bounds of the chunks.
-VALUE_CHUNKS = 1024
+VALUE_CHUNKS = 256
 SALTS = 16
 
 
