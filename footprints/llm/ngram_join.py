@@ -26,8 +26,9 @@ from footprints.llm.text import Words, grams, mix, pieces
 GROWTH = 1.5
 # Groups of up to this many sets are compared pair by pair, larger ones with one member at a time.
 PAIRWISE = 8
-# Groups of a family's members with more members than this get references of their own; the others are filtered pair by pair.
-REGROUPED = 4_000
+# Groups of a family's members with more members than this get references of their own; the others are filtered pair by pair,
+# so that a member meets at most so many others in each of its groups.
+REGROUPED = 100
 # After so many rounds of regrouping, all pairs that are left are compared.
 DEPTH = 6
 BUFFER_ROWS = 500_000
