@@ -27,6 +27,7 @@ def components(links: DataFrame) -> DataFrame:
     Smallest neighbours are aggregated before they are shuffled, and joined back with Spark free to split a vertex that has
     many links. Each round is written to the shared folder. Links of a vertex with itself keep the vertex.
     """
+    links = written(links.select("a", "b"), "links")
     loops = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = written(edges, "links"), None

@@ -27,8 +27,9 @@ GROWTH = 1.5
 # Groups of up to this many sets are compared pair by pair, larger ones with one member at a time.
 PAIRWISE = 8
 # Groups of a family's members with more members than this get references of their own; the others are filtered pair by pair,
-# so that a member meets at most so many others in each of its groups.
-REGROUPED = 100
+# so that a member meets at most so many others in each of its groups. Each round takes four times as many: it has fewer members,
+# and one more round costs the same whatever it has.
+REGROUPED = 200
 # After so many rounds of regrouping, all pairs that are left are compared.
 DEPTH = 6
 BUFFER_ROWS = 500_000
@@ -351,8 +352,8 @@ def _pairs_within(groups: DataFrame, condition: str) -> DataFrame:
     return _ordered(groups.join(other, F.expr(f"sig = sig_b and a > a_b and {condition}")).select("a", F.col("a_b").alias("b")))
 
 
-def _links_of_large(members: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> list[DataFrame]:
-    """Links (a, b) that join all members (sig, a) of large groups which are linked with each other, directly or by way of others.
+def _links_of_large(members: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links and pairs still to be compared (a, b), which join all members (sig, a) of large groups that are linked, directly or by way of others.
 
     Each group gets a reference set R, here what most of three members that are in many groups have in common; any set would be
     right. Let e(x) be the elements that only one of x and R has, q = (den-num)/(den+num), and x's slack q|x| - |e(x)|. Two sets
@@ -364,14 +365,13 @@ def _links_of_large(members: DataFrame, docs: DataFrame, n: int, num: int, den:
     (slack(h) - slack(x)) / 2 for a core x, and for an apart x with an apart partner; with a core partner it is at least
     -(slack(x) + slack(h)) / 2; and as the partner's e has t elements, it is at least |e(x)| - (den-num)/num |x| in any case.
     """
-    links = []
+    links, unsure, texts = [], [], None
     total = den + num
     for depth in range(DEPTH + 1):
         if members.isEmpty():
             break
         if depth == DEPTH:
-            pairs = written(_pairs_within(members, "true"), "pairs")
-            links.append(_compared(pairs, docs, n, num, den).where("linked").select("a", "b"))
+            unsure.append(written(_pairs_within(members, "true"), "pairs"))
             break
         degree = members.groupBy("a").agg(F.count("*").alias("degree"))
         best = members.join(degree, "a").groupBy("sig").agg(F.max(F.struct("degree", (-F.col("a")).alias("minus"))).alias("best"))
@@ -385,8 +385,10 @@ def _links_of_large(members: DataFrame, docs: DataFrame, n: int, num: int, den:
                 best = written(best.join(higher, "ref").select("sig", F.col("_ref").alias("ref"), F.col("_top").alias("top")), "best")
         stars = written(members.join(best, "sig").groupBy("a", "ref").agg(F.count("*").alias("shared")), "stars")
         ranked = stars.withColumn("_rank", F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("shared"), "a"))).where("_rank <= 3")
-        wanted = stars.select(F.col("a").alias("doc_id")).distinct()
-        texts = written(docs.join(small_or_not(wanted), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
+        if texts is None:
+            # Later rounds have some of the first one's members.
+            wanted = stars.select(F.col("a").alias("doc_id")).distinct()
+            texts = written(docs.join(small_or_not(wanted), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
         references = written(_references(ranked.select("ref", "a"), texts, n), "references")
         edits = written(_edits(stars.select("a", "ref"), references, texts, n, num, den), "edits")
         slack = F.expr(f"{den - num} * size - {total} * count")
@@ -407,10 +409,10 @@ def _links_of_large(members: DataFrame, docs: DataFrame, n: int, num: int, den:
         groups = written(signs.join(sizes, "sig"), "groups")
         # The first element that two members share is followed by t - 1 more in both.
         could = f"(role = {APART} and role_b = {APART} or (role = {CORE}) <> (role_b = {CORE})) and {2 * total} * least(rest, rest_b) >= -(slack + slack_b)"
-        pairs = written(_pairs_within(groups.where(F.col("size") <= REGROUPED).drop("size"), could), "pairs")
-        links.append(_compared(pairs, docs, n, num, den).where("linked").select("a", "b"))
-        members = groups.where(F.col("size") > REGROUPED).select("sig", "a")
-    return links
+        most = REGROUPED * 4**depth
+        unsure.append(written(_pairs_within(groups.where(F.col("size") <= most).drop("size"), could), "pairs"))
+        members = groups.where(F.col("size") > most).select("sig", "a")
+    return links, unsure
 
 
 def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -436,12 +438,13 @@ def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFram
     dealt = _groups(members, last=False).repartition("sig", salt).sortWithinPartitions("sig", "a")
     groups = written(_groups(dealt, last=True), "groups")
     same = full.select("doc_id", "hi", "lo").join(firsts, ["hi", "lo"]).select("doc_id", F.col("a").alias("b")).withColumnRenamed("doc_id", "a")
-    pairs = written(_ordered(groups.where("kind = 0").select("a", "b")), "pairs")
-    links = [same.where("a <> b").distinct(), _compared(pairs, texts, n, num, den).where("linked").select("a", "b")]
+    pairs = groups.where("kind = 0").select("a", "b")
     large = written(groups.where("kind = 1").select("sig", "a").distinct(), "large")
-    links += _links_of_large(large, texts, n, num, den)
-    whole = links[0]
-    for more in links[1:]:
+    links, unsure = _links_of_large(large, texts, n, num, den)
+    for more in unsure:
+        pairs = pairs.unionByName(more)
+    whole = _compared(written(_ordered(pairs), "pairs"), texts, n, num, den).where("linked").select("a", "b")
+    for more in [same.where("a <> b").distinct(), *links]:
         whole = whole.unionByName(more)
     labels = graph.components(whole).select(F.col("id").alias("doc_id"), "component")
     return rows.select("doc_id", "n_shingles").join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
