@@ -33,6 +33,8 @@ REGROUPED = 200
 # After so many rounds of regrouping, all pairs that are left are compared.
 DEPTH = 6
 BUFFER_ROWS = 500_000
+# Bins of a set's sketch: a byte each, so that a sketch is far smaller than most texts.
+SKETCH = 256
 
 
 @lru_cache(None)
@@ -138,6 +140,38 @@ def _signatures(doc: np.ndarray, value: np.ndarray, sizes: np.ndarray, num: int,
     return np.concatenate(out_doc), np.concatenate(out_sig)
 
 
+def _identity(doc: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
+    """The 128-bit hash of every text's set, as two numbers."""
+    identity = []
+    for salt in (0x9FB21C651E98DF25, 0xA0761D6478BD642F):
+        total = np.zeros(len(sizes), np.uint64)
+        np.add.at(total, doc, mix(value ^ np.uint64(salt)))
+        identity.append(pa.array(mix(total + sizes.astype(np.uint64)).view(np.int64)))
+    return identity
+
+
+def _sketches(doc: np.ndarray, value: np.ndarray, rows: int) -> pa.Array:
+    """How many elements of every text's set fall into each of SKETCH bins, modulo 256."""
+    counts = np.bincount(doc * SKETCH + (value >> np.uint64(56)).astype(np.int64), minlength=rows * SKETCH).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(rows + 1, dtype=np.int32) * SKETCH), pa.py_buffer(counts)])
+
+
+def document_sets(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, hi, lo, sketch) per row: the set's size, its 128-bit hash and its sketch."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch):
+                doc, value = shingle_sets(Words(piece.column("text")), n)
+                sizes = np.bincount(doc, minlength=piece.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), pa.array(sizes.astype(np.int64)), *_identity(doc, value, sizes), _sketches(doc, value, piece.num_rows)],
+                    names=["doc_id", "n_shingles", "hi", "lo", "sketch"],
+                )
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, sketch binary")
+
+
 def document_signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, hi, lo, sigs) per row: the set's size, its 128-bit hash and its signatures."""
 
@@ -148,17 +182,13 @@ def document_signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFram
                 doc, value = shingle_sets(words, n)
                 rows = piece.num_rows
                 sizes = np.bincount(doc, minlength=rows)
-                identity = []
-                for salt in (0x9FB21C651E98DF25, 0xA0761D6478BD642F):
-                    total = np.zeros(rows, np.uint64)
-                    np.add.at(total, doc, mix(value ^ np.uint64(salt)))
-                    identity.append(mix(total + sizes.astype(np.uint64)).view(np.int64))
+                identity = _identity(doc, value, sizes)
                 of, sig = _signatures(doc, value, sizes, num, den)
                 order = np.argsort(of, kind="stable")
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows))]).astype(np.int32)
                 sigs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig[order].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(identity[0]), pa.array(identity[1]), sigs],
+                    [piece.column("doc_id"), pa.array(sizes.astype(np.int64)), *identity, sigs],
                     names=["doc_id", "n_shingles", "hi", "lo", "sigs"],
                 )
 
@@ -245,6 +275,28 @@ def _groups(rows: DataFrame, last: bool) -> DataFrame:
     return rows.mapInArrow(run, _GROUP_SCHEMA)
 
 
+def _possible(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may be linked, by the sizes and sketches of all rows of ``document_sets``.
+
+    Linked sets differ by at most (den-num)/(den+num) of their sizes' sum. Each element that only one of them has changes one bin
+    by one, so that the distances of the bins, also modulo 256, add up to no more than that. No link is lost.
+    """
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
+            differ = np.minimum(a - b, b - a).sum(axis=1, dtype=np.int64)
+            sizes = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array((den + num) * differ <= (den - num) * sizes))
+
+    wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "doc_id")
+    sketches = written(rows.join(small_or_not(wanted), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"), "sketches")
+    both = pairs
+    for side in "ab":
+        both = both.join(sketches.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    return both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long").distinct()
+
+
 def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs with the texts of a and b."""
     wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "doc_id")
@@ -423,16 +475,18 @@ def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFram
     linked with nothing. Rows that share a doc_id are one document, linked with whatever any of them is; a row without
     doc_id gets its n_shingles and no component. Equal texts, ties and repeated rows change nothing else; other columns are ignored.
 
-    Equal sets become one before any pair is formed. Groups of up to eight sets that share a signature are compared pair by pair,
+    Equal sets become one before any pair is formed. Signatures are not stored: they are made of the texts as they are dealt out.
+    Only pairs whose sketches allow a link are compared by their texts. Groups of up to eight sets that share a signature are compared pair by pair,
     larger ones by way of a reference set (``_links_of_large``). Ahead of the shuffle each task lets the members of its own large groups
     go past the grouping, but for one that stands for them; so no task ever has to take in a whole large group.
     """
     spark = prepared(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = written(document_signatures(texts, n, num, den), "signatures")
+    rows = written(document_sets(texts, n), "sets")
     full = rows.where("doc_id is not null and n_shingles > 0")
-    firsts = written(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("a")), "sets")
-    sets = full.join(small_or_not(firsts.select(F.col("a").alias("doc_id"), F.col("hi").alias("_hi"), F.col("lo").alias("_lo"))), "doc_id").where("hi = _hi and lo = _lo")
+    firsts = written(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("a")), "firsts")
+    signed = document_signatures(texts.where("doc_id is not null"), n, num, den).where("n_shingles > 0")
+    sets = signed.join(small_or_not(firsts.select(F.col("a").alias("doc_id"), F.col("hi").alias("_hi"), F.col("lo").alias("_lo"))), "doc_id").where("hi = _hi and lo = _lo")
     members = sets.withColumnRenamed("doc_id", "a").select(F.lit(2).alias("kind"), F.explode("sigs").alias("sig"), "a", F.lit(None).cast("bigint").alias("b"))
     salt = F.when(F.col("kind") >= 2, F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.lit(64)))
     dealt = _groups(members, last=False).repartition("sig", salt).sortWithinPartitions("sig", "a")
@@ -443,7 +497,8 @@ def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFram
     links, unsure = _links_of_large(large, texts, n, num, den)
     for more in unsure:
         pairs = pairs.unionByName(more)
-    whole = _compared(written(_ordered(pairs), "pairs"), texts, n, num, den).where("linked").select("a", "b")
+    possible = written(_possible(written(_ordered(pairs), "pairs"), rows, num, den), "possible")
+    whole = _compared(possible, texts, n, num, den).where("linked").select("a", "b")
     for more in [same.where("a <> b").distinct(), *links]:
         whole = whole.unionByName(more)
     labels = graph.components(whole).select(F.col("id").alias("doc_id"), "component")

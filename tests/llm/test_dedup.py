@@ -173,6 +173,32 @@ def test_every_linked_pair_shares_a_signature():
                 assert sigs[0] & sigs[1]
 
 
+def test_unlike_pairs_are_not_compared_by_their_texts(spark, monkeypatch):
+    """Texts that have two thirds in common share signatures; their sketches tell them apart. No signatures are stored."""
+    rng = random.Random(8)
+    common = [f"c{rng.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join(common + [f"o{rng.randrange(10**6)}" for _ in range(60)]) for _ in range(20)]
+    rows = list(enumerate([*texts, texts[0] + " more", texts[3].replace("o", "O", 1) + " other words"]))
+    compared, stored = [], []
+    compare, write = ngram_join._compared, ngram_join.written
+    monkeypatch.setattr(ngram_join, "_compared", lambda pairs, *rest: compared.append(pairs.count()) or compare(pairs, *rest))
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: stored.extend(df.columns) or write(df, name))
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(table(spark, rows), 5, 8, 10).collect()}
+    assert got == {i: 0 if i == 20 else 3 if i == 21 else i for i in range(22)} == plain_links(rows, 5, 8, 10)
+    assert 2 <= compared[0] <= 10 and "sigs" not in stored
+
+
+def test_sketches_differ_by_no_more_than_their_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for size in (1, 30, 2000, 100_000):
+        a = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+        b = np.concatenate([a[size // 10 :], rng.integers(0, 1 << 63, size // 5, dtype=np.uint64)])
+        one, other = (np.frombuffer(x, np.uint8) for x in ngram_join._sketches(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 2).to_pylist())
+        assert len(one) == ngram_join.SKETCH and np.minimum(one - other, other - one).sum(dtype=int) <= len(np.setxor1d(a, b))
+
+
 def test_join_of_odd_rows(spark):
     rows = odd_rows()
     docs = table(spark, rows).selectExpr("*", "1 as component_id", "2 as hi", "'x' as sig")
