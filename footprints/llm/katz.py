@@ -53,15 +53,17 @@ def held_out(doc_id: Column, parts: int = 5, rest: int = 1) -> Column:
 
 # ---- blocks of numbers ------------------------------------------------------------------------
 def _pack(values: np.ndarray) -> bytes:
-    """Integers as differences, byte plane by byte plane, compressed."""
+    """Integers byte plane by byte plane, compressed; numbers in rising order as differences, as those of others would be longer."""
     values = values.astype(np.int64)
-    step = np.diff(values, prepend=0)
-    return zlib.compress(step.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    rising = bool((values[1:] >= values[:-1]).all())
+    step = np.diff(values, prepend=0) if rising else values
+    return bytes([rising]) + zlib.compress(step.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def _unpack(block: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(block), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+    planes = np.frombuffer(zlib.decompress(memoryview(block)[1:]), np.uint8).reshape(8, -1)
+    step = np.ascontiguousarray(planes.T).view(np.int64).ravel()
+    return np.cumsum(step) if block[0] else step
 
 
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -408,9 +410,9 @@ def _far_bigrams(bigrams: DataFrame, rare: DataFrame, shared: Broadcast) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (v, w, r, vi, wi, p)], names=["v", "w", "r", "vi", "wi", "p"])
 
     far = bigrams.where(F.col("kind") == FAR).mapInArrow(run, "v long, w long, r long, vi long, wi long, p double")
-    # One of the two words is out of memory, so that none of these keys is frequent.
-    found = far.join(rare, F.when(F.col("wi") < 0, F.col("w")).otherwise(F.col("v")) == F.col("_w"), "left")
-    return found.select("v", "w", "r", "vi", F.when(F.col("wi") < 0, F.col("_p")).otherwise(F.col("p")).alias("pw"))
+    # Only words out of memory are looked up, of which none is frequent; the other rows stay where they are.
+    found = far.where("wi < 0").select("v", "w", "r", "vi").join(rare, F.col("w") == F.col("_w"), "left").select("v", "w", "r", "vi", F.col("_p").alias("pw"))
+    return found.unionByName(far.where("wi >= 0").select("v", "w", "r", "vi", F.col("p").alias("pw")))
 
 
 def _weights(sums: list[np.ndarray], d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -456,8 +458,11 @@ def _far_table(far: DataFrame, contexts: DataFrame, shared: Broadcast, buckets:
 
         yield from _dealt(rows(), buckets, FAR_TABLE, 1)
 
-    joined = far.join(contexts, F.when(F.col("vi") < 0, F.col("v")).otherwise(F.col("w")) == F.col("_v"), "left")
-    return joined.select("v", "w", "r", "vi", "pw", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("log_context", "log_alpha", "log_scale")]).mapInArrow(run, _BLOCK_SCHEMA)
+    names = ["log_context", "log_alpha", "log_scale"]
+    # Contexts in memory need no join.
+    joined = far.where("vi < 0").join(contexts, F.col("v") == F.col("_v"), "left").select("v", "w", "r", "vi", "pw", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
+    joined = joined.unionByName(far.where("vi >= 0").select("v", "w", "r", "vi", "pw", *[F.lit(0.0).alias(c) for c in names]))
+    return joined.mapInArrow(run, _BLOCK_SCHEMA)
 
 
 def _context_sums(table: DataFrame, shared: Broadcast) -> DataFrame:

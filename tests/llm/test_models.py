@@ -108,6 +108,16 @@ def test_katz_knows_every_training_word(spark, in_memory):
         assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(plain.score(text))
 
 
+def test_blocks_of_numbers_in_no_order_are_short():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    texts, any_, edges = rng.integers(0, 2930, 17_000), rng.integers(-(1 << 63), (1 << 63) - 1, 1000), np.array([-(1 << 63), (1 << 63) - 1, 0])
+    for values in (texts, any_, np.sort(any_), edges, edges[:2], edges[:0]):
+        assert (katz._unpack(katz._pack(values)) == values).all()
+    assert len(katz._pack(texts)) < 2 * len(texts)
+
+
 def test_katz_of_odd_rows(spark):
     docs = table(spark, odd_rows()).selectExpr("*", "1 as rid", "2 as bucket")
     got = katz.score(docs, katz.train(docs)).collect()
