@@ -34,10 +34,10 @@ from footprints.llm.text import Words, mix, pieces
 # Words whose counts the driver and every task hold; those of all others lie in tables.
 IN_MEMORY = 1 << 18
 # A bigram with this share of all training tokens is hot; there cannot be more than its inverse.
-HOT_SHARE = 1 / (1 << 16)
+HOT_SHARE = 1 / (1 << 20)
 # Counts up to this are discounted.
 SELDOM = 5
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_500_000
 _NO_ID = np.iinfo(np.int64).min
 _CONTEXTS = np.int64(1 << 20)
@@ -396,7 +396,10 @@ _SUMS = ["total", *(f"n{r}" for r in range(1, SELDOM + 1)), "seen"]
 
 
 def _far_bigrams(bigrams: DataFrame, rare: DataFrame, shared: Broadcast) -> DataFrame:
-    """(v, w, r, vi, pw) of every far bigram: the hashes, the count, the id of v or -1, and P(w). ``rare``: (_w, _p) of words out of memory."""
+    """(v, w, r, vi, wi, pw) of every far bigram: the words' hashes, the count, their ids or -1, and P(w). ``rare``: (_w, _p) of words out of memory.
+
+    A word in memory is told by its id alone; its hash is 0 here.
+    """
 
     def run(batches):
         model = shared.value
@@ -405,14 +408,15 @@ def _far_bigrams(bigrams: DataFrame, rare: DataFrame, shared: Broadcast) -> Data
                 v, w, r = (_unpack(row[c]) for c in "abc")
                 vi, wi = model.ids_of(v), model.ids_of(w)
                 p = np.where(wi < 0, 0.0, 10 ** model.log_p[np.minimum(wi, model.unknown + 1)])
+                v, w = np.where(vi < 0, v, 0), np.where(wi < 0, w, 0)
                 for i in range(0, len(v), 100_000):
                     cut = slice(i, i + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (v, w, r, vi, wi, p)], names=["v", "w", "r", "vi", "wi", "p"])
 
     far = bigrams.where(F.col("kind") == FAR).mapInArrow(run, "v long, w long, r long, vi long, wi long, p double")
     # Only words out of memory are looked up, of which none is frequent; the other rows stay where they are.
-    found = far.where("wi < 0").select("v", "w", "r", "vi").join(rare, F.col("w") == F.col("_w"), "left").select("v", "w", "r", "vi", F.col("_p").alias("pw"))
-    return found.unionByName(far.where("wi >= 0").select("v", "w", "r", "vi", F.col("p").alias("pw")))
+    found = far.where("wi < 0").select("v", "w", "r", "vi", "wi").join(rare, F.col("w") == F.col("_w"), "left").select("v", "w", "r", "vi", "wi", F.col("_p").alias("pw"))
+    return found.unionByName(far.where("wi >= 0").select("v", "w", "r", "vi", "wi", F.col("p").alias("pw")))
 
 
 def _weights(sums: list[np.ndarray], d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -448,10 +452,12 @@ def _far_table(far: DataFrame, contexts: DataFrame, shared: Broadcast, buckets:
 
     def run(batches):
         model = shared.value
+        hashes = np.concatenate([model.words, np.array([0, _END, _START], np.uint64)]).view(np.int64)
 
         def rows():
             for batch in batches:
-                v, w, r, vi, pw, context, alpha, scale = _numpy(batch, "v", "w", "r", "vi", "pw", "log_context", "log_alpha", "log_scale")
+                v, w, r, vi, wi, pw, context, alpha, scale = _numpy(batch, "v", "w", "r", "vi", "wi", "pw", "log_context", "log_alpha", "log_scale")
+                v, w = np.where(vi < 0, v, hashes[vi]), np.where(wi < 0, w, hashes[wi])
                 near = vi >= 0
                 context, alpha, scale = (np.where(near, mine[vi], x) for mine, x in ((model.log_context, context), (model.log_alpha, alpha), (model.log_scale, scale)))
                 yield _pair_key(v, w), np.log10(r * model.d[np.where(r > SELDOM, 0, r)]) - context + scale - alpha - np.log10(pw)
@@ -460,8 +466,8 @@ def _far_table(far: DataFrame, contexts: DataFrame, shared: Broadcast, buckets:
 
     names = ["log_context", "log_alpha", "log_scale"]
     # Contexts in memory need no join.
-    joined = far.where("vi < 0").join(contexts, F.col("v") == F.col("_v"), "left").select("v", "w", "r", "vi", "pw", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
-    joined = joined.unionByName(far.where("vi >= 0").select("v", "w", "r", "vi", "pw", *[F.lit(0.0).alias(c) for c in names]))
+    joined = far.where("vi < 0").join(contexts, F.col("v") == F.col("_v"), "left").select("v", "w", "r", "vi", "wi", "pw", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
+    joined = joined.unionByName(far.where("vi >= 0").select("v", "w", "r", "vi", "wi", "pw", *[F.lit(0.0).alias(c) for c in names]))
     return joined.mapInArrow(run, _BLOCK_SCHEMA)
 
 
@@ -526,7 +532,7 @@ def train(docs: DataFrame, vocabulary: int | None = None, in_memory: int = IN_ME
     """Learns from every text of ``docs``, a null one being empty. The tables are written to the shared folder.
 
     The driver and each task hold the ``in_memory`` most frequent words, their context sums and the hot bigrams: at most IN_MEMORY
-    and 65,536 rows of a few numbers (some 20 MB), whatever the corpus; what they hold changes no score. ``vocabulary`` caps the
+    and 1,048,576 rows of a few numbers (some 35 MB), whatever the corpus; what they hold changes no score. ``vocabulary`` caps the
     words of the model instead, all of which are held. Without documents, the unknown word and the end share all probability.
     """
     spark = prepared(docs.sparkSession)
@@ -742,7 +748,7 @@ def _answers(blocks: DataFrame, shared: Broadcast) -> DataFrame:
                         r[seen], value[seen] = values[0][at], values[1][at]
                         known = np.bincount(doc[seen], n[seen], size).astype(np.int64)
                         sums.add(rid, no_id, none, known, np.bincount(doc, _base(r, model) * n, size), np.bincount(doc, value * n, size))
-                if sums.rows > 1_000_000:
+                if sums.rows > 600_000:
                     sums.merge()
                     if sums.rows > 500_000:
                         yield sums.blocks()
@@ -769,7 +775,7 @@ def _added_up(blocks: DataFrame) -> DataFrame:
                         yield out(sums)
                     part, sums = row["part"], _Sums()
                 sums.read(row)
-                if sums.rows > 1_000_000:
+                if sums.rows > 300_000:
                     sums.merge()
         if sums.rows:
             yield out(sums)
