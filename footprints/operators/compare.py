@@ -203,6 +203,11 @@ def histogram(values: DataFrame, keys: Sequence[str], value: str, lo: float, hi:
     return inside.groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _correlation(x: str, y: str):
+    """Pearson's coefficient of two columns without nulls; NaN where one of them does not vary, as in one row, which corr takes for null or an error."""
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y))), F.lit(float("nan")))
+
+
 def pairwise(values: DataFrame, sample: str, key: str, value: str) -> DataFrame:
     """(first, second, pearson, spearman, n) for every pair of samples, each pair once, a sample with itself included.
 
@@ -214,5 +219,5 @@ def pairwise(values: DataFrame, sample: str, key: str, value: str) -> DataFrame:
     a = ranked.select(key, F.col("_s").alias("first"), F.col("_v").alias("x"), F.col("_rank").alias("rx"))
     b = ranked.select(key, F.col("_s").alias("second"), F.col("_v").alias("y"), F.col("_rank").alias("ry"))
     return a.join(b, key).where("first <= second").groupBy("first", "second").agg(
-        F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.count(F.lit(1)).alias("n")
+        _correlation("x", "y").alias("pearson"), _correlation("rx", "ry").alias("spearman"), F.count(F.lit(1)).alias("n")
     )

@@ -297,3 +297,12 @@ def test_samples_are_broadcast_and_not_multiplied(spark):
         assert [(r.gene, r.n) for r in table.collect()] == [("g", 3)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_pairwise_of_samples_that_do_not_vary(spark):
+    rows = [("a", "g", 1), ("a", "h", 2), ("a", "i", 4), ("b", "g", 5), ("b", "h", 5), ("b", "i", 5), ("c", "g", 7)]
+    values = spark.createDataFrame(rows, "sample string, gene string, n bigint")
+    got = {(r.first, r.second): (r.pearson, r.spearman, r.n) for r in compare.pairwise(values, "sample", "gene", "n").collect()}
+    assert got.pop(("a", "a")) == (1.0, 1.0, 3)
+    assert {k: n for k, (_, _, n) in got.items()} == {("a", "b"): 3, ("a", "c"): 1, ("b", "b"): 3, ("b", "c"): 1, ("c", "c"): 1}
+    assert all(np.isnan(x) for r in got.values() for x in r[:2])
