@@ -20,8 +20,8 @@ BITS = 16
 # About so many different texts of each language are learned from.
 TRAIN_TEXTS = 5_000
 SMOOTHING = 0.5
-# N-grams of three orders take some 150 bytes a character while they are counted.
-PIECE_BYTES = 1 << 19
+# N-grams of three orders take some 150 bytes a character while they are counted, which a Python worker keeps for the steps behind.
+PIECE_BYTES = 1 << 17
 UNKNOWN = "und"
 _LETTER = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from footprints.llm.storage import fresh, prepared, row_key, small_or_not, with_text, written
-from footprints.llm.text import UNSPACED, Words, line_breaks, mix, pieces, raw, unspaced
+from footprints.llm.text import PIECE_BYTES, UNSPACED, Words, line_breaks, mix, pieces, raw, unspaced
 
 # Lines without a word stay.
 MIN_WORDS = 1
@@ -74,7 +74,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE_BYTES):
                 data, at = raw(piece.column("text"))
                 breaks, of = line_breaks(data, at)
                 words = Words(piece.column("text"), breaks=breaks)
@@ -122,7 +122,7 @@ def _candidates(docs: DataFrame, places: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE_BYTES):
                 out = []
                 for doc_id, row, text, chosen in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "row", "text", "chosen"))):
                     lines = text.split("\n")
@@ -143,7 +143,7 @@ def variants(candidates: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE_BYTES):
                 words, apart = _near_words(piece.column("text"), Words(piece.column("text")))
                 start, end = words.begin[:-1], words.begin[1:]
                 n = end - start
@@ -263,17 +263,18 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts, counts = [], ([], [], [])
-            for text, lost, close in zip(*(batch.column(c).to_pylist() for c in ("text", gone, near))):
-                n = 0 if text is None else text.count("\n") + 1
-                if lost:
-                    drop = set(lost)
-                    text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
-                texts.append(text)
-                for column, value in zip(counts, (n, len(lost or ()), len(close or ()))):
-                    column.append(value)
-            columns = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in counts)], names=[*names, "n_lines", "n_removed", "n_near"])
+            for piece in pieces(batch, limit=PIECE_BYTES):
+                texts, counts = [], ([], [], [])
+                for text, lost, close in zip(*(piece.column(c).to_pylist() for c in ("text", gone, near))):
+                    n = 0 if text is None else text.count("\n") + 1
+                    if lost:
+                        drop = set(lost)
+                        text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
+                    texts.append(text)
+                    for column, value in zip(counts, (n, len(lost or ()), len(close or ()))):
+                        column.append(value)
+                columns = [pa.array(texts, piece.schema.field("text").type) if c == "text" else piece.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in counts)], names=[*names, "n_lines", "n_removed", "n_near"])
 
     return joined.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from footprints.llm import graph
 from footprints.llm.storage import fresh, prepared, small_or_not, written
-from footprints.llm.text import Words, grams, mix, pieces
+from footprints.llm.text import PIECE_BYTES, Words, grams, mix, pieces
 
 GROWTH = 1.5
 # Groups of up to this many sets are compared pair by pair, larger ones with one member at a time.
@@ -161,7 +161,7 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE_BYTES):
                 doc, value = shingle_sets(Words(piece.column("text")), n)
                 sizes = np.bincount(doc, minlength=piece.num_rows)
                 yield pa.RecordBatch.from_arrays(
@@ -177,7 +177,7 @@ def document_signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFram
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE_BYTES):
                 words = Words(piece.column("text"))
                 doc, value = shingle_sets(words, n)
                 rows = piece.num_rows
@@ -323,7 +323,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, "text_a"):
+            for piece in pieces(batch, "text_a", PIECE_BYTES):
                 doc, _, _, twice = _sets_of(piece, n)
                 shared = np.bincount(doc[twice], minlength=piece.num_rows)
                 union = np.bincount(doc, minlength=piece.num_rows) - shared
@@ -365,7 +365,7 @@ def _edits(members: DataFrame, references: DataFrame, texts: DataFrame, n: int,
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE_BYTES):
                 doc, value = shingle_sets(Words(piece.column("text")), n)
                 size = np.bincount(doc, minlength=piece.num_rows)
                 lists = piece.column("elements")

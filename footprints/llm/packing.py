@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from footprints.llm.storage import fresh, prepared, written
-from footprints.llm.text import Words, pieces
+from footprints.llm.text import PIECE_BYTES, Words, pieces
 
 BUCKETS = 16
 BATCH_TOKENS = 65_536
@@ -23,7 +23,7 @@ def token_counts(docs: DataFrame, name: str = "n_tokens") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE_BYTES):
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(Words(piece.column("text")).counts.astype(np.int64))], names=[*names, name])
 
     return docs.mapInArrow(run, out)

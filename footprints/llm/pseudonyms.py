@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from footprints.llm.storage import fresh, prepared
-from footprints.llm.text import pieces
+from footprints.llm.text import PIECE_BYTES, pieces
 
 ROUNDS = 10
 # For demonstration; a user brings a secret of their own.
@@ -234,7 +234,7 @@ def pseudonymised(docs: DataFrame, key: bytes = DEMONSTRATION_KEY) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=PIECE_BYTES):
                 texts, found = [], []
                 for text in part.column("text").to_pylist():
                     spans = []

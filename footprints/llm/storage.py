@@ -28,8 +28,9 @@ def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-# Texts come to Python in batches of so many, whatever they weigh; operators cut them further by bytes.
+# Texts come to Python in batches of so many rows and bytes at most, one row at least; operators cut them further by bytes.
 BATCH_ROWS = 2_000
+BATCH_BYTES = 2 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -38,6 +39,7 @@ def prepared(spark: SparkSession) -> SparkSession:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

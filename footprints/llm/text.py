@@ -13,6 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
+# Some sixty bytes of memory a byte of text are taken at once. A Python worker keeps much of the most that it ever took, and those of all
+# steps before stay beside the running ones, so steps that are chained in one session work on smaller pieces.
+PIECE_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -33,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B^0..B^(n-1) and their inverses modulo 2^64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = next((s + 1 for s in (PIECE_BYTES, CHUNK_BYTES) if s >= n - 1), n)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         made = []
         for base in (_BASE, inverse):
@@ -94,7 +97,9 @@ class Words:
         self.doc = np.searchsorted(at, self.start, "right") - 1
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _BYTE)[data] * up[:n], out=sums[1:])
+        terms = (_LOWER if lower else _BYTE)[data]
+        terms *= up[:n]
+        np.cumsum(terms, out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
         self.begin = np.searchsorted(self.doc, np.arange(len(at)))
 

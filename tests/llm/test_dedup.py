@@ -1,10 +1,13 @@
 """Line dedup and the n-gram join against plain Python."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
-from footprints.llm import line_dedup, ngram_join
+from footprints.llm import line_dedup, ngram_join, text
+from footprints.llm.storage import prepared
 from tests.llm.plain import components, odd_rows, table, words
 
 
@@ -210,3 +213,35 @@ def test_join_of_odd_rows(spark):
     assert kept.columns == docs.columns
     # One row of each id; rows without an id stay.
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 7, 8, 9]
+
+
+class _Function:
+    """Stands for a table, and gives the function that its batches would go through."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("made", [line_dedup.lines_of, lambda docs: ngram_join.document_sets(docs, 5), lambda docs: ngram_join.document_signatures(docs, 5, 8, 10)])
+def test_a_batch_of_texts_takes_little_memory(spark, made):
+    rng = random.Random(5)
+    texts = ["\n".join(" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "e"], k=10)) for _ in range(40)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "row": list(range(2000)), "text": texts})
+    assert batch.nbytes > 3 << 20
+    run = made(_Function())
+    text._powers.clear()
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in run([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows in (2000, 80_000) and most < 64 << 20
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    prepared(spark)
+    docs = spark.range(0, 600, 1, 1).selectExpr("repeat('abcdefgh ', 2000) as text")
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long").collect()
+    assert sum(r.n for r in sizes) == 600 and max(r.size for r in sizes) < (2 << 20) + 40_000
