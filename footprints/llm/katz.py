@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from footprints.llm.storage import prepared, written
-from footprints.llm.text import Words, mix, pieces
+from footprints.llm.text import PIECE_BYTES, Words, mix, pieces
 
 # Words whose counts the driver and every task hold; those of all others lie in tables.
 IN_MEMORY = 1 << 18
@@ -43,6 +43,8 @@ _NO_ID = np.iinfo(np.int64).min
 _CONTEXTS = np.int64(1 << 20)
 TABLE, RARE, FAR_TABLE, QUERY, RARE_QUERY, FAR_QUERY, DIRECT, FAR = range(8)
 HELD_ROWS = 200_000
+# What goes back to Spark at once, one block at least, or rows of a few numbers: each batch is held whole outside the heap.
+OUT_BYTES, OUT_ROWS = 1 << 20, 50_000
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -103,6 +105,25 @@ def _block(bucket: int, kind: int, *columns: np.ndarray) -> dict:
     return {"bucket": int(bucket), "kind": kind, **dict(zip("abcd", map(_pack, columns)))}
 
 
+def _batches(rows):
+    """Blocks as record batches of about OUT_BYTES, packed as they are asked for."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row.values() if isinstance(x, bytes))
+        if size >= OUT_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema=_BLOCK_ARROW)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=_BLOCK_ARROW)
+
+
+def _cut(names: list[str], *columns: np.ndarray):
+    """Columns as record batches of up to OUT_ROWS rows."""
+    for i in range(0, len(columns[0]), OUT_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + OUT_ROWS]) for c in columns], names=names)
+
+
 def _by_bucket(keys: np.ndarray, buckets: int):
     """(bucket, rows of it), rows sorted by key."""
     bucket = (mix(keys.view(np.uint64)) >> np.uint64(20)).astype(np.int64) % buckets
@@ -119,19 +140,17 @@ def _dealt(batches, buckets: int, kind: int, integers: int):
 
     def flush():
         columns = [np.concatenate(c) for c in zip(*held)]
-        out = []
         for b, at in _by_bucket(columns[0], buckets):
-            out.append(_block(b, kind, *(c[at] for c in columns[:integers])) | {"d": columns[-1][at].tobytes()})
-        return pa.RecordBatch.from_pylist(out, schema=_BLOCK_ARROW)
+            yield _block(b, kind, *(c[at] for c in columns[:integers])) | {"d": columns[-1][at].tobytes()}
 
     for columns in batches:
         held.append(columns)
         rows += len(columns[0])
         if rows > HELD_ROWS:
-            yield flush()
+            yield from _batches(flush())
             held, rows = [], 0
     if rows:
-        yield flush()
+        yield from _batches(flush())
 
 
 def _rows(batch):
@@ -268,7 +287,7 @@ def _unigram_table(train: DataFrame) -> DataFrame:
             return k, c
 
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE_BYTES):
                 k, c = np.unique(Words(piece.column("text")).hash, return_counts=True)
                 keys.append(k)
                 counts.append(c)
@@ -277,11 +296,11 @@ def _unigram_table(train: DataFrame) -> DataFrame:
                     k, c = flush()
                     keys, counts, held = [k], [c], len(k)
                     if held > 500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["w", "c"])
+                        yield from _cut(["w", "c"], k.view(np.int64), c)
                         keys, counts, held = [], [], 0
         if held:
             k, c = flush()
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["w", "c"])
+            yield from _cut(["w", "c"], k.view(np.int64), c)
 
     return train.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -327,7 +346,7 @@ def _accumulated(batches, needed: list[str]):
     """Lists of pieces with about CHUNK_TOKENS tokens together."""
     held, tokens = [], 0
     for batch in batches:
-        for piece in pieces(batch):
+        for piece in pieces(batch, limit=PIECE_BYTES):
             words = Words(piece.column("text"))
             words.data = words.start = words.end = None
             held.append((words, [piece.column(c) for c in needed]))
@@ -357,28 +376,28 @@ def _bigram_table(train: DataFrame, shared: Broadcast, buckets: int) -> DataFram
                 before, word = _neighbours(words, words.hash, _END, _START)
                 pairs.append((before[far].view(np.int64), word[far].view(np.int64)))
             k, c = _merged(np.concatenate(keys), np.concatenate(counts))
-            out = [_block(b, TABLE, k[rows], c[rows]) for b, rows in _by_bucket(k, buckets)]
+            keys = counts = None
+            yield from _batches(_block(b, TABLE, k[rows], c[rows]) for b, rows in _by_bucket(k, buckets))
+            k = None
             v, w = (np.concatenate(x) for x in zip(*pairs))
+            pairs = None
             v, w, c = _merged_pairs(v, w, np.ones(len(v), np.int64))
-            for b, rows in _by_bucket(_pair_key(v, w), buckets):
-                rows = np.sort(rows)
-                out.append(_block(b, FAR, v[rows], w[rows], c[rows]))
-            yield pa.RecordBatch.from_pylist(out, schema=_BLOCK_ARROW)
+            by_bucket = ((b, np.sort(rows)) for b, rows in _by_bucket(_pair_key(v, w), buckets))
+            yield from _batches(_block(b, FAR, v[rows], w[rows], c[rows]) for b, rows in by_bucket)
+            v = w = c = None
 
     def merge(batches):
         def out(bucket, near, far):
-            blocks = []
             if near:
-                blocks.append(_block(bucket, TABLE, *_merged(*(np.concatenate(x) for x in zip(*near)))))
+                yield _block(bucket, TABLE, *_merged(*(np.concatenate(x) for x in zip(*near))))
             if far:
-                blocks.append(_block(bucket, FAR, *_merged_pairs(*(np.concatenate(x) for x in zip(*far)))))
-            return pa.RecordBatch.from_pylist(blocks, schema=_BLOCK_ARROW)
+                yield _block(bucket, FAR, *_merged_pairs(*(np.concatenate(x) for x in zip(*far))))
 
         bucket, near, far = None, [], []
         for batch in batches:
             for row in _rows(batch):
                 if bucket is not None and row["bucket"] != bucket:
-                    yield out(bucket, near, far)
+                    yield from _batches(out(bucket, near, far))
                     near, far = [], []
                 bucket = row["bucket"]
                 if row["kind"] == TABLE:
@@ -386,7 +405,7 @@ def _bigram_table(train: DataFrame, shared: Broadcast, buckets: int) -> DataFram
                 else:
                     far.append((_unpack(row["a"]), _unpack(row["b"]), _unpack(row["c"])))
         if near or far:
-            yield out(bucket, near, far)
+            yield from _batches(out(bucket, near, far))
 
     blocks = train.select("text").mapInArrow(count, _BLOCK_SCHEMA)
     return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, _BLOCK_SCHEMA)
@@ -409,9 +428,7 @@ def _far_bigrams(bigrams: DataFrame, rare: DataFrame, shared: Broadcast) -> Data
                 vi, wi = model.ids_of(v), model.ids_of(w)
                 p = np.where(wi < 0, 0.0, 10 ** model.log_p[np.minimum(wi, model.unknown + 1)])
                 v, w = np.where(vi < 0, v, 0), np.where(wi < 0, w, 0)
-                for i in range(0, len(v), 100_000):
-                    cut = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (v, w, r, vi, wi, p)], names=["v", "w", "r", "vi", "wi", "p"])
+                yield from _cut(["v", "w", "r", "vi", "wi", "p"], v, w, r, vi, wi, p)
 
     far = bigrams.where(F.col("kind") == FAR).mapInArrow(run, "v long, w long, r long, vi long, wi long, p double")
     # Only words out of memory are looked up, of which none is frequent; the other rows stay where they are.
@@ -590,6 +607,20 @@ def _base(counts: np.ndarray, model: Unigrams) -> np.ndarray:
 def _queries(docs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
     """Blocks of what the buckets have to answer, and of what each text has by itself."""
 
+    def asked(kind, parts, rids):
+        key, doc = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        begin = np.flatnonzero(new)
+        key, doc, n = key[begin], doc[begin], np.diff(np.append(begin, len(order)))
+        order = new = begin = None
+        for b, rows in _by_bucket(key, buckets):
+            texts, local = np.unique(doc[rows], return_inverse=True)
+            yield _block(b, kind, key[rows], local, n[rows], rids[texts])
+
     def run(batches):
         model = shared.value
         for number, chunk in enumerate(_accumulated(batches, ["rid", "doc_id"])):
@@ -620,19 +651,9 @@ def _queries(docs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
                 score += np.bincount(doc, np.where(v == model.unknown, 0.0, model.log_alpha[v]) + np.where(w == model.unknown, 0.0, model.log_p[w]), size)
                 before, word = _neighbours(words, words.hash, _END, _START)
                 pairs.append((_pair_key(before[far], word[far]), doc))
-            out = [_block(number % buckets, DIRECT, rids, tokens, known) | {"d": ids.tobytes() + base.tobytes() + score.tobytes()}]
+            yield from _batches([_block(number % buckets, DIRECT, rids, tokens, known) | {"d": ids.tobytes() + base.tobytes() + score.tobytes()}])
             for kind, parts in ((QUERY, bigrams), (RARE_QUERY, rare), (FAR_QUERY, pairs)):
-                key, doc = (np.concatenate(x) for x in zip(*parts))
-                order = np.lexsort((doc, key))
-                key, doc = key[order], doc[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                begin = np.flatnonzero(new)
-                key, doc, n = key[begin], doc[begin], np.diff(np.append(begin, len(order)))
-                for b, rows in _by_bucket(key, buckets):
-                    asked, local = np.unique(doc[rows], return_inverse=True)
-                    out.append(_block(b, kind, key[rows], local, n[rows], rids[asked]))
-            yield pa.RecordBatch.from_pylist(out, schema=_BLOCK_ARROW)
+                yield from _batches(asked(kind, parts, rids))
 
     return docs.mapInArrow(run, _BLOCK_SCHEMA)
 

@@ -31,11 +31,16 @@ def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 # Texts come to Python in batches of so many rows and bytes at most, one row at least; operators cut them further by bytes.
 BATCH_ROWS = 2_000
 BATCH_BYTES = 2 << 20
+# Python workers outlive their tasks. Left alone, their allocators keep much of the most that a task ever took; so arrays of a megabyte or
+# more go back to the system as soon as they are freed. What the session sets itself stays.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20), "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Makes the package importable in the Python workers, and their batches small enough for a core's share of memory."""
+    """Makes the package importable in the Python workers, and their batches and memory small enough for a core's share."""
     ship_package(spark)
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

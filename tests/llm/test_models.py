@@ -118,6 +118,23 @@ def test_blocks_of_numbers_in_no_order_are_short():
     assert len(katz._pack(texts)) < 2 * len(texts)
 
 
+def test_blocks_go_back_in_small_batches():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    values = [rng.integers(-(1 << 63), (1 << 63) - 1, n) for n in [40_000] * 12 + [400_000, 0, 1]]
+    made = []
+    blocks = (made.append(i) or katz._block(i, katz.TABLE, v) for i, v in enumerate(values))
+    got = []
+    for batch in katz._batches(blocks):
+        assert batch.num_rows == 1 or batch.nbytes < 2 * katz.OUT_BYTES
+        got += batch.to_pylist()
+        assert len(made) == len(got)  # no block is packed ahead of its batch
+    assert [row["bucket"] for row in got] == list(range(len(values))) and all((katz._unpack(row["a"]) == v).all() for row, v in zip(got, values))
+    cut = list(katz._cut(["a", "b"], values[-3], values[-3]))
+    assert max(b.num_rows for b in cut) <= katz.OUT_ROWS and (np.concatenate([b.column("b").to_numpy() for b in cut]) == values[-3]).all()
+
+
 def test_katz_of_odd_rows(spark):
     docs = table(spark, odd_rows()).selectExpr("*", "1 as rid", "2 as bucket")
     got = katz.score(docs, katz.train(docs)).collect()
