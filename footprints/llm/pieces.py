@@ -117,19 +117,19 @@ class Pieces:
             text = MARK + text
         return self.units_of.findall(text)
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        """The ids of each unit, units of equal length together."""
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, as 32-bit integers, units of equal length together."""
         out: list = [None] * len(units)
-        sizes = np.array([len(u) for u in units])
-        for size in np.unique(sizes):
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        for size in np.unique(sizes).tolist():
             rows = np.flatnonzero(sizes == size)
-            step = max(1, 400_000 // int(size))
-            for part in (rows[i : i + step] for i in range(0, len(rows), step)):
-                for row, ids in zip(part, self._equal([units[i] for i in part], int(size))):
+            step = max(1, 400_000 // size)
+            for part in (rows[i : i + step].tolist() for i in range(0, len(rows), step)):
+                for row, ids in zip(part, self._equal([units[i] for i in part], size)):
                     out[row] = ids
         return out
 
-    def _equal(self, units: list[str], size: int) -> list[list[int]]:
+    def _equal(self, units: list[str], size: int) -> list[bytes]:
         n = len(units)
         chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T.astype(np.uint64)
         # hashes[b] is of the substring that begins at b and ends at the current place.
@@ -137,6 +137,7 @@ class Pieces:
         best[0] = 0.0
         came, piece = np.zeros((size + 1, n), np.int32), np.zeros((size + 1, n), np.int32)
         hashes = np.zeros((size, n), np.uint64)
+        columns = np.arange(n)
         for end in range(1, size + 1):
             low = max(0, end - self.longest)
             hashes[end - 1] = 0
@@ -146,21 +147,23 @@ class Pieces:
             total = best[low:end] + score
             # The longest of equally good last pieces is the first row.
             pick = total.argmax(axis=0)
-            columns = np.arange(n)
             best[end] = total[pick, columns]
             came[end] = low + pick
             piece[end] = ids[pick, columns]
-        out: list[list[int]] = [[] for _ in range(n)]
-        at = np.full(n, size)
-        columns = np.arange(n)
-        while (active := at > 0).any():
-            live = columns[active]
-            ends = at[live]
+        # The best pieces, each in the column of the place where it ends.
+        chosen, used = np.zeros((n, size), np.int32), np.zeros((n, size), bool)
+        live, ends = columns, np.full(n, size)
+        while len(live):
             ids, begins = piece[ends, live], came[ends, live]
-            for unit, i, b in zip(live.tolist(), ids.tolist(), begins.tolist()):
-                out[unit].append(i if i >= 0 else -2 - b)
-            at[live] = begins
-        return [self._bytes(unit, ids[::-1]) for unit, ids in zip(units, out)]
+            chosen[live, ends - 1] = np.where(ids >= 0, ids, -2 - begins)
+            used[live, ends - 1] = True
+            live, ends = live[begins > 0], begins[begins > 0]
+        flat = chosen[used].astype("<i4").tobytes()
+        cuts = [0, *(np.cumsum(used.sum(axis=1)) * 4).tolist()]
+        out = [flat[i:j] for i, j in zip(cuts, cuts[1:])]
+        for i in np.flatnonzero((chosen < 0).any(axis=1)).tolist():
+            out[i] = np.array(self._bytes(units[i], chosen[i][used[i]].tolist()), "<i4").tobytes()
+        return out
 
     def _looked_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids of substrings by their hashes; -inf and -1 for those that are no pieces, as most are: a sieve tells."""
@@ -173,8 +176,7 @@ class Pieces:
         return score.reshape(hashes.shape), ids.reshape(hashes.shape)
 
     def _bytes(self, unit: str, ids: list[int]) -> list[int]:
-        if min(ids) >= 0:
-            return ids
+        """A unit's ids with the bytes of each character that no piece covers, which stands there as its place below -1."""
         made: list[int] = []
         for i in ids:
             if i >= 0:
@@ -225,9 +227,9 @@ def encode(docs: DataFrame, model: Pieces) -> DataFrame:
                 if len(known) > _KNOWN_UNITS:
                     known.clear()
                 new = list(set().union(*filter(None, texts)) - known.keys())
-                known.update(zip(new, (np.array(x, np.int32).tobytes() for x in model.encode_units(new))))
+                known.update(zip(new, model.encode_units(new)))
                 coded = [b"".join(map(known.__getitem__, t)) if t else b"" for t in texts]
-                values = np.frombuffer(b"".join(coded), np.int32)
+                values = np.frombuffer(b"".join(coded), "<i4")
                 sizes = [len(c) // 4 for c in coded]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(offsets, pa.array(values))], names=[*names, "piece_ids"])

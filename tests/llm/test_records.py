@@ -330,6 +330,22 @@ def test_pieces_are_the_best_segmentation(spark):
     assert odd.where(~F.col("decoded").eqNullSafe(F.col("text"))).count() == 0
 
 
+def test_units_are_encoded_without_python_for_each_piece(spark, monkeypatch):
+    model, calls = pieces.load(spark), []
+    spelled = pieces.Pieces._bytes
+    monkeypatch.setattr(pieces.Pieces, "_bytes", lambda self, unit, ids: calls.append(unit) or spelled(self, unit, ids))
+    units = ["▁quick", "▁a", "x" * 40, "▁☃b", "▁internationalisation", "☃", "\n\n", "▁☃\U0010fffe"]
+    scores = dict(zip((model.names[i] for i in model.key_ids), model.key_scores))
+    for unit, coded in zip(units, model.encode_units(units), strict=True):
+        ids = [int(i) for i in memoryview(coded).cast("i")]
+        assert b"".join(model.coded[i] for i in ids) == unit.encode()
+        total = sum(scores[model.names[i]] for i in ids if model.names[i] in scores) + sum(c not in scores for c in unit) * model.unknown_score
+        assert total == pytest.approx(best_segmentation(model, scores, unit))
+    # Only units with a character that no piece covers take a step by themselves.
+    assert sorted(calls) == sorted(u for u in units if any(c not in scores for c in u)) and 0 < len(calls) < len(units)
+    assert model.encode_units([]) == []
+
+
 def library_mark(text):
     return ("▁" + text.replace(" ", "▁")) if text else ""
 
