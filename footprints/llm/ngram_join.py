@@ -32,7 +32,9 @@ PAIRWISE = 8
 REGROUPED = 200
 # After so many rounds of regrouping, all pairs that are left are compared.
 DEPTH = 6
-BUFFER_ROWS = 500_000
+BUFFER_ROWS = 200_000
+# Rows of a few numbers that go back to Spark at once, as each batch is held whole outside the heap.
+OUT_ROWS = 50_000
 # Bins of a set's sketch: a byte each, so that a sketch is far smaller than most texts.
 SKETCH = 256
 
@@ -172,20 +174,22 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, sketch binary")
 
 
+def _signed(piece: pa.RecordBatch, n: int, num: int, den: int) -> tuple[np.ndarray, list[pa.Array], np.ndarray, np.ndarray]:
+    """The sizes and hashes of the sets of a piece's texts, and (text, signature) of all of them."""
+    doc, value = shingle_sets(Words(piece.column("text")), n)
+    sizes = np.bincount(doc, minlength=piece.num_rows)
+    return sizes, _identity(doc, value, sizes), *_signatures(doc, value, sizes, num, den)
+
+
 def document_signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, hi, lo, sigs) per row: the set's size, its 128-bit hash and its signatures."""
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, limit=PIECE_BYTES):
-                words = Words(piece.column("text"))
-                doc, value = shingle_sets(words, n)
-                rows = piece.num_rows
-                sizes = np.bincount(doc, minlength=rows)
-                identity = _identity(doc, value, sizes)
-                of, sig = _signatures(doc, value, sizes, num, den)
+                sizes, identity, of, sig = _signed(piece, n, num, den)
                 order = np.argsort(of, kind="stable")
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows))]).astype(np.int32)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=piece.num_rows))]).astype(np.int32)
                 sigs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig[order].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(sizes.astype(np.int64)), *identity, sigs],
@@ -230,14 +234,16 @@ def _grouped(kind: np.ndarray, sig: np.ndarray, member: np.ndarray, last: bool):
 _GROUP_SCHEMA = "kind int, sig long, a long, b long"
 
 
-def _groups(rows: DataFrame, last: bool) -> DataFrame:
-    """Rows (kind, sig, a, b), of which those of kind 2 and 3 are grouped and the others pass. Behind the shuffle they come sorted."""
+def _grouping(last: bool):
+    """Takes batches (kind, sig, a, b), of which rows of kind 2 and 3 are grouped and the others pass. Behind the shuffle they come sorted."""
 
     def emit(kind, sig, a, b):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(sig), kind, np.int32)), pa.array(sig), pa.array(a), pa.nulls(len(sig), pa.int64()) if b is None else pa.array(b)],
-            names=["kind", "sig", "a", "b"],
-        )
+        for i in range(0, len(sig), OUT_ROWS):
+            n = min(OUT_ROWS, len(sig) - i)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, kind, np.int32)), pa.array(sig[i : i + n]), pa.array(a[i : i + n]), pa.nulls(n, pa.int64()) if b is None else pa.array(b[i : i + n])],
+                names=["kind", "sig", "a", "b"],
+            )
 
     def run(batches):
         held: list[tuple] = []
@@ -254,10 +260,10 @@ def _groups(rows: DataFrame, last: bool) -> DataFrame:
                 cut = int(np.searchsorted(sig, sig[-1]))
             rest = kind[cut:], sig[cut:], member[cut:]
             if len(rest[0]) > BUFFER_ROWS // 2:
-                yield emit(1, rest[1], rest[2], None)
+                yield from emit(1, rest[1], rest[2], None)
                 rest = np.array([3], np.int32), rest[1][:1], rest[2][:1]
             for part in _grouped(kind[:cut], sig[:cut], member[:cut], last):
-                yield emit(*part)
+                yield from emit(*part)
             held, count = ([rest], len(rest[0])) if len(rest[0]) else ([], 0)
 
         for batch in batches:
@@ -272,7 +278,28 @@ def _groups(rows: DataFrame, last: bool) -> DataFrame:
                 yield from flush(False)
         yield from flush(True)
 
-    return rows.mapInArrow(run, _GROUP_SCHEMA)
+    return run
+
+
+def _groups(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Rows (kind, sig, a, b) of the signatures of all texts (doc_id, text, hi, lo) whose sets have that hash, grouped within each task.
+
+    One function does both, as each that is chained in a stage takes a Python worker of its own.
+    """
+    grouped = _grouping(last=False)
+
+    def signed(batches):
+        for batch in batches:
+            for piece in pieces(batch, limit=PIECE_BYTES):
+                sizes, identity, of, sig = _signed(piece, n, num, den)
+                mine = sizes > 0
+                for found, wanted in zip(identity, ("hi", "lo")):
+                    mine &= found.to_numpy() == piece.column(wanted).to_numpy()
+                of, sig = of[mine[of]], sig[mine[of]].view(np.int64)
+                member = piece.column("doc_id").to_numpy()[of]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), 2, np.int32)), pa.array(sig), pa.array(member), pa.nulls(len(of), pa.int64())], names=["kind", "sig", "a", "b"])
+
+    return texts.select("doc_id", "text", "hi", "lo").mapInArrow(lambda batches: grouped(signed(batches)), _GROUP_SCHEMA)
 
 
 def _possible(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -485,12 +512,10 @@ def linked(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFram
     rows = written(document_sets(texts, n), "sets")
     full = rows.where("doc_id is not null and n_shingles > 0")
     firsts = written(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("a")), "firsts")
-    signed = document_signatures(texts.where("doc_id is not null"), n, num, den).where("n_shingles > 0")
-    sets = signed.join(small_or_not(firsts.select(F.col("a").alias("doc_id"), F.col("hi").alias("_hi"), F.col("lo").alias("_lo"))), "doc_id").where("hi = _hi and lo = _lo")
-    members = sets.withColumnRenamed("doc_id", "a").select(F.lit(2).alias("kind"), F.explode("sigs").alias("sig"), "a", F.lit(None).cast("bigint").alias("b"))
+    own = texts.where("doc_id is not null").join(small_or_not(firsts.withColumnRenamed("a", "doc_id")), "doc_id")
     salt = F.when(F.col("kind") >= 2, F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.lit(64)))
-    dealt = _groups(members, last=False).repartition("sig", salt).sortWithinPartitions("sig", "a")
-    groups = written(_groups(dealt, last=True), "groups")
+    dealt = _groups(own, n, num, den).repartition("sig", salt).sortWithinPartitions("sig", "a")
+    groups = written(dealt.mapInArrow(_grouping(last=True), _GROUP_SCHEMA), "groups")
     same = full.select("doc_id", "hi", "lo").join(firsts, ["hi", "lo"]).select("doc_id", F.col("a").alias("b")).withColumnRenamed("doc_id", "a")
     pairs = groups.where("kind = 0").select("a", "b")
     large = written(groups.where("kind = 1").select("sig", "a").distinct(), "large")

@@ -191,6 +191,23 @@ def test_unlike_pairs_are_not_compared_by_their_texts(spark, monkeypatch):
     assert 2 <= compared[0] <= 10 and "sigs" not in stored
 
 
+def test_no_stage_has_two_python_workers_a_task(spark, monkeypatch):
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    stored = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", written)
+    rows = [(1, "one two three four five six seven"), (2, "one two three four five six seven"), (2, "else"), (3, "one two three four five six"), (None, "x"), (4, None)]
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(table(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, None: None}
+    # What stands between two exchanges is a stage; each function of a chain there would have a worker of its own.
+    counts = [stage.count("MapInArrow") for plan in plans for stage in plan.split("Exchange")]
+    assert max(counts) == 1 and sum(counts) > 3
+
+
 def test_sketches_differ_by_no_more_than_their_sets():
     import numpy as np
 
