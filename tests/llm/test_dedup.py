@@ -6,7 +6,7 @@ import tracemalloc
 import pyarrow as pa
 import pytest
 
-from footprints.llm import line_dedup, ngram_join, text
+from footprints.llm import graph, line_dedup, ngram_join, text
 from footprints.llm.storage import prepared
 from tests.llm.plain import components, odd_rows, table, words
 
@@ -191,6 +191,36 @@ def test_unlike_pairs_are_not_compared_by_their_texts(spark, monkeypatch):
     assert 2 <= compared[0] <= 10 and "sigs" not in stored
 
 
+def blocks_family(rng, members):
+    """Texts of a common part and two of twelve blocks, of which most pairs have one in common and too little for a link."""
+    common = [f"c{rng.randrange(10**6)}" for _ in range(200)]
+    blocks = [[f"b{rng.randrange(10**6)}" for _ in range(60)] for _ in range(12)]
+    return [" ".join(common + blocks[i] + blocks[j]) for i, j in (sorted(rng.sample(range(12), 2)) for _ in range(members))]
+
+
+def test_a_round_of_regrouping_takes_few_shuffles(spark, monkeypatch):
+    rows = list(enumerate(dict.fromkeys(blocks_family(random.Random(12), 40))))
+    shuffles = []
+    for module in (ngram_join, graph):
+
+        def written(df, name, stored=module.written):
+            shuffles.append((name, df._jdf.queryExecution().executedPlan().toString().count("- Exchange ")))
+            return stored(df, name)
+
+        monkeypatch.setattr(module, "written", written)
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(table(spark, rows), 3, 90, 100).collect()}
+    assert got == plain_links(rows, 3, 90, 100)
+    assert "edits" in dict(shuffles)
+    assert sum(n for _, n in shuffles) <= 25, shuffles
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    links = [(i, i + 1) for i in range(10, 30)] + [(50, 40), (50, 41), (42, 41), (60, 60), (70, 71), (71, 70), (71, 70), (80, 82), (81, 82)]
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == components(sorted({x for link in links for x in link}), links)
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_no_stage_has_two_python_workers_a_task(spark, monkeypatch):
     plans = []
 
