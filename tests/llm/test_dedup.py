@@ -198,6 +198,20 @@ def blocks_family(rng, members):
     return [" ".join(common + blocks[i] + blocks[j]) for i, j in (sorted(rng.sample(range(12), 2)) for _ in range(members))]
 
 
+def test_unlike_members_of_a_large_group_are_not_paired(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = list(dict.fromkeys(blocks_family(rng, 90)))
+    rows = list(enumerate([*texts, texts[0].replace("c", "x", 2), texts[5] + " more", texts[7] + " other words"]))
+    paired = []
+    within = ngram_join._pairs_within
+    monkeypatch.setattr(ngram_join, "_pairs_within", lambda groups, condition: paired.append(within(groups, condition).distinct().count()) or within(groups, condition))
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(table(spark, rows), 3, 90, 100).collect()}
+    want = plain_links(rows, 3, 90, 100)
+    assert got == want and len(set(want.values())) == len(texts)
+    # Three pairs are linked.
+    assert 1 <= sum(paired) <= 6
+
+
 def test_a_round_of_regrouping_takes_few_shuffles(spark, monkeypatch):
     rows = list(enumerate(dict.fromkeys(blocks_family(random.Random(12), 40))))
     shuffles = []
