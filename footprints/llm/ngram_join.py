@@ -37,8 +37,8 @@ BUFFER_ROWS = 200_000
 OUT_ROWS = 50_000
 # Bins of a set's sketch: a byte each, so that a sketch is far smaller than most texts.
 SKETCH = 256
-# The lowest bits of a sketch, 64 in a number.
-PARITY = [f"p{i}" for i in range(SKETCH // 64)]
+# A set's parity: 2048 bits, 64 in a number. Sets of a few thousand elements still differ in more bits than a link allows.
+PARITY = [f"p{i}" for i in range(32)]
 
 
 @lru_cache(None)
@@ -154,20 +154,20 @@ def _identity(doc: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> list[pa.
     return identity
 
 
-def _bins(doc: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
-    """How many elements of every text's set fall into each of SKETCH bins, modulo 256."""
-    return np.bincount(doc * SKETCH + (value >> np.uint64(56)).astype(np.int64), minlength=rows * SKETCH).astype(np.uint8)
-
-
 def _parity(doc: np.ndarray, value: np.ndarray, rows: int) -> list[pa.Array]:
-    """The lowest bits of every text's sketch. Each element that only one of two sets has changes one of them."""
-    bits = np.packbits(_bins(doc, value, rows).reshape(rows, SKETCH) & 1, axis=1).view(np.int64)
-    return [pa.array(bits[:, i]) for i in range(len(PARITY))]
+    """Whether the elements of every text's set in each of 2048 bins are odd in number. Each element that only one of two sets has changes one bit."""
+    bits = 64 * len(PARITY)
+    key, times = np.unique(doc * bits + (value >> np.uint64(32)).astype(np.int64) % bits, return_counts=True)
+    key = key[times % 2 == 1]
+    numbers = np.zeros(rows * len(PARITY), np.uint64)
+    np.bitwise_or.at(numbers, key >> 6, np.uint64(1) << (key & 63).astype(np.uint64))
+    numbers = numbers.view(np.int64).reshape(rows, len(PARITY))
+    return [pa.array(numbers[:, i]) for i in range(len(PARITY))]
 
 
 def _sketches(doc: np.ndarray, value: np.ndarray, rows: int) -> pa.Array:
-    """The bins of every text's set as bytes."""
-    counts = _bins(doc, value, rows)
+    """How many elements of every text's set fall into each of SKETCH bins, modulo 256."""
+    counts = np.bincount(doc * SKETCH + (value >> np.uint64(56)).astype(np.int64), minlength=rows * SKETCH).astype(np.uint8)
     return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(rows + 1, dtype=np.int32) * SKETCH), pa.py_buffer(counts)])
 
 
@@ -501,17 +501,19 @@ def _links_of_large(members: DataFrame, docs: DataFrame, n: int, num: int, den:
         t_long = F.greatest(F.lit(1), F.ceil((-F.col("slack") - F.col("top")) / (2 * total)), least_t)
         judged = judged.where("least + top < 0").withColumn("short", F.col("count") - t_short + 1).withColumn("long", F.when(apart, F.col("count") - t_long + 1).otherwise(0))
         first = judged.withColumn("edits", F.slice("edits", F.lit(1), F.greatest(F.lit(0), F.col("short"), F.col("long")).cast("int")))
-        signs = first.select("a", "ref", apart.alias("apart"), "short", "count", "size", "slack", *PARITY, F.posexplode("edits").alias("place", "element"))
+        signs = first.select("a", "ref", apart.alias("apart"), "short", "count", "size", "slack", F.posexplode("edits").alias("place", "element"))
         role = F.when(~F.col("apart"), CORE).when(F.col("place") < F.col("short"), APART).otherwise(APART_LONG)
         rest = F.col("count") - F.col("place")
-        signs = signs.select(F.xxhash64("ref", "element").alias("sig"), "a", role.alias("role"), rest.alias("rest"), "size", "slack", *PARITY)
+        signs = signs.select(F.xxhash64("ref", "element").alias("sig"), "a", "ref", role.alias("role"), rest.alias("rest"), "size", "slack")
         groups = signs.groupBy("sig").agg(F.count("*").alias("members"), F.max("role").alias("_role")).where(f"members > 1 and _role > {CORE}").drop("_role")
         groups = written(signs.join(groups, "sig"), "groups")
         # The first element that two members share is followed by t - 1 more in both.
         could = f"(x.role = {APART} and y.role = {APART} or (x.role = {CORE}) <> (y.role = {CORE})) and {2 * total} * least(x.rest, y.rest) >= -(x.slack + y.slack)"
         differ = " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITY)
         most = REGROUPED * 4**depth
-        unsure.append(_pairs_within(groups.where(F.col("members") <= most), f"{could} and {total} * ({differ}) <= {den - num} * (x.size + y.size)"))
+        # Most elements are in no group, so that parities join only what is left.
+        parities = small_or_not(edits.select("a", "ref", *PARITY), BROADCAST_ROWS // len(PARITY))
+        unsure.append(_pairs_within(groups.where(F.col("members") <= most).join(parities, ["a", "ref"]), f"{could} and {total} * ({differ}) <= {den - num} * (x.size + y.size)"))
         members = groups.where(F.col("members") > most).select("sig", "a")
     return links, unsure
 
