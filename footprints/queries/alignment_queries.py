@@ -66,7 +66,7 @@ def genome_lengths(t):
 def aligned_reads(t):
     """Alignments with sequences: the genome's bases with some changed, the 3' end partly A."""
     q = lambda k: F.col("pos") + k + F.when((F.size("cigar") > 1) & (k >= 10), 30).otherwise(0)
-    index = lambda k: ((q(k) * q(k) * 31 + q(k) * 2654435 + F.col("seqname") * 97) % 1009) % 4
+    index = lambda k: inputs.base_number(q(k) % inputs.MODULUS, F.col("seqname"))
     shift = lambda k: F.when((F.col("pos") + 3 * k + F.col("barcode")) % 7 == 0, 1).otherwise(0)
     plus, tail = F.col("strand") == "+", F.col("nongenomic_length") % 4
 
