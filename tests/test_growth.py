@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from footprints import constants as C
-from footprints.operators import coords
+from footprints.operators import coords, reads as R
 from footprints.queries.inputs import Inputs
 
 
@@ -54,3 +54,15 @@ def test_genome_of_far_positions(spark, tmp_path):
 def test_genome_is_made_by_many_tasks(spark, tmp_path):
     genome = parts(spark, tmp_path, range(100)).genome
     assert re.search(r"Exchange hashpartitioning\(p_partkey#\d+L, 4\), REPARTITION_BY_NUM", plan(genome))
+
+
+def test_rows_of_fragments_do_not_carry_the_document(spark, tmp_path):
+    rows = [(1, "a", "Hello, " * 40), (2, "b", ""), (3, None, None), (4, "b", "x"), (None, "c", "lost")]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = Inputs(spark, str(tmp_path))
+    marked = R.synthetic_overlaps(t.reads, ["A" * 50])
+    waiting = re.search(r"ArrowEvalPython.*\n(?:.*\n)*?.*Generate posexplode.*?, \[(.*?)\], false, \[i#\d+, frag#\d+\]", plan(marked))
+    assert waiting and "base" not in waiting[1]
+    got = {(r.doc_id, r.i): (r.source, r.frag) for r in t.fragments.collect()}
+    base = ("HELLO" * 40).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "TCAGTCAGTCAGTCAGTCAGTCAGTC"))
+    assert got == {(1, k): ("a", base[9 * k : 9 * k + 9]) for k in range(23)} | {(4, 0): ("b", "G")}
