@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footprints import constants as C
 from footprints.functions import sequence as S
+from footprints.session import cut_lineage
 
 
 def length_histogram(reads: DataFrame, category: str = "category", length: str = "length") -> DataFrame:
@@ -13,7 +14,11 @@ def length_histogram(reads: DataFrame, category: str = "category", length: str =
 
 
 def zero_padded(histogram: DataFrame, max_length: DataFrame) -> DataFrame:
-    """Every length from 0 to the sample's ``max_length``, with 0 where no read has it."""
+    """Every length from 0 to the sample's ``max_length``, with 0 where no read has it.
+
+    The histogram is needed twice, so its few rows are written first.
+    """
+    histogram = cut_lineage(histogram)
     keys = histogram.select("sample", "category").distinct()
     grid = keys.join(max_length, "sample").select("sample", "category", F.explode(F.sequence(F.lit(0), F.col("max_length"))).alias("length"))
     return grid.join(histogram, ["sample", "category", "length"], "left").na.fill(0, ["n"])
